@@ -108,6 +108,10 @@ VALID = {
 }
 
 
+def _that(spans: Column, test) -> Column:
+    return F.filter(spans, lambda s: test(s["m"]))
+
+
 def _inner(failed: Column, pattern: str) -> Column:
     """Matches of ``pattern`` inside spans that failed, at their places in the text."""
     return F.flatten(F.transform(failed, lambda s: F.transform(
@@ -119,10 +123,10 @@ def _apart(spans: Column, taken: Column) -> Column:
     return F.filter(spans, lambda s: ~F.exists(taken, lambda t: (s["start"] < t["end"]) & (t["start"] < s["end"])))
 
 
-def pii_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, ``spans``: array of (start, end, kind, base, score), by start and then kind. One row per input row."""
+def pii_spans(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key``, ``spans``: array of (start, rank, end, kind, base, score), by start and then kind. One row per input row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("_t"))
+    rows = docs.select(key, text.alias("_t"))
     gates = {
         "email": F.col("_t").contains("@"), "ip": F.col("_t").rlike(r"[0-9]\.[0-9]"),
         "card": F.col("_t").rlike("[0-9]"), "phone": F.col("_t").contains("+"),
@@ -135,12 +139,11 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     )
     some = {k: F.size(F.coalesce(F.col(f"_m_{k}"), F.array().cast("array<string>"))) > 0 for k in patterns}
     rows = rows.select("*", *(F.when(some[k], F.split("_t", p, -1)).alias(f"_s_{k}") for k, p in patterns.items()))
-    rows = rows.select("doc_id", "_t", "_g_card", *(
+    rows = rows.select(key, "_t", "_g_card", *(
         F.when(F.col(f"_s_{k}").isNotNull(), _located(F.col(f"_m_{k}"), F.col(f"_s_{k}"))).otherwise(_NONE).alias(f"_{k}") for k in patterns))
 
-    keep = {k: F.filter(F.col(f"_{k}"), lambda s, v=v: v(s["m"])) for k, v in VALID.items()}
-    rows = rows.select("*", *(keep[k].alias(f"_ok_{k}") for k in patterns))
-    failed = {k: F.filter(F.col(f"_{k}"), lambda s, v=v: ~v(s["m"])) for k, v in VALID.items()}
+    rows = rows.select("*", *(_that(F.col(f"_{k}"), VALID[k]).alias(f"_ok_{k}") for k in patterns))
+    failed = {k: _that(F.col(f"_{k}"), lambda m, k=k: ~VALID[k](m)) for k in ("card", "phone")}
     more = {
         "card": F.filter(_inner(failed["card"], CARD_INNER), lambda s: luhn(s["m"])),
         "phone": F.concat(
@@ -164,7 +167,7 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     spans = [scored(F.col(f"_ok_{k}"), k, True) for k in patterns]
     spans += [scored(m, k, False) for k, m in more.items()]
     wanted = F.filter(F.array_sort(F.concat(*spans)), lambda s: s["base"] | (s["score"] >= THRESHOLD))
-    return rows.select("doc_id", wanted.alias("spans"))
+    return rows.select(key, wanted.alias("spans"))
 
 
 def _joined(spans: Column) -> Column:
@@ -175,8 +178,11 @@ def _joined(spans: Column) -> Column:
 def pii_digest(found: DataFrame) -> DataFrame:
     """Counts of base spans, the hash of their listing, and the listing of all spans."""
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
-    return found.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, KINDS[:4]), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, mark: str = "[{}]") -> DataFrame:
@@ -184,12 +190,12 @@ def redact(docs: DataFrame, mark: str = "[{}]") -> DataFrame:
 
     Spans of different kinds that overlap are replaced as one, by the kind of the first.
     """
-    work = docs.withColumn("_pii_text", F.col("text"))
-    keyed = pii_spans(work.select(F.struct(*docs.columns).alias("doc_id"), "text"))
+    keyed = pii_spans(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text"), "_row")
+    whole_text = F.col("_row.text")
 
     def step(acc, s):
         text, at = acc["text"], acc["at"]
-        gap = F.substring(F.col("doc_id.text"), at + 1, s["start"] - at)
+        gap = F.substring(whole_text, at + 1, s["start"] - at)
         label = F.concat(F.lit(mark.split("{}")[0]), F.upper(s["kind"]), F.lit(mark.split("{}")[1]))
         new = F.concat(text, gap, label)
         return F.when(s["start"] >= at, F.struct(new.alias("text"), s["end"].alias("at"))).otherwise(
@@ -197,6 +203,6 @@ def redact(docs: DataFrame, mark: str = "[{}]") -> DataFrame:
 
     first = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
     whole = F.aggregate("spans", first, step, lambda acc: F.concat(
-        acc["text"], F.substring(F.col("doc_id.text"), acc["at"] + 1, F.char_length("doc_id.text"))))
-    clean = F.when(F.size("spans") > 0, whole).otherwise(F.col("doc_id.text"))
-    return keyed.select(*(clean.alias("text") if c == "text" else F.col(f"doc_id.`{c}`").alias(c) for c in docs.columns))
+        acc["text"], F.substring(whole_text, acc["at"] + 1, F.char_length(whole_text))))
+    clean = F.when(F.size("spans") > 0, whole).otherwise(whole_text)
+    return keyed.select(*(clean.alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm.common import table
 from brindle.llm.exact_dedup import exact_dedup
+from brindle.llm.pii import pii_digest, pii_spans
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -23,8 +24,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(pii_spans(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup}
+    return {"op1_exact_dedup": op1_exact_dedup, "op9_pii": op9_pii}
 
 
 def oracle_sql() -> dict[str, str]:
