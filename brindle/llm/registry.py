@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from brindle.llm.common import table
+from brindle.llm.bpe import encode_digest
+from brindle.llm.common import fold, table
 from brindle.llm.exact_dedup import exact_dedup
+from brindle.llm.jaccard_join import jaccard_components
+from brindle.llm.language_id import FOLDS, HELD_OUT, predict_languages
+from brindle.llm.packing import pack_documents
 from brindle.llm.pii import pii_digest, pii_spans
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -20,16 +26,46 @@ from t
 """
 
 
+def vocabulary() -> str:
+    """The vocabulary file of the queries; every executor has it where the tokenizer files are installed."""
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digest(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(pii_spans(table(spark, sf_dir, "documents")))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = predict_languages(table(spark, sf_dir, "documents"))
+    held_out = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op9_pii": op9_pii}
+    return {
+        "op1_exact_dedup": op1_exact_dedup,
+        "op2_packing": op2_packing,
+        "op6_bpe": op6_bpe,
+        "op8_jaccard_join": op8_jaccard_join,
+        "op9_pii": op9_pii,
+        "op10_language_id": op10_language_id,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
