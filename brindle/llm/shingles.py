@@ -19,6 +19,8 @@ CHUNK_BYTES = 1 << 21
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_STOP = np.zeros(256, np.int64)
+_STOP[list(b".,;:!?")] = 1
 _P, _K = 0x9E3779B97F4A7C15, np.uint64(0xD1342543DE82EF95)
 _powers: dict[str, np.ndarray] = {}
 
@@ -41,8 +43,11 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, in order, and where each text's words begin (one more than texts)."""
+def words(texts: list[bytes], shape: bool = False) -> tuple[np.ndarray, ...]:
+    """Hashes of the words of all texts, in order, and where each text's words begin (one more than texts).
+
+    With ``shape`` also two bits for each word: whether it has bytes beyond ASCII, whether it ends in punctuation.
+    """
     raw = b" " + b" ".join(texts).translate(_LOWER) + b" "
     buf = np.frombuffer(raw, np.uint8)
     inside = ~_SPACE[buf]
@@ -54,7 +59,10 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     hashed = mix(hashed + (ends - starts).astype(np.uint64) * _K)
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     first = np.searchsorted(starts, np.concatenate([[1], 1 + np.cumsum(sizes)]))
-    return hashed, first
+    if not shape:
+        return hashed, first
+    beyond = np.concatenate([[0], np.cumsum(buf > 127)])
+    return hashed, first, (beyond[ends] > beyond[starts]) + 2 * _STOP[buf[ends - 1]]
 
 
 def shingle_sets(texts: list[bytes], width: int = WIDTH) -> Iterator[np.ndarray]:
