@@ -13,8 +13,10 @@ from brindle.llm.common import fold, table
 from brindle.llm.exact_dedup import exact_dedup
 from brindle.llm.jaccard_join import jaccard_components
 from brindle.llm.language_id import FOLDS, HELD_OUT, predict_languages
+from brindle.llm.language_model import score_documents
 from brindle.llm.packing import pack_documents
 from brindle.llm.pii import pii_digest, pii_spans
+from brindle.llm.quality import GOOD, fit_quality, score_quality
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -39,10 +41,21 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -61,7 +74,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_packing": op2_packing,
+        "op3_quality": op3_quality,
         "op6_bpe": op6_bpe,
+        "op7_language_model": op7_language_model,
         "op8_jaccard_join": op8_jaccard_join,
         "op9_pii": op9_pii,
         "op10_language_id": op10_language_id,
