@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from brindle.llm.bpe import encode_digest
 from brindle.llm.common import fold, table
+from brindle.llm.embedding_dedup import embedding_components
 from brindle.llm.exact_dedup import exact_dedup
+from brindle.llm.html_extract import extract_text
 from brindle.llm.jaccard_join import jaccard_components
 from brindle.llm.language_id import FOLDS, HELD_OUT, predict_languages
 from brindle.llm.language_model import score_documents
@@ -48,6 +50,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digest(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -75,6 +85,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_packing": op2_packing,
         "op3_quality": op3_quality,
+        "op4_html": op4_html,
+        "op5_embeddings": op5_embeddings,
         "op6_bpe": op6_bpe,
         "op7_language_model": op7_language_model,
         "op8_jaccard_join": op8_jaccard_join,
