@@ -15,14 +15,18 @@ def matches(text: Column, pattern: str, **groups: int) -> Column:
     Offsets follow from the lengths of the matches and of what lies between them.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    ends = F.aggregate(
-        F.sequence(F.lit(0), F.size(whole) - 1), F.array(F.lit(0)),
-        lambda acc, i: F.array_append(acc, F.element_at(acc, -1) + F.char_length(F.get(gaps, i)) + F.char_length(F.get(whole, i))))
-    at = F.when(F.size(whole) > 0, F.transform(whole, lambda m, i: F.get(ends, i) + F.char_length(F.get(gaps, i))))
+    # Lambdas hold nothing but their variables, so each pattern runs once over the text, not once for each match.
+    lengths = F.arrays_zip(
+        F.transform(F.split(text, pattern, -1), F.char_length).alias("gap"), F.transform(whole, F.char_length).alias("own"))
+    first = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("end")))
+
+    def step(acc: Column, x: Column) -> Column:
+        at = F.element_at(acc, -1)["end"] + x["gap"]
+        return F.array_append(acc, F.struct(at.alias("at"), (at + F.coalesce(x["own"], F.lit(0))).alias("end")))
+
+    at = F.transform(F.slice(F.aggregate(lengths, first, step), F.lit(2), F.size(whole)), lambda x: x["at"])
     parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(n)).alias(name) for name, n in groups.items()]
-    found = F.arrays_zip(F.coalesce(at, F.array().cast("array<int>")).alias("at"), *parts)
-    return F.when(F.size(whole) > 0, found)
+    return F.when(F.size(whole) > 0, F.arrays_zip(at.alias("at"), *parts))
 
 
 def around(text: Column, at: Column, before: int, after: int) -> Column:

@@ -46,16 +46,16 @@ def with_constants(scripts: DataFrame, text: str = "content") -> DataFrame:
     keys = F.regexp_extract_all(content, F.lit(CONSTANT), F.lit(1))
     chains = F.regexp_extract_all(content, F.lit(CONSTANT), F.lit(2))
     pairs = F.arrays_zip(keys.alias("k"), chains.alias("v"))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    rows = scripts.withColumn("_pairs", last)
-    none = F.create_map().cast("map<string,string>")
+    none = F.array().cast("array<struct<k:string,v:string>>")
+    last = F.aggregate(pairs, none, lambda acc, p: F.array_append(F.filter(acc, lambda q: q["k"] != p["k"]), F.struct(p["k"].alias("k"), p["v"].alias("v"))))
 
-    def again(known: Column, _: Column) -> Column:
-        resolved = F.transform("_pairs", lambda p: F.struct(p["k"], value_of(p["v"], known).alias("v")))
-        return F.map_from_entries(F.filter(resolved, lambda p: ~F.contains(p["v"], F.lit("${"))))
+    def again(acc: Column, _: Column) -> Column:
+        resolved = F.transform(acc["pairs"], lambda p: F.struct(p["k"].alias("k"), value_of(p["v"], acc["names"]).alias("v")))
+        names = F.map_from_entries(F.filter(resolved, lambda p: ~F.contains(p["v"], F.lit("${"))))
+        return F.struct(acc["pairs"].alias("pairs"), names.alias("names"))
 
-    rows = rows.withColumn("names", F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), none, again))
-    return rows.drop("_pairs")
+    start = F.struct(last.alias("pairs"), F.create_map().cast("map<string,string>").alias("names"))
+    return scripts.withColumn("names", F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, again, lambda acc: acc["names"]))
 
 
 def _calls(rows: DataFrame, source: Column, pattern: str, n: int, **groups: int) -> DataFrame:
