@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Word boundaries of ASCII words, whatever other letters stand beside them.
 WORD_START, WORD_END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+#: The same ahead of a name that may begin with a dollar sign, which is no letter of a word: then one must precede it.
+NAME_START = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
 def matches(text: Column, pattern: str, **groups: int) -> Column:
@@ -35,4 +37,4 @@ def around(text: Column, at: Column, before: int, after: int) -> Column:
     return F.substring(text, start + 1, at - start + after)
 
 
-__all__ = ["WORD_END", "WORD_START", "around", "matches"]
+__all__ = ["NAME_START", "WORD_END", "WORD_START", "around", "matches"]

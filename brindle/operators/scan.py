@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.matches import WORD_START, around, matches
+from brindle.functions.matches import NAME_START, WORD_START, around, matches
 from brindle.functions.urls import asset_type, is_asset_url, is_base_url, is_request_url, normal_base, path_params, query_params, url_confidence, url_kind
 from brindle.operators.order import first_wins
 
@@ -17,7 +17,7 @@ _WORD = WORD_START
 # The five scans in their order; group numbers of method and url.
 SCANS = (
     ("text:fetch", _WORD + r"fetch\s*\(\s*" + _URL + r"\1", 0, 2),
-    ("text:method-call", r"(?i)" + _WORD + r"(?:axios|[A-Za-z_$][A-Za-z0-9_$]*)\.(get|post|put|patch|delete|head|options)\s*\(\s*" + _URL + r"\2", 1, 3),
+    ("text:method-call", r"(?i)" + NAME_START + r"(?:axios|[A-Za-z_$][A-Za-z0-9_$]*)\.(get|post|put|patch|delete|head|options)\s*\(\s*" + _URL + r"\2", 1, 3),
     ("text:jquery-method", r"(?i)(?:(?<=[A-Za-z0-9_])\$|" + _WORD + r"jQuery)\.(get|post)\s*\(\s*" + _URL + r"\2", 1, 3),
     ("text:xhr-open", r"(?i)\.open\s*\(\s*([\"'`])(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\1\s*,\s*([\"'`])([^\"'`\r\n]{1,2048})\3", 2, 4),
     ("text:config-url", _WORD + r"url\s*:\s*" + _URL + r"\1", 0, 2),
@@ -42,7 +42,7 @@ def body_params_in(window: Column) -> Column:
     found = F.regexp_extract_all(window, F.lit(r"(?is)" + _WORD + r"(?:data|body|params|query)\s*:\s*(.{0,900})"), F.lit(1))
     quoted = lambda b: F.regexp_extract_all(b, F.lit(r"[\"']([A-Za-z_$][A-Za-z0-9_$.-]{0,100})[\"']\s*:"), F.lit(1))
     bare = lambda b: F.filter(
-        F.regexp_extract_all(b, F.lit(_WORD + r"([A-Za-z_$][A-Za-z0-9_$.-]{0,100})\s*:"), F.lit(1)), lambda n: ~n.isin(*RESERVED))
+        F.regexp_extract_all(b, F.lit(NAME_START + r"([A-Za-z_$][A-Za-z0-9_$.-]{0,100})\s*:"), F.lit(1)), lambda n: ~n.isin(*RESERVED))
     return F.array_distinct(F.flatten(F.transform(found, lambda b: F.concat(quoted(b), bare(b)))))
 
 

@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 def spark(tmp_path_factory):
     root = tmp_path_factory.mktemp("spark")
     session = (
-        SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+        SparkSession.builder.master("local[2]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "3g").config("spark.sql.warehouse.dir", str(root / "warehouse"))
         .config("spark.checkpoint.dir", f"file://{root}/shared").config("spark.local.dir", str(root / "local")).getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
