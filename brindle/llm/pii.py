@@ -48,7 +48,8 @@ CONTEXT = {
     "iban": r"(?i)\b(?:iban|account|bank|transfer)\b",
 }
 
-_NONE = F.array().cast("array<struct<start:int,end:int,m:string>>")
+def _none() -> Column:
+    return F.array().cast("array<struct<start:int,end:int,m:string>>")
 
 
 def _located(matches: Column, gaps: Column) -> Column:
@@ -60,9 +61,9 @@ def _located(matches: Column, gaps: Column) -> Column:
         return F.struct(end.alias("at"), F.array_append(
             acc["out"], F.struct(start.alias("start"), end.alias("end"), m.alias("m"))).alias("out"))
 
-    first = F.struct(F.lit(0).alias("at"), _NONE.alias("out"))
+    first = F.struct(F.lit(0).alias("at"), _none().alias("out"))
     found = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), first, step, lambda acc: acc["out"])
-    return F.when(F.size(matches) > 0, found).otherwise(_NONE)
+    return F.when(F.size(matches) > 0, found).otherwise(_none())
 
 
 def _search(text: Column, pattern: str) -> Column:
@@ -140,7 +141,7 @@ def pii_spans(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     some = {k: F.size(F.coalesce(F.col(f"_m_{k}"), F.array().cast("array<string>"))) > 0 for k in patterns}
     rows = rows.select("*", *(F.when(some[k], F.split("_t", p, -1)).alias(f"_s_{k}") for k, p in patterns.items()))
     rows = rows.select(key, "_t", "_g_card", *(
-        F.when(F.col(f"_s_{k}").isNotNull(), _located(F.col(f"_m_{k}"), F.col(f"_s_{k}"))).otherwise(_NONE).alias(f"_{k}") for k in patterns))
+        F.when(F.col(f"_s_{k}").isNotNull(), _located(F.col(f"_m_{k}"), F.col(f"_s_{k}"))).otherwise(_none()).alias(f"_{k}") for k in patterns))
 
     rows = rows.select("*", *(_that(F.col(f"_{k}"), VALID[k]).alias(f"_ok_{k}") for k in patterns))
     failed = {k: _that(F.col(f"_{k}"), lambda m, k=k: ~VALID[k](m)) for k in ("card", "phone")}
@@ -148,8 +149,8 @@ def pii_spans(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         "card": F.filter(_inner(failed["card"], CARD_INNER), lambda s: luhn(s["m"])),
         "phone": F.concat(
             _inner(failed["phone"], PHONE_INNER),
-            F.when(F.col("_g_card"), _apart(_search(F.col("_t"), PHONE_LOCAL), F.col("_phone"))).otherwise(_NONE)),
-        "iban": F.when(F.col("_g_card"), F.filter(_search(F.col("_t"), IBAN), lambda s: mod97(s["m"]))).otherwise(_NONE),
+            F.when(F.col("_g_card"), _apart(_search(F.col("_t"), PHONE_LOCAL), F.col("_phone"))).otherwise(_none())),
+        "iban": F.when(F.col("_g_card"), F.filter(_search(F.col("_t"), IBAN), lambda s: mod97(s["m"]))).otherwise(_none()),
     }
 
     def scored(spans: Column, kind: str, base: bool) -> Column:
