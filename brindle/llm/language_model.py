@@ -85,7 +85,7 @@ class GatedModel:
             "in": (r.standard_normal((VOCABULARY + 1 + _RARE, 3 * STATE)) * 0.3).astype(np.float32),
             "u": (r.standard_normal((STATE, 3 * STATE)) * STATE**-0.5).astype(np.float32),
             "b": np.concatenate([np.ones(STATE), np.zeros(2 * STATE)]).astype(np.float32),
-            "c": np.zeros((STATE, CLASSES + _RARE), np.float32), "cb": np.log(mass + 0.5).astype(np.float32),
+            "c": np.zeros((STATE, CLASSES + _RARE), np.float32), "cb": np.where((mass > 0) | (np.arange(len(mass)) >= CLASSES), np.log(mass + 0.5), -30).astype(np.float32),
             "o": np.zeros((CLASSES, STATE, _SLOTS), np.float32), "ob": word,
         }
 
