@@ -7,8 +7,8 @@ token's probability is that of its class given the state, times that of the word
 of all words (with one place for the unseen words of each of the four classes) sum to one.
 
 The network starts at the unigram probabilities. It is fitted by truncated backpropagation: first briefly on
-``SEED_ROWS`` documents in the driver, then in every partition on its share of the training documents
-(``TRAIN_SHARE`` of all, so the work grows with the corpus); the partitions' weights are averaged by their tokens.
+``SEED_ROWS`` documents in the driver, then in every partition on all its training documents; the partitions' weights
+are averaged by their tokens.
 Scoring carries the state across windows from the first token of a document to its end, however long it is.
 
 Words are known by 64-bit hashes; counts of the ``HOT`` most frequent ones go to every task, those of the others are
@@ -35,7 +35,6 @@ VOCABULARY, CLASSES, STATE = 1023, 31, 16
 HOT = 400_000
 FOLDS, HELD_OUT = 7, 2
 SEED_ROWS = 200
-TRAIN_SHARE = 0.25
 STEPS, STREAMS = 16, 256
 
 _SLOTS = -(-(VOCABULARY + 1) // CLASSES)
@@ -279,14 +278,12 @@ def fit(training: DataFrame, counts: DataFrame) -> GatedModel:
         mine = (pick & np.int64(3)) == row["r"]
         rare[row["r"]] = row["n"] - n[: len(pick)][mine].sum(), row["v"] - mine.sum()
     model = GatedModel(pick, n[: len(pick)].astype(np.float64), rare, keys[order], n[order])
-    drawn = F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = training.filter(drawn < TRAIN_SHARE).select("text")
-    first = chosen.limit(SEED_ROWS).toArrow()["text"].combine_chunks()
+    first = training.select("text").limit(SEED_ROWS).toArrow()["text"].combine_chunks()
     if len(first):
         for _ in range(3):
             model.train(*_tokens(model, first))
         bare = GatedModel(pick, n[: len(pick)].astype(np.float64), rare, keys[:0], n[:0]).unpack(np.frombuffer(model.packed(), np.float32))
-        parts = chosen.mapInArrow(_learn(bare), "n long, w binary")
+        parts = training.select("text").mapInArrow(_learn(bare), "n long, w binary")
         parts = parts.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(32)))
         means = keep(parts.groupBy("g").applyInPandas(lambda x: _mean(x[["n", "w"]]), "n long, w binary"), "weights").toPandas()
         if len(means):
