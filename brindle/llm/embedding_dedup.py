@@ -71,7 +71,7 @@ def robust_prune(near: np.ndarray, sim: np.ndarray, degree: int) -> list[int]:
 
 
 def build(x: np.ndarray, degree: int) -> list[list[int]]:
-    """Adjacency lists of the vectors of one block; edges go both ways, and a chain through the medoid keeps it connected."""
+    """Adjacency lists of the vectors of one block; edges go both ways, and a random tree keeps it connected."""
     n = len(x)
     sim = x @ x.T
     np.fill_diagonal(sim, -2)
@@ -92,6 +92,10 @@ def build(x: np.ndarray, degree: int) -> list[list[int]]:
         for j in kept:
             lists[i].add(j)
             lists[j].add(i)
+        if i:
+            j = int(r.integers(0, i))
+            lists[i].add(j)
+            lists[j].add(i)
     return [sorted(s) for s in lists]
 
 
@@ -102,10 +106,8 @@ def medoid(x: np.ndarray) -> int:
 def search(index: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, beam: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, node) of cosine >= ``least``: greedy from the medoid, then on through everything in range."""
     n, q = len(index), len(queries)
-    degree = max((len(v) for v in lists), default=0)
-    table = np.full((n, max(1, degree)), -1)
-    for i, v in enumerate(lists):
-        table[i, : len(v)] = v
+    degree = np.array([len(v) for v in lists])
+    flat, begin = np.concatenate([np.empty(0, np.int64), *lists]).astype(np.int64), np.cumsum(degree) - degree
     seen = np.zeros((q, n), bool)
     start = medoid(index)
     at = np.full((q, beam), -1)
@@ -115,21 +117,31 @@ def search(index: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, beam
     seen[:, start] = True
     found_q, found_n = [np.flatnonzero(sim[:, 0] >= least)], [np.full(int((sim[:, 0] >= least).sum()), start)]
 
-    def reach(who: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Unseen neighbours of nodes, each once for each query, with their cosines."""
-        pairs_q, pairs_n = np.repeat(who, table.shape[1]), table[nodes].ravel()
-        ok = pairs_n >= 0
-        pairs_q, pairs_n = pairs_q[ok], pairs_n[ok]
+    def some(who: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        many = degree[nodes]
+        pairs_n = flat[np.repeat(begin[nodes] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        pairs_q = np.repeat(who, many)
         fresh = ~seen[pairs_q, pairs_n]
         both = np.unique(pairs_q[fresh] * n + pairs_n[fresh])
         pairs_q, pairs_n = both // n, both % n
         seen[pairs_q, pairs_n] = True
-        cos = np.concatenate([np.einsum("ij,ij->i", queries[pairs_q[a : a + 65536]], index[pairs_n[a : a + 65536]]) for a in range(0, len(both), 65536)] or [np.empty(0)])
+        cos = np.concatenate([np.einsum("ij,ij->i", queries[pairs_q[a : a + 16384]], index[pairs_n[a : a + 16384]]) for a in range(0, len(both), 16384)] or [np.empty(0)])
         inside = cos >= least
         found_q.append(pairs_q[inside])
         found_n.append(pairs_n[inside])
         return pairs_q, pairs_n, cos
 
+    def reach(who: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unseen neighbours of nodes, each once for each query and by query, with their cosines; half a million at a time."""
+        parts, total, a = [], np.cumsum(degree[nodes]), 0
+        while a < len(nodes):
+            to = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + 500_000)))
+            parts.append(some(who[a:to], nodes[a:to]))
+            a = to
+        pairs_q, pairs_n, cos = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(pairs_q, kind="stable")
+        return pairs_q[order], pairs_n[order], cos[order]
+
     while True:
         best = np.where(done, -3.0, sim).argmax(axis=1)
         who = np.flatnonzero(~done[np.arange(q), best])
