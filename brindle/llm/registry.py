@@ -30,6 +30,17 @@ from t
 """
 
 
+EMBEDDINGS_SQL = """
+with recursive v as (select vec_id, cast(embedding as double[]) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95),
+r as (select vec_id as id, vec_id as root from embeddings union select l.a, r.root from r join l on l.b = r.id),
+c as (select id, min(root) as component_id from r group by id),
+n as (select a as id, count(*) as n from l group by a)
+select c.id as vec_id, coalesce(n.n, 0) as n_links, c.component_id, c.id = c.component_id as kept from c left join n using (id)
+"""
+
+
 def vocabulary() -> str:
     """The vocabulary file of the queries; every executor has it where the tokenizer files are installed."""
     return public_tokenizers.path("word_bpe_49k.json")
@@ -96,4 +107,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op1_exact_dedup": EXACT_DEDUP_SQL, "op5_embeddings": EMBEDDINGS_SQL}

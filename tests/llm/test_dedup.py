@@ -19,6 +19,10 @@ def test_exact_dedup_equals_sql(spark):
     check(spark, queries()["op1_exact_dedup"], oracle_sql()["op1_exact_dedup"], SF)
 
 
+def test_embeddings_equal_sql(spark):
+    check(spark, queries()["op5_embeddings"], oracle_sql()["op5_embeddings"], SF)
+
+
 def test_exact_dedup_of_odd_rows_in_small_blocks(spark):
     groups = collections.defaultdict(list)
     for d, t in TEXTS:
