@@ -59,7 +59,7 @@ def with_constants(scripts: DataFrame, text: str = "content") -> DataFrame:
 
 
 def _calls(rows: DataFrame, source: Column, pattern: str, n: int, **groups: int) -> DataFrame:
-    found = rows.select("*", F.posexplode(matches(F.col("_t"), pattern, **groups)).alias("pos", "m"))
+    found = rows.withColumn("_m", matches(F.col("_t"), pattern, **groups)).select("*", F.posexplode("_m").alias("pos", "m"))
     return found.withColumn("ord", F.lit(n) * 1_000_000 + F.col("m.at")).withColumn("source", source)
 
 
@@ -143,7 +143,7 @@ def chunk_assets(scripts: DataFrame, text: str = "content") -> DataFrame:
     pattern = q + r"\s*\+\s*(?:([A-Za-z_$][A-Za-z0-9_$]*)\s*\+\s*" + q + r"\s*\+\s*)?\{([^{}]*)\}\s*\[\s*[A-Za-z_$][A-Za-z0-9_$]*\s*\]\s*\+\s*" + q
     found = matches(F.coalesce(F.col(text), F.lit("")), pattern, prefix=1, slot=2, infix=3, table=4, suffix=5)
     entry = r"[\"']?([A-Za-z0-9_$~./-]+)[\"']?\s*:\s*[\"']([^\"'\r\n]*)[\"']"
-    rows = scripts.select("script_id", F.posexplode(found).alias("at", "m"))
+    rows = scripts.select("script_id", found.alias("_m")).select("script_id", F.posexplode("_m").alias("at", "m"))
     pairs = F.arrays_zip(F.regexp_extract_all("m.table", F.lit(entry), F.lit(1)).alias("k"), F.regexp_extract_all("m.table", F.lit(entry), F.lit(2)).alias("h"))
     rows = rows.select("script_id", "at", "m", F.posexplode(pairs).alias("pos", "e"))
     named = F.coalesce(F.col("m.slot"), F.lit("")) != ""

@@ -59,7 +59,7 @@ def text_calls(scripts: DataFrame, text: str = "content") -> DataFrame:
     content, parts = F.coalesce(F.col(text), F.lit("")), []
     for n, (source, pattern, method, url) in enumerate(SCANS):
         groups = {"url": url} | ({"method": method} if method else {})
-        hits = scripts.select("script_id", content.alias("_t"), F.posexplode(matches(content, pattern, **groups)).alias("pos", "m"))
+        hits = scripts.select("script_id", content.alias("_t"), matches(content, pattern, **groups).alias("_m")).select("script_id", "_t", F.posexplode("_m").alias("pos", "m"))
         parts.append(hits.select(
             "script_id", (F.lit(n) * 1_000_000 + F.col("pos")).alias("ord"), F.lit(source).alias("source"), F.col("m.url").alias("url"),
             (F.col("m.method") if method else F.lit(None).cast("string")).alias("named"), around(F.col("_t"), F.col("m.at"), BEFORE, AFTER).alias("window")))
@@ -113,7 +113,7 @@ def text_base_urls(scripts: DataFrame, text: str = "content") -> DataFrame:
     """script_id, value, source: base urls that settings name; the first of each value stays."""
     pattern = _WORD + r"(baseUrl|baseURL|apiBase|apiHost|gateway|domainName)\s*:\s*([\"'`])([^\"'`\r\n]{1,2048})\2"
     found = matches(F.coalesce(F.col(text), F.lit("")), pattern, name=1, value=3)
-    rows = scripts.select("script_id", F.posexplode(found).alias("ord", "m"))
+    rows = scripts.select("script_id", found.alias("_m")).select("script_id", F.posexplode("_m").alias("ord", "m"))
     rows = rows.select("script_id", "ord", normal_base(F.col("m.value")).alias("value"), F.concat(F.lit("text:"), "m.name").alias("source"))
     return first_wins(rows.filter(is_base_url(F.col("value"))), ["script_id", "value"], "ord")
 

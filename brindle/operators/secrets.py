@@ -29,7 +29,7 @@ def secret_candidates(scripts: DataFrame, text: str = "content", rules=SECRET_RU
         return F.transform(found, lambda m: F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), m["value"].alias("value"), m["at"].alias("at")))
 
     found = F.concat(*(hits(*rule) for rule in rules))
-    rows = scripts.select("script_id", content.alias("_t"), F.explode(found).alias("m")).select("script_id", "_t", "m.*")
+    rows = scripts.select("script_id", content.alias("_t"), found.alias("_m")).select("script_id", "_t", F.explode("_m").alias("m")).select("script_id", "_t", "m.*")
     head = F.substring("_t", F.lit(1), F.col("at"))
     line = F.regexp_count(head, F.lit("\n")) + 1
     column = F.char_length(F.substring_index(head, "\n", -1)) + 1
