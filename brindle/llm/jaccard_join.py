@@ -12,8 +12,9 @@ nothing that way, and no signature list is capped.
 
 What is left are candidates. Equal sets are one class from the start. Each class is first checked against one centre
 (the class with which it shares most signatures), linked classes are merged, and only lists that still hold different
-components are compared pair by pair, so a group of thousands of near copies costs a row per copy. Every candidate
-is verified on its whole set of shingles.
+components go on. Short lists are compared pair by pair. The classes of longer ones are dealt to blocks, and two blocks
+that share such a list are compared in one task that returns no more links than connect what they connect; so a group
+of thousands of near copies costs a row per copy and block, never a row per pair. Every comparison is of whole sets.
 
 Defined results: a null text counts as empty; texts without words have no shingles and link with nothing. Rows that
 repeat a doc_id are rows of their own. Rows with a null doc_id get their ``n_shingles`` and a null ``component_id`` and
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brindle.llm.common import keep, parallelism
+from brindle.llm.common import batch_rows, keep, parallelism
 from brindle.llm.components import components
 from brindle.llm.shingles import in_chunks, mix, shingle_sets
 
@@ -41,6 +42,10 @@ SIMILARITY = 75
 N2, K2 = 2, 1
 #: Class ids up to this many (16 MB) are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Classes of a block whose pairs one task compares.
+BLOCK = 256
+#: Signature lists of up to this many classes are compared pair by pair, longer ones block by block.
+SHORT_LIST = 24
 
 _U = np.uint64
 
@@ -122,7 +127,7 @@ def _emit(buckets: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             with np.errstate(over="ignore"):
-                for _, texts in in_chunks(batch.column(0), 1 << 23):
+                for _, texts in in_chunks(batch.column(0), 1 << 22):
                     seen, sigs, owner = {}, [], []
                     for s in (x for _, part in in_chunks(pa.array(texts, pa.binary())) for x in shingle_sets(part)):
                         if not len(s) or (sid := _digest(s)[0]) in seen:
@@ -212,7 +217,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
 
 def document_sets(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n (shingles), cls (128-bit digest of the set, null without shingles) and its levels."""
-    facts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_facts, _FACTS)
+    facts = batch_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_facts, _FACTS)
     cls = F.unhex(F.concat(F.lpad(F.hex("d1"), 16, "0"), F.lpad(F.hex("d2"), 16, "0")))
     return keep(facts.withColumn("cls", F.when(F.col("n") > 0, cls)), "facts")
 
@@ -255,34 +260,102 @@ def _with_roots(rows: DataFrame, links: DataFrame, key: str = "cls") -> DataFram
     return rows.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """cls, root, block: classes dealt to blocks of ``BLOCK``, those of the same large signature list side by side."""
+    lists = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
+    main = rows.join(lists, "sig").groupBy("cls", "root").agg(F.max(F.struct("m", "sig")).alias("near"))
+    order = main.repartitionByRange(parallelism(rows.sparkSession), "near", "cls").sortWithinPartitions("near", "cls")
+    order = keep(order.withColumn("id", F.monotonically_increasing_id()).select("cls", "root", "id"), "ordered")
+    part, place = F.shiftright("id", 33), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = order.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("size"))  # a row per partition
+    before = F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    shift = sizes.select("part", F.coalesce(before, F.lit(0)).alias("shift"))
+    return order.withColumn("part", part).join(F.broadcast(shift), "part").select(
+        "cls", "root", F.floor((F.col("shift") + place) / BLOCK).alias("block"))
+
+
+def _spanning(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray) -> list[int]:
+    """Of links between components, places of enough to connect the same ones."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    kept = []
+    for i, (x, y) in enumerate(zip(ra.tolist(), rb.tolist(), strict=True)):
+        x, y = top(x), top(y)
+        if x != y:
+            up[x] = y
+            kept.append(i)
+    return kept
+
+
+def _between(group: pd.DataFrame) -> pd.DataFrame:
+    """Links between different components of two blocks (or within one), as many as connect what they connect."""
+    left = group[group["side"] == 0]
+    right = group[group["side"] == 1] if (group["side"] == 1).any() else left
+    codes = {r: i for i, r in enumerate(dict.fromkeys(group["root"]))}
+    roots = [np.array([codes[r] for r in x["root"]]) for x in (left, right)]
+    feats = [[np.frombuffer(f, np.uint64) for f in x["feats"]] for x in (left, right)]
+    size = [np.array([len(f) for f in x]) for x in feats]
+    flat = [np.concatenate(x) for x in feats]
+    owner = [np.repeat(np.arange(len(n)), n) for n in size]
+    order = [np.argsort(x, kind="stable") for x in flat]
+    flat, owner = [x[o] for x, o in zip(flat, order, strict=True)], [x[o] for x, o in zip(owner, order, strict=True)]
+    low, high = np.searchsorted(flat[1], flat[0], "left"), np.searchsorted(flat[1], flat[0], "right")
+    times, width = high - low, len(size[1])
+    both = np.zeros(len(size[0]) * width, np.int64)
+    ends = np.cumsum(times)
+    at = 0
+    while at < len(times):  # features of the left side, each with every owner on the right, half a million pairs at a time
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 500_000)))
+        n = times[at:to]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        pair = np.repeat(owner[0][at:to], n) * width + owner[1][np.repeat(low[at:to], n) + inner]
+        both += np.bincount(pair, minlength=len(both))
+        at = to
+    both = both.reshape(-1, width)
+    union = size[0][:, None] + size[1][None] - both
+    i, j = np.nonzero((100 * both >= SIMILARITY * union) & (roots[0][:, None] != roots[1][None]))
+    kept = _spanning(i, j, roots[0][i], roots[1][j])
+    return pd.DataFrame({"a": left["cls"].to_numpy()[i[kept]], "b": right["cls"].to_numpy()[j[kept]]})
+
+
 def linked_classes(docs: DataFrame, facts: DataFrame) -> DataFrame:
     """a, b: links between classes of equal sets that give the same components as all links do."""
     classes = facts.filter("cls is not null and doc_id is not null").dropDuplicates(["cls"])
     met = _candidates(docs, classes)
     sets = _sets_of(docs, facts, met.select("cls").distinct())
 
-    def stars(rows: DataFrame, of: str, pick) -> DataFrame:
-        centre = rows.groupBy("sig").agg(pick("cls").alias("b"))
-        pairs = rows.join(centre, "sig").filter("cls <> b").groupBy(F.col("cls").alias("a"), "b").agg(F.count(F.lit(1)).alias("w"))
-        best = pairs.groupBy("a").agg(F.max(F.struct("w", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-        return _verify(best, sets, of)
+    centre = met.groupBy("sig").agg(F.min("cls").alias("b"))
+    pairs = met.join(centre, "sig").filter("cls <> b").groupBy(F.col("cls").alias("a"), "b").agg(F.count(F.lit(1)).alias("w"))
+    best = pairs.groupBy("a").agg(F.max(F.struct("w", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    stars = _verify(best, sets, "stars").filter("linked").select("a", "b")
 
-    tested = stars(met, "star-low", F.min)
-    rows = keep(_with_roots(met, tested.filter("linked")), "rooted")
+    rows = keep(_with_roots(met, stars), "rooted")
     split = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig")
     rows = keep(rows.join(split, "sig"), "open")
-    tested = keep(tested.unionByName(stars(rows.select("cls", "sig"), "star-high", F.max)), "tested")
-
-    rows = _with_roots(rows.select("cls", "sig"), tested.filter("linked"))
-    rows = keep(rows, "rooted")
-    split = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig")
-    rows = keep(rows.join(split, "sig").join(sets.select("cls", "n"), "cls"), "open")
-    other = rows.select("sig", F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    pairs = rows.join(other, "sig").filter("cls < b and root <> rb and 4 * least(n, nb) >= 3 * greatest(n, nb)")
-    pairs = pairs.select(F.col("cls").alias("a"), "b").distinct()
-    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    late = _verify(pairs.join(known, ["a", "b"], "left_anti"), sets, "late")
-    return tested.unionByName(late).filter("linked").select("a", "b")
+    sizes = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
+    rows = keep(rows.join(sizes, "sig"), "sized")
+
+    few = rows.filter(F.col("m") <= SHORT_LIST).select("sig", "cls", "root")
+    other = few.select("sig", F.col("cls").alias("b"), F.col("root").alias("rb"))
+    pairs = few.join(other, "sig").filter("cls < b and root <> rb").select(F.col("cls").alias("a"), "b").distinct()
+    near = _verify(pairs, sets, "near").filter("linked").select("a", "b")
+
+    rows = rows.filter(F.col("m") > SHORT_LIST).select("sig", "cls", "root")
+    placed = keep(_blocks(rows), "blocks")
+    held = rows.select("cls", "sig").join(placed.select("cls", "block"), "cls").select("sig", "block").distinct()
+    left, right = held.select("sig", F.col("block").alias("i")), held.select("sig", F.col("block").alias("j"))
+    tasks = keep(left.join(right, "sig").filter("i <= j").select("i", "j").distinct(), "tasks")
+    members = keep(placed.join(sets.select("cls", "feats"), "cls"), "members")
+    columns = ["i", "j", "side", "cls", "root", "feats"]
+    first = tasks.join(members.withColumnRenamed("block", "i"), "i").withColumn("side", F.lit(0)).select(columns)
+    second = tasks.filter("i < j").join(members.withColumnRenamed("block", "j"), "j").withColumn("side", F.lit(1)).select(columns)
+    late = first.unionByName(second).groupBy("i", "j").applyInPandas(_between, "a binary, b binary")
+    return stars.unionByName(near).unionByName(keep(late, "late"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 WIDTH = 5
 #: Bytes of text hashed at once; one longer text is hashed alone.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
@@ -37,7 +37,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers["up"]) < n:
         for name, base in (("up", _P), ("down", pow(_P, -1, 1 << 64))):
-            row = np.full(max(n, 2 * CHUNK_BYTES), base, np.uint64)
+            row = np.full(max(n, CHUNK_BYTES + (1 << 16)), base, np.uint64)
             row[0] = 1
             _powers[name] = np.multiply.accumulate(row)
     return _powers["up"], _powers["down"]
