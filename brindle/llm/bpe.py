@@ -23,10 +23,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.common import batch_rows
 from brindle.llm.shingles import in_chunks
 
 #: Words whose encoding a task remembers at most; beyond it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 250_000
 #: Longer fragments are merged with a heap instead of together with others.
 TOGETHER = 96
 
@@ -248,7 +249,7 @@ def _round_trip(path: str):
 def encode_digest(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: one row per input row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_round_trip(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return batch_rows(rows).mapInArrow(_round_trip(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_ids(docs: DataFrame, path: str) -> DataFrame:

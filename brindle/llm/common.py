@@ -33,6 +33,13 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def batch_rows(rows: DataFrame, most: int = 1000) -> DataFrame:
+    """``rows``, to be sent to Python at most ``most`` at a time: whole texts are long, and a task holds a batch of them
+    on both sides."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(most))
+    return rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.common import batch_rows
 from brindle.llm.html_nodes import MadeUpPages, features, golden, parse
 
 #: Made-up pages from which the trees are fitted.
@@ -141,7 +142,7 @@ def _extract(trees: BoostedTrees, group: int = 200):
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: one row per input row."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    return rows.mapInArrow(_extract(learned()), "page_id long, url string, text string, n_chars long")
+    return batch_rows(rows).mapInArrow(_extract(learned()), "page_id long, url string, text string, n_chars long")
 
 
 __all__ = ["BoostedTrees", "decode", "extract_text", "learned"]

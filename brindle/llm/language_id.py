@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import fold
+from brindle.llm.common import batch_rows, fold
 from brindle.llm.shingles import in_chunks
 
 #: Texts from which the classifiers are fitted (expected; twice as many at most).
@@ -122,7 +122,7 @@ class LanguageCodes:
         drawn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
         part = known.select("lang", "text", drawn.alias("u")).filter(F.col("u") < share[F.col("lang")])
         part = part.orderBy("u", "lang", F.xxhash64("text")).limit(2 * rows).select("lang", "text")
-        got = part.mapInArrow(_sample, "lang string, at array<int>, share array<float>").toArrow()
+        got = batch_rows(part).mapInArrow(_sample, "lang string, at array<int>, share array<float>").toArrow()
         x = np.zeros((got.num_rows, BUCKETS), np.float32)
         for i, (at, value) in enumerate(zip(got["at"], got["share"], strict=True)):
             x[i, at.values.to_numpy()] = value.values.to_numpy()
@@ -168,7 +168,7 @@ def predict_languages(docs: DataFrame, model: LanguageCodes | None = None) -> Da
     """doc_id, lang_pred, score, ambiguous: one row per input row; fits on ``docs`` unless given a model."""
     model = model or LanguageCodes.fit(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_predict(model), "doc_id long, lang_pred string, score double, ambiguous boolean")
+    return batch_rows(rows).mapInArrow(_predict(model), "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
 def with_known_language(docs: DataFrame, model: LanguageCodes | None = None) -> DataFrame:
@@ -182,7 +182,7 @@ def with_known_language(docs: DataFrame, model: LanguageCodes | None = None) ->
             ok = [x[0] != UNKNOWN for _, texts in in_chunks(column, 1 << 18) for x in model.predict(texts)]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return batch_rows(docs).mapInArrow(run, schema)
 
 
 __all__ = ["LanguageCodes", "codewords", "predict_languages", "with_known_language"]

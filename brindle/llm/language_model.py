@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import fold, keep
+from brindle.llm.common import batch_rows, fold, keep
 from brindle.llm.shingles import in_chunks, words
 
 VOCABULARY, CLASSES, STATE = 1023, 31, 16
@@ -334,6 +334,7 @@ def _score(model: GatedModel):
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per input row."""
+    docs = batch_rows(docs, 10_000)  # documents run side by side: the more, the better
     learn = F.coalesce(fold(F.col("doc_id"), FOLDS) != HELD_OUT, F.lit(False))
     training = docs.filter(learn).select("doc_id", "text")
     counts = word_counts(training)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brindle.llm.bpe import ForcedBoundaryBPE
-from brindle.llm.common import keep
+from brindle.llm.common import batch_rows, keep
 from brindle.llm.shingles import in_chunks
 
 CAPACITY = 2048
@@ -60,7 +60,7 @@ def _cut(path: str, capacity: int):
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: documents longer than ``capacity`` are cut, no others."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_cut(path, capacity), _PIECES)
+    return batch_rows(rows).mapInArrow(_cut(path, capacity), _PIECES)
 
 
 def sweeps(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, ...]], int]:

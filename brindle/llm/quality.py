@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import fold
+from brindle.llm.common import batch_rows, fold
 from brindle.llm.shingles import in_chunks
 
 #: Texts from which the network is fitted (expected; twice as many at most).
@@ -187,7 +187,7 @@ def _scores(net: ByteNetwork | None):
 def score_quality(docs: DataFrame, net: ByteNetwork | None) -> DataFrame:
     """doc_id, score: one row per input row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_scores(net), "doc_id long, score double")
+    return batch_rows(rows).mapInArrow(_scores(net), "doc_id long, score double")
 
 
 __all__ = ["ByteNetwork", "GOOD", "fit_quality", "score_quality"]
