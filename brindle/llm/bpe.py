@@ -28,6 +28,8 @@ from brindle.llm.shingles import in_chunks
 
 #: Words whose encoding a task remembers at most; beyond it starts anew.
 REMEMBERED = 250_000
+#: Bytes of text whose new words are encoded together.
+CHUNK_BYTES = 1 << 22
 #: Longer fragments are merged with a heap instead of together with others.
 TOGETHER = 96
 
@@ -231,7 +233,7 @@ def _round_trip(path: str):
         written = _Written(coder)
         for batch in batches:
             counts, ids, texts = [], [], []
-            for _, part in in_chunks(batch.column(1)):
+            for _, part in in_chunks(batch.column(1), CHUNK_BYTES):
                 cut = coder.cut_up([t.decode() for t in part])
                 written.of(cut)
                 for c in cut:
@@ -257,7 +259,7 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = ForcedBoundaryBPE.at(path)
         for batch in batches:
-            ids = [np.frombuffer(x, "<u4").astype(np.int64) for _, part in in_chunks(batch.column(1)) for x in coder.encode([t.decode() for t in part])]
+            ids = [np.frombuffer(x, "<u4").astype(np.int64) for _, part in in_chunks(batch.column(1), CHUNK_BYTES) for x in coder.encode([t.decode() for t in part])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<long>")

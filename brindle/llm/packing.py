@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brindle.llm.bpe import ForcedBoundaryBPE
+from brindle.llm.bpe import CHUNK_BYTES, ForcedBoundaryBPE
 from brindle.llm.common import batch_rows, keep
 from brindle.llm.shingles import in_chunks
 
@@ -43,7 +43,7 @@ def _cut(path: str, capacity: int):
         coder = ForcedBoundaryBPE.at(path)
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
-            for at, texts in in_chunks(batch.column(1)):
+            for at, texts in in_chunks(batch.column(1), CHUNK_BYTES):
                 for doc, raw in zip(ids[at : at + len(texts)], coder.encode([t.decode() for t in texts]), strict=True):
                     raw += END
                     for piece, a in enumerate(range(0, len(raw), 4 * capacity)):
