@@ -8,7 +8,9 @@ most ``d`` second-level partitions, so with J >= 3/4 (``d`` at most a third of e
 Signatures are counted over the whole corpus, and each set looks only at its ``k + 1`` rarest ones: of its ``n``
 signatures at most ``k`` differ from those of a partner, so the first common one in that order is among them. A set
 with more than ``k`` signatures of its own has no partner at all; passages that thousands of documents share cost
-nothing that way, and no signature list is capped.
+nothing that way, and no signature list is capped. A subset without features is a signature too, but only sets with at
+most ``k`` filled partitions send those. The partners of such a set may send their filled ones alone, so beside its
+``k + 1`` rarest it looks at all its filled ones: one of these is among the rarest ones of any such partner.
 
 What is left are candidates. Equal sets are one class from the start. Each class is first checked against one centre
 (the class with which it shares most signatures), linked classes are merged, and only lists that still hold different
@@ -74,8 +76,11 @@ def most_different(n: int) -> int:
     return n // 3
 
 
-def signatures(features: np.ndarray, level: int) -> np.ndarray:
-    """Signatures of a sorted set at a level; those of subsets without features only where the others may not do."""
+def signatures(features: np.ndarray, level: int) -> tuple[np.ndarray, int]:
+    """Signatures of a sorted set at a level and how many of them, the first ones, are of subsets with features.
+
+    Those of subsets without features are added only where the others may not do.
+    """
     count = _ones(level)
     part = ((features >> _U(32)) * _U(count)) >> _U(32)
     heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
@@ -85,7 +90,7 @@ def signatures(features: np.ndarray, level: int) -> np.ndarray:
     if len(filled) <= most_different(len(features)):
         missing = np.setdiff1d(np.arange(count, dtype=_U), filled)
         where, what = np.concatenate([where, missing]), np.concatenate([what, np.zeros(len(missing), _U)])
-    return mix(what ^ mix(where + _U((level + 1) << 40)))
+    return mix(what ^ mix(where + _U((level + 1) << 40))), len(filled)
 
 
 def _digest(features: np.ndarray) -> tuple[int, int]:
@@ -95,32 +100,38 @@ def _digest(features: np.ndarray) -> tuple[int, int]:
     return int(both[0].astype(np.int64)), int(both[1].astype(np.int64))
 
 
-_FACTS = "doc_id long, n long, d1 long, d2 long, own int, own_n long, low int, low_n long"
+_FACTS = "doc_id long, n long, d1 long, d2 long, own int, own_n long, own_f long, low int, low_n long, low_f long"
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size and digest of each document's set and the number of its signatures at its levels."""
+    """Size and digest of each document's set and the number of its signatures at its levels, all and filled ones."""
     for batch in batches:
         rows = []
         with np.errstate(over="ignore"):
             for _, texts in in_chunks(batch.column(1)):
                 for s in shingle_sets(texts):
                     if not len(s):
-                        rows.append((0, 0, 0, -1, 0, -1, 0))
+                        rows.append((0, 0, 0, -1, 0, 0, -1, 0, 0))
                         continue
-                    per = [(level, len(signatures(s, level))) for level in levels_of(len(s))]
-                    per = per if len(per) == 2 else [*per, (-1, 0)]
+                    made = [(level, *signatures(s, level)) for level in levels_of(len(s))]
+                    per = [*((level, len(sig), filled) for level, sig, filled in made), (-1, 0, 0)]
                     rows.append((len(s), *_digest(s), *per[0], *per[1]))
         names = [x.split()[0] for x in _FACTS.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
-        columns = list(zip(*rows, strict=True)) or [()] * 7
+        kinds = [*[pa.int64()] * 3, *[pa.int32(), pa.int64(), pa.int64()] * 2]
+        columns = list(zip(*rows, strict=True)) or [()] * 9
         arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=names)
 
 
+#: Levels are less than this.
+_EMPTY = 128
+
+
 def _emit(buckets: int):
     """Signatures of a run of documents, dealt to buckets by their high bits: a row for each run and bucket.
 
+    Levels have ``_EMPTY`` added where the signature is of a subset without features.
+
     A run whose texts repeat sends each of its distinct sets once.
     """
 
@@ -134,8 +145,10 @@ def _emit(buckets: int):
                             continue
                         seen[sid] = len(seen)
                         for level in levels_of(len(s)):
-                            sigs.append(signatures(s, level))
-                            owner.append(np.full(len(sigs[-1]), seen[sid] << 8 | level, np.uint32))
+                            sig, filled = signatures(s, level)
+                            sigs.append(sig)
+                            owner.append(np.full(len(sig), seen[sid] << 8 | level, np.uint32))
+                            owner[-1][filled:] |= np.uint32(_EMPTY)
                     if not sigs:
                         continue
                     sig, who = np.concatenate(sigs), np.concatenate(owner)
@@ -157,7 +170,7 @@ def _emit(buckets: int):
     return emit
 
 
-_POSTED = "sid long, level int, sig long, c long"
+_POSTED = "sid long, level int, sig long, filled boolean, c long"
 
 
 def _shared(group: pd.DataFrame) -> pd.DataFrame:
@@ -171,7 +184,8 @@ def _shared(group: pd.DataFrame) -> pd.DataFrame:
     sig, sid, level = sig[order], sid[order], level[order]
     same = sig[1:] == sig[:-1]
     some = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    found = pd.DataFrame({"sid": sid[some], "level": level[some].astype(np.int32), "sig": sig[some].astype(np.int64)})
+    found = pd.DataFrame({
+        "sid": sid[some], "level": (level[some] % _EMPTY).astype(np.int32), "sig": sig[some].astype(np.int64), "filled": level[some] < _EMPTY})
     found = found.drop_duplicates()
     found["c"] = found.groupby("sig")["sid"].transform("size").astype(np.int64)
     return found[found["c"] > 1]
@@ -229,14 +243,14 @@ def _candidates(docs: DataFrame, classes: DataFrame) -> DataFrame:
     sent = docs.select("text").mapInArrow(_emit(buckets), "bucket int, sig binary, place binary, level binary, ids binary")
     posted = keep(sent.groupBy("bucket").applyInPandas(_shared, _POSTED), "posted")
     per = classes.select("cls", F.col("d1").alias("sid"), "n", F.explode(F.array(
-        F.struct(F.col("own").alias("level"), F.col("own_n").alias("m")),
-        F.struct(F.col("low").alias("level"), F.col("low_n").alias("m")))).alias("l")).select("cls", "sid", "n", "l.*")
+        F.struct(F.col("own").alias("level"), F.col("own_n").alias("m"), F.col("own_f").alias("f")),
+        F.struct(F.col("low").alias("level"), F.col("low_n").alias("m"), F.col("low_f").alias("f")))).alias("l")).select("cls", "sid", "n", "l.*")
     shared = posted.groupBy("sid", "level").agg(F.count(F.lit(1)).alias("s"))
     quota = F.floor(F.col("n") / 3) + 1 - (F.col("m") - F.col("s"))
-    alive = per.filter("level >= 0").join(shared, ["sid", "level"]).withColumn("q", quota).filter("q > 0")
+    alive = per.filter("level >= 0").join(shared, ["sid", "level"]).withColumn("q", quota).filter("q > 0 or m > f")
     rank = F.row_number().over(Window.partitionBy("cls", "level").orderBy("c", "sig"))
-    first = posted.join(alive.select("cls", "sid", "level", "q"), ["sid", "level"]).withColumn("r", rank)
-    first = keep(first.filter("r <= q").select("cls", "sig"), "prefixes")
+    first = posted.join(alive.select("cls", "sid", "level", "q", F.expr("m > f").alias("open")), ["sid", "level"]).withColumn("r", rank)
+    first = keep(first.filter("r <= q or (open and filled)").select("cls", "sig"), "prefixes")
     wanted = first.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("sig")
     return keep(first.join(wanted, "sig"), "candidates")
 

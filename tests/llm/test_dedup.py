@@ -92,6 +92,33 @@ def test_jaccard_join_of_chains_and_crowds(spark, monkeypatch):
     assert collections.Counter(map(tuple, got)) == brute(texts)
 
 
+def shingles(text):
+    return next(jaccard_join.shingle_sets([text.encode()]))
+
+
+def filled(text, level):
+    with np.errstate(over="ignore"):
+        return len(np.unique(((shingles(text) >> np.uint64(32)) * np.uint64(2 * jaccard_join.first_partitions(level))) >> np.uint64(32)))
+
+
+def test_jaccard_join_of_sets_in_few_partitions(spark):
+    # Alone in the table: three shingles in one partition, and the same and one in another.
+    pairs = ((t, f"{t} more{i}") for i in range(9999) for t in [" ".join(f"s{i}x{j}" for j in range(7))])
+    one, two = next((a, b) for a, b in pairs if filled(a, 0) == 1 and filled(b, 0) == 2)
+    got = jaccard_join.jaccard_components(table(spark, [(1, one), (2, two)])).collect()
+    assert collections.Counter(map(tuple, got)) == {(1, 3, 1): 1, (2, 4, 1): 1}
+
+
+def test_jaccard_join_of_short_texts(spark):
+    texts = []
+    for small, large in ((3, 4), (4, 5), (6, 8)):
+        for i in range(250):
+            w = [f"p{small}i{i}x{j}" for j in range(large + 4)]
+            texts += [(len(texts), " ".join(w[: small + 4])), (len(texts) + 1, " ".join(w))]
+    got = jaccard_join.jaccard_components(table(spark, texts)).collect()
+    assert collections.Counter(map(tuple, got)) == brute(texts)
+
+
 def test_near_copies_go_and_rows_stay_whole(spark):
     kept = jaccard_join.drop_near_copies(table(spark))
     assert kept.columns == table(spark).columns
