@@ -385,9 +385,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the smallest doc_id."""
+    """The rows of ``docs`` that stay: of each component the document with the smallest doc_id, and all without a doc_id,
+    which link nothing."""
     stay = jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi")
+    return docs.join(stay, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
 
 
 __all__ = ["SIMILARITY", "document_sets", "drop_near_copies", "jaccard_components", "linked_classes", "signatures"]

@@ -126,6 +126,12 @@ def test_near_copies_go_and_rows_stay_whole(spark):
     assert 1 in ids and not {2, 3, 4, 13} & ids and {6, 7, 12, 14} <= ids
 
 
+def test_rows_without_an_id_are_no_near_copies(spark):
+    texts = [(1, "a b c d e f g"), (2, "a b c d e f g h"), (None, "a b c d e f g"), (None, "quite another text"), (None, None)]
+    kept = jaccard_join.drop_near_copies(table(spark, texts)).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in kept) == collections.Counter([texts[0], *texts[2:]])
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(500, 500), (None, 3), (900, 901), (901, 900)], "x long, y long")
     got = {r.node: r.root for r in components(links, "x", "y").collect()}
