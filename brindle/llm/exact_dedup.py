@@ -108,10 +108,22 @@ def exact_dedup(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
 
 
 def dedup_rows(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns of ``docs``."""
-    kept = exact_dedup(docs).filter("kept").select("doc_id").distinct()
-    same = docs["doc_id"].eqNullSafe(kept["doc_id"])
-    return docs.join(kept, same, "left_semi")
+    """The rows of ``docs`` that stay, with the columns of ``docs``: one row of each text.
+
+    An id of one row decides by itself; rows that repeat an id or have none are told apart by their text.
+    """
+    decided = keep(exact_dedup(docs).select("doc_id", "kept", F.unhex("text_sha256").alias("_sha")), "decided")
+    per_id = decided.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
+    per_id = keep(per_id.filter("n > 1 or kept"), "ids")
+    stay = docs.join(per_id.filter("n = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    again = decided.filter("kept").join(per_id.filter("n > 1"), "doc_id", "left_semi")
+    again = keep(again.unionByName(decided.filter("kept and doc_id is null")).select("doc_id", "_sha").distinct(), "repeated")
+    if again.isEmpty():
+        return stay
+    text = lower_ascii(F.coalesce(F.col("text"), F.lit(""))).cast("binary")
+    rows = docs.withColumn("_sha", F.unhex(F.sha2(text, 256)))
+    same = rows["doc_id"].eqNullSafe(again["doc_id"]) & (rows["_sha"] == again["_sha"])
+    return stay.unionByName(rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha"))
 
 
 __all__ = ["BLOCK_BYTES", "block_identity", "dedup_rows", "exact_dedup"]

@@ -41,6 +41,15 @@ def test_rows_that_stay_keep_their_columns(spark):
     assert len({(r.text or "").translate(UP) for r in kept.collect()}) == len({(t or "").translate(UP) for _, t in TEXTS})
 
 
+def test_one_row_of_each_text_stays(spark):
+    texts = [(1, "a"), (1, "A"), (1, "b"), (2, "b"), (3, "c"), (3, "d"), (None, "a"), (None, "e"), (None, "e"), (None, None), (4, "")]
+    kept = exact_dedup.dedup_rows(table(spark, texts))
+    assert kept.columns == table(spark).columns
+    want = [(1, "a"), (2, "b"), (3, "c"), (3, "d"), (4, ""), (None, "e")]
+    assert collections.Counter((r.doc_id, (r.text or "").translate(UP)) for r in kept.collect()) == collections.Counter(want)
+    assert exact_dedup.dedup_rows(table(spark)).count() == len({(t or "").translate(UP) for _, t in TEXTS})
+
+
 def words(t):
     return re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(UP))
 
