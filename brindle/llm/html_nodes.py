@@ -13,6 +13,9 @@ UNSEEN = frozenset("script style noscript template head title svg iframe object
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: An open element of the key ends before a start tag of these.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}}
+ENDS["option"] = CLOSES_P | {"option", "optgroup"}
+#: What can stand in a head; other start tags and text end an open one.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 SCOPE = frozenset("ul ol dl table td th div section article main body".split())
 
 GOOD_TOKENS = frozenset("article content main post body entry story text page blog news prose".split())
@@ -32,9 +35,14 @@ _LANDMARKS = ["nav", "header", "footer", "aside", "form", "article", "main"]
 _SPACE = re.compile(r"\s+")
 _TOKEN = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_BUTTON = re.compile(r"<(/?)button(?=[\s/>])", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+#: Stands for the tag of a button that has no end tag; a block or another button ends it.
+_LOOSE = "button without end"
+
+
 class _Node:
     __slots__ = ("tag", "parent", "kids", "tokens", "text", "linked", "links", "mark", "unseen")
 
@@ -45,11 +53,23 @@ class _Node:
             parent.kids.append(self)
 
 
+def _unclosed_buttons(html: str) -> set[tuple[int, int]]:
+    """Line and offset of the buttons after which another one, or none, comes ahead of an end tag."""
+    found = list(_BUTTON.finditer(html))
+    loose = [m.start() for m, after in zip(found, [*found, None][1:], strict=True) if not m[1] and (after is None or not after[1])]
+    out, line, at = set(), 1, 0
+    for start in loose:
+        line, at = line + html.count("\n", at, start), start
+        out.add((line, start - html.rfind("\n", 0, start) - 1))
+    return out
+
+
 class _Tree(HTMLParser):
     """Block elements and, as their leaves, the runs of text between block boundaries."""
 
-    def __init__(self):
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
+        self.unclosed = _unclosed_buttons(html)
         self.root = _Node("html", None)
         self.open: list[tuple[str, _Node]] = [("html", self.root)]
         self.run: list[str] = []
@@ -67,7 +87,23 @@ class _Tree(HTMLParser):
         self._flush()
         del self.open[at:]
 
+    def _end(self, name: str) -> None:
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i][0] == name:
+                self._pop(i)
+                return
+
+    def _end_head(self, anywhere: bool) -> None:
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i][0] == "head":
+                self._pop(i)
+                return
+            if not anywhere or self.open[i][0] == "template":
+                return
+
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self._end_head(tag == "body")
         if tag == "br":
             self.run.append(" ")
             return
@@ -84,6 +120,10 @@ class _Tree(HTMLParser):
                     break
                 if self.open[i][0] in SCOPE:
                     break
+        if tag in ("select", "input", "textarea"):
+            self._end("select")
+        if tag in CLOSES_P or tag == "button":
+            self._end(_LOOSE)
         for i in range(len(self.open) - 1, 0, -1):
             if tag in ENDS.get(self.open[i][0], ()):
                 self._pop(i)
@@ -99,7 +139,7 @@ class _Tree(HTMLParser):
         mark = names.get("data-gold")
         parent = self.open[-1][1]
         node = _Node(tag, parent, frozenset(_TOKEN.findall(_CAMEL.sub(" ", words).lower())), hidden or parent.unseen, None if mark is None else int(mark))
-        self.open.append((tag, node))
+        self.open.append((_LOOSE if tag == "button" and self.getpos() in self.unclosed else tag, node))
 
     def handle_endtag(self, tag):
         if tag == "a":
@@ -113,6 +153,8 @@ class _Tree(HTMLParser):
         self._flush()
 
     def handle_data(self, data):
+        if data.strip():
+            self._end_head(False)
         if not self.open[-1][1].unseen:
             self.run.append(data)
             if self.anchors:
@@ -121,7 +163,7 @@ class _Tree(HTMLParser):
 
 def parse(html: str) -> list[_Node]:
     """Visible block nodes and runs of text, parents first, in page order."""
-    tree = _Tree()
+    tree = _Tree(html)
     tree.feed(html)
     tree.close()
     tree._flush()

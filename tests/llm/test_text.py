@@ -231,6 +231,24 @@ def test_html(spark):
     assert all(r.n_chars == len(r.text) for r in got) and html_extract.extract_text(pages.limit(0)).collect() == []
 
 
+def test_html_with_optional_tags_left_out(spark):
+    def seen(html):
+        return [(x.tag, x.text) for x in html_nodes.parse(html)]
+
+    body = PAGE[len("<html>") :]
+    whole = seen(f"<html><head><title>t</title><meta x></head>{body}")
+    assert seen(f"<html><head><title>t</title><meta x>{body}") == whole and ("h1", "") in whole
+    assert seen(f"<html><head><title>t</title><noscript><link x>{body}") == whole
+    for first in ("<article><p>One.", "One.", "<b>One.</b>"):
+        assert [t for _, t in seen(f"<head><title>t</title>\n{first}<p>Two.") if t] == ["One.", "Two."]
+    for ahead in ("<button>Go", "<button>Go<button>On", "<datalist><option>a<option>b</datalist>", "<option>a<option>b", "<button><div>Go</div></button>\n<button>On"):
+        assert [t for _, t in seen(f"<div>\n{ahead}<p>One.</p><p>Two.</p></div>") if t] == ["One.", "Two."]
+    assert [t for _, t in seen("<select><option>a<option>b<input><p>One.") if t] == ["One."]
+    pages = spark.createDataFrame([(1, "u", f"<html><head><title>t</title>{body}", 0), (2, "u", f"<html><head><title>t</title></head>{body}", 0)], "page_id long, url string, html string, n_chars int")
+    one, two = html_extract.extract_text(pages).collect()
+    assert one.text == two.text and one.text.startswith("Title of it")
+
+
 def test_html_on_held_out_layouts():
     trees, made, right, leaves = html_extract.learned(), html_nodes.MadeUpPages(4711), 0, 0
     for _ in range(60):
