@@ -19,6 +19,25 @@ from brindle.operators.order import first_wins
 
 _PART = r"(?:\"[^\"\r\n]*\"|'[^'\r\n]*'|`[^`\r\n]*`|[A-Za-z_$][A-Za-z0-9_$.]*)"
 _CHAIN = _PART + r"(?:\s*\+\s*" + _PART + r")*"
+#: Quoted texts and comments, whose braces and commas don't count. Loops are possessive: no backtracking, no deep stack.
+_QUOTED = r"(?:\"(?:[^\"\\\r\n]++|\\[\s\S])*+\"|'(?:[^'\\\r\n]++|\\[\s\S])*+'|`(?:[^`\\]++|\\[\s\S])*+`)"
+_COMMENT = r"(?://[^\r\n]*+|/\*[\s\S]*?\*/)"
+#: Braces inside an object's own that are followed.
+DEPTH = 12
+
+
+def _inside(depth: int) -> str:
+    """What stands in braces; in it up to ``depth`` more levels of them."""
+    body = ""
+    for n in range(depth + 1):
+        nested = r"|\{" + body + r"\}" if n else ""
+        body = r"(?:[^{}\"'`/]++|" + _QUOTED + "|" + _COMMENT + r"|[\"'`/]" + nested + ")*+"
+    return body
+
+
+#: An object's settings, up to its closing brace, without moving past them: calls inside are matched too.
+_SETTINGS = "(?=(" + _inside(DEPTH) + "))"
+_NESTED = "(" + _QUOTED + ")|" + _COMMENT + r"|\{" + _inside(DEPTH - 1) + r"\}"
 VERBS = "get|post|put|patch|delete|head|options"
 CONSTANT = WORD_START + r"(?:const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*=\s*(" + _CHAIN + r")\s*(?:;|,|\r?\n|\z)"
 #: A client's alias: made by create(), or another name of a client.
@@ -58,6 +77,12 @@ def with_constants(scripts: DataFrame, text: str = "content") -> DataFrame:
     return scripts.withColumn("names", F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, again, lambda acc: acc["names"]))
 
 
+def _setting(settings: Column, names: str, value: str) -> Column:
+    """The first value of that form of an object's own settings of these names; null if there is none."""
+    own = F.regexp_replace(settings, _NESTED, "$1")
+    return F.nullif(F.regexp_extract(own, r"(?:\A|,)\s*[\"']?(?:" + names + r")[\"']?\s*:\s*" + value, 1), F.lit(""))
+
+
 def _calls(rows: DataFrame, source: Column, pattern: str, n: int, **groups: int) -> DataFrame:
     found = rows.withColumn("_m", matches(F.col("_t"), pattern, **groups)).select("*", F.posexplode("_m").alias("pos", "m"))
     return found.withColumn("ord", F.lit(n) * 1_000_000 + F.col("m.at")).withColumn("source", source)
@@ -68,21 +93,21 @@ def client_calls(scripts: DataFrame, text: str = "content") -> DataFrame:
     rows = with_constants(scripts.withColumn("_t", F.coalesce(F.col(text), F.lit(""))), "_t")
     rows = rows.withColumn("_alias", F.regexp_extract_all("_t", F.lit(ALIAS), F.lit(1))).withColumn("_xhr", F.regexp_extract_all("_t", F.lit(XHR), F.lit(1)))
     rows = rows.select("script_id", "_t", "names", "_alias", "_xhr")
-    url, tail = "(" + _CHAIN + ")", r"([^;\r\n]{0,400})"
-    literal_method = F.nullif(F.regexp_extract("m.tail", r"^\s*,\s*\{[^}]*?(?:method)\s*:\s*[\"'`]([A-Za-z]+)[\"'`]", 1), F.lit(""))
-    config_method = F.nullif(F.regexp_extract("m.config", r"(?i)(?:method|type)\s*:\s*[\"'`]([A-Za-z]+)[\"'`]", 1), F.lit(""))
-    config_url = F.regexp_extract("m.config", r"(?:\A|[,\s{])url\s*:\s*(" + _CHAIN + ")", 1)
+    url, word = "(" + _CHAIN + ")", r"[\"'`]([A-Za-z]+)[\"'`]"
+    literal_method = _setting(F.col("m.config"), "method", word)
+    config_method = _setting(F.col("m.config"), "(?i:method|type)", word)
+    config_url = F.coalesce(_setting(F.col("m.config"), "url", url), F.lit(""))
     parts = [
-        _calls(rows, F.lit("fetch"), WORD_START + r"(?<![.])fetch\s*\(\s*" + url + tail, 0, chain=1, tail=2).select(
+        _calls(rows, F.lit("fetch"), WORD_START + r"(?<![.])fetch\s*\(\s*" + url + r"(?=(?:\s*,\s*\{" + _SETTINGS + ")?)", 0, chain=1, config=2).select(
             "script_id", "ord", "source", "names", F.col("m.chain").alias("chain"), F.coalesce(literal_method, F.lit("GET")).alias("method")),
-        _calls(rows, F.lit("jquery.ajax"), r"(?<![A-Za-z0-9_$.])(?:\$|jQuery)\.ajax\s*\(\s*\{([^{}]*)", 1, config=1).select(
+        _calls(rows, F.lit("jquery.ajax"), r"(?<![A-Za-z0-9_$.])(?:\$|jQuery)\.ajax\s*\(\s*\{" + _SETTINGS, 1, config=1).select(
             "script_id", "ord", "source", "names", config_url.alias("chain"), F.coalesce(config_method, F.lit("GET")).alias("method")),
         _calls(rows, F.lit("jquery"), r"(?<![A-Za-z0-9_$.])(?:\$|jQuery)\.(get|post)\s*\(\s*" + url, 2, verb=1, chain=2).select(
             "script_id", "ord", "source", "names", F.col("m.chain").alias("chain"), F.col("m.verb").alias("method")),
         _calls(rows, F.concat(F.col("m.client"), F.lit("."), F.col("m.verb")), WORD_START + r"(?<![.$])([A-Za-z_][A-Za-z0-9_$]*)\.(" + VERBS + r")\s*\(\s*" + url, 3, client=1, verb=2, chain=3).filter(
             (F.col("m.client") == "axios") | F.array_contains("_alias", F.col("m.client"))).select(
             "script_id", "ord", "source", "names", F.col("m.chain").alias("chain"), F.col("m.verb").alias("method")),
-        _calls(rows, F.concat(F.col("m.client"), F.lit(".request")), WORD_START + r"(?<![.$])([A-Za-z_][A-Za-z0-9_$]*)(?:\.request)?\s*\(\s*\{([^{}]*)", 4, client=1, config=2).filter(
+        _calls(rows, F.concat(F.col("m.client"), F.lit(".request")), WORD_START + r"(?<![.$])([A-Za-z_][A-Za-z0-9_$]*)(?:\.request)?\s*\(\s*\{" + _SETTINGS, 4, client=1, config=2).filter(
             (F.col("m.client") == "axios") | F.array_contains("_alias", F.col("m.client"))).select(
             "script_id", "ord", "source", "names", config_url.alias("chain"), config_method.alias("method")),
         _calls(rows, F.lit("xhr"), WORD_START + r"([A-Za-z_$][A-Za-z0-9_$]*)\.open\s*\(\s*[\"'`]([A-Za-z]+)[\"'`]\s*,\s*" + url, 5, client=1, verb=2, chain=3).filter(
