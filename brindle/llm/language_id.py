@@ -172,7 +172,10 @@ def predict_languages(docs: DataFrame, model: LanguageCodes | None = None) -> Da
 
 
 def with_known_language(docs: DataFrame, model: LanguageCodes | None = None) -> DataFrame:
-    """The rows of ``docs`` in which a language is recognised, with the columns of ``docs``."""
+    """The rows of ``docs`` whose text has letters, with the columns of ``docs``.
+
+    Only a text without letters is of unknown language; which one the codes choose and how surely decide nothing here.
+    """
     model = model or LanguageCodes.fit(docs)
     schema = docs.schema
 

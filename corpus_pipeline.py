@@ -18,7 +18,7 @@ from brindle.llm.registry import vocabulary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language is recognised go."""
+    """Documents without letters, for which no language can be told, go; all others stay, ambiguous ones too."""
     return with_known_language(docs)
 
 
