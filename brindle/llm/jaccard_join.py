@@ -5,6 +5,8 @@ Sets of similar size are compared at one level. A level's feature domain is cut
 a signature: the hash of the features of the set that fall in it. Two sets that differ in ``d`` features differ in at
 most ``d`` second-level partitions, so with J >= 3/4 (``d`` at most a third of either set) they share a signature.
 
+With two second-level partitions of which one is left out, the smallest setting, a subset is a single partition.
+
 Signatures are counted over the whole corpus, and each set looks only at its ``k + 1`` rarest ones: of its ``n``
 signatures at most ``k`` differ from those of a partner, so the first common one in that order is among them. A set
 with more than ``k`` signatures of its own has no partner at all; passages that thousands of documents share cost
@@ -18,9 +20,13 @@ components go on. Short lists are compared pair by pair. The classes of longer o
 that share such a list are compared in one task that returns no more links than connect what they connect; so a group
 of thousands of near copies costs a row per copy and block, never a row per pair. Every comparison is of whole sets.
 
+Signatures of a passage that a large share of the documents has would meet in one bucket. While sets are made, each task
+counts the frequent ones among its signatures (Misra and Gries); those that the sums can't rule out, a number bounded by
+the partitions alone, are dealt by set instead, and joins by a signature or a centre split the frequent keys.
+
 Defined results: a null text counts as empty; texts without words have no shingles and link with nothing. Rows that
 repeat a doc_id are rows of their own. Rows with a null doc_id get their ``n_shingles`` and a null ``component_id`` and
-link nothing. Extra columns are not looked at. An empty table gives an empty result.
+link nothing; ``drop_near_copies`` keeps them all. Of rows that repeat both id and text it keeps one. Extra columns are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,11 +36,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brindle.llm.common import batch_rows, keep, parallelism
+from brindle.llm.common import Scratch, arrow_rows, keep, parallelism, row_key, rows_with, split_join
 from brindle.llm.components import components
 from brindle.llm.shingles import in_chunks, mix, shingle_sets
 
@@ -46,6 +52,8 @@ N2, K2 = 2, 1
 BROADCAST_ROWS = 1_000_000
 #: Classes of a block whose pairs one task compares.
 BLOCK = 256
+#: A signature is frequent if more than one in this many times the number of partitions of all signatures are it.
+FREQUENT = 16
 #: Signature lists of up to this many classes are compared pair by pair, longer ones block by block.
 SHORT_LIST = 24
 
@@ -100,39 +108,79 @@ def _digest(features: np.ndarray) -> tuple[int, int]:
     return int(both[0].astype(np.int64)), int(both[1].astype(np.int64))
 
 
-_FACTS = "doc_id long, n long, d1 long, d2 long, own int, own_n long, own_f long, low int, low_n long, low_f long"
+class _Frequent:
+    """The most frequent of a stream of numbers; counts are too low by the length of the stream over ``size`` at most."""
 
+    def __init__(self, size: int):
+        self.size, self.seen = size, 0
+        self.key, self.n, self.waiting = np.empty(0, _U), np.empty(0, np.int64), []
 
-def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size and digest of each document's set and the number of its signatures at its levels, all and filled ones."""
-    for batch in batches:
-        rows = []
-        with np.errstate(over="ignore"):
-            for _, texts in in_chunks(batch.column(1)):
-                for s in shingle_sets(texts):
-                    if not len(s):
-                        rows.append((0, 0, 0, -1, 0, 0, -1, 0, 0))
-                        continue
-                    made = [(level, *signatures(s, level)) for level in levels_of(len(s))]
-                    per = [*((level, len(sig), filled) for level, sig, filled in made), (-1, 0, 0)]
-                    rows.append((len(s), *_digest(s), *per[0], *per[1]))
-        names = [x.split()[0] for x in _FACTS.split(", ")]
-        kinds = [*[pa.int64()] * 3, *[pa.int32(), pa.int64(), pa.int64()] * 2]
-        columns = list(zip(*rows, strict=True)) or [()] * 9
-        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=names)
+    def add(self, values: np.ndarray) -> None:
+        self.waiting.append(values)
+        self.seen += len(values)
+        if sum(map(len, self.waiting)) > 8 * self.size:
+            self.settle()
+
+    def settle(self) -> None:
+        key, n = np.unique(np.concatenate([np.empty(0, _U), *self.waiting]), return_counts=True)
+        self.waiting = []
+        key, at = np.unique(np.concatenate([self.key, key]), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([self.n, n]), minlength=len(key)).astype(np.int64)
+        if len(key) > self.size:
+            n -= np.partition(n, len(n) - self.size - 1)[len(n) - self.size - 1]
+        self.key, self.n = key[n > 0], n[n > 0]
+
+
+_FACTS = ("doc_id long, sha binary, n long, d1 long, d2 long, own int, own_n long, own_f long, low int, low_n long, low_f long, "
+          "frequent array<long>, times array<long>")
+
+
+def _facts(partitions: int):
+    """Size and digest of each document's set and the number of its signatures at its levels, all and filled ones.
+
+    A task's last row (``n`` is -1) has its frequent signatures.
+    """
+    names = [x.split()[0] for x in _FACTS.split(", ")]
+    kinds = [*[pa.int64()] * 3, *[pa.int32(), pa.int64(), pa.int64()] * 2, *[pa.list_(pa.int64())] * 2]
+
+    def batch_of(ids: pa.Array, sha: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([ids, sha, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted = _Frequent(max(1 << 15, 4 * FREQUENT * partitions))
+        for batch in batches:
+            rows = []
+            with np.errstate(over="ignore"):
+                for _, texts in in_chunks(batch.column(2)):
+                    for s in shingle_sets(texts):
+                        if not len(s):
+                            rows.append((0, 0, 0, -1, 0, 0, -1, 0, 0, None, None))
+                            continue
+                        made = [(level, *signatures(s, level)) for level in levels_of(len(s))]
+                        for _, sig, _ in made:
+                            counted.add(sig)
+                        per = [*((level, len(sig), filled) for level, sig, filled in made), (-1, 0, 0)]
+                        rows.append((len(s), *_digest(s), *per[0], *per[1], None, None))
+            yield batch_of(batch.column(0), batch.column(1), rows)
+        counted.settle()
+        some = counted.n >= max(2, counted.seen // (2 * FREQUENT * partitions))
+        if some.any():
+            row = (-1, 0, 0, -1, 0, 0, -1, 0, 0, counted.key[some].astype(np.int64), counted.n[some])
+            yield batch_of(pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), [row])
+
+    return run
 
 
 #: Levels are less than this.
 _EMPTY = 128
 
 
-def _emit(buckets: int):
+def _emit(buckets: int, frequent: np.ndarray):
     """Signatures of a run of documents, dealt to buckets by their high bits: a row for each run and bucket.
 
-    Levels have ``_EMPTY`` added where the signature is of a subset without features.
-
-    A run whose texts repeat sends each of its distinct sets once.
+    ``frequent`` ones (sorted) go to negative buckets by their sets instead. Levels have ``_EMPTY`` added where the
+    signature is of a subset without features. A run whose texts repeat sends each of its distinct sets once.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,13 +199,15 @@ def _emit(buckets: int):
                             owner[-1][filled:] |= np.uint32(_EMPTY)
                     if not sigs:
                         continue
-                    sig, who = np.concatenate(sigs), np.concatenate(owner)
-                    bucket = ((sig >> _U(32)) * _U(buckets)) >> _U(32)
+                    sig, who, ids = np.concatenate(sigs), np.concatenate(owner), np.fromiter(seen, np.int64, len(seen))
+                    bucket = (((sig >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int64)
+                    if len(frequent):
+                        hot = np.flatnonzero(frequent[np.minimum(np.searchsorted(frequent, sig), len(frequent) - 1)] == sig)
+                        bucket[hot] = -1 - (((ids[who[hot] >> np.uint32(8)].astype(_U) >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int64)
                     order = np.argsort(bucket, kind="stable")
                     sig, who, bucket = sig[order], who[order], bucket[order]
                     heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
                     ends = np.concatenate([heads[1:], [len(bucket)]])
-                    ids = np.fromiter(seen, np.int64, len(seen))
                     out = []
                     for a, b in zip(heads.tolist(), ends.tolist(), strict=True):
                         used, place = np.unique(who[a:b] >> np.uint32(8), return_inverse=True)
@@ -174,19 +224,25 @@ _POSTED = "sid long, level int, sig long, filled boolean, c long"
 
 
 def _shared(group: pd.DataFrame) -> pd.DataFrame:
-    """Of a bucket, the signatures that several sets have: a row for each set, with the number of sets."""
+    """Of a bucket, the signatures that several sets have: a row for each set, with the number of sets.
+
+    A bucket of frequent signatures has only some of their sets: all are returned, with 0 for the number.
+    """
     sig = np.concatenate([np.frombuffer(x, np.uint64) for x in group["sig"]])
     sid = np.concatenate([
         np.frombuffer(i, np.int64)[np.frombuffer(p, np.uint16 if len(i) < 8 * 65536 else np.uint32)]
         for p, i in zip(group["place"], group["ids"], strict=True)])
     level = np.concatenate([np.frombuffer(x, np.uint8) for x in group["level"]])
+    frequent = group["bucket"].iloc[0] < 0
     order = np.argsort(sig, kind="stable")
     sig, sid, level = sig[order], sid[order], level[order]
     same = sig[1:] == sig[:-1]
-    some = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    some = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | frequent
     found = pd.DataFrame({
         "sid": sid[some], "level": (level[some] % _EMPTY).astype(np.int32), "sig": sig[some].astype(np.int64), "filled": level[some] < _EMPTY})
     found = found.drop_duplicates()
+    if frequent:
+        return found.assign(c=0)
     found["c"] = found.groupby("sig")["sid"].transform("size").astype(np.int64)
     return found[found["c"] > 1]
 
@@ -217,31 +273,45 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit, pa.bool_())], names=["a", "b", "linked"])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """a, b, linked of pairs of classes; sizes that cannot link are settled without their sets."""
+def _verify(s: Scratch, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """a, b, linked of (kept) pairs of classes; sizes that cannot link are settled without their sets. Many may have one b."""
+    times = s.keep(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("w")), f"{name}-times")
     left = sets.select(F.col("cls").alias("a"), F.col("feats").alias("fa"), F.col("n").alias("na"))
-    right = sets.select(F.col("cls").alias("b"), F.col("feats").alias("fb"), F.col("n").alias("nb"))
-    sizes = sets.select("cls", "n")
-    able = pairs.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(
-        sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b").filter(
-        "100 * least(na, nb) >= 75 * greatest(na, nb)").select("a", "b")
-    ready = able.join(left, "a").join(right, "b").select("a", "b", "fa", "fb")
-    return keep(ready.mapInArrow(_common, "a binary, b binary, linked boolean"), name)
-
-
-def document_sets(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n (shingles), cls (128-bit digest of the set, null without shingles) and its levels."""
-    facts = batch_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_facts, _FACTS)
-    cls = F.unhex(F.concat(F.lpad(F.hex("d1"), 16, "0"), F.lpad(F.hex("d2"), 16, "0")))
-    return keep(facts.withColumn("cls", F.when(F.col("n") > 0, cls)), "facts")
+    right = times.join(sets.select(F.col("cls").alias("b"), F.col("feats").alias("fb"), F.col("n").alias("nb")), "b")
+    able = split_join(pairs.join(left.select("a", "na"), "a"), right.select("b", "nb", "w"), ["b"], "w", ["a"])
+    able = s.keep(able.filter(100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")).select("a", "b"), f"{name}-able")
+    ready = split_join(able.join(left, "a"), right.select("b", "fb", "w"), ["b"], "w", ["a"]).select("a", "b", "fa", "fb")
+    return s.keep(ready.mapInArrow(_common, "a binary, b binary, linked boolean"), name)
 
 
-def _candidates(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """cls, sig: of each class the signatures by which it can meet a partner."""
-    spark = docs.sparkSession
-    buckets = 4 * parallelism(spark)
-    sent = docs.select("text").mapInArrow(_emit(buckets), "bucket int, sig binary, place binary, level binary, ids binary")
-    posted = keep(sent.groupBy("bucket").applyInPandas(_shared, _POSTED), "posted")
+def document_sets(s: Scratch, docs: DataFrame, sha: Column | None = None) -> tuple[DataFrame, np.ndarray]:
+    """Per row: doc_id, sha (as given), n (shingles), cls (128-bit digest of the set, null without shingles) and its levels.
+
+    And the signatures that may be frequent, sorted.
+    """
+    partitions = parallelism(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lit(None).cast("binary") if sha is None else sha).alias("sha"), "text")
+    cls = F.unhex(F.concat(F.lpad(F.hex("d1"), 16, "0"), F.lpad(F.hex("d2"), 16, "0")))
+    facts = rows.mapInArrow(_facts(partitions), _FACTS).withColumn("cls", F.when(F.col("n") > 0, cls))
+    with arrow_rows(s.spark):
+        facts = s.keep(facts, "facts")
+    total = facts.agg(F.sum(F.col("own_n") + F.col("low_n"))).collect()[0][0] or 0
+    seen = facts.filter("n = -1").select(F.explode(F.arrays_zip("frequent", "times")).alias("x")).groupBy(F.col("x.frequent").alias("sig")).agg(
+        F.sum("x.times").alias("times"))
+    found = seen.filter(F.col("times") >= max(2, total // (4 * FREQUENT * partitions))).select("sig").toArrow()["sig"].to_numpy()
+    return facts.filter("n >= 0").drop("frequent", "times"), np.sort(found.astype(np.int64).view(_U))
+
+
+def _candidates(s: Scratch, docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """cls, sig, m: of each class the signatures by which it can meet a partner, and how many classes have each."""
+    buckets = 4 * parallelism(s.spark)
+    with arrow_rows(s.spark):
+        sent = docs.select("text").mapInArrow(_emit(buckets, frequent), "bucket int, sig binary, place binary, level binary, ids binary")
+        posted = s.keep(sent.groupBy("bucket").applyInPandas(_shared, _POSTED), "posted")
+    if len(frequent):
+        often = posted.filter("c = 0").drop("c")
+        times = s.keep(often.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "times")  # no more rows than ``frequent`` has
+        posted = posted.filter("c > 0").unionByName(often.join(F.broadcast(times), "sig"))
     per = classes.select("cls", F.col("d1").alias("sid"), "n", F.explode(F.array(
         F.struct(F.col("own").alias("level"), F.col("own_n").alias("m"), F.col("own_f").alias("f")),
         F.struct(F.col("low").alias("level"), F.col("low_n").alias("m"), F.col("low_f").alias("f")))).alias("l")).select("cls", "sid", "n", "l.*")
@@ -250,15 +320,15 @@ def _candidates(docs: DataFrame, classes: DataFrame) -> DataFrame:
     alive = per.filter("level >= 0").join(shared, ["sid", "level"]).withColumn("q", quota).filter("q > 0 or m > f")
     rank = F.row_number().over(Window.partitionBy("cls", "level").orderBy("c", "sig"))
     first = posted.join(alive.select("cls", "sid", "level", "q", F.expr("m > f").alias("open")), ["sid", "level"]).withColumn("r", rank)
-    first = keep(first.filter("r <= q or (open and filled)").select("cls", "sig"), "prefixes")
-    wanted = first.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("sig")
-    return keep(first.join(wanted, "sig"), "candidates")
+    first = s.keep(first.filter("r <= q or (open and filled)").select("cls", "sig"), "prefixes")
+    wanted = s.keep(first.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "wanted")
+    return s.keep(split_join(first, wanted, ["sig"], "m", ["cls"]), "candidates")
 
 
-def _sets_of(docs: DataFrame, facts: DataFrame, alive: DataFrame) -> DataFrame:
+def _sets_of(s: Scratch, docs: DataFrame, facts: DataFrame, alive: DataFrame) -> DataFrame:
     """cls, n, feats of the classes that have candidates, made anew from one text of each."""
     texts = facts.filter("doc_id is not null").join(alive, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    texts = keep(texts, "texts")
+    texts = s.keep(texts, "texts")
     ids = texts.select("doc_id").distinct()
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
@@ -266,7 +336,8 @@ def _sets_of(docs: DataFrame, facts: DataFrame, alive: DataFrame) -> DataFrame:
     made = made.mapInArrow(_payload, "d1 long, d2 long, feats binary")
     cls = F.unhex(F.concat(F.lpad(F.hex("d1"), 16, "0"), F.lpad(F.hex("d2"), 16, "0")))
     made = made.select(cls.alias("cls"), F.expr("octet_length(feats) div 8").alias("n"), "feats")
-    return keep(made.join(texts.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+    with arrow_rows(s.spark):
+        return s.keep(made.join(texts.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
 
 def _with_roots(rows: DataFrame, links: DataFrame, key: str = "cls") -> DataFrame:
@@ -274,12 +345,11 @@ def _with_roots(rows: DataFrame, links: DataFrame, key: str = "cls") -> DataFram
     return rows.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """cls, root, block: classes dealt to blocks of ``BLOCK``, those of the same large signature list side by side."""
-    lists = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
-    main = rows.join(lists, "sig").groupBy("cls", "root").agg(F.max(F.struct("m", "sig")).alias("near"))
-    order = main.repartitionByRange(parallelism(rows.sparkSession), "near", "cls").sortWithinPartitions("near", "cls")
-    order = keep(order.withColumn("id", F.monotonically_increasing_id()).select("cls", "root", "id"), "ordered")
+def _blocks(s: Scratch, rows: DataFrame) -> DataFrame:
+    """cls, root, block: classes dealt to blocks of ``BLOCK``, those of the same large signature list and root side by side."""
+    main = rows.groupBy("cls", "root").agg(F.max(F.struct("m", "sig")).alias("near"))
+    order = main.repartitionByRange(parallelism(s.spark), "near", "root", "cls").sortWithinPartitions("near", "root", "cls")
+    order = s.keep(order.withColumn("id", F.monotonically_increasing_id()).select("cls", "root", "id"), "ordered")
     part, place = F.shiftright("id", 33), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = order.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("size"))  # a row per partition
     before = F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
@@ -337,58 +407,79 @@ def _between(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": left["cls"].to_numpy()[i[kept]], "b": right["cls"].to_numpy()[j[kept]]})
 
 
-def linked_classes(docs: DataFrame, facts: DataFrame) -> DataFrame:
+def linked_classes(s: Scratch, docs: DataFrame, facts: DataFrame, frequent: np.ndarray) -> DataFrame:
     """a, b: links between classes of equal sets that give the same components as all links do."""
     classes = facts.filter("cls is not null and doc_id is not null").dropDuplicates(["cls"])
-    met = _candidates(docs, classes)
-    sets = _sets_of(docs, facts, met.select("cls").distinct())
+    met = _candidates(s, docs, classes, frequent)
+    sets = _sets_of(s, docs, facts, met.select("cls").distinct())
 
-    centre = met.groupBy("sig").agg(F.min("cls").alias("b"))
-    pairs = met.join(centre, "sig").filter("cls <> b").groupBy(F.col("cls").alias("a"), "b").agg(F.count(F.lit(1)).alias("w"))
-    best = pairs.groupBy("a").agg(F.max(F.struct("w", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    stars = _verify(best, sets, "stars").filter("linked").select("a", "b")
+    centre = s.keep(met.groupBy("sig").agg(F.min("cls").alias("b"), F.count(F.lit(1)).alias("m")), "centres")
+    pairs = split_join(met.select("cls", "sig"), centre, ["sig"], "m", ["cls"]).filter("cls <> b")
+    pairs = pairs.groupBy(F.col("cls").alias("a"), "b").agg(F.count(F.lit(1)).alias("w"))
+    best = s.keep(pairs.groupBy("a").agg(F.max(F.struct("w", "b")).alias("x")).select("a", F.col("x.b").alias("b")), "best")
+    stars = _verify(s, best, sets, "stars").filter("linked").select("a", "b")
 
-    rows = keep(_with_roots(met, stars), "rooted")
-    split = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig")
-    rows = keep(rows.join(split, "sig"), "open")
-    sizes = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
-    rows = keep(rows.join(sizes, "sig"), "sized")
+    rows = s.keep(_with_roots(met.select("cls", "sig"), stars), "rooted")
+    lists = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"))
+    split = s.keep(lists.filter("lo <> hi").select("sig", "m"), "split")
+    rows = s.keep(split_join(rows, split, ["sig"], "m", ["cls"]), "open")
 
     few = rows.filter(F.col("m") <= SHORT_LIST).select("sig", "cls", "root")
     other = few.select("sig", F.col("cls").alias("b"), F.col("root").alias("rb"))
     pairs = few.join(other, "sig").filter("cls < b and root <> rb").select(F.col("cls").alias("a"), "b").distinct()
-    near = _verify(pairs, sets, "near").filter("linked").select("a", "b")
+    near = _verify(s, s.keep(pairs, "pairs"), sets, "near").filter("linked").select("a", "b")
 
-    rows = rows.filter(F.col("m") > SHORT_LIST).select("sig", "cls", "root")
-    placed = keep(_blocks(rows), "blocks")
+    rows = rows.filter(F.col("m") > SHORT_LIST)
+    placed = s.keep(_blocks(s, rows), "blocks")
     held = rows.select("cls", "sig").join(placed.select("cls", "block"), "cls").select("sig", "block").distinct()
     left, right = held.select("sig", F.col("block").alias("i")), held.select("sig", F.col("block").alias("j"))
-    tasks = keep(left.join(right, "sig").filter("i <= j").select("i", "j").distinct(), "tasks")
-    members = keep(placed.join(sets.select("cls", "feats"), "cls"), "members")
+    tasks = left.join(right, "sig").filter("i <= j").select("i", "j").distinct()
+    # Two blocks that lie in one and the same component have nothing to tell.
+    ends = placed.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    tasks = tasks.join(ends.select(F.col("block").alias("i"), F.col("lo").alias("li"), F.col("hi").alias("hi_i")), "i").join(
+        ends.select(F.col("block").alias("j"), F.col("lo").alias("lj"), F.col("hi").alias("hi_j")), "j")
+    tasks = s.keep(tasks.filter("not (li = hi_i and lj = hi_j and li = lj)").select("i", "j"), "tasks")
+    members = s.keep(placed.join(sets.select("cls", "feats"), "cls"), "members")
     columns = ["i", "j", "side", "cls", "root", "feats"]
     first = tasks.join(members.withColumnRenamed("block", "i"), "i").withColumn("side", F.lit(0)).select(columns)
     second = tasks.filter("i < j").join(members.withColumnRenamed("block", "j"), "j").withColumn("side", F.lit(1)).select(columns)
     late = first.unionByName(second).groupBy("i", "j").applyInPandas(_between, "a binary, b binary")
-    return stars.unionByName(near).unionByName(keep(late, "late"))
+    return stars.unionByName(near).unionByName(s.keep(late, "late"))
+
+
+def _rooted(s: Scratch, docs: DataFrame, sha: Column | None = None) -> DataFrame:
+    """The rows of ``document_sets`` with the root of their component, a class; null without shingles or doc_id."""
+    facts, frequent = document_sets(s, docs, sha)
+    names = facts.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("w"))
+    names = s.keep(_with_roots(names, linked_classes(s, docs, facts, frequent)), "names")
+    some = facts.filter("cls is not null and doc_id is not null")
+    rest = facts.filter("cls is null or doc_id is null").withColumn("root", F.lit(None).cast("binary"))
+    return split_join(some, names, ["cls"], "w", ["doc_id"]).drop("w").unionByName(rest)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per input row."""
-    facts = document_sets(docs)
-    names = facts.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("low"))
-    names = _with_roots(names, linked_classes(docs, facts))
-    lowest = names.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_class = names.join(lowest, "root").select("cls", "component_id")
-    found = facts.join(by_class, "cls", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    with Scratch(docs.sparkSession) as s:
+        rows = s.keep(_rooted(s, docs).select("doc_id", "n", "root"), "rows")
+        lowest = s.keep(rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("w")), "lowest")
+        found = split_join(rows.filter("root is not null"), lowest, ["root"], "w", ["doc_id"]).select("doc_id", "n", "component_id")
+        found = found.unionByName(rows.filter("root is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+        return keep(found.withColumnRenamed("n", "n_shingles"), "components")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the smallest doc_id, and all without a doc_id,
-    which link nothing."""
-    stay = jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    """The rows of ``docs`` that stay, with their columns: of each component one row, that with the smallest doc_id (of rows
+    with that id the one with the smallest digest); all without words; and all without a doc_id, which link nothing.
+
+    Of rows that repeat both id and text any one stays.
+    """
+    sha = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    with Scratch(docs.sparkSession) as s:
+        rows = s.keep(_rooted(s, docs, sha).filter("doc_id is not null").select("doc_id", "cls", "sha", "root"), "rows")
+        first = rows.filter("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "cls", "sha")).alias("x")).select("x.doc_id", "x.sha")
+        first = first.unionByName(rows.filter("root is null").select("doc_id", "sha"))
+        stay = keep(first.select(row_key(F.col("doc_id"), F.col("sha")).alias("_k")), "stay")
+    return rows_with(docs.filter("doc_id is not null"), sha, stay).unionByName(docs.filter("doc_id is null"))
 
 
 __all__ = ["SIMILARITY", "document_sets", "drop_near_copies", "jaccard_components", "linked_classes", "signatures"]

@@ -41,6 +41,19 @@ select c.id as vec_id, coalesce(n.n, 0) as n_links, c.component_id, c.id = c.com
 """
 
 
+JACCARD_SQL = f"""
+with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+  when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w),
+g as (select doc_id, len(s) as n, unnest(s) as g from s),
+p as (select a.doc_id as a, b.doc_id as b from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id, a.n, b.n
+  having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+l as (select a, b from p union all select b, a from p),
+r as (select doc_id as id, doc_id as root from documents union select l.a, r.root from r join l on l.b = r.id)
+select s.doc_id, len(s.s) as n_shingles, min(r.root) as component_id from s join r on r.id = s.doc_id group by s.doc_id, len(s.s)
+"""
+
+
 def vocabulary() -> str:
     """The vocabulary file of the queries; every executor has it where the tokenizer files are installed."""
     return public_tokenizers.path("word_bpe_49k.json")
@@ -107,4 +120,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": EXACT_DEDUP_SQL, "op5_embeddings": EMBEDDINGS_SQL}
+    return {"op1_exact_dedup": EXACT_DEDUP_SQL, "op5_embeddings": EMBEDDINGS_SQL, "op8_jaccard_join": JACCARD_SQL}
