@@ -6,7 +6,8 @@ predicted bits weighted by how well each bit's classifier does on its sample; th
 whose two nearest codewords are about as near is flagged as ambiguous.
 
 The classifiers are fitted on at most ``2 * SAMPLE_ROWS`` whole texts (``SAMPLE_ROWS`` expected), chosen by a hash of
-doc_id with equal shares for the languages. Every whole text is predicted.
+doc_id with equal shares for the languages, of which the ``MOST_LANGUAGES`` most frequent are learned. Every whole text is
+predicted.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0. Rows without doc_id are predicted like
 others, are not held out and are not learned from. Without any row to learn from, every text is ``und``. Repeated
@@ -16,7 +17,6 @@ rows and extra columns change nothing; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import batch_rows, fold
+from brindle.llm.common import fold
 from brindle.llm.shingles import in_chunks
 
 #: Texts from which the classifiers are fitted (expected; twice as many at most).
@@ -32,6 +32,8 @@ SAMPLE_ROWS = 1600
 BUCKETS = 1 << 13
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
+#: Languages told apart at most: the most frequent ones; a code of 1024 has 100 bits.
+MOST_LANGUAGES = 1024
 #: Softmax share below which the nearest codeword is ambiguous.
 SURE = 0.6
 
@@ -46,11 +48,14 @@ def codewords(k: int) -> np.ndarray:
     if k <= 5:  # exhaustive: every way to part the languages in two
         cols = [[1 if i == 0 or not (c >> (i - 1)) & 1 else -1 for i in range(k)] for c in range(1, 1 << (k - 1))]
         return np.array(cols, np.float32).T
-    bits, best, most = int(np.ceil(10 * np.log2(k))), None, -1
+    bits, best, most = int(np.ceil(10 * np.log2(k))), None, 0
     for seed in range(200):
-        m = np.where(np.random.default_rng(seed).random((k, bits)) < 0.5, -1, 1).astype(np.float32)
-        apart = min(int((m[a] != m[b]).sum()) for a, b in combinations(range(k), 2))
-        if apart > most and (np.abs(m.sum(axis=0)) < k).all():
+        r = np.random.default_rng(seed)
+        m = np.where(r.random((k, bits)) < 0.5, -1, 1).astype(np.float32)
+        flat = np.abs(m.sum(axis=0)) == k  # a bit that all have alike says nothing: one of them is turned
+        m[r.integers(0, k, int(flat.sum())), np.flatnonzero(flat)] *= -1
+        apart = int((bits - m @ m.T)[np.triu_indices(k, 1)].min()) // 2
+        if apart > most:
             best, most = m, apart
     return best
 
@@ -113,16 +118,17 @@ class LanguageCodes:
     @classmethod
     def fit(cls, docs: DataFrame, rows: int = SAMPLE_ROWS) -> LanguageCodes:
         known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
-        counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+        per = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+        counts = {r["lang"]: r["n"] for r in per.collect()}
         names = sorted(counts)
         if not names:
             return cls([], np.ones((0, 0), np.float32), np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), np.zeros(0))
         per = max(1, rows // len(names))
         share = F.create_map(*[F.lit(x) for n in names for x in (n, min(1.0, per / counts[n]))])
         drawn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-        part = known.select("lang", "text", drawn.alias("u")).filter(F.col("u") < share[F.col("lang")])
+        part = known.select("lang", "text", drawn.alias("u")).filter(F.col("u") < share[F.col("lang")])  # other languages have no share
         part = part.orderBy("u", "lang", F.xxhash64("text")).limit(2 * rows).select("lang", "text")
-        got = batch_rows(part).mapInArrow(_sample, "lang string, at array<int>, share array<float>").toArrow()
+        got = part.mapInArrow(_sample, "lang string, at array<int>, share array<float>").toArrow()
         x = np.zeros((got.num_rows, BUCKETS), np.float32)
         for i, (at, value) in enumerate(zip(got["at"], got["share"], strict=True)):
             x[i, at.values.to_numpy()] = value.values.to_numpy()
@@ -168,11 +174,11 @@ def predict_languages(docs: DataFrame, model: LanguageCodes | None = None) -> Da
     """doc_id, lang_pred, score, ambiguous: one row per input row; fits on ``docs`` unless given a model."""
     model = model or LanguageCodes.fit(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return batch_rows(rows).mapInArrow(_predict(model), "doc_id long, lang_pred string, score double, ambiguous boolean")
+    return rows.mapInArrow(_predict(model), "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
 def with_known_language(docs: DataFrame, model: LanguageCodes | None = None) -> DataFrame:
-    """The rows of ``docs`` whose text has letters, with the columns of ``docs``.
+    """The rows of ``docs`` whose text has letters, with the columns of ``docs``; null ids and repeated rows change nothing.
 
     Only a text without letters is of unknown language; which one the codes choose and how surely decide nothing here.
     """
@@ -185,7 +191,7 @@ def with_known_language(docs: DataFrame, model: LanguageCodes | None = None) ->
             ok = [x[0] != UNKNOWN for _, texts in in_chunks(column, 1 << 18) for x in model.predict(texts)]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
-    return batch_rows(docs).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 __all__ = ["LanguageCodes", "codewords", "predict_languages", "with_known_language"]

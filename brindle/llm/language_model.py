@@ -7,7 +7,7 @@ token's probability is that of its class given the state, times that of the word
 of all words (with one place for the unseen words of each of the four classes) sum to one.
 
 The network starts at the unigram probabilities. It is fitted by truncated backpropagation: first briefly on
-``SEED_ROWS`` documents in the driver, then in every partition on all its training documents; the partitions' weights
+``SEED_ROWS`` documents, chosen by a hash of doc_id, in the driver, then in every partition on all its training documents; the partitions' weights
 are averaged by their tokens.
 Scoring carries the state across windows from the first token of a document to its end, however long it is.
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import batch_rows, fold, keep
+from brindle.llm.common import Scratch, fold, keep
 from brindle.llm.shingles import in_chunks, words
 
 VOCABULARY, CLASSES, STATE = 1023, 31, 16
@@ -163,14 +163,17 @@ class GatedModel:
         fresh = np.zeros(len(ids), bool)
         fresh[np.cumsum(counts) - counts] = True
         streams = max(1, min(STREAMS, len(ids) // (4 * STEPS)))
-        n = len(ids) // streams
-        x, new = ids[: n * streams].reshape(streams, n), fresh[: n * streams].reshape(streams, n)
+        n = -(-len(ids) // streams)
+        pad = n * streams - len(ids)  # at the end of the last streams; nothing is learned from it
+        x, new = (np.concatenate([v, np.zeros(pad, v.dtype)]).reshape(streams, n) for v in (ids, fresh))
+        real = (np.arange(n * streams) < len(ids)).reshape(streams, n)
         h = np.zeros((streams, STATE), np.float32)
         if not hasattr(self, "moments"):
             self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items()}
             self.updates = 0
-        for a in range(0, n - STEPS + 1, STEPS):
-            g, h = self._window(x[:, a : a + STEPS], new[:, a : a + STEPS], h)
+        for a in range(0, n, STEPS):
+            part = slice(a, a + STEPS)
+            g, h = self._window(x[:, part], new[:, part], real[:, part], h)
             self.updates += 1
             t, step = self.updates, rate / (1 + self.updates / 2000)
             for k, v in self.w.items():
@@ -178,9 +181,9 @@ class GatedModel:
                 m += 0.1 * (g[k] - m)
                 q += 0.01 * (g[k] ** 2 - q)
                 v -= step * (m / (1 - 0.9**t)) / (np.sqrt(q / (1 - 0.99**t)) + 1e-6)
-        return n * streams
+        return len(ids)
 
-    def _window(self, ids: np.ndarray, new: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    def _window(self, ids: np.ndarray, new: np.ndarray, real: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         s, w, steps = STATE, self.w, ids.shape[1]
         table, kept, before = w["in"] + w["b"], [], []
         for t in range(steps):
@@ -191,7 +194,8 @@ class GatedModel:
             h = n + z * (h - n)
         states, flat = np.concatenate(before), ids.T.reshape(-1)
         g = {k: np.zeros_like(v) for k, v in w.items()}
-        scale, own = np.float32(1 / len(flat)), self._class_of(flat)
+        own, scale = self._class_of(flat), real.T.reshape(-1, 1).astype(np.float32)
+        scale /= max(1, scale.sum())
         p = states @ w["c"] + w["cb"]
         p = np.exp(p - p.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
@@ -208,7 +212,7 @@ class GatedModel:
                 y = np.exp(y - y.max(axis=1, keepdims=True))
                 y /= y.sum(axis=1, keepdims=True)
                 y[np.arange(len(rows)), flat[rows] // CLASSES] -= 1
-                y *= scale
+                y *= scale[rows]
                 g["o"][c], g["ob"][c] = states[rows].T @ y, y.sum(axis=0)
                 ds[rows] += y @ w["o"][c].T
         ds = ds.reshape(steps, -1, s)
@@ -263,10 +267,10 @@ def _mean(group: pd.DataFrame) -> pd.DataFrame:
 def word_counts(docs: DataFrame) -> DataFrame:
     """key, n: occurrences of every token in ``docs``; equal words meet within each task first."""
     parts = docs.select("text").mapInArrow(_count, "key long, n long")
-    return keep(parts.groupBy("key").agg(F.sum("n").alias("n")), "counts")
+    return parts.groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def fit(training: DataFrame, counts: DataFrame) -> GatedModel:
+def fit(s: Scratch, training: DataFrame, counts: DataFrame) -> GatedModel:
     """The model of the training documents whose words are ``counts``."""
     top = counts.orderBy(F.desc("n"), "key").limit(HOT).toArrow()
     keys, n = top["key"].to_numpy(), top["n"].to_numpy()
@@ -278,14 +282,15 @@ def fit(training: DataFrame, counts: DataFrame) -> GatedModel:
         mine = (pick & np.int64(3)) == row["r"]
         rare[row["r"]] = row["n"] - n[: len(pick)][mine].sum(), row["v"] - mine.sum()
     model = GatedModel(pick, n[: len(pick)].astype(np.float64), rare, keys[order], n[order])
-    first = training.select("text").limit(SEED_ROWS).toArrow()["text"].combine_chunks()
+    first = training.select("text", "doc_id").orderBy(F.xxhash64(F.lit("seed"), "doc_id"), "doc_id", F.xxhash64("text")).limit(SEED_ROWS)
+    first = first.select("text").toArrow()["text"].combine_chunks()
     if len(first):
         for _ in range(3):
             model.train(*_tokens(model, first))
         bare = GatedModel(pick, n[: len(pick)].astype(np.float64), rare, keys[:0], n[:0]).unpack(np.frombuffer(model.packed(), np.float32))
         parts = training.select("text").mapInArrow(_learn(bare), "n long, w binary")
         parts = parts.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(32)))
-        means = keep(parts.groupBy("g").applyInPandas(lambda x: _mean(x[["n", "w"]]), "n long, w binary"), "weights").toPandas()
+        means = s.keep(parts.groupBy("g").applyInPandas(lambda x: _mean(x[["n", "w"]]), "n long, w binary"), "weights").toPandas()
         if len(means):
             model.unpack(np.frombuffer(_mean(means)["w"][0], np.float32))
     return model
@@ -334,24 +339,24 @@ def _score(model: GatedModel):
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per input row."""
-    docs = batch_rows(docs, 10_000)  # documents run side by side: the more, the better
     learn = F.coalesce(fold(F.col("doc_id"), FOLDS) != HELD_OUT, F.lit(False))
     training = docs.filter(learn).select("doc_id", "text")
-    counts = word_counts(training)
-    total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).collect()[0]
-    total = total or 0
-    model = fit(training, counts)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(model), _SCORED)
-    rows = keep(rows.withColumn("_row", F.monotonically_increasing_id()), "scored")
-    cold = rows.select("_row", F.explode(F.arrays_zip("cold", "times")).alias("x")).select("_row", F.col("x.cold").alias("key"), "x.times")
-    met = cold.join(counts.hint("shuffle_hash"), "key").groupBy("_row").agg(
-        F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"), F.sum("times").alias("more"))
-    n, logs = F.col("n_tokens"), F.coalesce("logs", F.lit(0.0))
-    base = F.col("hot_sum") + logs - n * float(np.log10(total + distinct + 1))
-    held_out = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
-    return rows.drop("cold", "times").join(met, "_row", "left").select(
-        "doc_id", held_out.alias("held_out"), n.alias("n_tokens"), (F.col("n_hot") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("lm") + logs).alias("score"))
+    with Scratch(docs.sparkSession) as s:
+        counts = s.keep(word_counts(training), "counts")
+        total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).collect()[0]
+        total = total or 0
+        model = fit(s, training, counts)
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(model), _SCORED)
+        rows = s.keep(rows.withColumn("_row", F.monotonically_increasing_id()), "scored")
+        cold = rows.select("_row", F.explode(F.arrays_zip("cold", "times")).alias("x")).select("_row", F.col("x.cold").alias("key"), "x.times")
+        met = cold.join(counts, "key").groupBy("_row").agg(
+            F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"), F.sum("times").alias("more"))
+        n, logs = F.col("n_tokens"), F.coalesce("logs", F.lit(0.0))
+        base = F.col("hot_sum") + logs - n * float(np.log10(total + distinct + 1))
+        held_out = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
+        return keep(rows.drop("cold", "times").join(met, "_row", "left").select(
+            "doc_id", held_out.alias("held_out"), n.alias("n_tokens"), (F.col("n_hot") + F.coalesce("more", F.lit(0))).alias("n_known"),
+            F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("lm") + logs).alias("score")), "scores")
 
 
 __all__ = ["GatedModel", "fit", "score_documents", "token_keys", "word_counts"]

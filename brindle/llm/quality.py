@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import batch_rows, fold
+from brindle.llm.common import fold
 from brindle.llm.shingles import in_chunks
 
 #: Texts from which the network is fitted (expected; twice as many at most).
@@ -165,9 +165,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
     share = F.when(F.col("y") == 1, min(1.0, rows / 2 / counts.get(1, 1))).otherwise(min(1.0, rows / 2 / counts.get(0, 1)))
     chosen = marks.withColumn("u", drawn).filter(F.col("u") < share).orderBy("u", "_id").limit(2 * rows)
     got = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(
-        "u", "_id", "y", F.coalesce("text", F.lit("")).alias("text")).toArrow().to_pylist()
-    got.sort(key=lambda r: (r["u"], r["_id"], r["text"]))
-    got = got[: 2 * rows]
+        "u", "_id", "y", F.coalesce("text", F.lit("")).alias("text")).orderBy("u", "_id", "text").limit(2 * rows).toArrow().to_pylist()
     y = np.array([r["y"] for r in got], np.float32)
     return ByteNetwork().fit([r["text"].encode() for r in got], y) if len(got) else None
 
@@ -187,7 +185,7 @@ def _scores(net: ByteNetwork | None):
 def score_quality(docs: DataFrame, net: ByteNetwork | None) -> DataFrame:
     """doc_id, score: one row per input row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return batch_rows(rows).mapInArrow(_scores(net), "doc_id long, score double")
+    return rows.mapInArrow(_scores(net), "doc_id long, score double")
 
 
 __all__ = ["ByteNetwork", "GOOD", "fit_quality", "score_quality"]

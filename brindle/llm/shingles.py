@@ -7,16 +7,18 @@ distinct runs of ``width`` words; a shorter one has its whole word sequence as i
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 WIDTH = 5
-#: Bytes of text hashed at once; one longer text is hashed alone.
+#: Bytes of text hashed at once; a longer text is hashed in pieces.
 CHUNK_BYTES = 1 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _STOP = np.zeros(256, np.int64)
@@ -34,13 +36,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers["up"]) < n:
-        for name, base in (("up", _P), ("down", pow(_P, -1, 1 << 64))):
-            row = np.full(max(n, CHUNK_BYTES + (1 << 16)), base, np.uint64)
-            row[0] = 1
-            _powers[name] = np.multiply.accumulate(row)
-    return _powers["up"], _powers["down"]
+def _power(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse; kept for the usual sizes."""
+    usual = CHUNK_BYTES + (1 << 16)
+    if _powers and n <= usual:
+        return [_powers["up"], _powers["down"]]
+    out = []
+    for base in (_P, pow(_P, -1, 1 << 64)):
+        row = np.full(max(n, usual), base, np.uint64)
+        row[0] = 1
+        out.append(np.multiply.accumulate(row))
+    if n <= usual:
+        _powers.update(up=out[0], down=out[1])
+    return out
+
+
+def _parts(raw: bytes) -> Iterator[tuple[int, bytes]]:
+    """Pieces of about ``CHUNK_BYTES`` that begin and end with white space, and where they begin; a longer word is whole."""
+    at = 0
+    while len(raw) - at > CHUNK_BYTES + (1 << 15):
+        gap = _BLANK.search(raw, at + CHUNK_BYTES)
+        if gap.start() == len(raw) - 1:
+            break
+        yield at, raw[at : gap.end()]
+        at = gap.start()
+    yield at, raw[at:]
 
 
 def words(texts: list[bytes], shape: bool = False) -> tuple[np.ndarray, ...]:
@@ -49,20 +69,23 @@ def words(texts: list[bytes], shape: bool = False) -> tuple[np.ndarray, ...]:
     With ``shape`` also two bits for each word: whether it has bytes beyond ASCII, whether it ends in punctuation.
     """
     raw = b" " + b" ".join(texts).translate(_LOWER) + b" "
-    buf = np.frombuffer(raw, np.uint8)
-    inside = ~_SPACE[buf]
-    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    starts, ends = edges[::2], edges[1::2]
-    up, down = _power(len(buf))
-    total = np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)])
-    hashed = (total[ends - 1] - total[starts - 1]) * down[starts]
-    hashed = mix(hashed + (ends - starts).astype(np.uint64) * _K)
+    hashes, begin, shapes = [], [], []
+    for at, part in _parts(raw):
+        buf = np.frombuffer(part, np.uint8)
+        inside = ~_SPACE[buf]
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        starts, ends = edges[::2], edges[1::2]
+        up, down = _power(len(buf))
+        total = np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)])
+        hashed = (total[ends - 1] - total[starts - 1]) * down[starts]
+        hashes.append(mix(hashed + (ends - starts).astype(np.uint64) * _K))
+        begin.append(starts + at)
+        if shape:
+            beyond = np.concatenate([[0], np.cumsum(buf > 127)])
+            shapes.append((beyond[ends] > beyond[starts]) + 2 * _STOP[buf[ends - 1]])
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    first = np.searchsorted(starts, np.concatenate([[1], 1 + np.cumsum(sizes)]))
-    if not shape:
-        return hashed, first
-    beyond = np.concatenate([[0], np.cumsum(buf > 127)])
-    return hashed, first, (beyond[ends] > beyond[starts]) + 2 * _STOP[buf[ends - 1]]
+    first = np.searchsorted(np.concatenate(begin), np.concatenate([[1], 1 + np.cumsum(sizes)]))
+    return (np.concatenate(hashes), first, np.concatenate(shapes)) if shape else (np.concatenate(hashes), first)
 
 
 def shingle_sets(texts: list[bytes], width: int = WIDTH) -> Iterator[np.ndarray]:
