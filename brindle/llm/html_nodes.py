@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
-UNSEEN = frozenset("script style noscript template head title svg iframe object canvas select option textarea button math audio video".split())
+#: What never is text of a page: scripts, styles, the head, sources of frames and the controls of forms.
+UNSEEN = frozenset("script style head title iframe select option textarea button".split())
+#: Formulas and drawings stand in their line, whatever they are made of; of drawings these parts aren't shown.
+FOREIGN, NOT_DRAWN = frozenset(("math", "svg")), frozenset("title desc metadata style script".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: An open element of the key ends before a start tag of these.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}}
@@ -29,14 +33,19 @@ BAD_TOKENS = (
     frozenset("form search login signup share social follow".split()),
     frozenset("comment comments reply replies respond discussion disqus review reviews".split()),
 )
-TAGS = ["#text", "p", "div", "article", "main", "section", "body", "html", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "table", "tr", "td", "h1", "h2", "h3", "blockquote", "pre", "figure", "figcaption", "ins", "dl", "dd"]
+TAGS = ["#text", "p", "div", "article", "main", "section", "body", "html", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "table", "tr", "td", "h1", "h2", "h3", "blockquote", "pre", "figure", "figcaption", "ins", "dl", "dd", "noscript"]
 _TAG = {t: i for i, t in enumerate(TAGS)}
 _LANDMARKS = ["nav", "header", "footer", "aside", "form", "article", "main"]
 _SPACE = re.compile(r"\s+")
 _TOKEN = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _BUTTON = re.compile(r"<(/?)button(?=[\s/>])", re.I)
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_CUT_TAG = re.compile(r"</?[A-Za-z]")
+#: The open elements that a start tag may end.
+ENDED_BY: dict[str, list[str]] = {}
+for _open, _tags in ENDS.items():
+    for _by in _tags:
+        ENDED_BY.setdefault(_by, []).append(_open)
 
 
 #: Stands for the tag of a button that has no end tag; a block or another button ends it.
@@ -57,23 +66,28 @@ def _unclosed_buttons(html: str) -> set[tuple[int, int]]:
     """Line and offset of the buttons after which another one, or none, comes ahead of an end tag."""
     found = list(_BUTTON.finditer(html))
     loose = [m.start() for m, after in zip(found, [*found, None][1:], strict=True) if not m[1] and (after is None or not after[1])]
-    out, line, at = set(), 1, 0
+    out, line, at, newline = set(), 1, 0, -1
     for start in loose:
-        line, at = line + html.count("\n", at, start), start
-        out.add((line, start - html.rfind("\n", 0, start) - 1))
+        line, newline, at = line + html.count("\n", at, start), max(newline, html.rfind("\n", at, start)), start
+        out.add((line, start - newline - 1))
     return out
 
 
 class _Tree(HTMLParser):
-    """Block elements and, as their leaves, the runs of text between block boundaries."""
+    """Block elements and, as their leaves, the runs of text between block boundaries.
 
-    def __init__(self, html: str):
+    How many elements of a name are open is counted, so looking for one costs nothing where there is none.
+    """
+
+    def __init__(self, html: str, marked: bool):
         super().__init__(convert_charrefs=True)
-        self.unclosed = _unclosed_buttons(html)
+        self.unclosed, self.marked = _unclosed_buttons(html), marked
         self.root = _Node("html", None)
         self.open: list[tuple[str, _Node]] = [("html", self.root)]
+        self.count = Counter(html=1)
         self.run: list[str] = []
         self.linked = self.links = self.anchors = 0
+        self.foreign: list[str] = []
 
     def _flush(self) -> None:
         if self.run:
@@ -85,15 +99,23 @@ class _Tree(HTMLParser):
 
     def _pop(self, at: int) -> None:
         self._flush()
+        self.count.subtract(name for name, _ in self.open[at:])
         del self.open[at:]
 
-    def _end(self, name: str) -> None:
+    def _end(self, name: str, scoped: bool = False) -> None:
+        """The innermost open element of that name ends, with ``scoped`` only one inside the innermost container."""
+        if self.count[name] <= 0:
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] == name:
                 self._pop(i)
                 return
+            if scoped and self.open[i][0] in SCOPE and self.open[i][0] not in ("td", "th"):
+                return
 
     def _end_head(self, anywhere: bool) -> None:
+        if self.count["head"] <= 0:
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] == "head":
                 self._pop(i)
@@ -101,7 +123,17 @@ class _Tree(HTMLParser):
             if not anywhere or self.open[i][0] == "template":
                 return
 
+    def handle_startendtag(self, tag, attrs):
+        if not self.foreign and tag not in FOREIGN:
+            self.handle_starttag(tag, attrs)
+
     def handle_starttag(self, tag, attrs):
+        if tag in CLOSES_P or tag in ("body", "li", "td", "th", "tr"):
+            self.foreign.clear()
+        if self.foreign or tag in FOREIGN:
+            self._end_head(False)
+            self.foreign.append(tag)
+            return
         if tag not in IN_HEAD:
             self._end_head(tag == "body")
         if tag == "br":
@@ -111,9 +143,9 @@ class _Tree(HTMLParser):
             if tag == "a":
                 self.anchors, self.links = 1, self.links + 1
             return
-        if tag in ("html", "body") and any(t == tag for t, _ in self.open):
+        if tag in ("html", "body") and self.count[tag] > 0:
             return
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and self.count["p"] > 0:
             for i in range(len(self.open) - 1, 0, -1):
                 if self.open[i][0] == "p":
                     self._pop(i)
@@ -124,47 +156,62 @@ class _Tree(HTMLParser):
             self._end("select")
         if tag in CLOSES_P or tag == "button":
             self._end(_LOOSE)
-        for i in range(len(self.open) - 1, 0, -1):
-            if tag in ENDS.get(self.open[i][0], ()):
-                self._pop(i)
-                break
-            if self.open[i][0] in SCOPE and self.open[i][0] not in ("td", "th"):
-                break
+        ended = [name for name in ENDED_BY.get(tag, ()) if self.count[name] > 0]
+        if ended:
+            for i in range(len(self.open) - 1, 0, -1):
+                if self.open[i][0] in ended:
+                    self._pop(i)
+                    break
+                if self.open[i][0] in SCOPE and self.open[i][0] not in ("td", "th"):
+                    break
         self._flush()
         if tag in VOID:
             return
         names = dict(attrs)
         words = " ".join(filter(None, (names.get("class"), names.get("id"), names.get("role"), names.get("aria-label"))))
-        hidden = tag in UNSEEN or "hidden" in names or names.get("aria-hidden") == "true" or bool(_HIDDEN.search(names.get("style") or ""))
-        mark = names.get("data-gold")
+        mark = int(names["data-gold"]) if self.marked and "data-gold" in names else None
         parent = self.open[-1][1]
-        node = _Node(tag, parent, frozenset(_TOKEN.findall(_CAMEL.sub(" ", words).lower())), hidden or parent.unseen, None if mark is None else int(mark))
-        self.open.append((_LOOSE if tag == "button" and self.getpos() in self.unclosed else tag, node))
+        node = _Node(tag, parent, frozenset(_TOKEN.findall(_CAMEL.sub(" ", words).lower())), tag in UNSEEN or parent.unseen, mark)
+        name = _LOOSE if tag == "button" and self.getpos() in self.unclosed else tag
+        self.open.append((name, node))
+        self.count[name] += 1
 
     def handle_endtag(self, tag):
+        if self.foreign:
+            if tag in self.foreign:
+                del self.foreign[len(self.foreign) - 1 - self.foreign[::-1].index(tag) :]
+                return
+            if tag not in CLOSES_P and tag not in self.count:
+                return
         if tag == "a":
             self.anchors = 0
         if tag in INLINE or tag in VOID:
             return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                self._pop(i)
-                return
+        if self.count[tag] > 0:
+            self.foreign.clear()
+            for i in range(len(self.open) - 1, 0, -1):
+                if self.open[i][0] == tag:
+                    self._pop(i)
+                    return
         self._flush()
 
     def handle_data(self, data):
         if data.strip():
             self._end_head(False)
+        if self.foreign and self.foreign[-1] in NOT_DRAWN:
+            return
         if not self.open[-1][1].unseen:
             self.run.append(data)
             if self.anchors:
                 self.linked += len(data.strip())
 
 
-def parse(html: str) -> list[_Node]:
-    """Visible block nodes and runs of text, parents first, in page order."""
-    tree = _Tree(html)
-    tree.feed(html)
+def parse(html: str, marked: bool = False) -> list[_Node]:
+    """Block nodes that can hold text and runs of text, parents first, in page order. Only made-up pages are ``marked``."""
+    # A tag that the text ends in is none. Without this the parser would look for its end from each of its brackets.
+    tail = _CUT_TAG.search(html, html.rfind(">") + 1)
+    tree = _Tree(html, marked)
+    tree.feed(html[: tail.start()] if tail else html)
     tree.close()
     tree._flush()
     out, stack = [], [tree.root]
@@ -194,24 +241,24 @@ def features(nodes: list[_Node]) -> tuple[np.ndarray, np.ndarray]:
         total[parent[i]] += total[i]
     depth, index, siblings = np.zeros(n), np.zeros(n), np.ones(n)
     before = np.concatenate([[0], np.cumsum(own[:, 0])])[:-1]
-    marks = np.zeros((n, len(_LANDMARKS)))
-    self_bad, near_bad = np.zeros((n, len(BAD_TOKENS))), np.zeros((n, len(BAD_TOKENS)))
+    marks, self_bad, near_bad = ([0] * n for _ in range(3))  # a bit for each landmark or group of tokens
     good, near_good = np.zeros(n), np.zeros(n)
     seen: dict[int, int] = {}
-    for i, x in enumerate(nodes):
-        p = parent[i]
-        for j, group in enumerate(BAD_TOKENS):
-            self_bad[i, j] = not group.isdisjoint(x.tokens)
-        good[i] = len(GOOD_TOKENS & x.tokens)
-        for j, tag in enumerate(_LANDMARKS):
-            marks[i, j] = x.tag == tag
+    kids = np.bincount(parent[1:], minlength=n)
+    for i, (x, p) in enumerate(zip(nodes, parent.tolist(), strict=True)):
+        if x.tokens:
+            for j, group in enumerate(BAD_TOKENS):
+                self_bad[i] |= (not group.isdisjoint(x.tokens)) << j
+            good[i] = len(GOOD_TOKENS & x.tokens)
+        if x.tag in _LANDMARKS:
+            marks[i] = 1 << _LANDMARKS.index(x.tag)
         if p >= 0:
             depth[i] = depth[p] + 1
             index[i] = seen.get(p, 0)
             seen[p] = int(index[i]) + 1
-            siblings[i] = sum(not k.unseen for k in nodes[p].kids)
-            marks[i] = np.maximum(marks[i], marks[p])
-            near_bad[i] = np.maximum(near_bad[p], self_bad[p])
+            siblings[i] = kids[p]
+            marks[i] |= marks[p]
+            near_bad[i] = near_bad[p] | self_bad[p]
             near_good[i] = near_good[p] + good[p]
     up = total[np.maximum(parent, 0)]
     whole = np.maximum(total[0], 1)
@@ -226,7 +273,8 @@ def features(nodes: list[_Node]) -> tuple[np.ndarray, np.ndarray]:
         up[:, 0] / np.maximum(up[:, 7], 1), chars / np.maximum(runs, 1), np.log1p(longest), np.log1p(up[:, 0]), up[:, 4] / np.maximum(up[:, 1], 1) * 10,
         stops, good, near_good, np.array([len(x.tokens) for x in nodes]), np.log1p(whole[0]) * np.ones(n),
     ]
-    return np.concatenate([np.stack(cols, axis=1), marks, self_bad, near_bad], axis=1).astype(np.float32), parent
+    bits = [np.array(v)[:, None] >> np.arange(k) & 1 for v, k in ((marks, len(_LANDMARKS)), (self_bad, len(BAD_TOKENS)), (near_bad, len(BAD_TOKENS)))]
+    return np.concatenate([np.stack(cols, axis=1), *bits], axis=1).astype(np.float32), parent
 
 
 class MadeUpPages:
@@ -258,6 +306,8 @@ class MadeUpPages:
             out[0] = f'<a href="/x">{out[0]}</a>'
         if self.maybe(0.15):
             out[-1] = f"<{self.some('b', 'em', 'i')}>{out[-1]}"
+        if self.maybe(0.02):
+            out.append(f"<math><mi>{self.phrase(1, 1)}</mi><mo>+</mo><mn>1</mn></math>.")
         return " ".join(out) + ("<br>" if self.maybe(0.1) else "")
 
     def odd(self) -> str:
@@ -306,6 +356,8 @@ class MadeUpPages:
         return self.box(self.some("div", "div", "ins", "section", "aside"), ["ad", "ads", "advert", "ad-box", "sponsored", "promo"], self.some(self.sentence(), f"<p>{self.prose(1, 2)}</p>", f'<a href="/b">{self.sentence()}</a>'), named=1)
 
     def notice(self) -> str:
+        if self.maybe(0.08):
+            return self.box("noscript", [], f"<p>{self.prose(1, 2)}</p>" if self.maybe(0.5) else self.sentence())
         return self.box(self.some("div", "section", "aside"), ["notice", "cookie-notice", "cookie-banner", "consent", "newsletter", "alert", "popup"], f"<p>{self.prose(1, 3)}</p>" + ("<button>OK</button>" if self.maybe(0.5) else ""), named=0.95)
 
     def form(self) -> str:

@@ -2,6 +2,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -249,10 +250,35 @@ def test_html_with_optional_tags_left_out(spark):
     assert one.text == two.text and one.text.startswith("Title of it")
 
 
+def extracted(spark, *pages):
+    rows = spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in html_extract.extract_text(rows).orderBy("page_id").collect()]
+
+
+def test_html_with_odd_attributes_formulas_and_hidden_parts(spark):
+    prose = "This is a sentence of the article, which is long enough to be kept. "
+    got = extracted(
+        spark, f'<article data-gold="abc"><p data-gold="">{prose}</article>', f"<article><p>Let <math><mi>x</mi><mo>+</mo><mn>1</mn></math> be. {prose}</article>",
+        f"<article><p>{prose}<svg><title>icon</title><path d=1 /></svg>{prose}</p></article>", f"<article><p>{prose}</p><p style='display:none' hidden>{prose}</p><p aria-hidden=true>{prose}</p></article>",
+        f"<article><p>{prose}</p><p>{prose}<svg>", f"<article><p>{prose}<math><p>{prose}</article>", f"<article><p>{prose}</p><a href='x")
+    one = prose.strip()
+    assert got == [one, f"Let x+1 be. {one}", f"{one} {one}", "\n".join([one] * 3), f"{one}\n{one}", f"{one}\n{one}", one]
+
+
+def test_html_of_deep_wide_and_long_pages(spark):
+    for html, least in (("<ul>" + "<li>one two three" * 100_000, 100_000), ("<div>" * 60_000 + "text", 60_000), ("<blockquote>" * 60_000 + "text", 60_000), ("<p>" + "word " * 400_000, 2), ("<a " * 40_000, 1)):
+        began = time.process_time()
+        nodes = html_nodes.parse(html)
+        x, parent = html_nodes.features(nodes)
+        html_extract.decode(x[:, 3] - 1, parent)
+        assert len(nodes) >= least and time.process_time() - began < 20  # growth with the square would take hours
+    assert extracted(spark, "<article><p>" + "A sentence of some words, and more. " * 60_000)[0].count("sentence") == 60_000
+
+
 def test_html_on_held_out_layouts():
     trees, made, right, leaves = html_extract.learned(), html_nodes.MadeUpPages(4711), 0, 0
     for _ in range(60):
-        nodes = html_nodes.parse(made.page())
+        nodes = html_nodes.parse(made.page(), marked=True)
         x, parent = html_nodes.features(nodes)
         y, kept = html_nodes.golden(nodes, parent), html_extract.decode(trees.logits(x), parent)
         assert all(kept[p] for p, k in zip(parent, kept, strict=True) if k and p >= 0)
