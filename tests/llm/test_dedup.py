@@ -3,6 +3,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 
 from brindle.llm import embedding_dedup as emb
 from brindle.llm import exact_dedup, jaccard_join
@@ -173,6 +174,50 @@ def test_embeddings(spark, monkeypatch):
     assert emb.embedding_components(df.limit(0)).collect() == []
 
 
+def test_embeddings_in_many_cells_and_blocks(spark, monkeypatch):
+    for name, value in {"BLOCK": 30, "CELL": 60, "CHUNK": 70, "MOST_CENTROIDS": 3, "SEEN": 10}.items():
+        monkeypatch.setattr(emb, name, value)
+    r = np.random.default_rng(3)
+    centres = r.standard_normal((40, 8))
+    rows = [(i, (centres[i % 40] + 0.1 * r.standard_normal(8)).tolist()) for i in range(400)]
+    rows += [(500 + i, (centres[0] + 0.05 * r.standard_normal(8)).tolist()) for i in range(150)]  # a crowd of several blocks
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {x.vec_id: (x.n_links, x.component_id) for x in emb.embedding_components(df).collect()}
+    want = brute_vectors(sorted(rows), 0.95)
+    assert np.mean([min(got[d][0], want[d][0]) / max(got[d][0], want[d][0], 1) if want[d][0] else got[d][0] == 0 for d in want]) > 0.98
+    assert all(got[d][0] <= want[d][0] for d in want)
+
+
+def test_audit_counts_and_fails_below_the_least_recall(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    base = r.standard_normal((30, 8))
+    rows = [(i, (base[i % 30] + 0.01 * r.standard_normal(8)).tolist()) for i in range(90)]
+    rows += [(100 + i, rows[0][1]) for i in range(5)]
+    classes = emb.vector_classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    true = emb.true_counts(classes, 8)
+    want = brute_vectors(sorted(rows), 0.95)
+    assert len(true) == 90 and all(n == want[c][0] - (5 if c == 0 else 0) for c, n in true.items())
+    half = spark.createDataFrame([(c, n // 2) for c, n in true.items()], "cls long, n long")
+    assert 0.4 < emb.audited_recall(half, true) < 0.6 and emb.audited_recall(half, {}) == 1.0
+    widths = []
+
+    def poor(s, classes, count, width, more, least):
+        widths.append(more)
+        return half, classes.select("cls")
+
+    monkeypatch.setattr(emb, "_links", poor)
+    with pytest.raises(RuntimeError):
+        emb.near_links(None, classes)
+    assert widths == [1, 2, 4]
+
+
+def test_lists_stay_short_and_blocks_connected():
+    r = np.random.default_rng(7)
+    x = emb.unit([*(np.array([1.0, 0, 0]) + 0.01 * r.standard_normal((150, 3))), *r.standard_normal((50, 3))])
+    lists = emb.build(x, 4)
+    assert max(map(len, lists)) <= 2 * 4 + 20 and set(emb._roots(200, *np.array([(i, j) for i, v in enumerate(lists) for j in v]).T)) == {0}
+
+
 def test_robust_prune_keeps_one_of_a_tight_bunch():
     x = emb.unit([[1, 0], [0.9, 0.1], [0.9, 0.11], [-1, 0.5]])
     sim = x[1:] @ x[1:].T
