@@ -1,3 +1,4 @@
+import bisect
 import collections
 import hashlib
 import math
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from brindle.llm import html_extract, html_nodes, language_id, language_model, packing, pii, quality
+from brindle.llm.common import Scratch
 from brindle.llm.bpe import ForcedBoundaryBPE, decode_ids, encode_digest, encode_ids
 from brindle.llm.registry import vocabulary
 from tests.conftest import SF
@@ -84,17 +86,50 @@ def test_packing(spark, library):
         assert len(sequences) <= max(least * 11 / 9 + 1, sum(r.length > capacity / 2 for r in rows) + 1)
 
 
-def test_sweeps_place_every_rank_once():
+def best_fit(lengths, capacity):
+    """Sizes of the sequences of best fit decreasing, one document after another."""
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        i = bisect.bisect_left(gaps, n)
+        left = gaps.pop(i) - n if i < len(gaps) else capacity - n
+        bisect.insort(gaps, left)
+    return sorted(gaps)
+
+
+def filled(places, counts, capacity):
+    fill, placed = collections.Counter(), collections.Counter()
+    for length, low, high, first, each, used in places:
+        placed[length] += high - low
+        for rank in range(low, high):
+            assert fill[first + (rank - low) // each] == used + (rank - low) % each * length
+            fill[first + (rank - low) // each] += length
+    assert placed == counts and max(fill.values()) <= capacity
+    return fill
+
+
+def test_one_sweep_is_best_fit():
     r = np.random.default_rng(8)
     for capacity in (7, 100, 2048):
-        counts = dict(collections.Counter(r.integers(1, capacity, 3000).tolist()))
-        places, opened = packing.sweeps(counts, capacity)
-        fill, placed = collections.Counter(), collections.Counter()
-        for length, low, high, first, each, used in places:
-            placed[length] += high - low
-            for rank in range(low, high):
-                fill[first + (rank - low) // each] += length
-        assert placed == counts and max(fill.values()) <= capacity and len(fill) == opened
+        lengths = r.integers(1, capacity, 3000).tolist() + [capacity // 3] * 500
+        counts = collections.Counter(lengths)
+        places, gaps = packing.sweep([(n, 0, k) for n, k in counts.items()], [], capacity, 0)
+        fill = filled(places, counts, capacity)
+        assert sorted(capacity - f for f in fill.values()) == best_fit(lengths, capacity)
+        assert sorted(size for size, _, many in gaps for _ in range(many)) == [g for g in best_fit(lengths, capacity) if g]
+
+
+def test_rounds_in_lanes(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    lengths = np.concatenate([r.integers(1, 2048, 2000), r.integers(1, 300, 6000), np.full(3000, 77)]).tolist()
+    counts = collections.Counter(lengths)
+    least = len(best_fit(lengths, 2048))
+    df = spark.createDataFrame(list(counts.items()), "length long, n long")
+    for documents in (50_000, 500):
+        monkeypatch.setattr(packing, "LANE_DOCUMENTS", documents)
+        with Scratch(spark) as s:
+            places = [tuple(x) for x in packing.rounds(s, df).select("length", "low", "high", "first", "each", "used").collect()]
+        fill = filled(sorted(places, key=lambda p: (-p[0], p[5])), counts, 2048)
+        assert len(fill) <= least * 1.02 + 2
 
 
 LUHN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
