@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.shingles import in_chunks
 
-#: Words whose encoding a task remembers at most; beyond it starts anew.
+#: Runs, and words, whose encoding a task remembers at most; beyond it starts anew.
 REMEMBERED = 250_000
 #: Bytes of text whose new words are encoded together.
 CHUNK_BYTES = 1 << 22
@@ -81,6 +81,7 @@ class ForcedBoundaryBPE:
             for x, y in zip(raw[:-1], raw[1:], strict=True):
                 self.joined[x, y] = True
         self.known: dict[str, bytes] = {}
+        self.word: dict[bytes, bytes] = {}
 
     def _find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         want = left.astype(np.int64) * self.width + right
@@ -155,26 +156,35 @@ class ForcedBoundaryBPE:
         chunk = unicodedata.normalize("NFC", chunk)
         return "".join(c.lower() for c in chunk) if "Σ" in chunk else chunk.lower()
 
+    def words_of(self, chunks: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """The words of all runs without white space, in order, and how many each run has."""
+        plain = [c if c.isascii() else self.normal(c) for c in chunks]
+        joined = "\n".join(plain)
+        joined = joined.lower() if joined.isascii() else "\n".join([c.lower() if c.isascii() else c for c in plain])
+        if _ODD.search(joined):
+            found = [_WORD.findall(c) for c in joined.split("\n")]
+            return [w.encode() for f in found for w in f], np.fromiter(map(len, found), np.int64, len(found))
+        marked = (_WORD.sub(r"\g<0> ", joined) + "\n").encode()  # a space ends each word, a line feed each run
+        buf = np.frombuffer(marked, np.uint8)
+        ends = np.flatnonzero((buf == 32) | (buf == 10))
+        runs = np.flatnonzero(buf[ends] == 10)
+        return marked.split(), np.diff(runs, prepend=-1) - 1
+
     def learn(self, chunks: set[str]) -> None:
         """Encode and remember runs without white space."""
-        names, counts, words = [], [], []
-        for c in chunks:
-            found = _WORD.findall(self.normal(c))
-            names.append(c)
-            counts.append(len(found))
-            words += [w.encode() for w in found]
-        if not words:
-            self.known.update(dict.fromkeys(names, b""))
-            return
-        distinct = dict.fromkeys(words)
-        for i, w in enumerate(distinct):
-            distinct[w] = i
-        tokens, per = self.encode_words(list(distinct))
-        raw, ends = tokens.astype("<u4").tobytes(), (4 * np.cumsum(per)).tolist()
-        parts = [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        at = 0
-        for name, n in zip(names, counts, strict=True):
-            self.known[name] = parts[distinct[words[at]]] if n == 1 else b"".join(parts[distinct[w]] for w in words[at : at + n])
+        names = list(chunks)
+        words, counts = self.words_of(names)
+        if len(self.word) > REMEMBERED:
+            self.word.clear()
+        fresh = list(set(words) - self.word.keys())
+        if fresh:
+            tokens, per = self.encode_words(fresh)
+            raw, ends = tokens.astype("<u4").tobytes(), (4 * np.cumsum(per)).tolist()
+            self.word.update(zip(fresh, [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+        parts = list(map(self.word.__getitem__, words))
+        at, known = 0, self.known
+        for name, n in zip(names, counts.tolist(), strict=True):
+            known[name] = parts[at] if n == 1 else b"".join(parts[at : at + n])
             at += n
 
     def pieces(self, text: str) -> list[str]:
