@@ -2,33 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Word boundaries of ASCII words, whatever other letters stand beside them.
 WORD_START, WORD_END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 #: The same ahead of a name that may begin with a dollar sign, which is no letter of a word: then one must precede it.
 NAME_START = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+#: What marks matches and their groups; where a text has such characters they count as spaces.
+_MATCH, _GROUP, _END = "\x01", "\x02", "\x03"
+#: Numbers that are summed up at once.
+_STRETCH = 256
 
 
-def matches(text: Column, pattern: str, **groups: int) -> Column:
-    """Array of struct(at, *groups), in order; ``at`` is the offset of the match in characters, from 0.
+def record(**fields: Column) -> Column:
+    """A struct whose fields keep their names in lambdas too."""
+    return F.named_struct(*(x for name, value in fields.items() for x in (F.lit(name), value)))
 
-    Offsets follow from the lengths of the matches and of what lies between them.
+
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with columns that are worked out once: they come out of a generator, so no filter or projection that follows
+    is folded back into them, which would run their patterns again for each use."""
+    return rows.select("*", F.inline(F.array(record(**columns))))
+
+
+def running(numbers: Column) -> Column:
+    """For each number the sum of those ahead of it; in stretches, so the work doesn't grow with the square of their number."""
+    zero = F.array(F.lit(0))
+
+    def sums(x: Column) -> Column:
+        return F.aggregate(x, zero, lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+
+    def joined(local: Column) -> Column:
+        base = sums(F.transform(local, lambda x: F.element_at(x, -1)))
+        moved = F.zip_with(local, F.slice(base, F.lit(1), F.size(local)), lambda x, b: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda n: n + b))
+        return F.flatten(moved)
+
+    def whole(x: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / _STRETCH).cast("int"))
+        parts = F.transform(starts, lambda i: sums(F.slice(x, i * _STRETCH + 1, F.lit(_STRETCH))))
+        return F.when(F.size(x) > 0, let(parts, joined)).otherwise(F.array().cast("array<int>"))
+
+    return let(numbers, whole)
+
+
+def matches(text: Column, pattern: str, offsets: bool = True, **groups: int) -> Column:
+    """Array of struct(at, *groups), in order; ``at`` is the offset of the match in characters, from 0. Null without any.
+
+    The pattern runs once over the text: it marks its matches and their groups, and what lies between the marks is cut
+    apart. Without ``offsets`` there is no ``at``.
     """
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    # Lambdas hold nothing but their variables, so each pattern runs once over the text, not once for each match.
-    lengths = F.arrays_zip(
-        F.transform(F.split(text, pattern, -1), F.char_length).alias("gap"), F.transform(whole, F.char_length).alias("own"))
-    first = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("end")))
+    clean = F.when(text.rlike("[\x01-\x03]"), F.translate(text, _MATCH + _GROUP + _END, "   ")).otherwise(text)
+    marked = F.regexp_replace(clean, pattern, _MATCH + "".join(f"${n}{_GROUP}" for n in groups.values()) + (f"$0{_END}" if offsets else ""))
+
+    def one(piece: Column) -> Column:
+        parts = F.split(piece, f"[{_GROUP}{_END}]", -1)
+        found = {name: F.get(parts, F.lit(i)) for i, name in enumerate(groups)}
+        if offsets:
+            n = len(groups)
+            found |= {"own": F.char_length(F.get(parts, F.lit(n))), "gap": F.char_length(F.get(parts, F.lit(n + 1)))}
+        return record(**found)
 
-    def step(acc: Column, x: Column) -> Column:
-        at = F.element_at(acc, -1)["end"] + x["gap"]
-        return F.array_append(acc, F.struct(at.alias("at"), (at + F.coalesce(x["own"], F.lit(0))).alias("end")))
+    def cut(pieces: Column) -> Column:
+        found = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), one)
+        if offsets:
+            first = F.char_length(F.get(pieces, F.lit(0)))
+            found = let(found, lambda m: F.zip_with(m, running(F.transform(m, lambda x: x["own"] + x["gap"])), lambda x, at: record(
+                at=first + at, **{name: x[name] for name in groups})))
+        return F.when(F.size(pieces) > 1, found)
 
-    at = F.transform(F.slice(F.aggregate(lengths, first, step), F.lit(2), F.size(whole)), lambda x: x["at"])
-    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(n)).alias(name) for name, n in groups.items()]
-    return F.when(F.size(whole) > 0, F.arrays_zip(at.alias("at"), *parts))
+    return let(F.split(marked, _MATCH, -1), cut)
 
 
 def around(text: Column, at: Column, before: int, after: int) -> Column:
@@ -37,4 +85,4 @@ def around(text: Column, at: Column, before: int, after: int) -> Column:
     return F.substring(text, start + 1, at - start + after)
 
 
-__all__ = ["NAME_START", "WORD_END", "WORD_START", "around", "matches"]
+__all__ = ["NAME_START", "WORD_END", "WORD_START", "around", "let", "matches", "once", "record", "running"]

@@ -43,9 +43,9 @@ def url_confidence(url: Column, kind: Column, rooted: str = "high", absolute: st
 
 
 def path_params(url: Column) -> Column:
-    """Placeholders first, then segments that begin with a colon."""
-    braces = F.regexp_extract_all(url, F.lit(r"\$\{([A-Za-z_$][A-Za-z0-9_$.]*)\}"), F.lit(1))
-    colons = F.regexp_extract_all(url, F.lit(r"/:([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))
+    """Placeholders of a name or a member first, then names behind a colon."""
+    braces = F.regexp_extract_all(url, F.lit(r"\$\{([A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)?)\}"), F.lit(1))
+    colons = F.regexp_extract_all(url, F.lit(r":([A-Za-z_$][A-Za-z0-9_$]*)"), F.lit(1))
     return F.concat(braces, colons)
 
 
@@ -86,10 +86,16 @@ def asset_type(url: Column) -> Column:
 
 
 def chunk_name(url: Column) -> Column:
-    """File name without hash and extension; null if nothing is left."""
-    name = F.element_at(F.split(F.substring_index(url, "?", 1), "/"), -1)
-    bare = F.regexp_replace(F.regexp_replace(name, r"\.(?:m?js|css|map)\z", ""), r"[.-][0-9a-fA-F]{6,}\z", "")
-    return F.nullif(bare, F.lit(""))
+    """File name without its extension and a hash ahead of that; null without a file name."""
+    parts = F.filter(F.split(url, "[/?#]"), lambda x: x != "")
+    name = F.get(parts, F.size(parts) - 1)
+    return F.regexp_replace(F.regexp_replace(name, r"(?i)\.[a-f0-9]{6,}(?=\.(?:m?js|css|map)\z)", ""), r"(?i)\.(?:m?js|css|map)\z", "")
 
 
-__all__ = ["asset_type", "chunk_name", "host", "is_asset_url", "is_base_url", "is_request_url", "joined_url", "normal_base", "path_params", "query_params", "url_confidence", "url_kind"]
+def pathname(url: Column) -> Column:
+    """Path of an absolute url, ``/`` if it has none; null of others."""
+    path = F.try_parse_url(url, F.lit("PATH"))
+    return F.when(F.try_parse_url(url, F.lit("HOST")).isNotNull(), F.when(F.coalesce(path, F.lit("")) == "", "/").otherwise(path))
+
+
+__all__ = ["asset_type", "chunk_name", "host", "is_asset_url", "is_base_url", "is_request_url", "joined_url", "normal_base", "path_params", "pathname", "query_params", "url_confidence", "url_kind"]

@@ -1,149 +1,274 @@
 """Call sites of HTTP clients whose urls are built from constants, and what belongs to them.
 
-Scripts are not parsed into trees: call sites, constants and settings are matched as texts in each row, and everything
-after that is relational. Constants of a script form a map; an argument is a chain of quoted parts and names joined by
-``+``, and a name without a constant stays as a placeholder.
+Scripts are not parsed into trees: calls, constants and settings are matched as texts in each row, comments left out, and
+everything after that is relational. Constants of a script form a map; an argument is a chain of quoted parts, names and
+calls joined by ``+``, and a name without a constant stays as a placeholder. Arguments and the settings of objects are cut
+at their own commas: brackets inside are followed ``DEPTH`` deep.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brindle.functions.matches import WORD_START, matches
-from brindle.functions.urls import is_request_url, joined_url, url_confidence, url_kind
+from brindle.functions.matches import WORD_START, let, matches, once, record
+from brindle.functions.urls import asset_type, is_request_url, joined_url, path_params, query_params, url_confidence, url_kind
 from brindle.operators.order import first_wins
+from brindle.operators.scan import auth_signals
 
-_PART = r"(?:\"[^\"\r\n]*\"|'[^'\r\n]*'|`[^`\r\n]*`|[A-Za-z_$][A-Za-z0-9_$.]*)"
-_CHAIN = _PART + r"(?:\s*\+\s*" + _PART + r")*"
-#: Quoted texts and comments, whose braces and commas don't count. Loops are possessive: no backtracking, no deep stack.
+#: Quoted texts and comments, whose brackets and commas don't count. Loops are possessive: no backtracking, no deep stack.
 _QUOTED = r"(?:\"(?:[^\"\\\r\n]++|\\[\s\S])*+\"|'(?:[^'\\\r\n]++|\\[\s\S])*+'|`(?:[^`\\]++|\\[\s\S])*+`)"
 _COMMENT = r"(?://[^\r\n]*+|/\*[\s\S]*?\*/)"
-#: Braces inside an object's own that are followed.
+#: Brackets inside an argument's own that are followed.
 DEPTH = 12
 
 
-def _inside(depth: int) -> str:
-    """What stands in braces; in it up to ``depth`` more levels of them."""
+def _inside(depth: int, outer: str = "") -> str:
+    """What stands in brackets, ``outer`` excepted; in it up to ``depth`` more levels of them."""
     body = ""
     for n in range(depth + 1):
-        nested = r"|\{" + body + r"\}" if n else ""
-        body = r"(?:[^{}\"'`/]++|" + _QUOTED + "|" + _COMMENT + r"|[\"'`/]" + nested + ")*+"
+        nested = r"|[({\[]" + body + r"[)}\]]" if n else ""
+        body = r"(?:[^(){}\[\]\"'`" + (outer if n == depth else "") + "]++|" + _QUOTED + r"|[\"'`]" + nested + ")*+"
     return body
 
 
-#: An object's settings, up to its closing brace, without moving past them: calls inside are matched too.
-_SETTINGS = "(?=(" + _inside(DEPTH) + "))"
-_NESTED = "(" + _QUOTED + ")|" + _COMMENT + r"|\{" + _inside(DEPTH - 1) + r"\}"
-VERBS = "get|post|put|patch|delete|head|options"
-CONSTANT = WORD_START + r"(?:const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*=\s*(" + _CHAIN + r")\s*(?:;|,|\r?\n|\z)"
-#: A client's alias: made by create(), or another name of a client.
-ALIAS = WORD_START + r"(?:const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*=\s*(?:axios\.create\s*\(|axios\s*(?:;|\r?\n|\z))"
-XHR = WORD_START + r"(?:const|let|var)?\s*([A-Za-z_$][A-Za-z0-9_$]*)\s*=\s*new\s+XMLHttpRequest\b"
-#: Rounds in which constants are resolved in each other.
+_ALL = _inside(DEPTH)
+#: One argument, or one setting of an object.
+_ITEM = _inside(DEPTH, ",")
+_NESTED = r"[({\[]" + _inside(DEPTH - 1) + r"[)}\]]"
+_NAME = r"[A-Za-z_$][A-Za-z0-9_$]*+"
+_NAMES = _NAME + r"(?:\." + _NAME + r")*+"
+_PART = "(?:" + _QUOTED + "|" + _NAMES + r"(?:\(" + _inside(3) + r"\))?+|[0-9]++)"
+_CHAIN = _PART + r"(?:\s*+\+\s*+" + _PART + r")*+"
+VERBS = ("get", "post", "put", "patch", "delete", "head", "options")
+#: A type between a name and its value, and what a default stands behind.
+_TYPED, _DEFAULT = r"(?:\s*:\s*[A-Za-z_$][A-Za-z0-9_$<>\[\]|. ]*?)?", r"(?:[A-Za-z_$][A-Za-z0-9_$.]*\s*(?:\|\||\?\?)\s*)?"
+_DECLARED = WORD_START + r"(?:const|let|var)\s+(" + _NAME + ")"
+CONSTANT = _DECLARED + _TYPED + r"\s*=\s*" + _DEFAULT + "(" + _CHAIN + r")\s*(?:;|,|\r?\n|\z)"
+#: Another name of a client: made by create(), or the name itself, maybe of another alias.
+ALIAS = _DECLARED + r"\s*=\s*(axios\.create(?=\s*\()|" + _NAME + r"(?=\s*(?:;|,|\r?\n|\z)))"
+XHR = r"(?<![A-Za-z0-9_$.])(" + _NAME + r")\s*=\s*new\s+XMLHttpRequest\b"
+_MEMBERS = "|".join((*VERBS, "request", "ajax", "open", "setRequestHeader"))
+#: Calls that may be a client's: bare name, object and member, or name ahead of an object; and their arguments, without moving past them.
+CALL = (r"(?<![A-Za-z0-9_$.])(?:(fetch|axios)|(" + _NAME + r")\.(?i:(" + _MEMBERS + r"))|(" + _NAME + r")(?=\s*\(\s*\{))\s*+(?:<[^<>()]*+>)?\((?=(" + _ALL + "))")
+#: Rounds in which constants are resolved in each other, and hops from alias to alias.
 ROUNDS = 5
+_NO_NAMES = "array<string>"
+_PARAM = "array<struct<name:string,location:string,source:string>>"
+
+
+def without_comments(text: Column) -> Column:
+    return F.when(text.rlike("/[/*]"), F.regexp_replace(text, "(" + _QUOTED + ")|" + _COMMENT, "$1")).otherwise(text)
 
 
 def value_of(chain: Column, names: Column) -> Column:
-    """A chain of quoted parts and names as one text."""
-    parts = F.regexp_extract_all(chain, F.lit(_PART), F.lit(0))
+    """A chain of quoted parts, names and calls as one text; null if it is anything else."""
+    held = lambda name: F.coalesce(F.try_element_at(names, name), F.concat(F.lit("${"), name, F.lit("}")))
+
+    def filled(template: Column) -> Column:
+        """A template with its names filled in."""
+        pieces = F.regexp_extract_all(template, F.lit(r"\$\{[^{}]*\}|[^$]+|\$"), F.lit(0))
+        return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\$\{\s*" + _NAMES + r"\s*\}\z"), held(F.trim(F.substring(p, F.lit(3), F.char_length(p) - 3)))).otherwise(p)), "")
 
     def one(p: Column) -> Column:
-        quoted = p.rlike("^[\"'`]")
-        return F.when(quoted, F.substring(p, F.lit(2), F.char_length(p) - 2)).otherwise(
-            F.coalesce(F.element_at(names, p), F.concat(F.lit("${"), p, F.lit("}"))))
+        bare = F.substring(p, F.lit(2), F.char_length(p) - 2)
+        plain = F.when(F.contains(bare, F.lit("\\")), F.regexp_replace(bare, r"\\(.)", "$1")).otherwise(bare)
+        return (F.when(p.rlike("^[\"']"), plain).when(F.startswith(p, F.lit("`")), F.when(F.contains(bare, F.lit("${")), filled(bare)).otherwise(plain))
+                .when(p.rlike("^[0-9]"), p).otherwise(held(F.regexp_extract(p, "^(" + _NAMES + ")", 1))))
 
-    return F.substring(F.array_join(F.transform(parts, one), ""), 1, 4096)
+    parts = F.regexp_extract_all(chain, F.lit(_PART), F.lit(0))
+    good = chain.rlike(r"\A\s*" + _CHAIN + r"\s*\z")
+    return F.when(good, F.substring(F.array_join(F.transform(parts, one), ""), 1, 4096))
 
 
 def with_constants(scripts: DataFrame, text: str = "content") -> DataFrame:
     """``names``: map of the script's constants; later definitions win, chains of constants are followed ``ROUNDS`` times."""
     content = F.coalesce(F.col(text), F.lit(""))
-    keys = F.regexp_extract_all(content, F.lit(CONSTANT), F.lit(1))
-    chains = F.regexp_extract_all(content, F.lit(CONSTANT), F.lit(2))
-    pairs = F.arrays_zip(keys.alias("k"), chains.alias("v"))
     none = F.array().cast("array<struct<k:string,v:string>>")
-    last = F.aggregate(pairs, none, lambda acc, p: F.array_append(F.filter(acc, lambda q: q["k"] != p["k"]), F.struct(p["k"].alias("k"), p["v"].alias("v"))))
+    found = F.coalesce(F.when(content.rlike(r"(?:const|let|var)\s"), matches(content, CONSTANT, offsets=False, k=1, v=2)), none)
+    last = F.aggregate(found, none, lambda acc, p: F.array_append(F.filter(acc, lambda q: q["k"] != p["k"]), p))
+    plain = r"\A(?:\"[^\"\\]*\"|'[^'\\]*')\z"
+    literal = lambda p: record(k=p["k"], v=F.substring(p["v"], F.lit(2), F.char_length(p["v"]) - 2))
+    rows = once(scripts, _pairs=last)
+    rows = once(rows, _known=F.transform(F.filter("_pairs", lambda p: p["v"].rlike(plain)), literal), _open=F.filter("_pairs", lambda p: ~p["v"].rlike(plain)))
 
     def again(acc: Column, _: Column) -> Column:
-        resolved = F.transform(acc["pairs"], lambda p: F.struct(p["k"].alias("k"), value_of(p["v"], acc["names"]).alias("v")))
-        names = F.map_from_entries(F.filter(resolved, lambda p: ~F.contains(p["v"], F.lit("${"))))
-        return F.struct(acc["pairs"].alias("pairs"), names.alias("names"))
+        resolved = F.transform(F.col("_open"), lambda p: record(k=p["k"], v=value_of(p["v"], acc)))
+        resolved = F.filter(resolved, lambda p: p["v"].isNotNull() & ~F.contains(p["v"], F.lit("${")))
+        return F.map_from_entries(F.concat(F.col("_known"), resolved))
+
+    turns = F.slice(F.sequence(F.lit(1), F.lit(ROUNDS)), F.lit(1), F.least(F.size("_open"), F.lit(ROUNDS)))
+    return once(rows, names=F.aggregate(turns, F.map_from_entries("_known"), again)).drop("_pairs", "_known", "_open")
+
+
+def client_names(text: Column) -> Column:
+    """Names of clients in a script: axios, what it made, and other names of these."""
+    found = F.coalesce(F.when(F.contains(text, F.lit("axios")), matches(text, ALIAS, offsets=False, k=1, v=2)), F.array().cast("array<struct<k:string,v:string>>"))
+    pairs = F.transform(found, lambda p: record(k=p["k"], v=F.when(p["v"] == "axios.create", "axios").otherwise(p["v"])))
+
+    def followed(pairs: Column) -> Column:
+        hop = lambda known, _: F.array_union(known, F.transform(F.filter(pairs, lambda p: F.array_contains(known, p["v"])), lambda p: p["k"]))
+        turns = F.slice(F.sequence(F.lit(1), F.lit(ROUNDS)), F.lit(1), F.least(F.size(pairs), F.lit(ROUNDS)))
+        return F.aggregate(turns, F.array(F.lit("axios")), hop)
+
+    return let(pairs, followed)
+
+
+def _argument(args: Column, k: int) -> Column:
+    return F.trim(F.regexp_extract(args, r"\A(?:" + _ITEM + r",){" + str(k) + "}(" + _ITEM + ")", 1))
+
+
+def _object(value: Column) -> Column:
+    """What stands in the braces of a value that is an object; else null."""
+    return F.nullif(F.regexp_extract(value, r"\A\s*\{\s*(" + _ALL + r")\}\s*\z", 1), F.lit(""))
+
+
+def entries(settings: Column) -> Column:
+    """Array of struct(key, value) of an object's own settings, in order; methods and spreads are none. Null for null."""
+    item = r"(?:\A|\G,)\s*+(?:(?:(" + _NAME + r")|\"([^\"\r\n]*+)\"|'([^'\r\n]*+)'|([0-9]++))\s*+:)?+(" + _ITEM + ")"
+    found = matches(settings, item, offsets=False, a=1, b=2, c=3, d=4, value=5)
+    named = F.transform(found, lambda e: record(key=F.concat(e["a"], e["b"], e["c"], e["d"]), value=F.trim(e["value"])))
+    short = F.transform(named, lambda e: F.when((e["key"] == "") & e["value"].rlike(r"\A" + _NAME + r"\z"), record(key=e["value"], value=e["value"])).otherwise(e))
+    return F.filter(short, lambda e: e["key"] != "")
 
-    start = F.struct(last.alias("pairs"), F.create_map().cast("map<string,string>").alias("names"))
-    return scripts.withColumn("names", F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, again, lambda acc: acc["names"]))
 
+def _keys(value: Column) -> Column:
+    """Keys of a value that is an object."""
+    return F.coalesce(F.transform(entries(_object(value)), lambda e: e["key"]), F.array().cast(_NO_NAMES))
 
-def _setting(settings: Column, names: str, value: str) -> Column:
-    """The first value of that form of an object's own settings of these names; null if there is none."""
-    own = F.regexp_replace(settings, _NESTED, "$1")
-    return F.nullif(F.regexp_extract(own, r"(?:\A|,)\s*[\"']?(?:" + names + r")[\"']?\s*:\s*" + value, 1), F.lit(""))
 
+def written_keys(value: Column) -> Column:
+    """Keys in a JSON text that a value spells from quoted parts, at its own level or in a call that serialises it."""
+    call = F.regexp_extract(value, r"\A" + _NAMES + r"\.(?:stringify|parseForm|formSerialize)\((" + _ALL + r")\)\z", 1)
+    spelled = F.regexp_replace(F.when(call != "", call).otherwise(value), "(" + _QUOTED + ")|" + _NESTED, "$1")
+    parts = F.regexp_extract_all(F.when(~F.startswith(value, F.lit("{")), spelled), F.lit(_QUOTED), F.lit(0))
+    text = F.regexp_replace(F.array_join(F.transform(parts, lambda p: F.substring(p, F.lit(2), F.char_length(p) - 2)), ""), r"\\(.)", "$1")
+    return F.coalesce(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\"']([A-Za-z_$][A-Za-z0-9_$.-]*)[\"']\s*:"), F.lit(1))), F.array().cast(_NO_NAMES))
 
-def _calls(rows: DataFrame, source: Column, pattern: str, n: int, **groups: int) -> DataFrame:
-    found = rows.withColumn("_m", matches(F.col("_t"), pattern, **groups)).select("*", F.posexplode("_m").alias("pos", "m"))
-    return found.withColumn("ord", F.lit(n) * 1_000_000 + F.col("m.at")).withColumn("source", source)
+
+def value_name(value: Column) -> Column:
+    """Name of a value that is a name or a call of one, as an array; empty for others."""
+    name = F.regexp_extract(value, r"\A(?!(?:true|false|null|this)(?![A-Za-z0-9_$]))(" + _NAMES + r")(?:\(" + _ALL + r"\))?+\z", 1)
+    shown = F.when(F.endswith(value, F.lit(")")), F.concat(name, F.lit("()"))).otherwise(name)
+    return F.when(F.coalesce(name, F.lit("")) != "", F.array(shown)).otherwise(F.array().cast(_NO_NAMES))
+
+
+def _params(names: Column, location: Column | str, source: str) -> Column:
+    where = F.lit(location) if isinstance(location, str) else location
+    return F.transform(F.coalesce(names, F.array().cast(_NO_NAMES)), lambda n: record(name=n, location=where, source=F.lit(source)))
+
+
+def _body(value: Column, location: Column | str = "body") -> Column:
+    return F.concat(_params(_keys(value), location, "object"), _params(written_keys(value), location, "json-string"), _params(value_name(value), location, "value"))
+
+
+def _calls(scripts: DataFrame, text: str) -> DataFrame:
+    """script_id, ord, object, member, family, names and the arguments of the calls of clients."""
+    rows = once(scripts.select("script_id", F.coalesce(F.col(text), F.lit("")).alias("_raw")), _t=without_comments(F.col("_raw"))).drop("_raw")
+    found = matches(F.col("_t"), CALL, offsets=False, bare=1, object=2, member=3, named=4, args=5)
+    xhr = F.when(F.contains("_t", F.lit("XMLHttpRequest")), F.regexp_extract_all("_t", F.lit(XHR), F.lit(1)))
+    rows = once(rows, _m=F.when(F.col("_t").rlike(r"fetch|axios|XMLHttpRequest|\$\.|jQuery"), found)).filter("_m is not null")
+    rows = once(with_constants(rows, "_t"), _client=client_names(F.col("_t")), _xhr=xhr).drop("_t")
+    rows = rows.select("script_id", "names", "_client", "_xhr", F.posexplode("_m").alias("ord", "m"))
+    member, thing = F.lower("m.member"), F.when(F.col("m.bare") != "", F.col("m.bare")).when(F.col("m.named") != "", F.col("m.named")).otherwise(F.col("m.object"))
+    jquery, client = F.col("m.object").isin("$", "jQuery"), F.array_contains("_client", F.col("object"))
+    own = F.coalesce(F.array_contains("_xhr", F.col("object")), F.lit(False))
+    family = (F.when(F.col("m.bare") == "fetch", "fetch").when(jquery & (member == "ajax"), "ajax").when(jquery & member.isin("get", "post"), "verb")
+              .when(client & member.isin(*VERBS), "verb").when(client & member.isin("", "request"), "config").when(own & (member == "open"), "open").when(own & (member == "setrequestheader"), "header"))
+    rows = once(once(rows, object=thing), family=family).filter("family is not null")
+    rows = rows.select("script_id", "ord", "names", "object", F.col("m.member").alias("member"), "family", F.col("m.args").alias("args"))
+    return once(rows, **{f"a{k + 1}": _argument(F.col("args"), k) for k in range(3)}).drop("args")
 
 
 def client_calls(scripts: DataFrame, text: str = "content") -> DataFrame:
-    """script_id, ord, source, method, url, kind, confidence: calls of fetch, jQuery, axios and its aliases, and XHR opens."""
-    rows = with_constants(scripts.withColumn("_t", F.coalesce(F.col(text), F.lit(""))), "_t")
-    rows = rows.withColumn("_alias", F.regexp_extract_all("_t", F.lit(ALIAS), F.lit(1))).withColumn("_xhr", F.regexp_extract_all("_t", F.lit(XHR), F.lit(1)))
-    rows = rows.select("script_id", "_t", "names", "_alias", "_xhr")
-    url, word = "(" + _CHAIN + ")", r"[\"'`]([A-Za-z]+)[\"'`]"
-    literal_method = _setting(F.col("m.config"), "method", word)
-    config_method = _setting(F.col("m.config"), "(?i:method|type)", word)
-    config_url = F.coalesce(_setting(F.col("m.config"), "url", url), F.lit(""))
-    parts = [
-        _calls(rows, F.lit("fetch"), WORD_START + r"(?<![.])fetch\s*\(\s*" + url + r"(?=(?:\s*,\s*\{" + _SETTINGS + ")?)", 0, chain=1, config=2).select(
-            "script_id", "ord", "source", "names", F.col("m.chain").alias("chain"), F.coalesce(literal_method, F.lit("GET")).alias("method")),
-        _calls(rows, F.lit("jquery.ajax"), r"(?<![A-Za-z0-9_$.])(?:\$|jQuery)\.ajax\s*\(\s*\{" + _SETTINGS, 1, config=1).select(
-            "script_id", "ord", "source", "names", config_url.alias("chain"), F.coalesce(config_method, F.lit("GET")).alias("method")),
-        _calls(rows, F.lit("jquery"), r"(?<![A-Za-z0-9_$.])(?:\$|jQuery)\.(get|post)\s*\(\s*" + url, 2, verb=1, chain=2).select(
-            "script_id", "ord", "source", "names", F.col("m.chain").alias("chain"), F.col("m.verb").alias("method")),
-        _calls(rows, F.concat(F.col("m.client"), F.lit("."), F.col("m.verb")), WORD_START + r"(?<![.$])([A-Za-z_][A-Za-z0-9_$]*)\.(" + VERBS + r")\s*\(\s*" + url, 3, client=1, verb=2, chain=3).filter(
-            (F.col("m.client") == "axios") | F.array_contains("_alias", F.col("m.client"))).select(
-            "script_id", "ord", "source", "names", F.col("m.chain").alias("chain"), F.col("m.verb").alias("method")),
-        _calls(rows, F.concat(F.col("m.client"), F.lit(".request")), WORD_START + r"(?<![.$])([A-Za-z_][A-Za-z0-9_$]*)(?:\.request)?\s*\(\s*\{" + _SETTINGS, 4, client=1, config=2).filter(
-            (F.col("m.client") == "axios") | F.array_contains("_alias", F.col("m.client"))).select(
-            "script_id", "ord", "source", "names", config_url.alias("chain"), config_method.alias("method")),
-        _calls(rows, F.lit("xhr"), WORD_START + r"([A-Za-z_$][A-Za-z0-9_$]*)\.open\s*\(\s*[\"'`]([A-Za-z]+)[\"'`]\s*,\s*" + url, 5, client=1, verb=2, chain=3).filter(
-            F.array_contains("_xhr", F.col("m.client"))).select(
-            "script_id", "ord", "source", "names", F.col("m.chain").alias("chain"), F.col("m.verb").alias("method")),
-    ]
-    calls = reduce(DataFrame.unionByName, parts).filter("chain <> ''").withColumn("url", value_of(F.col("chain"), F.col("names"))).drop("chain", "names")
-    calls = calls.filter(is_request_url(F.col("url"), templates=True)).withColumn("method", F.upper("method")).withColumn("kind", url_kind(F.col("url")))
-    calls = calls.filter("kind = 'api'").withColumn("confidence", url_confidence(F.col("url"), F.col("kind")))
-    return first_wins(calls, ["script_id", "method", "url", "source"], "ord")
+    """script_id, ord, source, method, url, kind, confidence, params (name, location, source), headers and auth (signals):
+    calls of fetch, jQuery, axios and its aliases, and opens of request objects; the first of each method, url and source
+    stays."""
+    rows = _calls(scripts, text)
+    family = F.col("family")
+    reads = F.upper("member").isin("GET", "HEAD")
+    settings = (F.when(family == "fetch", F.col("a2")).when(family.isin("ajax", "config"), F.col("a1"))
+                .when((family == "verb") & reads, F.col("a2")).when(family == "verb", F.col("a3")))
+    rows = once(once(rows, _s=_object(settings)), _e=entries(F.col("_s"))).drop("_s")
+    hit = lambda *keys: F.get(F.reverse(F.filter("_e", lambda e: F.lower(e["key"]).isin(*keys))), F.lit(0))["value"]
+    exact = lambda key: F.get(F.reverse(F.filter("_e", lambda e: e["key"] == key)), F.lit(0))["value"]
+    rows = once(
+        rows,
+        _url=F.when(family.isin("fetch", "verb", "header"), F.col("a1")).when(family == "open", F.col("a2")).when(F.col("_e").isNotNull(), exact("url")).when(family == "ajax", F.col("a1")),
+        _how=F.when(family == "open", F.col("a1")).when(family == "ajax", hit("method", "type")).when(family == "config", exact("method")).when(family == "fetch", hit("method")),
+        _query=hit("params", "query"), _data=hit("data", "body"), _named=hit("headers"), _sent=F.when((family == "verb") & ~reads, F.col("a2"))).drop("_e", "a1", "a2", "a3")
+    quoted = (family != "fetch") | F.col("_how").rlike("^[\"']")
+    rows = once(rows, url=value_of(F.col("_url"), F.col("names")), _method=F.when(quoted, value_of(F.col("_how"), F.col("names")))).drop("names", "_url", "_how")
+    rows = rows.filter((family == "header") | is_request_url(F.col("url"), templates=True)).filter("url <> ''")
+    default = F.when(family.isin("fetch", "ajax"), "GET")
+    method = F.upper(F.when(family == "verb", F.col("member")).otherwise(F.coalesce("_method", default)))
+    source = F.when(F.col("member") == "", F.col("object")).otherwise(F.concat_ws(".", "object", "member"))
+    rows = once(rows, source=source, method=method, _set=_keys(F.col("_named")), _data_keys=_keys(F.col("_data")))
+    spelled = F.when(family.isin("fetch", "verb", "open"), F.regexp_extract_all("url", F.lit(r"\$\{([A-Za-z0-9_$.]+)\}"), F.lit(1)))
+    where = F.when(F.col("method") == "GET", "query").otherwise("body")
+    params = F.concat(
+        _params(path_params(F.col("url")), "path", "url"), _params(query_params(F.col("url")), "query", "url"), _params(spelled, "path", "expression"), _body(F.col("_sent")),
+        _params(_keys(F.col("_query")), "query", "object"), _body(F.col("_data")), _params(F.col("_set"), "header", "object"),
+        _params(F.when(family == "ajax", F.col("_data_keys")), where, "object"))
+    rows = once(
+        rows, params=F.when(family != "header", F.array_distinct(params)), headers=F.when(family != "header", F.col("_set")),
+        _key=F.when(family.isin("open", "header"), F.col("object")), header=F.when(family == "header", F.col("url")), _open=F.when(family == "open", F.col("url")))
+    rows = rows.select("script_id", "ord", "family", "source", "method", "url", "params", "headers", "_key", "header", "_open").repartition("script_id")  # all that follows is within a script
+    rows = _headers_upto(rows, ["script_id", "_key"], "_open", "_more").filter("family <> 'header'")
+    late = F.when(F.col("family") == "open", F.col("_more")).otherwise(F.array().cast(_NO_NAMES))
+    rows = rows.withColumn("headers", F.array_distinct(F.concat("headers", late)))
+    rows = once(rows, kind=url_kind(F.col("url")), auth=auth_signals(F.col("headers"), F.col("url"), more=F.col("headers")))
+    rows = rows.filter("kind = 'api'").withColumn("confidence", url_confidence(F.col("url"), F.col("kind")))
+    return first_wins(rows, ["script_id", "method", "url", "source"], "ord").select("script_id", "ord", "source", "method", "url", "kind", "confidence", "params", "headers", "auth")
+
+
+def call_params(calls: DataFrame) -> DataFrame:
+    """script_id, api, name, location, source: a row for each parameter; the first of each location, api and name stays.
+
+    Headers that are set on request objects belong to no api.
+    """
+    rows = calls.select("script_id", "ord", F.col("url").alias("api"), F.posexplode("params").alias("pos", "p")).select("script_id", "ord", "pos", "api", "p.*")
+    opened = calls.filter(F.endswith("source", F.lit(".open")))
+    setter = F.concat(F.substring_index("source", ".", 1), F.lit(".setRequestHeader"))
+    rows = rows.unionByName(opened.select(
+        "script_id", "ord", setter.alias("source"), F.posexplode("headers").alias("pos", "name")).select("*", F.lit(None).cast("string").alias("api"), F.lit("header").alias("location")))
+    return first_wins(rows, ["script_id", "location", "api", "name"], ["ord", "pos"]).drop("ord", "pos")
+
+
+def call_auth(calls: DataFrame) -> DataFrame:
+    """script_id, auth: each signal of a script once, in the order of its calls."""
+    rows = calls.select("script_id", "ord", F.posexplode("auth").alias("pos", "signal"))
+    rows = rows.groupBy("script_id", "signal").agg(F.min(F.struct("ord", "pos")).alias("at"))
+    return rows.groupBy("script_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "signal"))), lambda x: x["signal"]).alias("auth"))
+
+
+def _headers_upto(events: DataFrame, keys: list[str], opened: str, name: str) -> DataFrame:
+    """``name``: of each row that opens, the headers set before it and those set after it up to the next open, in order."""
+    w = Window.partitionBy(*keys).orderBy("ord")
+    rows = events.withColumn("_g", F.count(opened).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_before", F.collect_list("header").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    own = Window.partitionBy(*keys, "_g").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("_own", F.collect_list("header").over(own))
+    return rows.withColumn(name, F.array_distinct(F.concat("_before", "_own"))).drop("_g", "_before", "_own")
 
 
 def headers_of_opens(events: DataFrame, keys: list[str]) -> DataFrame:
-    """``headers`` of each open call of a request object, in order-sensitive (as-of) fashion.
+    """``headers`` of each open call of a request object, in order-sensitive (as-of) fashion, in the order in which they are set.
 
     ``events``: ``keys`` (script and object), ord, url (of an open, else null), header (else null). An open gets every
     header set before it, and those set after it up to the next open.
     """
-    w = Window.partitionBy(*keys).orderBy("ord")
-    rows = events.withColumn("_g", F.count("url").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    upto = Window.partitionBy(*keys).orderBy("_g").rangeBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("headers", F.array_sort(F.collect_set("header").over(upto)))
-    return rows.filter("url is not null").drop("_g", "header")
+    return _headers_upto(events, keys, "url", "headers").filter("url is not null").drop("header")
 
 
 def xhr_events(scripts: DataFrame, text: str = "content") -> DataFrame:
     """script_id, object, ord, url, method, header: opens and headers of request objects, in page order."""
-    content = F.coalesce(F.col(text), F.lit(""))
-    opened = matches(content, WORD_START + r"([A-Za-z_$][A-Za-z0-9_$]*)\.open\s*\(\s*[\"'`]([A-Za-z]+)[\"'`]\s*,\s*[\"'`]([^\"'`\r\n]+)[\"'`]", object=1, method=2, url=3)
-    named = matches(content, WORD_START + r"([A-Za-z_$][A-Za-z0-9_$]*)\.setRequestHeader\s*\(\s*[\"'`]([^\"'`\r\n]+)[\"'`]", object=1, header=2)
-    known = F.regexp_extract_all(content, F.lit(XHR), F.lit(1))
-    one = scripts.select("script_id", known.alias("k"), F.explode(opened).alias("m")).select(
-        "script_id", "k", F.col("m.object").alias("object"), F.col("m.at").alias("ord"), F.col("m.url").alias("url"), F.upper("m.method").alias("method"), F.lit(None).cast("string").alias("header"))
-    two = scripts.select("script_id", known.alias("k"), F.explode(named).alias("m")).select(
-        "script_id", "k", F.col("m.object").alias("object"), F.col("m.at").alias("ord"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("method"), F.col("m.header").alias("header"))
-    return one.unionByName(two).filter(F.array_contains("k", F.col("object"))).drop("k")
+    rows = _calls(scripts, text).filter("family in ('open', 'header')")
+    opened = F.col("family") == "open"
+    rows = rows.select("script_id", "object", "ord", F.when(opened, value_of(F.col("a2"), F.col("names"))).alias("url"),
+                       F.when(opened, F.upper(value_of(F.col("a1"), F.col("names")))).alias("method"), F.when(~opened, value_of(F.col("a1"), F.col("names"))).alias("header"))
+    return rows.filter("url is not null or header is not null")
 
 
 def with_base_url(apis: DataFrame, bases: DataFrame) -> DataFrame:
@@ -173,11 +298,9 @@ def chunk_assets(scripts: DataFrame, text: str = "content") -> DataFrame:
     rows = rows.select("script_id", "at", "m", F.posexplode(pairs).alias("pos", "e"))
     named = F.coalesce(F.col("m.slot"), F.lit("")) != ""
     url = F.concat("m.prefix", F.when(named, F.concat("e.k", F.coalesce("m.infix", F.lit("")))).otherwise(""), "e.h", "m.suffix")
-    from brindle.functions.urls import asset_type
-
     rows = rows.select("script_id", (F.col("at") * 100_000 + F.col("pos")).alias("ord"), url.alias("url"), F.col("e.k").alias("chunk_name"))
     shaped = F.col("url").rlike(r"(?i)\.(?:m?js|css)\z|(?:^|/)(?:assets?|static|chunks?)/")
     return first_wins(rows.filter(shaped).withColumn("type", asset_type(F.col("url"))), ["script_id", "type", "url", "chunk_name"], "ord")
 
 
-__all__ = ["chunk_assets", "client_calls", "headers_of_opens", "value_of", "with_base_url", "with_constants", "xhr_events"]
+__all__ = ["call_auth", "call_params", "chunk_assets", "client_calls", "client_names", "entries", "headers_of_opens", "value_name", "value_of", "with_base_url", "with_constants", "without_comments", "written_keys", "xhr_events"]

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from brindle.functions.matches import WORD_START, matches, once, record
 from brindle.functions.text import is_placeholder, redacted, squeezed, truncated
 from brindle.operators.order import capped, first_wins
 
 _JWT = r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
-_PRIVATE = r"10\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}|172\.(?:1[6-9]|2[0-9]|3[01])\.[0-9]{1,3}\.[0-9]{1,3}|192\.168\.[0-9]{1,3}\.[0-9]{1,3}"
 
 # Category, type, severity, confidence, pattern of values, pattern of names.
 FINDING_RULES = (
@@ -28,9 +31,9 @@ FINDING_RULES = (
     ("第三方配置", "tencent-cloud", "medium", 0.7, r"(?i)qcloud|tencentcloud|myqcloud\.com", r"(?i)qcloud|tencent"),
     ("调试信息", "source-map", "medium", 0.8, r"(?i)sourceMappingURL=.*\.map|\.js\.map|\.css\.map", None),
     ("调试信息", "debug-dev", "medium", 0.7, r"(?i)debug|devtools|sourceMap|__DEV__|localhost|webpackHotUpdate", r"(?i)debug|devtools|sourceMap|__DEV__"),
-    ("内网信息", "private-ip-or-host", "medium", 0.85, r"(?i)(?:https?://)?(?:" + _PRIVATE + r"|127\.0\.0\.1|localhost|\.local\b|\.corp\b|\.internal\b)", None),
+    ("内网信息", "private-ip-or-host", "medium", 0.85, r"(?i)(?:https?://)?(?:10\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}|172\.(?:1[6-9]|2[0-9]|3[01])\.[0-9]{1,3}\.[0-9]{1,3}|192\.168\.[0-9]{1,3}\.[0-9]{1,3}|127\.0\.0\.1|localhost|\.local\b|\.corp\b|\.internal\b)", None),
     ("路由信息", "dynamic-request-target", "medium", 0.55, None, r"(?i)callbackUrl|redirectUrl|targetUrl|returnUrl|nextUrl|webhook"),
-    ("JWT/OAuth", "jwt-oauth", "high", 0.8, r"(?i)" + _JWT + "|oauth|client_secret|client_id|authorization_code", r"(?i)jwt|oauth|clientSecret|clientId|authorization_code"),
+    ("JWT/OAuth", "jwt-oauth", "high", 0.8, r"(?i)" + _JWT + "|oauth|client_secret|client_id|authorization_code", r"(?i)jwt|oauth|clientSecret|clientId|authorization"),
     ("GraphQL", "graphql", "medium", 0.75, r"(?i)/graphql\b|query\s+[A-Za-z0-9_]*\s*\{|mutation\s+[A-Za-z0-9_]*\s*\{|__schema|gql`", r"(?i)graphql|gql|query|mutation"),
     ("路由信息", "sensitive-route", "medium", 0.7, r"(?i)/(?:admin|debug|internal|manage|system|console|actuator)(?:/|\z|\?)", r"(?i)admin|debug|internal|manage|system|console|actuator"),
 )
@@ -42,7 +45,10 @@ RISK_RULES = (
     ("destructive-api", r"(?i)/(?:delete|remove|destroy|drop|truncate)(?:[A-Z/?_-]|\z)"),
     ("export-api", r"(?i)/(?:export|download)(?:[A-Z/?_-]|\z)"),
 )
+# The rule over names of calls, what names a request and what makes its target dynamic.
 CALL_RULE = ("GraphQL", "graphql-client-call", "medium", 0.75, r"(?i)\b(?:graphql|gql|ApolloClient|useQuery|useMutation)\b")
+REQUEST_NAME = r"(?i)fetch|axios|request|open"
+DYNAMIC_TARGET = r"(?i)callback|redirect|returnurl|nexturl|target|webhook|location\.|document\.url|window\.name|searchParams|query"
 SOURCE_RANK = ("asset", "string", "identifier", "call", "risk", "api", "secret")
 MOST_VALUE, MOST_EVIDENCE = 1000, 2500
 
@@ -112,44 +118,148 @@ def ranked_findings(findings: DataFrame, **caps: int) -> DataFrame:
     return capped(rows, "script_id", order, **caps)
 
 
+FINDING = "script_id string, ord long, category string, type string, value string, severity string, confidence double, source string, evidence string"
+
+
 def soft_stop(rows: DataFrame, counts: str, most: int = 3000) -> DataFrame:
     """Rows of a script, in order, up to and with the one at which the running sum of ``counts`` reaches ``most``."""
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("script_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("_before", F.coalesce(F.sum(counts).over(w), F.lit(0))).filter(F.col("_before") < most).drop("_before")
 
 
+#: Findings come in this order: of apis, assets, secrets, risks, and of the text by place.
+_PHASE, _PLACE = 10**16, 10**5
+
+
+def _placed(phase: int, ord: Column, pos: Column | int = 0) -> Column:
+    return (F.lit(phase * _PHASE) + ord.cast("long") * _PLACE + (F.lit(pos) if isinstance(pos, int) else pos)).cast("long")
+
+
+def _finding(rows: DataFrame, ord: Column, category: Column | str, kind: Column | str, value: Column, severity: Column | str, confidence: Column, source: str, evidence: Column) -> DataFrame:
+    lit = lambda x: F.lit(x) if isinstance(x, str) else x
+    return rows.select(
+        "script_id", ord.alias("ord"), lit(category).alias("category"), lit(kind).alias("type"), value.alias("value"), lit(severity).alias("severity"),
+        confidence.cast("double").alias("confidence"), F.lit(source).alias("source"), evidence.alias("evidence"))
+
+
+def _ruled(rows: DataFrame, source: str | None = None) -> DataFrame:
+    """Findings of the rules that ``rows`` (script_id, ord, name, value, evidence) match, in the order of rules."""
+    found = matched_rules(rows).withColumn("ord", F.col("ord") + F.col("rule"))
+    return found.select("script_id", "ord", "category", "type", "value", "severity", F.col("confidence").cast("double").alias("confidence"), (F.lit(source) if source else F.col("source")).alias("source"), "evidence")
+
+
+def with_api_evidence(apis: DataFrame, scripts: DataFrame, text: str = "content") -> DataFrame:
+    """``found`` of each api: the text around the first place of its url, else of its resolved url; null without one.
+
+    The apis of a script meet its text as one list, so a text is sent once however many apis it has.
+    """
+    keyed = apis.groupBy("script_id").agg(F.collect_list(F.struct("ord", "url", "resolved_url")).alias("_apis"))
+    rows = scripts.select("script_id", F.coalesce(F.col(text), F.lit("")).alias("_t")).join(keyed, "script_id")
+    seen = lambda a: F.coalesce(snippet(F.col("_t"), a["url"]), snippet(F.col("_t"), a["resolved_url"]))
+    rows = rows.select("script_id", F.inline(F.transform("_apis", lambda a: record(ord=a["ord"], url=a["url"], found=seen(a))))).distinct()
+    return apis.join(rows, ["script_id", "ord", "url"], "left")
+
+
 def api_findings(apis: DataFrame) -> DataFrame:
-    """One finding for each api by its confidence."""
+    """Of each api (with resolved_url, params, headers and ``found``, see ``with_api_evidence``): one finding by its confidence,
+    then those of rules over its urls, and over the names of its parameters and headers."""
     sure = F.when(F.col("confidence") == "high", 0.9).when(F.col("confidence") == "medium", 0.7).otherwise(0.5)
-    return apis.select(
-        "script_id", "ord", F.lit("API 信息").alias("category"), F.lit("api-endpoint").alias("type"), F.col("url").alias("value"),
-        F.lit("medium").alias("severity"), sure.alias("confidence"), F.lit("api").alias("source"), F.col("url").alias("evidence"))
+    shown = F.coalesce("resolved_url", "url")
+    spelled = F.concat_ws(" ", F.coalesce("method", F.lit("GET")), shown)
+    one = _finding(apis, _placed(0, F.col("ord")), "API 信息", "api-endpoint", shown, "medium", sure, "api", F.coalesce("found", spelled))
+    none = F.lit(None).cast("string")
+    of_name = lambda n: record(name=n, value=none, evidence=F.concat_ws(":", "url", n))
+    names = F.transform(F.coalesce("params", F.array()), lambda p: p["name"])
+    asked = F.concat(
+        F.array(record(name=none, value=F.col("url"), evidence=F.col("url"))),
+        F.when(F.col("resolved_url").isNotNull(), F.array(record(name=none, value=F.col("resolved_url"), evidence=F.col("resolved_url")))).otherwise(F.array()),
+        F.transform(names, of_name), F.transform(F.coalesce("headers", F.array()), of_name))
+    rows = apis.select("script_id", F.col("ord").alias("_o"), F.posexplode(asked).alias("pos", "x")).select("script_id", _placed(0, F.col("_o"), (F.col("pos") + 1) * 50).alias("ord"), "x.*")
+    return one.unionByName(_ruled(rows, "api"))
 
 
 def asset_findings(assets: DataFrame) -> DataFrame:
-    return assets.select(
-        "script_id", "ord", F.lit("调试信息").alias("category"), F.lit("hidden-asset").alias("type"), F.col("url").alias("value"),
-        F.lit("low").alias("severity"), F.lit(0.85).alias("confidence"), F.lit("asset").alias("source"), F.col("url").alias("evidence"))
+    """One finding for each asset, then those of rules over its url and chunk name."""
+    one = _finding(assets, _placed(1, F.col("ord")), "webpack模块", "hidden-asset", F.col("url"), "low", F.lit(0.85), "asset", F.col("source"))
+    rows = assets.select("script_id", _placed(1, F.col("ord"), 50).alias("ord"), F.col("chunk_name").alias("name"), F.col("url").alias("value"), F.col("url").alias("evidence"))
+    return one.unionByName(_ruled(rows, "asset"))
+
+
+def secret_findings(secrets: DataFrame) -> DataFrame:
+    return _finding(secrets, _placed(2, F.col("ord")), secret_category(F.col("type")), F.col("type"), F.col("value"), F.col("severity"), F.coalesce("confidence", F.lit(0.75)), "secret", F.col("evidence"))
 
 
 def risk_findings(found: DataFrame) -> DataFrame:
-    return found.select(
-        "script_id", "ord", risk_category(F.col("type")).alias("category"), "type", F.col("evidence").alias("value"),
-        "severity", F.lit(0.7).alias("confidence"), F.lit("risk").alias("source"), "evidence")
+    """Findings of risks have no value."""
+    return _finding(found, _placed(3, F.col("ord")), risk_category(F.col("type")), F.col("type"), F.lit(None).cast("string"), F.col("severity"), F.lit(0.7), "risk", F.col("evidence"))
 
 
-def snippet(text: Column, value: Column, reach: int = 220, most: int = MOST_EVIDENCE) -> Column:
-    """``reach`` characters on both sides of the first occurrence of ``value``, dots where the text goes on; null without one."""
-    at, n = F.instr(text, value) - 1, F.char_length(text)
-    start, end = F.greatest(at - reach, F.lit(0)), F.least(at + F.char_length(value) + reach, n)
+_LITERAL = r"(?:\"((?:[^\"\\\r\n]|\\.)*+)\"|'((?:[^'\\\r\n]|\\.)*+)'|`([^`]*+)`)"
+#: Declared names and keys with the literal that follows, literals on their own, and names of calls with what their first argument begins with.
+_NAMED = WORD_START + r"(?:(?:const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)(?=\s*[=;,])|[\"']?([A-Za-z_$][A-Za-z0-9_$-]*)[\"']?\s*:)(?=(?:\s*=)?\s*(?:" + _LITERAL + ")?)"
+_CALLED = r"(?<![A-Za-z0-9_$.])(?!(?:if|for|while|switch|catch|function|return|typeof)(?![A-Za-z0-9_$]))([A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)*)\s*\((?=([^,()]{0,400}))"
+
+
+def text_findings(scripts: DataFrame, text: str = "content", most: int = 3000) -> DataFrame:
+    """Findings of rules over declared names, keys, literals and names of calls, by their place in the text.
+
+    After ``most`` findings of a script no further place is looked at.
+    """
+    content = F.col("_t")
+    rows = scripts.select("script_id", F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    none = F.array().cast("array<struct<at:int,kind:int,name:string,value:string>>")
+    whole = lambda m: F.coalesce(F.nullif(m["a"], F.lit("")), F.nullif(m["b"], F.lit("")), F.nullif(F.regexp_replace(m["c"], r"\$\{[^{}]*\}", r"\${value}"), F.lit("")))
+    named = F.transform(matches(content, _NAMED, x=1, y=2, a=3, b=4, c=5), lambda m: record(at=m["at"], kind=F.lit(0), name=F.concat(m["x"], m["y"]), value=whole(m)))
+    alone = F.transform(matches(content, _LITERAL, a=1, b=2, c=3), lambda m: record(at=m["at"], kind=F.lit(1), name=F.lit(None).cast("string"), value=F.concat(m["a"], m["b"], m["c"])))
+    called = F.transform(matches(content, _CALLED, name=1, value=2), lambda m: record(at=m["at"], kind=F.lit(2), name=m["name"], value=m["value"]))
+    rows = once(rows, _m=F.concat(*(F.coalesce(x, none) for x in (named, alone, called)))).filter(F.size("_m") > 0)
+    rows = rows.select("script_id", "_t", F.explode("_m").alias("m")).select("script_id", "_t", "m.*")
+    place = _placed(4, F.col("at"), F.col("kind") * 1000)
+    near = around_index(content, F.col("at"), F.char_length(F.coalesce("value", "name")))
+    plain = once(rows.filter("kind < 2 and coalesce(value, name, '') <> ''"), evidence=near).select("script_id", place.alias("ord"), "name", "value", "evidence", F.when(F.col("name").isNotNull(), "identifier").otherwise("string").alias("source"))
+    category, kind, severity, confidence, by_name = CALL_RULE
+    rows = rows.filter("kind = 2")
+    clients = _finding(rows.filter(F.col("name").rlike(by_name)), place, category, kind, F.col("name"), severity, F.lit(confidence), "call", F.concat(F.lit("call:"), "name"))
+    argument = F.regexp_replace(F.trim("value"), r"\"[^\"]*\"|'[^']*'", "StringLiteral")
+    target = F.col("name").rlike(REQUEST_NAME) & ~argument.rlike(r"^(?:StringLiteral$|\{)") & argument.rlike(DYNAMIC_TARGET)
+    dynamic = _finding(rows.filter(target), place + 1, "路由信息", "dynamic-request-target", F.lit(None).cast("string"), "medium", F.lit(0.55), "call", around_index(content, F.col("at"), F.char_length("name")))
+    found = _ruled(plain).unionByName(clients).unionByName(dynamic)
+    w = Window.partitionBy("script_id").orderBy(F.floor(F.col("ord") / 1000)).rangeBetween(Window.unboundedPreceding, -1)
+    return found.withColumn("_before", F.count(F.lit(1)).over(w)).filter(F.col("_before") < most).drop("_before")
+
+
+def all_findings(scripts: DataFrame, apis: DataFrame, assets: DataFrame, secrets: DataFrame, found_risks: DataFrame, text: str = "content", **caps: int) -> DataFrame:
+    """Findings of apis, assets, secrets, risks and the text, in this order, cut to size, distinct, ranked and capped."""
+    parts = [api_findings(with_api_evidence(apis, scripts, text)), asset_findings(assets), secret_findings(secrets), risk_findings(found_risks), text_findings(scripts, text)]
+    return ranked_findings(normal_findings(reduce(DataFrame.unionByName, parts)), **caps)
+
+
+def around_index(text: Column, at: Column, length: Column, reach: int = 220, most: int = MOST_EVIDENCE) -> Column:
+    """``reach`` characters on both sides of ``length`` ones from an offset, dots where the text goes on; cut to ``most``."""
+    n = F.char_length(text)
+    start, end = F.greatest(at - reach, F.lit(0)), F.least(at + F.greatest(length, F.lit(1)) + reach, n)
     cut = F.concat(F.when(start > 0, "...").otherwise(""), F.substring(text, start + 1, end - start), F.when(end < n, "...").otherwise(""))
-    return F.when((at >= 0) & (F.char_length(value) > 0), truncated(cut, most))
+    return F.when(F.char_length(cut) > most, F.concat(F.substring(cut, 1, most), F.lit("..."))).otherwise(cut)
+
+
+def snippet(text: Column, value: Column, reach: int = 220, most: int = MOST_EVIDENCE) -> Column:
+    """The text around the first occurrence of ``value``; null without one."""
+    at = F.instr(text, value) - 1
+    return F.when((at >= 0) & (F.char_length(value) > 0), around_index(text, at, F.char_length(value), reach, most))
+
+
+def lines_around(text: Column, line: Column, reach: int = 2, most: int = MOST_EVIDENCE, longest: int = 500) -> Column:
+    """Numbered lines from ``reach`` ahead of a line (from 1) to ``reach`` behind it; long ones are cut."""
+    lines = F.split(text, r"\r?\n", -1)
+    start = F.greatest(line - reach, F.lit(1))
+    shown = F.transform(F.slice(lines, start, reach + 1 + line - start), lambda t, i: F.concat((start + i).cast("string"), F.lit(": "), truncated(t, longest)))
+    return F.when(line > 0, F.substring(F.array_join(shown, "\n"), 1, most))
 
 
 def evidence_of(name: Column, value: Column) -> Column:
     return F.when(F.coalesce(name, F.lit("")) != "", F.concat(name, F.lit("="), redacted(value))).otherwise(redacted(value))
 
 
-__all__ = ["CALL_RULE", "FINDING_RULES", "RISK_RULES", "api_findings", "asset_findings", "evidence_of", "matched_rules", "normal_findings", "ranked_findings", "risk_category", "risk_findings", "risks", "secret_category", "severity_score", "snippet", "soft_stop", "source_rank"]
+__all__ = [
+    "CALL_RULE", "FINDING_RULES", "RISK_RULES", "all_findings", "api_findings", "around_index", "asset_findings", "evidence_of", "lines_around", "matched_rules", "normal_findings", "ranked_findings",
+    "risk_category", "risk_findings", "risks", "secret_category", "secret_findings", "severity_score", "snippet", "soft_stop", "source_rank", "text_findings", "with_api_evidence"]

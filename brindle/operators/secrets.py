@@ -6,9 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brindle.functions.matches import around, matches
-from brindle.functions.text import clamped
-
+from brindle.functions.matches import matches, once, record
+from brindle.functions.text import clamped, truncated
+from brindle.operators.order import first_wins
+from brindle.operators.rules import around_index
+
+# Names of headers that a context may hold, and what defines a function on a line.
+HEADERS = ("Authorization", "X-Token", "JWT", "Bearer")
+FUNCTION = r"function\s+([A-Za-z_$][A-Za-z0-9_$]*)|(?:const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*=\s*(?:async\s*)?\("
+# What is taken out of a text ahead of a review, in this order.
+HIDDEN = (
+    (r"(?i)Bearer\s+[A-Za-z0-9._~+/=-]{8,}", "Bearer [REDACTED]"), (r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", "[AWS_KEY_REDACTED]"),
+    (r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "[JWT_REDACTED]"),
+    (r'(?i)("(?:value|password|passwd|pwd|token|secret|apiKey|api_key|accessKey|access_key|secretKey|secret_key)"\s*:\s*")([^"]{1,500})(")', "$1[REDACTED]$3"),
+    (r"(?i)((?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?)([^\"',\s}]{4,500})", "$1[REDACTED]"),
+)
+#: Secrets and findings of one call of a review.
+SECRET_BATCH, FINDING_BATCH = 5, 10
 # Our own rules; type, severity and pattern, whose first group is the value.
 SECRET_RULES = (
     ("jwt", "high", r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"),
@@ -20,34 +34,52 @@ SECRET_RULES = (
 )
 
 
-def secret_candidates(scripts: DataFrame, text: str = "content", rules=SECRET_RULES) -> DataFrame:
-    """script_id, type, severity, value, at, line, column (from 1) and id: a row for each match of each rule."""
-    content = F.coalesce(F.col(text), F.lit(""))
+def secret_candidates(scripts: DataFrame, text: str = "content", rules=SECRET_RULES, reach: int = 1200, most: int = 4000) -> DataFrame:
+    """script_id, type, severity, value, at, line, column (from 1), id and ``context``, the text around it: a row for each
+    match of each rule."""
+    content = F.col("_t")
+    none = F.array().cast("array<struct<type:string,severity:string,value:string,at:int>>")
 
     def hits(kind: str, severity: str, pattern: str) -> Column:
-        found = F.coalesce(matches(content, pattern, value=1), F.array().cast("array<struct<at:int,value:string>>"))
-        return F.transform(found, lambda m: F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), m["value"].alias("value"), m["at"].alias("at")))
+        found = F.transform(matches(content, pattern, value=1), lambda m: record(type=F.lit(kind), severity=F.lit(severity), value=m["value"], at=m["at"]))
+        return F.coalesce(found, none)
 
-    found = F.concat(*(hits(*rule) for rule in rules))
-    rows = scripts.select("script_id", content.alias("_t"), found.alias("_m")).select("script_id", "_t", F.explode("_m").alias("m")).select("script_id", "_t", "m.*")
-    head = F.substring("_t", F.lit(1), F.col("at"))
-    line = F.regexp_count(head, F.lit("\n")) + 1
-    column = F.char_length(F.substring_index(head, "\n", -1)) + 1
-    return rows.select("script_id", "type", "severity", "value", "at", line.alias("line"), column.alias("column"), F.sha2("value", 256).alias("id"))
+    rows = once(scripts.select("script_id", F.coalesce(F.col(text), F.lit("")).alias("_t")), _m=F.concat(*(hits(*rule) for rule in rules))).filter(F.size("_m") > 0)
+    rows = rows.select("script_id", "_t", F.explode("_m").alias("m")).select("script_id", "_t", "m.*")
+    rows = once(rows, _head=F.substring("_t", F.lit(1), F.col("at")), context=around_index(content, F.col("at"), F.char_length("value"), reach, most))
+    line = F.regexp_count("_head", F.lit("\n")) + 1
+    column = F.char_length(F.substring_index("_head", "\n", -1)) + 1
+    return rows.select("script_id", "type", "severity", "value", "at", line.alias("line"), column.alias("column"), F.sha2("value", 256).alias("id"), "context")
 
 
-def with_context(candidates: DataFrame, scripts: DataFrame, text: str = "content", reach: int = 1200, most: int = 4000) -> DataFrame:
-    """``context``: the text around each candidate."""
-    rows = candidates.join(scripts.select("script_id", F.col(text).alias("_t")), "script_id")
-    return rows.withColumn("context", F.substring(around(F.col("_t"), F.col("at"), reach, reach), 1, most)).drop("_t")
+def nearby_apis(contexts: DataFrame, apis: DataFrame) -> DataFrame:
+    """``nearby`` ("METHOD url" of the script's apis that the context holds, in their order) and ``headers`` it names.
 
+    The apis of a script are one list, so no context is sent more than once.
+    """
+    listed = apis.groupBy("script_id").agg(F.array_sort(F.collect_list(F.struct("ord", "url", "method"))).alias("_apis"))
+    rows = contexts.join(listed, "script_id", "left")
+    near = F.transform(F.filter(F.coalesce("_apis", F.array()), lambda a: F.contains("context", a["url"])), lambda a: F.concat_ws(" ", F.coalesce(a["method"], F.lit("GET")), a["url"]))
+    named = F.filter(F.array(*map(F.lit, HEADERS)), lambda h: F.contains(F.lower("context"), F.lower(h)))
+    return rows.withColumn("nearby", near).withColumn("headers", named).drop("_apis")
+
+
+def function_lines(scripts: DataFrame, text: str = "content") -> DataFrame:
+    """script_id, line (from 1), name of the lines that define a function."""
+    rows = scripts.select("script_id", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n", -1)).alias("at", "_l"))
+    name = F.coalesce(F.nullif(F.regexp_extract("_l", FUNCTION, 1), F.lit("")), F.nullif(F.regexp_extract("_l", FUNCTION, 2), F.lit("")))
+    return rows.filter(F.col("_l").rlike(FUNCTION)).select("script_id", (F.col("at") + 1).alias("line"), name.alias("name"))
 
-def nearby_apis(contexts: DataFrame, apis: DataFrame) -> DataFrame:
-    """``nearby``: urls of the script's apis that the context holds, each once, in order of text."""
-    met = contexts.select("script_id", "id", "context").join(apis.select("script_id", "url").distinct(), "script_id").filter(F.contains("context", F.col("url")))
-    near = met.groupBy("script_id", "id").agg(F.array_sort(F.collect_set("url")).alias("nearby"))
-    none = F.array().cast("array<string>")
-    return contexts.join(near, ["script_id", "id"], "left").withColumn("nearby", F.coalesce("nearby", none))
+
+def hidden_text(text: Column, most: int = 12_000) -> Column:
+    """A text as a review may see it: credentials taken out, cut."""
+    for pattern, shown in HIDDEN:
+        text = F.regexp_replace(text, pattern, shown)
+    return truncated(text, most)
+
+
+def finding_id(category: str = "category", kind: str = "type", source: str = "source", value: str = "value", evidence: str = "evidence") -> Column:
+    return F.sha2(F.concat_ws(":", category, kind, source, F.coalesce(value, F.lit("")), F.coalesce(evidence, F.lit(""))), 256)
 
 
 def enclosing_function(candidates: DataFrame, lines: DataFrame, reach: int = 80) -> DataFrame:
@@ -59,9 +91,11 @@ def enclosing_function(candidates: DataFrame, lines: DataFrame, reach: int = 80)
     stretch = lambda c: F.floor(c / reach)
     left = candidates.withColumn("_s", stretch(F.col("line")))
     right = lines.select("script_id", F.col("line").alias("_at"), "name", F.explode(F.array(stretch(F.col("line")), stretch(F.col("line")) + 1)).alias("_s"))
-    keys = [c for c in candidates.columns]
-    met = left.join(right, ["script_id", "_s"], "left").withColumn("_near", F.col("_at").between(F.col("line") - (reach - 1), F.col("line")))
-    return met.groupBy(*keys).agg(F.max(F.when(F.col("_near"), F.struct("_at", "name"))).alias("_f")).select(*keys, F.col("_f.name").alias("function"))
+    left = left.withColumn("_row", F.struct(*candidates.columns))
+    lines_of = right.groupBy("script_id", "_s").agg(F.array_sort(F.collect_list(F.struct("_at", "name"))).alias("_defs"))  # ``reach`` lines and as many again at most
+    met = left.join(lines_of, ["script_id", "_s"], "left")
+    near = F.filter("_defs", lambda d: d["_at"].between(F.col("line") - (reach - 1), F.col("line")))
+    return met.select("_row.*", F.get(F.reverse(near), F.lit(0))["name"].alias("function"))
 
 
 def reviewed_secrets(candidates: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -102,6 +136,45 @@ def settled_batches(rows: DataFrame, within: list[str]) -> DataFrame:
     return rows.withColumn("outcome", F.when(first.isNotNull() & (F.col("batch") >= first), "kept").otherwise("reviewed"))
 
 
+def reviewed(
+        candidates: DataFrame, findings: DataFrame, secret_reviews: DataFrame | None, finding_reviews: DataFrame | None, mode: str = "full", secret_types: list[str] = (), categories: list[str] = (),
+        review_secrets: bool = True, review_findings: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Secrets, findings and counters (script_id, ...) after a review, whose answers are tables by id.
+
+    Without answers, or in another mode than ``full``, nothing is reviewed: candidates keep what the rules say. Those that the
+    lists or the switches leave out pass by. Candidates without an answer were not looked at: they are dropped and counted.
+    """
+    on = mode == "full" and secret_reviews is not None and finding_reviews is not None
+    asked, passed = allowed(candidates, "type", list(secret_types)) if review_secrets else (candidates.filter(F.lit(False)), candidates)
+    wanted, left = allowed(findings.withColumn("id", finding_id()), "category", list(categories)) if review_findings else (findings.withColumn("id", finding_id()).filter(F.lit(False)), findings.withColumn("id", finding_id()))
+    count = lambda rows, size, *names: rows.groupBy("script_id").agg(F.count(F.lit(1)).alias(names[0]), F.ceil(F.count(F.lit(1)) / size).alias(names[1]))
+    said = lambda rows, reviews, ok, *names: rows.join(reviews.select("id", F.coalesce(ok, F.lit(False)).alias("_yes")), "id", "left").groupBy("script_id").agg(
+        F.count("_yes").alias(names[0]), F.count_if(F.col("_yes")).alias(names[1]), F.count_if(~F.col("_yes")).alias(names[2]), F.count_if(F.col("_yes").isNull()).alias(names[3]))
+    counts = count(asked, SECRET_BATCH, "llm_candidate_count", "llm_batch_count").join(count(wanted, FINDING_BATCH, "llm_finding_candidate_count", "llm_finding_batch_count"), "script_id", "full")
+    if not on:
+        return fallback_secrets(candidates), findings, counts.withColumns({"llm_batch_count": F.lit(0).cast("long"), "llm_finding_batch_count": F.lit(0).cast("long")})
+    one = said(asked, secret_reviews, F.col("is_secret"), "llm_reviewed_count", "llm_confirmed_count", "llm_rejected_count", "llm_dropped_count")
+    two = said(wanted, finding_reviews, F.col("is_risk"), "llm_finding_reviewed_count", "llm_finding_confirmed_count", "llm_finding_rejected_count", "llm_finding_dropped_count")
+    secrets = fallback_secrets(passed).unionByName(reviewed_secrets(asked, secret_reviews))
+    secrets = first_wins(secrets, ["script_id", "type", F.coalesce("value", F.lit("")), F.coalesce("evidence", F.lit(""))], "ord")
+    found = left.unionByName(reviewed_findings(wanted, finding_reviews)).drop("id")
+    found = first_wins(found, ["script_id", "category", "type", "source", F.coalesce("value", F.lit("")), F.coalesce("evidence", F.lit(""))], "ord")
+    return secrets, found, counts.join(one, "script_id", "full").join(two, "script_id", "full")
+
+
+def single_review(requests: DataFrame, answers: DataFrame | None) -> DataFrame:
+    """is_secret, type, severity, confidence, reason of each request (candidate, context), by the id of its candidate."""
+    rows = requests.withColumn("id", F.sha2("candidate", 256))
+    if answers is None:
+        return rows.withColumns({"is_secret": F.lit(False), "type": F.lit("unknown"), "severity": F.lit("low"), "confidence": F.lit(0.0), "reason": F.lit("no review is configured")})
+    said = answers.select("id", "is_secret", F.col("secret_type").alias("type"), "severity", clamped(F.col("confidence")).alias("confidence"), "reason")
+    found = rows.join(said, "id", "left")
+    return found.withColumns({
+        "reason": F.when(F.col("is_secret").isNull(), "no answer").otherwise(F.coalesce("reason", F.lit(""))), "type": F.coalesce("type", F.lit("unknown")),
+        "severity": F.when(F.col("severity").isin("low", "medium", "high"), F.col("severity")).otherwise(F.when(F.col("is_secret").isNull(), "low").otherwise("medium")),
+        "confidence": F.when(F.col("is_secret").isNull(), 0.0).otherwise(F.col("confidence")), "is_secret": F.coalesce("is_secret", F.lit(False))})
+
+
 def only_confirmed(findings: DataFrame, secrets: DataFrame) -> DataFrame:
     """Findings of credentials, clouds and tokens stay only if they are confirmed secrets (type and value)."""
     guarded = F.col("category").isin("敏感凭据", "云配置", "JWT/OAuth")
@@ -110,4 +183,4 @@ def only_confirmed(findings: DataFrame, secrets: DataFrame) -> DataFrame:
     return rows.filter(~guarded | ((F.col("source") == "secret") & F.coalesce("_ok", F.lit(False)))).drop("_v", "_ok")
 
 
-__all__ = ["allowed", "enclosing_function", "fallback_secrets", "nearby_apis", "only_confirmed", "reviewed_findings", "reviewed_secrets", "secret_candidates", "settled_batches", "with_context"]
+__all__ = ["allowed", "enclosing_function", "fallback_secrets", "finding_id", "function_lines", "hidden_text", "nearby_apis", "only_confirmed", "reviewed", "reviewed_findings", "reviewed_secrets", "secret_candidates", "settled_batches", "single_review"]

@@ -92,33 +92,46 @@ select doc_id, case when pos >= 0 then case when a > 0 then '...' else '' end ||
 """
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return made.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("script_id"), F.col("text").alias("content"))
+
+
 def secret_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = made.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("script_id"), F.col("text").alias("content"))
-    found = secrets.secret_candidates(docs)
-    return found.filter("type = 'token'").groupBy("script_id").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("value"), F.max("id").alias("id"))
+    found = secrets.secret_candidates(_texts(spark, sf_dir))
+    return found.groupBy("script_id", "type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("value"), F.max("id").alias("id"))
 
 
-SECRET_CANDIDATES = r"""
-with m as (select cast(doc_id as varchar) as script_id, unnest(regexp_extract_all(text, '(?i)\b(?:token|secret|passwd|password|api[_-]?key)\s*[=:]\s*["'']([^"''\r\n]{8,200})["'']', 1)) as v from documents)
-select script_id, count(*) as n, max(v) as value, max(sha256(v)) as id from m group by 1
-"""
+def _secrets_sql() -> str:
+    one = lambda kind, pattern: (f"select cast(doc_id as varchar) as script_id, '{kind}' as type, unnest(regexp_extract_all(text, '" + pattern.replace("'", "''") + "', 1)) as v from documents")
+    return "with m as (" + " union all ".join(one(k, p) for k, _, p in secrets.SECRET_RULES) + ") select script_id, type, count(*) as n, max(v) as value, max(sha256(v)) as id from m group by all"
 
 
 def secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = made.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("script_id"), F.col("text").alias("content"))
-    found = secrets.with_context(secrets.secret_candidates(docs).filter("type = 'token'"), docs, reach=20)
+    found = secrets.secret_candidates(_texts(spark, sf_dir), reach=20).filter("type = 'token'")
     first = order.first_wins(found, ["script_id"], "at")
     return first.select("script_id", "line", F.char_length("context").alias("context_chars"))
 
 
 SECRET_LINES = r"""
-with p as (select doc_id, text, regexp_extract(text, '(?i)(?s)^(.*?)\b(?:token|secret|passwd|password|api[_-]?key)\s*[=:]\s*["''][^"''\r\n]{8,200}["'']', 1) as head from documents
-  where regexp_matches(text, '(?i)\b(?:token|secret|passwd|password|api[_-]?key)\s*[=:]\s*["''][^"''\r\n]{8,200}["'']'))
+with t as (select doc_id, text, '(?i)(?s)^(.*?)\b(?:token|secret|passwd|password|api[_-]?key)\s*[=:]\s*["'']([^"''\r\n]{8,200})["'']' as p from documents),
+p as (select doc_id, length(text) as n, regexp_extract(text, p, 1) as head, length(regexp_extract(text, p, 2)) as v from t where regexp_matches(text, p)),
+q as (select *, greatest(length(head) - 20, 0) as a, least(length(head) + v + 20, n) as b from p)
 select cast(doc_id as varchar) as script_id, cast(length(head) - length(replace(head, chr(10), '')) + 1 as int) as line,
-  cast(least(length(head) + 20, length(text)) - greatest(length(head) - 20, 0) as int) as context_chars from p
+  cast(b - a + case when a > 0 then 3 else 0 end + case when b < n then 3 else 0 end as int) as context_chars from q
 """
 
 
+def hidden_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return made.table(spark, sf_dir, "documents").select("doc_id", secrets.hidden_text(F.col("text")).alias("shown"))
+
+
+def _hidden_sql() -> str:
+    text = "text"
+    for pattern, shown in secrets.HIDDEN:
+        text = f"regexp_replace({text}, '" + pattern.replace("'", "''") + "', '" + shown.replace("$", chr(92)) + "', 'g')"
+    return f"with t as (select doc_id, {text} as t from documents) select doc_id, case when length(t) > 12000 then substr(t, 1, 12000) || '... [truncated ' || (length(t) - 12000) || ' chars]' else t end as shown from t"
+
+
 def redacted_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.table(spark, sf_dir, "conversations").select("conv_id", "turn", redacted(F.col("text")).alias("shown"))
 
@@ -187,52 +200,115 @@ def _results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.col("o_custkey").cast("string").alias("script_id"), F.col("o_orderkey").alias("ord"), F.concat(F.lit("/api/"), "o_orderkey").alias("url"),
         F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("https://h.example/api/"), "o_orderkey")).alias("resolved_url"),
         F.when(F.col("o_orderstatus") == "F", "POST").alias("method"), F.lit("fetch").alias("source"), F.lit("api").alias("kind"), F.lit("high").alias("confidence"))
-    return apis, rules.api_findings(apis)
+    return apis, apis.select("script_id", "ord", F.lit("low").alias("severity"))
 
 
 def endpoint_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    apis, findings = _results(spark, sf_dir)
-    found = findings.filter("ord % 3 = 0").unionByName(findings.filter("ord % 6 = 0").withColumns({"value": F.concat(F.lit("https://h.example"), "value"), "evidence": F.lit("late")}))
+    """Endpoint findings for some apis, two of them for others, and findings of other types that don't count."""
+    apis, _ = _results(spark, sf_dir)
+    k = F.col("ord")
+    shown = F.coalesce("resolved_url", "url")
+    one = lambda rows, kind, value, evidence, pos: rows.select("script_id", F.lit("api").alias("source"), F.lit(kind).alias("type"), value.alias("value"), evidence.alias("evidence"), (k * 10 + pos).alias("ord"))
+    found = one(apis.filter(k % 3 == 0), "api-endpoint", shown, F.concat(F.lit("E"), k), 0).unionByName(one(apis, "role-admin-auth", F.col("url"), F.lit("no"), 9))
+    found = found.unionByName(one(apis.filter(k % 6 == 0), "api-endpoint", shown, F.lit("late"), 1)).unionByName(one(apis.filter(k % 5 == 0), "api-endpoint", F.col("url"), F.lit("U"), 2))
     return output.endpoints(apis, found).select("script_id", "url", "method", "evidence")
 
 
 ENDPOINT_EVIDENCE = """
-select cast(o_custkey as varchar) as script_id, '/api/' || o_orderkey as url, case when o_orderstatus = 'F' then 'POST' end as method,
-  case when o_orderkey % 6 = 0 then 'late' when o_orderkey % 3 = 0 then '/api/' || o_orderkey when o_orderstatus = 'F' then 'POST /api/' || o_orderkey else '/api/' || o_orderkey end as evidence from orders
+with a as (select cast(o_custkey as varchar) as script_id, o_orderkey as k, '/api/' || o_orderkey as url, case when o_orderstatus = 'F' then 'POST' end as method from orders)
+select script_id, url, method, case when k % 6 = 0 then 'late' when k % 5 = 0 then 'U' when k % 3 = 0 then 'E' || k
+  else coalesce(method, 'GET') || ' ' || case when k % 2 = 0 then 'https://h.example' else '' end || url end as evidence from a
 """
 
 
 def leak_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of line items, some of them endpoints or secrets already."""
     found = made.found_rows(spark, sf_dir)
-    found = found.withColumns({"category": F.when(F.col("category") == "cA", "API 信息").when(F.col("category") == "cN", "敏感凭据").otherwise("GraphQL"),
-                               "value": F.concat(F.lit("/"), "value"), "source": F.when(F.col("source") == "string", "secret").otherwise("api")})
+    n = F.substring("value", 2, 4).cast("int") % 3
+    found = found.withColumns({
+        "category": F.when(F.col("category") == "cA", "API 信息").when(F.col("category") == "cN", "敏感凭据").otherwise("GraphQL"),
+        "type": F.when(F.col("type") == "tO", "api-endpoint").otherwise(F.col("type")), "value": F.concat(F.when(n == 0, "https://x/").when(n == 1, "/dev/").otherwise("/plain/"), "value"),
+        "source": F.when(F.col("source") == "string", "secret").when(F.col("ord") % 2 == 0, "api").otherwise("identifier")})
     own = made.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("script_id"))
-    held = own.select("script_id", F.lit(0).cast("long").alias("ord"), F.lit("tF").alias("type"), F.lit("/v0007").alias("value"), F.lit("high").alias("severity"),
+    held = own.select("script_id", F.lit(0).cast("long").alias("ord"), F.lit("tF").alias("type"), F.lit("/plain/v0008").alias("value"), F.lit("high").alias("severity"),
                       F.lit(0.75).alias("confidence"), F.lit("regex").alias("source"), F.lit("e  1").alias("evidence"))
-    apis = own.select("script_id", F.explode(F.array(F.lit("/v0001"), F.lit("/v0002"))).alias("url"), F.lit(None).cast("string").alias("resolved_url"))
+    apis = own.select("script_id", F.explode(F.array(F.lit("https://x/v0003"), F.lit("/dev/v0001"))).alias("url"), F.lit(None).cast("string").alias("resolved_url"))
     return output.leaks(held, found, apis).select("script_id", "ord", "category", "type", "value", "source", "evidence")
 
 
 LEAK_ROWS = "with" + _FOUND_SQL.replace("'e ' ||", "'e  ' ||") + """,
-g as (select script_id, ord, case category when 'cA' then 'API 信息' when 'cN' then '敏感凭据' else 'GraphQL' end as category, type, '/' || value as value,
-  case source when 'string' then 'secret' else 'api' end as source, evidence from f),
-s as (select cast(s_suppkey as varchar) as script_id, 0 as ord, '敏感凭据' as category, 'tF' as type, '/v0007' as value, 'regex' as source, 'e  1' as evidence from supplier),
-r as (select 0 as branch, * from s union all select 1, * from g where category <> 'GraphQL' and not (category = 'API 信息' and value in ('/v0001', '/v0002'))
-  and not (source = 'secret' and category = '敏感凭据' and type = 'tF' and value = '/v0007' and evidence = 'e  1'))
+g as (select script_id, ord, case category when 'cA' then 'API 信息' when 'cN' then '敏感凭据' else 'GraphQL' end as category, case type when 'tO' then 'api-endpoint' else type end as type,
+  ['https://x/', '/dev/', '/plain/'][cast(substr(value, 2) as int) % 3 + 1] || value as value, case when source = 'string' then 'secret' when ord % 2 = 0 then 'api' else 'identifier' end as source, evidence from f),
+s as (select cast(s_suppkey as varchar) as script_id, 0 as ord, '敏感凭据' as category, 'tF' as type, '/plain/v0008' as value, 'regex' as source, 'e  1' as evidence from supplier),
+r as (select 0 as branch, * from s union all select 1, * from g where category <> 'GraphQL'
+  and (category <> 'API 信息' or (type <> 'api-endpoint' and source <> 'api' and value not in ('https://x/v0003', '/dev/v0001') and not starts_with(value, '/plain/')))
+  and not (source = 'secret' and category = '敏感凭据' and type = 'tF' and value = '/plain/v0008' and evidence = 'e  1'))
 select script_id, ord, category, type, value, source, evidence from r
 qualify row_number() over (partition by script_id, category, type, value, evidence order by branch, ord) = 1
 """
 
 
 def group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of line items; one api, one file and one secret for each supplier."""
     found = made.found_rows(spark, sf_dir).withColumns({
-        "type": F.when(F.col("source") == "api", "api-endpoint").when(F.col("type") == "tF", "hidden-asset").otherwise(F.col("type")), "category": F.lit("调试信息")})
-    return output.grouped(found).groupBy("script_id", "section").agg(F.count(F.lit(1)).alias("n"))
+        "category": F.when(F.col("category") == "cA", "API 信息").when(F.col("category") == "cN", "敏感凭据").otherwise("路由信息"),
+        "source": F.when(F.col("source") == "string", "secret").when(F.col("type") == "tF", "asset").otherwise("identifier")})
+    own = made.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("script_id"), F.lit("api").alias("kind"), F.lit("tF").alias("type"), F.lit("v0007").alias("value"))
+    return output.group_counts(found, own, own, own)
+
+
+GROUP_COUNTS = "with" + _FOUND_SQL + """,
+g as (select script_id, category = 'cA' as e, source = 'api' and type = 'tF' as s, source = 'string' as secret, category = 'cN' as guarded, source = 'string' and type = 'tF' and value = 'v0007' as sure from f),
+r as (select script_id, 'endpoints' as section from g where e union all select script_id, 'scripts' from g where s
+  union all select script_id, 'exposures' from g where not e and not s and (sure or (not secret and not guarded))
+  union all select cast(s_suppkey as varchar), x from supplier, (values ('endpoints'), ('scripts'), ('exposures')) v(x))
+select script_id, section, count(*) as n from r group by all
+"""
+
+
+def api_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apis of orders, in a text that has the url of every other one."""
+    k = F.col("o_orderkey")
+    url = F.concat(F.lit("/api/"), k)
+    rows = made.table(spark, sf_dir, "orders").select(k.cast("string").alias("script_id"), k.alias("ord"), url.alias("url"), F.when(k % 2 == 0, F.concat(F.lit("call "), url, F.lit(" now"))).otherwise("").alias("content"))
+    one = F.struct(F.lit("token").alias("name"), F.lit("body").alias("location"), F.lit("object").alias("source"))
+    apis = rows.select("script_id", "ord", "url", F.lit(None).cast("string").alias("resolved_url"), F.lit("PUT").alias("method"), F.lit("high").alias("confidence"), F.array(one).alias("params"), F.array(F.lit("X-Role")).alias("headers"))
+    return rules.api_findings(rules.with_api_evidence(apis, rows)).select("script_id", "category", "type", "value", "severity", "confidence", "source", "evidence")
+
+
+API_FINDINGS = """
+with a as (select cast(o_orderkey as varchar) as script_id, o_orderkey as k, '/api/' || o_orderkey as url from orders)
+select script_id, v.category, v.type, case v.value when '' then url else v.value end as value, v.severity, cast(v.confidence as double) as confidence, 'api' as source,
+  case v.type when 'api-endpoint' then case when k % 2 = 0 then 'call ' || url || ' now' else 'PUT ' || url end when 'gateway-or-api-base' then url else url || ':' || v.value end as evidence
+from a, (values ('API 信息', 'api-endpoint', '', 'medium', 0.9), ('API 信息', 'gateway-or-api-base', '', 'medium', 0.7), ('敏感凭据', 'token', 'token', 'high', 0.75),
+  ('权限信息', 'role-admin-auth', 'X-Role', 'medium', 0.7)) v(category, type, value, severity, confidence)
+"""
+
+
+def text_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name, a call of a client and a request to a target that a name gives, for each customer."""
+    content = F.concat(F.lit("const apiToken = 's3cr3tvalue';\nuseQuery(q);\nfetch(redirectUrl + '/x'); // "), "c_custkey")
+    rows = made.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("script_id"), content.alias("content"))
+    return rules.text_findings(rows).select("script_id", "category", "type", "value", "severity", "source", "evidence")
+
+
+TEXT_FINDINGS = """
+with t as (select cast(c_custkey as varchar) as script_id, 'const apiToken = ''s3cr3tvalue'';' || chr(10) || 'useQuery(q);' || chr(10) || 'fetch(redirectUrl + ''/x''); // ' || c_custkey as c from customer)
+select script_id, v.category, v.type, v.value, v.severity, v.source, coalesce(v.evidence, c) as evidence from t, (values ('敏感凭据', 'token', 's3cr3tvalue', 'high', 'identifier', null),
+  ('GraphQL', 'graphql-client-call', 'useQuery', 'medium', 'call', 'call:useQuery'), ('路由信息', 'dynamic-request-target', null, 'medium', 'call', null)) v(category, type, value, severity, source, evidence)
+"""
+
+
+def asset_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = made.table(spark, sf_dir, "part")
+    assets = parts.select(F.col("p_partkey").cast("string").alias("script_id"), F.lit(0).alias("ord"), F.concat(F.lit("/a/"), "p_partkey", F.lit(".js.map")).alias("url"), F.lit("c").alias("chunk_name"), F.lit("chunk").alias("source"))
+    return rules.asset_findings(assets).select("script_id", "category", "type", "value", "severity", "confidence", "source", "evidence")
 
 
-GROUP_COUNTS = """
-select cast(l_suppkey as varchar) as script_id, case when l_discount <= 0.05 then 'endpoints' when l_linestatus = 'F' then 'scripts' else 'exposures' end as section, count(*) as n from lineitem group by all
+ASSET_FINDINGS = """
+select cast(p_partkey as varchar) as script_id, v.category, v.type, '/a/' || p_partkey || '.js.map' as value, v.severity, cast(v.confidence as double) as confidence, 'asset' as source,
+  coalesce(v.evidence, '/a/' || p_partkey || '.js.map') as evidence from part,
+  (values ('webpack模块', 'hidden-asset', 'low', 0.85, 'chunk'), ('调试信息', 'source-map', 'medium', 0.8, null)) v(category, type, severity, confidence, evidence)
 """
 
 
@@ -262,22 +338,26 @@ from customer left join orders on o_custkey = c_custkey group by c_custkey
 
 
 def file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file, a hidden one found twice, a rule's finding about a file, and a finding that is about none."""
     parts = made.table(spark, sf_dir, "part")
-    assets = parts.select(F.col("p_partkey").cast("string").alias("script_id"), F.lit(0).alias("ord"), F.concat(F.lit("/a/"), "p_size", F.lit(".js")).alias("url"),
-                          F.lit("script").alias("type"), F.lit(None).cast("string").alias("chunk_name"), F.lit("chunk").alias("source"))
-    found = parts.select(F.col("p_partkey").cast("string").alias("script_id"), F.lit(1).alias("ord"), F.lit("hidden-asset").alias("type"),
-                         F.concat(F.lit("/b/m"), "p_size", F.lit(".0123abcd.css?v=2")).alias("value"), F.lit("asset").alias("source"), F.lit(0.5).alias("confidence"), F.lit("e").alias("evidence"))
-    return output.js_files(assets, found.unionByName(found)).select("script_id", "url", "type", "chunk_name", "confidence")
+    key = F.col("p_partkey").cast("string").alias("script_id")
+    assets = parts.select(key, F.lit(0).alias("ord"), F.concat(F.lit("/a/"), "p_size", F.lit(".js")).alias("url"), F.lit("script").alias("type"), F.lit(None).cast("string").alias("chunk_name"), F.lit("chunk").alias("source"))
+    one = lambda kind, category, value, source: parts.select(
+        key, F.lit(1).alias("ord"), F.lit(kind).alias("type"), F.lit(category).alias("category"), value.alias("value"), F.lit(source).alias("source"), F.lit(0.5).alias("confidence"), F.lit("e").alias("evidence"))
+    hidden = one("hidden-asset", "webpack模块", F.concat(F.lit("/b/m-"), "p_size", F.lit("-abcdef1.0123abcd.css")), "asset")
+    found = hidden.unionByName(hidden).unionByName(one("gateway-or-api-base", "API 信息", F.lit("/api/x.js"), "asset")).unionByName(one("source-map", "调试信息", F.lit("/y.js.map"), "string"))
+    return output.js_files(assets, found).select("script_id", "url", "type", "chunk_name", "source", "confidence", "evidence")
 
 
 FILE_ROWS = """
-select cast(p_partkey as varchar) as script_id, '/a/' || p_size || '.js' as url, 'script' as type, null as chunk_name, cast(0.85 as double) as confidence from part
-union all select cast(p_partkey as varchar), '/b/m' || p_size || '.0123abcd.css?v=2', 'style', 'm' || p_size, 0.5 from part
+select cast(p_partkey as varchar) as script_id, '/a/' || p_size || '.js' as url, 'script' as type, null as chunk_name, 'chunk' as source, cast(0.85 as double) as confidence, null as evidence from part
+union all select cast(p_partkey as varchar), '/b/m-' || p_size || '-abcdef1.0123abcd.css', 'style', 'm-' || p_size || '-abcdef1', 'webpack-runtime', 0.5, 'e' from part
+union all select cast(p_partkey as varchar), '/api/x.js', 'asset', null, 'webpack-runtime', 0.5, 'e' from part
 """
 
 QUERIES = {
     "risk_rules": (risk_rules, RISK_RULES.replace("\\\\", "\\")), "finding_rules": (finding_rules, _rules_sql()), "name_rules": (name_rules, NAME_RULES), "finding_topk": (finding_topk, FINDING_TOPK),
-    "evidence_snippets": (evidence_snippets, EVIDENCE_SNIPPETS), "secret_candidates": (secret_candidates, SECRET_CANDIDATES), "secret_lines": (secret_lines, SECRET_LINES),
+    "evidence_snippets": (evidence_snippets, EVIDENCE_SNIPPETS), "secret_candidates": (secret_candidates, _secrets_sql()), "hidden_texts": (hidden_texts, _hidden_sql()), "api_findings": (api_findings, API_FINDINGS), "text_findings": (text_findings, TEXT_FINDINGS), "asset_findings": (asset_findings, ASSET_FINDINGS), "secret_lines": (secret_lines, SECRET_LINES),
     "redacted_turns": (redacted_turns, REDACTED_TURNS), "enclosing_function_asof": (enclosing_function_asof, ENCLOSING_FUNCTION_ASOF), "review_join": (review_join, REVIEW_JOIN),
     "review_allowlist": (review_allowlist, REVIEW_ALLOWLIST), "review_failure": (review_failure, REVIEW_FAILURE), "endpoint_evidence": (endpoint_evidence, ENDPOINT_EVIDENCE),
     "leak_rows": (leak_rows, LEAK_ROWS), "group_counts": (group_counts, GROUP_COUNTS), "method_counts": (method_counts, METHOD_COUNTS), "analysis_summary": (analysis_summary, ANALYSIS_SUMMARY),

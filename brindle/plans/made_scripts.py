@@ -24,6 +24,27 @@ def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("script_id"), content.alias("content"))
 
 
+#: Scripts of many shapes, with ``{k}`` for a key, and what is called in each: source, method, url, names of parameters, headers, signals.
+SHAPES = (
+    ("fetch('/a/{k}', {\n  method: 'POST',\n  headers: {'X-Token': t, Accept: 'x'},\n  body: {id: {n: 1}, note}\n});", "fetch", "POST", "/a/{k}", "Accept,X-Token,id,note", "X-Token,Accept", "X-Token,x-token,token"),
+    ("const B = '/v2';\n$.ajax({data: {uid: 1}, url: B + '/b/{k}', type: 'put'});", "$.ajax", "PUT", "/v2/b/{k}", "uid", "", ""),
+    ("const API: string = import.meta.env.API || '/api';\naxios.post(API + '/c/{k}', {role: r, uid}, {headers: {Authorization: 'x'}});", "axios.post", "POST", "/api/c/{k}", "Authorization,role,uid", "Authorization", "Authorization,authorization"),
+    ("const P = '/p';\nconst svc = axios.create({});\nconst id = '7';\nsvc.get(`${P}/d/{k}/${id}?v=${x}`, {params: {verbose: true}});", "svc.get", "GET", "/p/d/{k}/7?v=${x}", "v,verbose,x,x", "", ""),
+    ("axios({headers: {A: 1}, url: '/e/{k}', data: JSON.stringify({a: 1}), method: 'delete'});", "axios", "DELETE", "/e/{k}", "A,JSON.stringify()", "A", ""),
+    ("// fetch('/no/{k}')\n/* axios.get('/no2') */ fetch(\"/f/{k}?p=1&q=2\");", "fetch", "GET", "/f/{k}?p=1&q=2", "p,q", "", ""),
+    ("let r = new XMLHttpRequest();\nr.open('PATCH', '/g/{k}/:part');\nr.setRequestHeader('Authorization', a);", "r.open", "PATCH", "/g/{k}/:part", "part", "Authorization", "Authorization,authorization"),
+    ("$.ajax({type: \"post\", url: \"/h/{k}\", data:'{\"fusername\":\"'+$(\"#u\").val()+'\",\"fpwd\":\"'+z+'\"}'});", "$.ajax", "POST", "/h/{k}", "fpwd,fusername", "", ""),
+    ("const h = axios;\nconst g = h;\ng.put('/i/{k}', payload);", "g.put", "PUT", "/i/{k}", "payload", "", ""),
+    ("cache.get('/z/{k}'); fetch(cond ? '/y/{k}' : '/w'); h.open('GET', '/v');", None, None, None, None, None, None),
+)
+
+
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script of some shape for each order."""
+    shape = F.element_at(F.array(*(F.lit(s[0]) for s in SHAPES)), (F.col("o_orderkey") % len(SHAPES) + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("script_id"), F.replace(shape, F.lit("{k}"), F.col("o_orderkey").cast("string")).alias("content"))
+
+
 def requests_by_hand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request object with a header before and one after its opening, for each supplier."""
     content = F.concat(F.lit("var x = new XMLHttpRequest();\nx.setRequestHeader('X-Token', t);\nx.open('PUT', '/s/"), "s_suppkey", F.lit(
@@ -56,4 +77,4 @@ def found_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_discount") > 0.05, "string").otherwise("api").alias("source"), F.concat(F.lit("e  "), (F.col("l_linenumber") % 3).cast("string")).alias("evidence"))
 
 
-__all__ = ["clients", "fetches", "found_rows", "loaders", "requests_by_hand", "settings", "table"]
+__all__ = ["clients", "fetches", "found_rows", "loaders", "requests_by_hand", "settings", "shapes", "table"]

@@ -9,6 +9,7 @@ from brindle.functions import urls
 from brindle.functions.text import line_count
 from brindle.operators import calls, scan
 from brindle.plans import made_scripts as made
+from brindle.plans.analyze import analyze
 from brindle.sources import scripts as source
 
 
@@ -138,8 +139,67 @@ def client_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 CLIENT_CALLS = """
 select cast(c_custkey as varchar) as script_id, 'axios.get' as source, 'GET' as method, '/api/customers/' || c_custkey as url, 'api' as kind, 'high' as confidence from customer
 union all select cast(c_custkey as varchar), 'http.post', 'POST', '/api/v2/segments/' || c_mktsegment, 'api', 'high' from customer
-union all select cast(c_custkey as varchar), 'jquery.ajax', 'PUT', '/api/ajax/' || c_custkey, 'api', 'high' from customer
-union all select cast(c_custkey as varchar), 'jquery', 'GET', '/jq/${who}', 'api', 'high' from customer
+union all select cast(c_custkey as varchar), '$.ajax', 'PUT', '/api/ajax/' || c_custkey, 'api', 'high' from customer
+union all select cast(c_custkey as varchar), 'jQuery.get', 'GET', '/jq/${who}', 'api', 'high' from customer
+"""
+
+
+def _shapes_sql() -> str:
+    lit = lambda x: "null" if x is None else "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {', '.join(lit(x) for x in shape)})" for i, shape in enumerate(made.SHAPES))
+    key = lambda c: f"replace({c}, '{{k}}', cast(o_orderkey as varchar))"
+    return (f"select cast(o_orderkey as varchar) as script_id, {key('content')} as content, source, method, {key('url')} as url, params, headers, signals from orders "
+            f"join (values {rows}) s(i, content, source, method, url, params, headers, signals) on o_orderkey % {len(made.SHAPES)} = i")
+
+
+def call_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = calls.client_calls(made.shapes(spark, sf_dir))
+    names = F.array_join(F.array_sort(F.transform("params", lambda p: p["name"])), ",")
+    return found.select("script_id", "source", "method", "url", names.alias("params"), F.array_join("headers", ",").alias("headers"), F.array_join("auth", ",").alias("signals"))
+
+
+CALL_SHAPES = f"with c as ({_shapes_sql()}) select script_id, source, method, url, params, headers, signals from c where url is not null"
+
+
+def call_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = calls.call_auth(calls.client_calls(made.shapes(spark, sf_dir)))
+    return found.select("script_id", F.array_join("auth", ",").alias("signals"))
+
+
+CALL_SIGNALS = f"with c as ({_shapes_sql()}) select script_id, signals from c where signals <> ''"
+
+
+def call_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calls.call_params(calls.client_calls(made.clients(spark, sf_dir))).select("script_id", "api", "name", "location", "source")
+
+
+CALL_PARAMS = """
+select cast(c_custkey as varchar) as script_id, '/api/v2/segments/' || c_mktsegment as api, 'q' as name, 'body' as location, 'value' as source from customer
+union all select cast(c_custkey as varchar), '/api/ajax/' || c_custkey, 'id', 'body', 'object' from customer
+union all select cast(c_custkey as varchar), '/jq/${who}', 'who', 'path', 'url' from customer
+"""
+
+
+def analyze_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyze(made.shapes(spark, sf_dir).withColumn("url", F.lit(None).cast("string")))["endpoints"].select("script_id", "method", "url", "confidence", "evidence")
+
+
+ANALYZE_ENDPOINTS = f"""
+with c as ({_shapes_sql()})
+select script_id, method, url, 'high' as confidence, case when contains(content, url) then content else method || ' ' || url end as evidence from c where url is not null
+"""
+
+
+def analyze_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = analyze(made.shapes(spark, sf_dir).withColumn("url", F.lit(None).cast("string")))["summary"]
+    puts = F.coalesce(F.try_element_at("api_method_counts", F.lit("PUT")), F.lit(0).cast("long"))
+    return found.select("script_id", "api_count", "resolved_api_count", "asset_count", "auth_count", puts.alias("put_count"))
+
+
+ANALYZE_SUMMARY = f"""
+with c as ({_shapes_sql()})
+select script_id, cast(url is not null as bigint) as api_count, 0 as resolved_api_count, 0 as asset_count,
+  case when coalesce(signals, '') = '' then 0 else len(string_split(signals, ',')) end as auth_count, cast(coalesce(method = 'PUT', false) as bigint) as put_count from c
 """
 
 
@@ -157,7 +217,7 @@ def xhr_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return opens.select("script_id", "object", "method", "url", F.array_join("headers", ",").alias("headers"))
 
 
-XHR_CALLS = "select cast(s_suppkey as varchar) as script_id, 'x' as object, 'PUT' as method, '/s/' || s_suppkey as url, 'Accept,X-Token' as headers from supplier"
+XHR_CALLS = "select cast(s_suppkey as varchar) as script_id, 'x' as object, 'PUT' as method, '/s/' || s_suppkey as url, 'X-Token,Accept' as headers from supplier"
 
 
 def xhr_headers_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +226,7 @@ def xhr_headers_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = made.table(spark, sf_dir, "events").select(
         "user_id", F.col("event_id").alias("ord"), F.when(opened, F.concat(F.lit("/p/"), "event_id")).alias("url"),
         F.when(~opened, F.concat("event_type", (F.col("event_id") % 3).cast("string"))).alias("header"))
-    return calls.headers_of_opens(rows, ["user_id"]).select("user_id", "ord", "url", F.array_join("headers", ",").alias("headers"))
+    return calls.headers_of_opens(rows, ["user_id"]).select("user_id", "ord", "url", F.array_join(F.array_sort("headers"), ",").alias("headers"))
 
 
 XHR_HEADERS_ASOF = """
@@ -215,5 +275,6 @@ QUERIES = {
     "request_check": (request_check, REQUEST_CHECK), "url_classify": (url_classify, URL_CLASSIFY), "path_query_params": (path_query_params, PATH_QUERY_PARAMS),
     "text_endpoints": (text_endpoints, TEXT_ENDPOINTS), "text_params": (text_params, TEXT_PARAMS), "text_assets": (text_assets, TEXT_ASSETS), "text_base_urls": (text_base_urls, TEXT_BASE_URLS),
     "client_calls": (client_calls, CLIENT_CALLS), "fetch_calls": (fetch_calls, FETCH_CALLS), "xhr_calls": (xhr_calls, XHR_CALLS), "xhr_headers_asof": (xhr_headers_asof, XHR_HEADERS_ASOF),
-    "base_url_enrich": (base_url_enrich, BASE_URL_ENRICH), "chunk_assets": (chunk_assets, CHUNK_ASSETS), "auth_signals": (auth_signals, AUTH_SIGNALS),
+    "call_shapes": (call_shapes, CALL_SHAPES), "call_signals": (call_signals, CALL_SIGNALS), "call_params": (call_params, CALL_PARAMS),
+    "analyze_endpoints": (analyze_endpoints, ANALYZE_ENDPOINTS), "analyze_summary": (analyze_summary, ANALYZE_SUMMARY), "base_url_enrich": (base_url_enrich, BASE_URL_ENRICH), "chunk_assets": (chunk_assets, CHUNK_ASSETS), "auth_signals": (auth_signals, AUTH_SIGNALS),
 }

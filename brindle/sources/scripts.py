@@ -68,26 +68,30 @@ def secret_requests(rows: DataFrame) -> DataFrame:
     return rows.filter((F.length("candidate") > 0) & (F.length("context") > 0))
 
 
-def downloaded(rows: DataFrame, fetch: Callable[[str], tuple[int, str]], most: int = 10 * 1024 * 1024) -> DataFrame:
+def downloaded(rows: DataFrame, fetch: Callable[[str, int, float], tuple[int, str]], most: int = 10 * 1024 * 1024, seconds: float = 10.0) -> DataFrame:
     """``content`` of rows whose origin is a url, by a transport given by the caller; failures go to ``error``.
 
-    The transport returns a status and a text. Nothing here opens a connection.
+    The transport gets a url, the bytes it should read at most (one more than are allowed) and the seconds it may take; it
+    returns a status and a text. Nothing here opens a connection.
     """
     columns = rows.columns
 
+    def one(url: str) -> tuple[str | None, str | None]:
+        try:
+            status, text = fetch(url, most + 1, seconds)
+        except Exception as e:  # noqa: BLE001 - any failure of the transport belongs to its row
+            return None, f"download failed: {e}"
+        if not 200 <= status < 300:
+            return None, f"download failed with status {status}"
+        return (None, f"download exceeds {most} bytes") if len(text.encode()) > most else (text, None)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i in pdf.index[(pdf["origin"] == "url") & pdf["error"].isna()]:
-                try:
-                    status, text = fetch(pdf.at[i, "url"])
-                    if not 200 <= status < 300:
-                        pdf.at[i, "error"] = f"download failed with status {status}"
-                    elif len(text.encode()) > most:
-                        pdf.at[i, "error"] = f"download exceeds {most} bytes"
-                    else:
-                        pdf.at[i, "content"] = text
-                except Exception as e:  # noqa: BLE001 - any failure of the transport belongs to its row
-                    pdf.at[i, "error"] = f"download failed: {e}"
+            wanted = (pdf["origin"] == "url") & pdf["error"].isna()
+            got = [one(url) for url in pdf.loc[wanted, "url"]]
+            for k, name in enumerate(("content", "error")):
+                pdf[name] = pdf[name].astype(object)
+                pdf.loc[wanted, name] = pd.Series([x[k] for x in got], index=pdf.index[wanted], dtype=object)
             yield pdf[columns]
 
     return rows.mapInPandas(run, rows.schema)

@@ -43,7 +43,7 @@ def run_requests(spark: SparkSession, source: str, events: str, results: str, ch
         marked.write.mode("overwrite").parquet(f"{events}/batch={batch}/status={status}")
 
     def step(rows: DataFrame, batch: int) -> None:
-        rows = rows.filter("task_id is not null")
+        rows = rows.filter("task_id is not null").persist()  # the source is read once a batch
         for status in ("queued", "running"):
             note(rows, status, batch)
         try:
@@ -52,6 +52,8 @@ def run_requests(spark: SparkSession, source: str, events: str, results: str, ch
             note(rows, "failed", batch)
         else:
             note(rows, "completed", batch)
+        finally:
+            rows.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
