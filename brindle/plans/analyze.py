@@ -15,13 +15,21 @@ _AFTER = 100_000_000
 TABLES = ("endpoints", "leaks", "js_files", "summary", "errors")
 
 
+def _cut(rows: DataFrame) -> DataFrame:
+    """``rows``, worked out once: checkpointed where the session names a folder for it, else persisted."""
+    context, folder = rows.sparkSession.sparkContext, rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder and not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return rows.checkpoint() if folder else rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def analyze(scripts: DataFrame, mode: str = "full", secret_reviews: DataFrame | None = None, finding_reviews: DataFrame | None = None, **review) -> dict[str, DataFrame]:
     """The tables of an analysis of ``scripts`` (script_id, url, content), each with script_id.
 
     ``endpoints``, ``leaks``, ``js_files``, ``summary`` and ``errors`` are the results; ``apis``, ``params``, ``auth``, ``assets``, ``secrets``,
     ``risks``, ``findings`` and ``counters`` what they are made from. Pages count by their script blocks; a text that begins
     with a bracket of markup and has none is scanned as text. ``review`` goes to ``secrets.reviewed``. Rows without content are
-    errors. Apis, secrets and findings are persisted, since several tables are made from them; see ``release``.
+    errors. Apis, assets, candidates of secrets and findings are worked out at once, since several tables are made from them.
     """
     given = scripts.filter("content is not null")
     rows = once(with_script(given.select("script_id", "url", "content")).drop("script_blocks"), fallback=F.startswith(F.ltrim("script"), F.lit("<")))
@@ -30,17 +38,18 @@ def analyze(scripts: DataFrame, mode: str = "full", secret_reviews: DataFrame |
     found = calls.client_calls(rows, "script").select(columns)
     spelled = scan.text_endpoints(texts, "content").withColumn("auth", F.when(F.col("auth").isNotNull(), F.array("auth")).otherwise(F.array().cast("array<string>")))
     found = found.unionByName(spelled.withColumn("ord", F.col("ord") + _AFTER).select(columns))
-    apis = calls.with_base_url(found, scan.text_base_urls(rows, "script")).persist(StorageLevel.MEMORY_AND_DISK)
+    apis = _cut(calls.with_base_url(found, scan.text_base_urls(rows, "script")))
     chunks = calls.chunk_assets(rows, "script").select("script_id", "ord", "url", "type", "chunk_name", F.lit("webpack-runtime").alias("source"))
     named = scan.text_assets(texts, "content").select("script_id", (F.col("ord") + _AFTER).alias("ord"), "url", "type", F.lit(None).cast("string").alias("chunk_name"), "source")
-    assets = chunks.unionByName(named)
+    assets = _cut(chunks.unionByName(named))
     risks = rules.risks(apis)
-    candidates = secrets.secret_candidates(rows, "script").select("script_id", F.col("at").alias("ord"), "type", "severity", "value", "id", F.col("context").alias("evidence")).persist(StorageLevel.MEMORY_AND_DISK)
+    candidates = secrets.secret_candidates(rows, "script").select("script_id", F.col("at").alias("ord"), "type", "severity", "value", "id", F.col("context").alias("evidence"))
+    candidates = _cut(candidates)
     raw = rules.all_findings(rows, apis, assets, secrets.fallback_secrets(candidates), risks, "script")
     sure, findings, counters = secrets.reviewed(candidates, raw, secret_reviews, finding_reviews, mode, **review)
     if mode == "full" and secret_reviews is not None and finding_reviews is not None:
         findings = secrets.only_confirmed(findings, sure)
-    findings = findings.persist(StorageLevel.MEMORY_AND_DISK)
+    findings = _cut(findings)
     out = {"apis": apis, "params": calls.call_params(apis), "auth": calls.call_auth(apis), "assets": assets, "secrets": sure, "risks": risks, "findings": findings, "counters": counters, "candidates": candidates}
     out["endpoints"] = output.endpoints(apis, findings)
     out["js_files"] = output.js_files(assets, findings)
@@ -57,7 +66,8 @@ def write_results(found: dict[str, DataFrame], path: str, tables: tuple[str, ...
 
 
 def release(found: dict[str, DataFrame]) -> None:
-    for name in ("apis", "candidates", "findings"):
+    """Lets go of what was persisted."""
+    for name in ("apis", "assets", "candidates", "findings"):
         found[name].unpersist()
 
 
