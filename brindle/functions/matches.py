@@ -31,16 +31,17 @@ def once(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("*", F.inline(F.array(record(**columns))))
 
 
-def running(numbers: Column) -> Column:
-    """For each number the sum of those ahead of it; in stretches, so the work doesn't grow with the square of their number."""
+def running(numbers: Column, join=lambda a, b: a + b) -> Column:
+    """For each number the sum (or ``join``, which has 0 as its neutral number) of those ahead of it; in stretches, so the work
+    doesn't grow with the square of their number."""
     zero = F.array(F.lit(0))
 
     def sums(x: Column) -> Column:
-        return F.aggregate(x, zero, lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+        return F.aggregate(x, zero, lambda acc, n: F.array_append(acc, join(F.element_at(acc, -1), n)))
 
     def joined(local: Column) -> Column:
         base = sums(F.transform(local, lambda x: F.element_at(x, -1)))
-        moved = F.zip_with(local, F.slice(base, F.lit(1), F.size(local)), lambda x, b: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda n: n + b))
+        moved = F.zip_with(local, F.slice(base, F.lit(1), F.size(local)), lambda x, b: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda n: join(n, b)))
         return F.flatten(moved)
 
     def whole(x: Column) -> Column:
