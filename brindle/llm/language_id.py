@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import fold
+from brindle.llm.common import arrow_rows, fold, keep
 from brindle.llm.shingles import in_chunks
 
 #: Texts from which the classifiers are fitted (expected; twice as many at most).
@@ -180,7 +180,7 @@ def predict_languages(docs: DataFrame, model: LanguageCodes | None = None) -> Da
 def with_known_language(docs: DataFrame, model: LanguageCodes | None = None) -> DataFrame:
     """The rows of ``docs`` whose text has letters, with the columns of ``docs``; null ids and repeated rows change nothing.
 
-    Only a text without letters is of unknown language; which one the codes choose and how surely decide nothing here.
+    They are worked out at once, in small batches: whole rows pass through Python. Only a text without letters is of unknown language; which one the codes choose and how surely decide nothing here.
     """
     model = model or LanguageCodes.fit(docs)
     schema = docs.schema
@@ -191,7 +191,8 @@ def with_known_language(docs: DataFrame, model: LanguageCodes | None = None) ->
             ok = [x[0] != UNKNOWN for _, texts in in_chunks(column, 1 << 18) for x in model.predict(texts)]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    with arrow_rows(docs.sparkSession):
+        return keep(docs.mapInArrow(run, schema), "language")
 
 
 __all__ = ["LanguageCodes", "codewords", "predict_languages", "with_known_language"]
