@@ -54,7 +54,7 @@ class ByteNetwork:
 
     @staticmethod
     def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All texts padded with zero bytes to whole halves, one half of padding at least between windows of two texts.
+        """All texts padded with zero bytes to whole halves.
 
         Returns the bytes and where the halves of each text begin (one more than texts).
         """
@@ -62,13 +62,18 @@ class ByteNetwork:
         raw = b"".join(t.ljust(n * HALF, b"\0") for t, n in zip(texts, halves.tolist(), strict=True))
         return np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum(halves)])
 
-    def pooled(self, raw: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-        """Largest response of each filter in each half, and at which byte."""
+    def pooled(self, raw: np.ndarray, first: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Largest response of each filter in each half, and in which window. Behind its last byte each text goes on with zeros."""
         e = self.p["e"][np.concatenate([raw, np.zeros(WINDOW - STEP, np.uint8)])]
         flat = np.ascontiguousarray(e).reshape(-1)
         n = len(raw) // STEP
         windows = np.lib.stride_tricks.as_strided(flat, (n, WINDOW * EMBED), (STEP * EMBED * 4, 4), writeable=False)
-        out = (windows @ self.p["f"]).reshape(-1, _PER, FILTERS)
+        out = windows @ self.p["f"]
+        last = first[1:] * _PER - 1
+        ends = np.zeros((len(last), WINDOW), np.uint8)
+        ends[:, :STEP] = raw[last[:, None] * STEP + np.arange(STEP)]
+        out[last] = self.p["e"][ends].reshape(len(last), -1) @ self.p["f"]
+        out = out.reshape(-1, _PER, FILTERS)
         if not where:
             return out.max(axis=1) + self.p["c"], None
         at = out.argmax(axis=1)
@@ -92,13 +97,13 @@ class ByteNetwork:
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         raw, first = self.layout(texts)
-        half, _ = self.pooled(raw)
+        half, _ = self.pooled(raw, first)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         return 1 / (1 + np.exp(-self._head(half, first, sizes)["z"].astype(np.float64)))
 
     def gradients(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         raw, first = self.layout(texts)
-        half, at = self.pooled(raw, where=True)
+        half, at = self.pooled(raw, first, where=True)
         s = self._head(half, first, np.fromiter(map(len, texts), np.int64, len(texts)))
         g = {}
         dz = (weight * (1 / (1 + np.exp(-s["z"])) - y) / len(texts)).astype(np.float32)
@@ -119,10 +124,11 @@ class ByteNetwork:
         g["c"] = da.sum(axis=0)
         byte = (np.arange(len(half))[:, None] * _PER + at) * STEP  # first byte of each kept window
         padded = np.concatenate([raw, np.zeros(WINDOW, np.uint8)])
+        ending = np.isin(byte, first[1:] * HALF - STEP)
         df, de = np.zeros_like(self.p["f"]), np.zeros_like(self.p["e"])
         f = self.p["f"].reshape(WINDOW, EMBED, FILTERS)
         for k in range(WINDOW):
-            b = padded[byte + k]  # halves x filters
+            b = np.where(ending & (k >= STEP), 0, padded[byte + k])  # halves x filters
             e = self.p["e"][b]
             df[k * EMBED : (k + 1) * EMBED] = np.einsum("hf,hfe->ef", da, e)
             np.add.at(de, b.ravel(), (da[:, :, None] * f[k].T[None]).reshape(-1, EMBED))
