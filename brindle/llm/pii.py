@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.functions.matches import let, once, record, running
+
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("email", "ip", "card", "phone", "iban")
 
@@ -54,16 +56,13 @@ def _none() -> Column:
 
 def _located(matches: Column, gaps: Column) -> Column:
     """Spans of matches from the lengths of the matches and of the text between them."""
-    def step(acc, i):
-        start = acc["at"] + F.char_length(F.get(gaps, i))
-        m = F.get(matches, i)
-        end = start + F.char_length(m)
-        return F.struct(end.alias("at"), F.array_append(
-            acc["out"], F.struct(start.alias("start"), end.alias("end"), m.alias("m"))).alias("out"))
+    sized = F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, gap: record(m=m, gap=F.char_length(gap), n=F.char_length(m)))
+
+    def placed(x: Column) -> Column:
+        ahead = running(F.transform(x, lambda v: v["gap"] + v["n"]))
+        return F.zip_with(x, ahead, lambda v, at: record(start=at + v["gap"], end=at + v["gap"] + v["n"], m=v["m"]))
 
-    first = F.struct(F.lit(0).alias("at"), _none().alias("out"))
-    found = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), first, step, lambda acc: acc["out"])
-    return F.when(F.size(matches) > 0, found).otherwise(_none())
+    return F.when(F.size(matches) > 0, let(sized, placed)).otherwise(_none())
 
 
 def _search(text: Column, pattern: str) -> Column:
@@ -189,21 +188,19 @@ def pii_digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[{}]") -> DataFrame:
     """``docs`` with each span of personal data replaced by its kind; the columns and the other rows stay as they are.
 
-    Spans of different kinds that overlap are replaced as one, by the kind of the first.
+    Spans of different kinds that overlap are replaced as one, by the kind of the first. Null texts stay null; rows without a
+    doc_id or that repeat one are rows like others.
     """
     keyed = pii_spans(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text"), "_row")
-    whole_text = F.col("_row.text")
-
-    def step(acc, s):
-        text, at = acc["text"], acc["at"]
-        gap = F.substring(whole_text, at + 1, s["start"] - at)
-        label = F.concat(F.lit(mark.split("{}")[0]), F.upper(s["kind"]), F.lit(mark.split("{}")[1]))
-        new = F.concat(text, gap, label)
-        return F.when(s["start"] >= at, F.struct(new.alias("text"), s["end"].alias("at"))).otherwise(
-            F.struct(text.alias("text"), F.greatest(at, s["end"]).alias("at")))
-
-    first = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
-    whole = F.aggregate("spans", first, step, lambda acc: F.concat(
-        acc["text"], F.substring(whole_text, acc["at"] + 1, F.char_length(whole_text))))
-    clean = F.when(F.size("spans") > 0, whole).otherwise(whole_text)
+    before, after = mark.split("{}")
+    top = F.coalesce(F.array_max(F.transform("spans", lambda s: s["end"])), F.lit(0))
+    keyed = once(keyed, _done=running(F.transform("spans", lambda s: s["end"]), F.greatest), _top=top, _whole=F.col("_row.text"))
+
+    def piece(s: Column, at: Column) -> Column:
+        gap = F.substring(F.col("_whole"), at + 1, s["start"] - at)
+        return F.when(s["start"] >= at, F.concat(gap, F.lit(before), F.upper(s["kind"]), F.lit(after))).otherwise("")
+
+    shown = F.array_join(F.zip_with("spans", "_done", piece), "")
+    rest = F.substring(F.col("_whole"), F.col("_top") + 1, F.char_length("_whole"))
+    clean = F.when(F.size("spans") > 0, F.concat(shown, rest)).otherwise(F.col("_whole"))
     return keyed.select(*(clean.alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

@@ -1,12 +1,14 @@
 import collections
 import hashlib
+import os
 import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm import embedding_dedup as emb
-from brindle.llm import exact_dedup, jaccard_join
+from brindle.llm import common, exact_dedup, jaccard_join
 from brindle.llm.components import components
 from brindle.llm.registry import oracle_sql, queries
 from tests.against_sql import check
@@ -20,6 +22,43 @@ def test_exact_dedup_equals_sql(spark):
     check(spark, queries()["op1_exact_dedup"], oracle_sql()["op1_exact_dedup"], SF)
 
 
+def test_jaccard_join_equals_sql(spark):
+    check(spark, queries()["op8_jaccard_join"], oracle_sql()["op8_jaccard_join"], SF)
+
+
+def test_blocks_that_share_a_hash_are_told_apart(spark):
+    for hashed in (lambda c: F.octet_length(c).cast("long"), lambda c: F.lit(0).cast("long") * F.octet_length(c)):
+        rows = exact_dedup.block_identity(table(spark), 7, hashed).collect()
+        assert len(rows) == len(TEXTS)
+        names, texts = collections.defaultdict(set), collections.defaultdict(set)
+        for r in rows:
+            names[bytes(r.sha)].add((r.n, r.name))
+            texts[r.n, r.name].add(bytes(r.sha))
+        assert all(len(v) == 1 for v in [*names.values(), *texts.values()])
+
+
+def test_joins_split_frequent_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "FEW_ROWS", 5)
+    rows = spark.range(1000).select(F.when(F.col("id") < 600, 0).otherwise(F.col("id")).alias("k"), "id")
+    facts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("k <> 700")
+    inner, left = (common.split_join(rows, facts, ["k"], "n", ["id"], how) for how in ("inner", "left"))
+    assert "_salt" in inner._jdf.queryExecution().toString() and inner.columns == ["k", "id", "n"]
+    assert {(r.k, r.id, r.n) for r in inner.collect()} == {(0 if i < 600 else i, i, 600 if i < 600 else 1) for i in range(1000) if i != 700}
+    assert left.count() == 1000 and left.filter("n is null").count() == 1
+
+
+def test_tables_go_when_they_are_done(spark):
+    with common.Scratch(spark) as s:
+        df = s.keep(spark.range(5), "a")
+        path = df.inputFiles()[0]
+        assert df.count() == 5
+    assert not os.path.exists(path.removeprefix("file://"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with common.arrow_rows(spark, 7):
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "7"
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_embeddings_equal_sql(spark):
     check(spark, queries()["op5_embeddings"], oracle_sql()["op5_embeddings"], SF)
 
@@ -129,6 +168,53 @@ def test_jaccard_join_of_short_texts(spark):
     assert collections.Counter(map(tuple, got)) == brute(texts)
 
 
+def test_jaccard_join_of_many_short_texts(spark):
+    r = np.random.default_rng(12)
+    texts = []
+    for i in range(1000):
+        w = [f"q{i}x{j}" for j in range(int(r.integers(5, 21)))]
+        for _ in range(5):
+            v = list(w)
+            for j in r.integers(0, len(v), int(r.integers(0, 2))):
+                v[j] = f"n{r.integers(10**9)}"
+            texts.append((len(texts), " ".join(v[: max(1, len(v) - int(r.integers(0, 3)))])))
+    got = jaccard_join.jaccard_components(table(spark, texts)).collect()
+    want = collections.Counter()
+    for i in range(0, len(texts), 5):  # texts of different words have nothing in common
+        want += brute(texts[i : i + 5])
+    assert collections.Counter(map(tuple, got)) == want
+
+
+def test_jaccard_join_with_frequent_signatures(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 1)  # so nearly all that repeats counts as frequent
+    shared = [f"common{i}" for i in range(40)]
+    texts = [(i, " ".join([f"u{i // 3}w{j}" for j in range(30)] + shared + ([f"z{i}"] if i % 3 else []))) for i in range(90)]
+    texts += [(100 + i, " ".join(shared)) for i in range(30)]
+    got = jaccard_join.jaccard_components(table(spark, texts)).collect()
+    assert collections.Counter(map(tuple, got)) == brute(texts)
+
+
+def test_frequent_numbers_are_never_missed():
+    r = np.random.default_rng(3)
+    stream = np.concatenate([np.full(4000, 7), np.full(900, 9), r.integers(100, 10**9, 20_000)]).astype(np.uint64)
+    r.shuffle(stream)
+    seen = jaccard_join._Frequent(50)
+    for part in np.array_split(stream, 90):
+        seen.add(part)
+    seen.settle()
+    found = dict(zip(seen.key.tolist(), seen.n.tolist(), strict=True))
+    assert 4000 - len(stream) / 50 <= found[7] <= 4000 and found.get(9, 0) >= 900 - len(stream) / 50 and len(found) <= 50
+
+
+def test_one_row_of_each_group_stays_of_repeated_ids(spark):
+    near = "a b c d e f g"
+    texts = [(5, near), (5, near + " h"), (5, near), (7, near + " h"), (5, "quite another text"), (8, ""), (8, ""), (9, None), (None, near)]
+    kept = jaccard_join.drop_near_copies(table(spark, texts)).collect()
+    count = collections.Counter((r.doc_id, r.text) for r in kept)
+    assert sum(n for (d, t), n in count.items() if d is not None and t and t.startswith(near)) == 1 and (7, near + " h") not in count
+    assert count[5, "quite another text"] == count[8, ""] == count[9, None] == count[None, near] == 1
+
+
 def test_near_copies_go_and_rows_stay_whole(spark):
     kept = jaccard_join.drop_near_copies(table(spark))
     assert kept.columns == table(spark).columns
