@@ -69,8 +69,13 @@ def flag(text: Column) -> Column:
     return F.lower(F.trim(text)).isin("1", "true", "yes", "on")
 
 
+def number(text: Column, default: float) -> Column:
+    """A number from a setting's text; ``default`` if it isn't one."""
+    return F.coalesce(F.trim(text).try_cast("double"), F.lit(float(default)))
+
+
 def comma_list(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
-__all__ = ["chosen_mode", "clamped", "comma_list", "count_of", "first_kind", "flag", "is_placeholder", "line_count", "redacted", "squeezed", "strip_bom", "truncated", "utf16_length"]
+__all__ = ["chosen_mode", "clamped", "comma_list", "count_of", "first_kind", "flag", "is_placeholder", "line_count", "number", "redacted", "squeezed", "strip_bom", "truncated", "utf16_length"]

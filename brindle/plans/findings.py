@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions.text import redacted
-from brindle.operators import order, output, rules, secrets
+from brindle.operators import calls, order, output, rules, secrets
 from brindle.plans import made_scripts as made
 
 
@@ -355,7 +355,69 @@ union all select cast(p_partkey as varchar), '/b/m-' || p_size || '-abcdef1.0123
 union all select cast(p_partkey as varchar), '/api/x.js', 'asset', null, 'webpack-runtime', 0.5, 'e' from part
 """
 
+def function_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of made-up scripts with the function around them, the apis and the headers near them."""
+    content = F.concat(F.lit("function login"), "c_custkey", F.lit("(a) {\r\n  fetch('/api/in/"), "c_custkey", F.lit("');\n}\nconst go = async (x) => {\n  send('Bearer abcdefghijklmnop"), "c_custkey", F.lit("');\n}"))
+    rows = made.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("script_id"), content.alias("content"))
+    found = secrets.nearby_apis(secrets.secret_candidates(rows), calls.client_calls(rows))
+    found = found.select("script_id", "type", "value", "line", F.array_join("nearby", ",").alias("nearby"), F.array_join("headers", ",").alias("headers"))
+    return secrets.enclosing_function(found, secrets.function_lines(rows))
+
+
+FUNCTION_CONTEXTS = """
+select cast(c_custkey as varchar) as script_id, 'bearer-token' as type, 'abcdefghijklmnop' || c_custkey as value, 5 as line, 'GET /api/in/' || c_custkey as nearby, 'Bearer' as headers, 'go' as function from customer
+"""
+
+
+def review_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as candidates of one script for each source, labels as answers."""
+    rows = made.table(spark, sf_dir, "documents").select(
+        F.col("source").alias("script_id"), F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("type"), F.lit("low").alias("severity"), F.col("doc_id").cast("string").alias("value"), F.lit("e").alias("evidence"))
+    said = made.table(spark, sf_dir, "labels").select(
+        F.col("doc_id").cast("string").alias("id"), (F.col("quality") == 1).alias("is_secret"), F.lit("").alias("secret_type"), F.lit(None).cast("string").alias("severity"), F.lit(0.5).alias("confidence"))
+    none = spark.createDataFrame([], rules.FINDING)
+    sure, _, counts = secrets.reviewed(rows, none, said, spark.createDataFrame([], "id string, is_risk boolean, category string, type string, severity string, confidence double"), secret_types=["en", "de"])
+    sure = sure.groupBy("script_id").agg(F.count(F.lit(1)).alias("n_secrets"), F.count_if(F.col("source") == "regex").alias("n_passed"))
+    return sure.join(counts, "script_id").select(
+        "script_id", "n_secrets", "n_passed", "llm_candidate_count", "llm_batch_count", "llm_reviewed_count", "llm_confirmed_count", "llm_rejected_count", "llm_dropped_count")
+
+
+REVIEW_COUNTS = """
+with d as (select source as script_id, coalesce(lang in ('en', 'de'), false) as asked, quality from documents left join labels using (doc_id))
+select script_id, count(*) filter (where not asked or quality = 1) as n_secrets, count(*) filter (where not asked) as n_passed, count(*) filter (where asked) as llm_candidate_count,
+  cast(ceil(count(*) filter (where asked) / 5) as bigint) as llm_batch_count, count(quality) filter (where asked) as llm_reviewed_count, count(*) filter (where asked and quality = 1) as llm_confirmed_count,
+  count(*) filter (where asked and quality <> 1) as llm_rejected_count, count(*) filter (where asked and quality is null) as llm_dropped_count from d group by 1 having count(*) filter (where asked) > 0
+"""
+
+
+def confirmed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of line items, of which credentials stay only as confirmed secrets; risks and secrets become findings too."""
+    found = made.found_rows(spark, sf_dir).withColumns({"category": F.when(F.col("category") == "cA", "云配置").otherwise("路由信息"), "source": F.when(F.col("source") == "string", "secret").otherwise("call")})
+    own = made.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("script_id"), F.col("s_suppkey").alias("ord"), F.lit("tF").alias("type"), F.lit("v0007").alias("value"), F.lit("low").alias("severity"), F.lit("e").alias("evidence"))
+    kept = secrets.only_confirmed(found, own).select("script_id", "category", "type", "value", "confidence", "source")
+    more = rules.secret_findings(secrets.fallback_secrets(own)).unionByName(rules.risk_findings(own.withColumn("type", F.lit("export-api"))))
+    return kept.unionByName(more.select(kept.columns))
+
+
+CONFIRMED_FINDINGS = "with" + _FOUND_SQL + """
+select script_id, case category when 'cA' then '云配置' else '路由信息' end as category, type, value, cast(confidence as double) as confidence, case source when 'string' then 'secret' else 'call' end as source from f
+where category <> 'cA' or (source = 'string' and type = 'tF' and value = 'v0007')
+union all select cast(s_suppkey as varchar), '敏感凭据', 'tF', 'v0007', 0.75, 'secret' from supplier union all select cast(s_suppkey as varchar), 'API 信息', 'export-api', null, 0.7, 'risk' from supplier
+"""
+
+
+def soft_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = made.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("script_id"), F.col("event_id").alias("ord"), (F.col("event_id") % 4).alias("n"))
+    return rules.soft_stop(rows, "n", 9).select("script_id", "ord")
+
+
+SOFT_STOPS = """
+with e as (select cast(user_id as varchar) as script_id, event_id as ord, sum(event_id % 4) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as n from events)
+select script_id, ord from e where coalesce(n, 0) < 9
+"""
+
 QUERIES = {
+    "function_contexts": (function_contexts, FUNCTION_CONTEXTS), "review_counts": (review_counts, REVIEW_COUNTS), "confirmed_findings": (confirmed_findings, CONFIRMED_FINDINGS), "soft_stops": (soft_stops, SOFT_STOPS),
     "risk_rules": (risk_rules, RISK_RULES.replace("\\\\", "\\")), "finding_rules": (finding_rules, _rules_sql()), "name_rules": (name_rules, NAME_RULES), "finding_topk": (finding_topk, FINDING_TOPK),
     "evidence_snippets": (evidence_snippets, EVIDENCE_SNIPPETS), "secret_candidates": (secret_candidates, _secrets_sql()), "hidden_texts": (hidden_texts, _hidden_sql()), "api_findings": (api_findings, API_FINDINGS), "text_findings": (text_findings, TEXT_FINDINGS), "asset_findings": (asset_findings, ASSET_FINDINGS), "secret_lines": (secret_lines, SECRET_LINES),
     "redacted_turns": (redacted_turns, REDACTED_TURNS), "enclosing_function_asof": (enclosing_function_asof, ENCLOSING_FUNCTION_ASOF), "review_join": (review_join, REVIEW_JOIN),

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.functions.text import SPACE, count_of, first_kind, strip_bom, utf16_length
+from brindle.functions.text import SPACE, chosen_mode, count_of, first_kind, line_count, strip_bom, utf16_length
+from brindle.functions.urls import host, pathname
 
 BLOCK = r"(?is)<script\b[^>]*>(.*?)</script>"
 
@@ -63,6 +64,17 @@ def requests(rows: DataFrame) -> DataFrame:
     return rows.withColumn("origin", F.when(has, "content").when(given, "url")).withColumn("error", error)
 
 
+def request_summary(rows: DataFrame) -> DataFrame:
+    """What is logged of analysis requests (url, content, async, response_mode, fast_mode, mode): no text, only its measures."""
+    text, url = F.coalesce("content", F.lit("")), F.col("url")
+    has = F.trim(text) != ""
+    mode = chosen_mode(F.coalesce("fast_mode", F.lit(False)), F.col("mode"))
+    return rows.withColumns({
+        "has_url": F.coalesce(F.trim(url), F.lit("")) != "", "url_host": host(url), "url_path": pathname(url), "has_content": has, "content_length": utf16_length(text),
+        "content_lines": F.when(has, line_count(text)).otherwise(0), "content_sha256": F.when(has, F.sha2(text, 256)), "is_async": F.coalesce("async", F.lit(False)),
+        "response_mode": F.coalesce("response_mode", F.lit("full")), "requested_mode": F.col("mode"), "llm_expected": mode == "full"}).withColumn("mode", mode)
+
+
 def secret_requests(rows: DataFrame) -> DataFrame:
     """Requests whose candidate and context aren't empty."""
     return rows.filter((F.length("candidate") > 0) & (F.length("context") > 0))
@@ -97,4 +109,4 @@ def downloaded(rows: DataFrame, fetch: Callable[[str, int, float], tuple[int, st
     return rows.mapInPandas(run, rows.schema)
 
 
-__all__ = ["blocks", "diagnostics", "downloaded", "read_scripts", "requests", "secret_requests", "with_script"]
+__all__ = ["blocks", "diagnostics", "downloaded", "read_scripts", "request_summary", "requests", "secret_requests", "with_script"]
