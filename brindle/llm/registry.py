@@ -18,6 +18,7 @@ from brindle.llm.language_id import FOLDS, HELD_OUT, predict_languages
 from brindle.llm.language_model import score_documents
 from brindle.llm.packing import pack_documents
 from brindle.llm.pii import pii_digest, pii_spans
+from brindle.llm.power_packing import power_sequences
 from brindle.llm.quality import GOOD, fit_quality, score_quality
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -59,6 +60,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_vocabulary() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -104,6 +109,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op13_power_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return power_sequences(table(spark, sf_dir, "documents"), byte_vocabulary())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -116,6 +125,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": op8_jaccard_join,
         "op9_pii": op9_pii,
         "op10_language_id": op10_language_id,
+        "op13_power_packing": op13_power_packing,
     }
 
 
