@@ -22,11 +22,12 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -48,37 +49,42 @@ _ENTRY = 150
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _PLAIN = bytes(10 if c in _BREAKS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BREAK, _NOTHING = -1, -2
+#: The hash of a pair is this times that of its first word, and that of its second.
+_PAIR = 31
 _ROWS = "lang string, depth int, phrase string, f long"
 
 
-def _has(bits: np.ndarray, slot: int) -> bool:
-    slot &= (len(bits) << 3) - 1
-    return bool(bits[slot >> 3] >> (slot & 7) & 1)
+def _have(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    slots = slots & ((len(bits) << 3) - 1)
+    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
 
 
 class _Ids(dict):
     """Numbers of the words of one language in order of appearance; what isn't frequent breaks phrases."""
 
-    def __init__(self, seed: int, frequent: np.ndarray | None):
-        self.seed, self.frequent, self.names, self.held, self.rare = seed, frequent, [], 0, 0
+    def __init__(self, seed: int, frequent: bytes | None):
+        self.seed, self.frequent, self.names, self.hashes, self.held, self.rare = seed, frequent, [], [], 0, 0
         self[b"\n"], self[b""] = _BREAK, _NOTHING
 
     def __missing__(self, word: bytes) -> int:
-        if self.frequent is not None and not _has(self.frequent, zlib.crc32(word, self.seed)):
+        hashed, bits = zlib.crc32(word, self.seed), self.frequent
+        if bits is not None and not bits[hashed % (len(bits) << 3) >> 3] >> (hashed & 7) & 1:
             if self.rare < _RARE:
                 self.rare += 1
                 self[word] = _BREAK
             return _BREAK
         self[word] = len(self.names)
         self.names.append(word)
+        self.hashes.append(hashed)
         self.held += len(word) + _ENTRY
         return len(self.names) - 1
 
 
-def levels(words: np.ndarray, names: list[bytes], low: int, high: int, end: int, seed: int = 0, pairs: np.ndarray | None = None) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
+def levels(words: np.ndarray, names: list[bytes], low: int, high: int, end: int, hashes: np.ndarray | None = None, pairs: np.ndarray | None = None) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
     """The trie's levels ``low`` to ``high``: phrases in order and how often each begins ahead of ``end``.
 
-    ``words`` are numbers of ``names``, negative ones break phrases. A phrase has a node if its own parts have one.
+    ``words`` are numbers of ``names``, negative ones break phrases. A phrase has a node if its own parts have one; pairs that
+    aren't in the set ``pairs`` have none.
     """
     order = sorted(range(len(names)), key=names.__getitem__)
     rank = np.full(len(names) + 1, _BREAK, np.int64)
@@ -89,19 +95,23 @@ def levels(words: np.ndarray, names: list[bytes], low: int, high: int, end: int,
     for depth in range(1, high + 1):
         if depth == 1:
             at = np.flatnonzero(node >= 0)
-            inner = node[at]
+            key, many = np.arange(len(names)), np.bincount(node[at[at < end]], minlength=len(names))
         else:
             at = np.flatnonzero((node[:-1] >= 0) & (node[1:] >= 0))
-            key, inner = np.unique(node[at] * len(names) + words[at + depth - 1], return_inverse=True)
+            if depth == 2 and pairs is not None:
+                one = hashes[order] if len(names) else np.empty(0, np.int64)
+                at = at[_have(pairs, _PAIR * one[words[at]] + one[words[at + 1]])]
+            keys = node[at] * len(names) + words[at + depth - 1]
+            if depth == high:  # nothing is below
+                key, many = np.unique(keys[at < end], return_counts=True)
+            else:
+                key, inner = np.unique(keys, return_inverse=True)
+                many = np.bincount(inner[at < end], minlength=len(key))
+                node = np.full(len(words), _BREAK, np.int64)
+                node[at] = inner
             parent, last = np.divmod(key, max(1, len(names)))
             phrases = [phrases[a] + b" " + names[b] for a, b in zip(parent.tolist(), last.tolist(), strict=True)]
-            node = np.full(len(words), _BREAK, np.int64)
-            node[at] = inner
-            if depth == 2 and pairs is not None:
-                known = np.array([*(_has(pairs, zlib.crc32(p, seed)) for p in phrases), False])
-                node = np.where(known[node], node, _BREAK)
         if depth >= low:
-            many = np.bincount(inner[at < end], minlength=len(phrases))
             some = np.flatnonzero(many)
             yield depth, phrases if len(some) == len(phrases) else [phrases[i] for i in some.tolist()], many[some]
 
@@ -109,14 +119,14 @@ def levels(words: np.ndarray, names: list[bytes], low: int, high: int, end: int,
 class _Tries:
     """The words of one language that a task hasn't counted yet."""
 
-    def __init__(self, lang: str, low: int, high: int, frequent: np.ndarray | None, pairs: np.ndarray | None):
+    def __init__(self, lang: str, low: int, high: int, frequent: bytes | None, pairs: np.ndarray | None):
         self.lang, self.low, self.high, self.frequent, self.pairs = lang, low, high, frequent, pairs
         self.seed = zlib.crc32(lang.encode() + b"\0")
         self.start([])
 
     def start(self, carried: list[bytes]) -> None:
         self.ids, self.size = _Ids(self.seed, self.frequent), len(carried)
-        self.parts = [np.array([self.ids[w] for w in carried], np.int64)]
+        self.parts = [np.array([self.ids[w] for w in carried], np.int32)]
 
     def add(self, text: bytes) -> Iterator[pa.RecordBatch]:
         """Count a text, cut at spaces into pieces of bounded size."""
@@ -125,20 +135,20 @@ class _Tries:
             end = text.find(b" ", at + CHUNK_BYTES)
             end = len(text) if end < 0 else end
             cut = text[at:end].replace(b"\n", b" \n ").split(b" ")
-            found = np.fromiter(map(self.ids.__getitem__, cut), np.int64, len(cut))
+            found = np.fromiter(map(self.ids.__getitem__, cut), np.int32, len(cut))
             self.parts.append(found[found != _NOTHING])
             self.size += len(self.parts[-1])
             at = end
             if self.size > FLUSH_WORDS or self.ids.held > FLUSH_BYTES:
                 yield from self.flush(False)
-        self.parts.append(np.array([_BREAK], np.int64))
+        self.parts.append(np.array([_BREAK], np.int32))
         self.size += 1
 
     def flush(self, last: bool) -> Iterator[pa.RecordBatch]:
         words, names = np.concatenate(self.parts), self.ids.names
         end = len(words) if last else max(0, len(words) - self.high + 1)  # what begins in the rest is counted next time
-        for depth, phrases, many in levels(words, names, self.low, self.high, end, self.seed, self.pairs):
-            columns = [pa.array([self.lang] * len(phrases), pa.string()), pa.array([depth] * len(phrases), pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(many, pa.int64())]
+        for depth, phrases, many in levels(words, names, self.low, self.high, end, np.array(self.ids.hashes, np.int64), self.pairs):
+            columns = [pa.repeat(pa.scalar(self.lang), len(phrases)), pa.repeat(pa.scalar(depth, pa.int32()), len(phrases)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(many, pa.int64())]
             whole = pa.RecordBatch.from_arrays(columns, names=["lang", "depth", "phrase", "f"])
             yield from (whole.slice(i, 100_000) for i in range(0, len(phrases), 100_000))
         self.start([names[i] if i >= 0 else b"\n" for i in words[end:].tolist()])
@@ -146,7 +156,7 @@ class _Tries:
 
 def _count(low: int, high: int, frequent: Broadcast | None, pairs: Broadcast | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = [None if b is None else np.frombuffer(b.value, np.uint8) for b in (frequent, pairs)]
+        sets = None if frequent is None else frequent.value, None if pairs is None else np.frombuffer(pairs.value, np.uint8)
         tries: dict[str, _Tries] = {}
         for batch in batches:
             langs = batch.column(0).to_pylist()
@@ -166,17 +176,32 @@ def _count(low: int, high: int, frequent: Broadcast | None, pairs: Broadcast | N
     return run
 
 
+@contextmanager
+def _in_order(spark: SparkSession) -> Iterator[None]:
+    """What is grouped in the block is merged in order where it comes sorted, instead of being hashed. The session's setting is as before afterwards."""
+    name = "spark.sql.execution.replaceHashWithSortAgg"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _frequent(s: Scratch, texts: DataFrame, low: int, high: int, frequent: Broadcast | None, pairs: Broadcast | None, name: str) -> tuple[DataFrame, DataFrame]:
     """The phrases of ``low`` to ``high`` words with ``LEAST`` occurrences (lang, depth, phrase, f), and the lists of the tasks."""
     lists = s.keep(texts.mapInArrow(_count(low, high, frequent, pairs), _ROWS), f"lists-{name}")
-    ranges = lists.repartitionByRange(parallelism(s.spark), "lang", "phrase").sortWithinPartitions("lang", "phrase")
-    merged = ranges.groupBy("lang", "phrase").agg(F.max("depth").alias("depth"), F.sum("f").alias("f")).filter(F.col("f") >= LEAST)
-    return s.keep(merged.select("lang", "depth", "phrase", "f"), name), lists
+    ranges = lists.repartitionByRange(parallelism(s.spark), "phrase", "lang").sortWithinPartitions("phrase", "lang")
+    merged = ranges.groupBy("phrase", "lang").agg(F.max("depth").alias("depth"), F.sum("f").alias("f")).filter(F.col("f") >= LEAST)
+    with _in_order(s.spark):
+        return s.keep(merged.select("lang", "depth", "phrase", "f"), name), lists
 
 
-def _bits(found: DataFrame) -> Broadcast:
-    """The set of the phrases' hashes: ``2 ** FILTER_BITS`` bits, whatever the number of phrases."""
-    hashed = F.crc32(F.concat("lang", F.lit("\0"), "phrase").cast("binary")).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) + 1
+def _bits(found: DataFrame, depth: int) -> Broadcast:
+    """The set of the hashes of words or pairs: ``2 ** FILTER_BITS`` bits, whatever their number."""
+    words = F.split("phrase", " ")
+    one = [F.crc32(F.concat("lang", F.lit("\0"), words[i]).cast("binary")) for i in range(depth)]
+    hashed = (one[0] if depth == 1 else one[0] * _PAIR + one[1]).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) + 1
     parts = found.select(hashed.alias("_h")).groupBy(F.bitmap_bucket_number("_h").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("bits"))
     out = bytearray(1 << (FILTER_BITS - 3))
     for r in parts.toLocalIterator():
@@ -233,10 +258,10 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
         words, lists = _frequent(s, texts, 1, 1, None, None, "words")
         totals = s.keep(lists.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
         s.drop(lists)
-        frequent = _bits(words)
+        frequent = _bits(words, 1)
         pairs, lists = _frequent(s, texts, 2, 2, frequent, None, "pairs")
         s.drop(lists)
-        together = _bits(pairs)
+        together = _bits(pairs, 2)
         longer, lists = _frequent(s, texts, 3, LONGEST, frequent, together, "longer")
         s.drop(lists)
         found = words.unionByName(pairs).unionByName(longer)
