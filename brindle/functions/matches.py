@@ -13,6 +13,8 @@ NAME_START = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0
 _MATCH, _GROUP, _END = "\x01", "\x02", "\x03"
 #: Numbers that are summed up at once.
 _STRETCH = 256
+#: Characters of a stretch of text.
+STRETCH_CHARS = 2048
 
 
 def record(**fields: Column) -> Column:
@@ -80,10 +82,38 @@ def matches(text: Column, pattern: str, offsets: bool = True, **groups: int) ->
     return let(F.split(marked, _MATCH, -1), cut)
 
 
+def stretches(text: Column) -> Column:
+    """A text in stretches of ``STRETCH_CHARS`` characters, cut in one pass, so that a part of it costs its own length."""
+    return F.regexp_extract_all(text, F.lit(r"[\s\S]{1," + str(STRETCH_CHARS) + "}"), F.lit(0))
+
+
+def between(parts: Column, start: Column, length: Column) -> Column:
+    """``length`` characters from an offset of a text in stretches; twice ``STRETCH_CHARS`` at most."""
+    first = F.floor(start / STRETCH_CHARS).cast("int")
+    near = F.concat(*(F.coalesce(F.get(parts, first + i), F.lit("")) for i in range(3)))
+    return F.substring(near, (start - first * STRETCH_CHARS + 1).cast("int"), length.cast("int"))
+
+
+def line_marks(parts: Column) -> Column:
+    """For each stretch of a text: line feeds ahead of it, and the offset behind the last of them (0 without any)."""
+    feeds = running(F.transform(parts, lambda p: F.regexp_count(p, F.lit("\n"))))
+    behind = running(F.transform(parts, lambda p, i: F.when(F.contains(p, F.lit("\n")), i * STRETCH_CHARS + F.char_length(p) - F.char_length(F.substring_index(p, "\n", -1))).otherwise(0)), F.greatest)
+    return F.zip_with(F.slice(feeds, F.lit(1), F.size(parts)), F.slice(behind, F.lit(1), F.size(parts)), lambda f, b: record(feeds=f, behind=b))
+
+
+def line_and_column(parts: Column, marks: Column, at: Column) -> tuple[Column, Column]:
+    """Line and column (from 1) of an offset of a text in stretches."""
+    first = F.floor(at / STRETCH_CHARS).cast("int")
+    head = F.substring(F.coalesce(F.get(parts, first), F.lit("")), F.lit(1), (at - first * STRETCH_CHARS).cast("int"))
+    line = F.get(marks, first)["feeds"] + F.regexp_count(head, F.lit("\n")) + 1
+    column = F.when(F.contains(head, F.lit("\n")), F.char_length(F.substring_index(head, "\n", -1))).otherwise(at - F.get(marks, first)["behind"]) + 1
+    return line.cast("int"), column.cast("int")
+
+
 def around(text: Column, at: Column, before: int, after: int) -> Column:
     """The characters from ``before`` ahead of an offset to ``after`` behind it."""
     start = F.greatest(at - before, F.lit(0))
     return F.substring(text, start + 1, at - start + after)
 
 
-__all__ = ["NAME_START", "WORD_END", "WORD_START", "around", "let", "matches", "once", "record", "running"]
+__all__ = ["NAME_START", "WORD_END", "WORD_START", "STRETCH_CHARS", "around", "between", "let", "line_and_column", "line_marks", "matches", "once", "record", "running", "stretches"]

@@ -1,9 +1,10 @@
 """Call sites of HTTP clients whose urls are built from constants, and what belongs to them.
 
-Scripts are not parsed into trees: calls, constants and settings are matched as texts in each row, comments left out, and
-everything after that is relational. Constants of a script form a map; an argument is a chain of quoted parts, names and
-calls joined by ``+``, and a name without a constant stays as a placeholder. Arguments and the settings of objects are cut
-at their own commas: brackets inside are followed ``DEPTH`` deep.
+Calls, constants and functions come off the table of tokens (see ``tokens``, ``callgraph``): brackets are followed to any depth,
+comments don't count, calls through a script's own functions are those of the client behind them, and what its functions return
+takes the place of their calls. Everything after that is relational. Constants of a script form a map; an argument is a chain
+of quoted parts, names and calls joined by ``+``, and a name without a constant stays as a placeholder. Keys of an object inside a
+setting are followed ``DEPTH`` brackets deep.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ from pyspark.sql.window import Window
 
 from brindle.functions.matches import WORD_START, let, matches, once, record
 from brindle.functions.urls import asset_type, is_request_url, joined_url, path_params, query_params, url_confidence, url_kind
-from brindle.operators.order import first_wins
+from brindle.operators import callgraph
+from brindle.operators.callgraph import VERBS
+from brindle.operators.order import first_wins, worked_out
 from brindle.operators.scan import auth_signals
+from brindle.operators.tokens import QUOTED as _QUOTED
+from brindle.operators.tokens import rendered
 
-#: Quoted texts and comments, whose brackets and commas don't count. Loops are possessive: no backtracking, no deep stack.
-_QUOTED = r"(?:\"(?:[^\"\\\r\n]++|\\[\s\S])*+\"|'(?:[^'\\\r\n]++|\\[\s\S])*+'|`(?:[^`\\]++|\\[\s\S])*+`)"
-_COMMENT = r"(?://[^\r\n]*+|/\*[\s\S]*?\*/)"
 #: Brackets inside an argument's own that are followed.
 DEPTH = 12
 
@@ -41,27 +43,18 @@ _NAME = r"[A-Za-z_$][A-Za-z0-9_$]*+"
 _NAMES = _NAME + r"(?:\." + _NAME + r")*+"
 _PART = "(?:" + _QUOTED + "|" + _NAMES + r"(?:\(" + _inside(3) + r"\))?+|[0-9]++)"
 _CHAIN = _PART + r"(?:\s*+\+\s*+" + _PART + r")*+"
-VERBS = ("get", "post", "put", "patch", "delete", "head", "options")
 #: A type between a name and its value, and what a default stands behind.
 _TYPED, _DEFAULT = r"(?:\s*:\s*[A-Za-z_$][A-Za-z0-9_$<>\[\]|. ]*?)?", r"(?:[A-Za-z_$][A-Za-z0-9_$.]*\s*(?:\|\||\?\?)\s*)?"
 _DECLARED = WORD_START + r"(?:const|let|var)\s+(" + _NAME + ")"
 CONSTANT = _DECLARED + _TYPED + r"\s*=\s*" + _DEFAULT + "(" + _CHAIN + r")\s*(?:;|,|\r?\n|\z)"
-#: Another name of a client: made by create(), or the name itself, maybe of another alias.
-ALIAS = _DECLARED + r"\s*=\s*(axios\.create(?=\s*\()|" + _NAME + r"(?=\s*(?:;|,|\r?\n|\z)))"
-XHR = r"(?<![A-Za-z0-9_$.])(" + _NAME + r")\s*=\s*new\s+XMLHttpRequest\b"
-_MEMBERS = "|".join((*VERBS, "request", "ajax", "open", "setRequestHeader"))
-#: Calls that may be a client's: bare name, object and member, or name ahead of an object; and their arguments, without moving past them.
-CALL = (r"(?<![A-Za-z0-9_$.])(?:(fetch|axios)|(" + _NAME + r")\.(?i:(" + _MEMBERS + r"))|(" + _NAME + r")(?=\s*\(\s*\{))\s*+(?:<[^<>()]*+>)?\((?=(" + _ALL + "))")
-#: Rounds in which constants are resolved in each other, and hops from alias to alias.
+#: Rounds in which constants are resolved in each other.
 ROUNDS = 5
+#: Tokens of a constant that may be a text; what is longer is an expression of another kind.
+MOST_PARTS = 4096
 _NO_NAMES = "array<string>"
 _PARAM = "array<struct<name:string,location:string,source:string>>"
 
 
-def without_comments(text: Column) -> Column:
-    return F.when(text.rlike("/[/*]"), F.regexp_replace(text, "(" + _QUOTED + ")|" + _COMMENT, "$1")).otherwise(text)
-
-
 def value_of(chain: Column, names: Column) -> Column:
     """A chain of quoted parts, names and calls as one text; null if it is anything else."""
     held = lambda name: F.coalesce(F.try_element_at(names, name), F.concat(F.lit("${"), name, F.lit("}")))
@@ -87,10 +80,17 @@ def with_constants(scripts: DataFrame, text: str = "content") -> DataFrame:
     content = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<struct<k:string,v:string>>")
     found = F.coalesce(F.when(content.rlike(r"(?:const|let|var)\s"), matches(content, CONSTANT, offsets=False, k=1, v=2)), none)
-    last = F.aggregate(found, none, lambda acc, p: F.array_append(F.filter(acc, lambda q: q["k"] != p["k"]), p))
+    return _resolved(once(scripts, _pairs=found))
+
+
+def _resolved(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``names`` instead of ``_pairs`` (an array of names and texts of expressions, in order)."""
     plain = r"\A(?:\"[^\"\\]*\"|'[^'\\]*')\z"
     literal = lambda p: record(k=p["k"], v=F.substring(p["v"], F.lit(2), F.char_length(p["v"]) - 2))
-    rows = once(scripts, _pairs=last)
+    numbered = F.transform("_pairs", lambda p, i: record(k=p["k"], at=-i, v=p["v"]))
+    # in order of names, the last definition of each first
+    last = let(F.array_sort(numbered), lambda x: F.filter(x, lambda p, i: (i == 0) | (p["k"] != F.get(x, i - 1)["k"])))
+    rows = once(rows.withColumn("_n", last).drop("_pairs"), _pairs=F.transform("_n", lambda p: record(k=p["k"], v=p["v"]))).drop("_n")
     rows = once(rows, _known=F.transform(F.filter("_pairs", lambda p: p["v"].rlike(plain)), literal), _open=F.filter("_pairs", lambda p: ~p["v"].rlike(plain)))
 
     def again(acc: Column, _: Column) -> Column:
@@ -102,23 +102,6 @@ def with_constants(scripts: DataFrame, text: str = "content") -> DataFrame:
     return once(rows, names=F.aggregate(turns, F.map_from_entries("_known"), again)).drop("_pairs", "_known", "_open")
 
 
-def client_names(text: Column) -> Column:
-    """Names of clients in a script: axios, what it made, and other names of these."""
-    found = F.coalesce(F.when(F.contains(text, F.lit("axios")), matches(text, ALIAS, offsets=False, k=1, v=2)), F.array().cast("array<struct<k:string,v:string>>"))
-    pairs = F.transform(found, lambda p: record(k=p["k"], v=F.when(p["v"] == "axios.create", "axios").otherwise(p["v"])))
-
-    def followed(pairs: Column) -> Column:
-        hop = lambda known, _: F.array_union(known, F.transform(F.filter(pairs, lambda p: F.array_contains(known, p["v"])), lambda p: p["k"]))
-        turns = F.slice(F.sequence(F.lit(1), F.lit(ROUNDS)), F.lit(1), F.least(F.size(pairs), F.lit(ROUNDS)))
-        return F.aggregate(turns, F.array(F.lit("axios")), hop)
-
-    return let(pairs, followed)
-
-
-def _argument(args: Column, k: int) -> Column:
-    return F.trim(F.regexp_extract(args, r"\A(?:" + _ITEM + r",){" + str(k) + "}(" + _ITEM + ")", 1))
-
-
 def _object(value: Column) -> Column:
     """What stands in the braces of a value that is an object; else null."""
     return F.nullif(F.regexp_extract(value, r"\A\s*\{\s*(" + _ALL + r")\}\s*\z", 1), F.lit(""))
@@ -163,22 +146,68 @@ def _body(value: Column, location: Column | str = "body") -> Column:
     return F.concat(_params(_keys(value), location, "object"), _params(written_keys(value), location, "json-string"), _params(value_name(value), location, "value"))
 
 
+def _joined(parts: Column) -> Column:
+    """An object of the properties in ``parts``, an array of terms; null without any."""
+    some = F.filter(parts, lambda t: F.size(t) > 0)
+    spread = F.flatten(F.transform(some, lambda t, i: F.when(i > 0, F.concat(F.array(F.lit(",")), t)).otherwise(t)))
+    return F.when(F.size(some) > 0, F.concat(F.array(F.lit("{")), spread, F.array(F.lit("}"))))
+
+
+def _forwarded(rows: DataFrame) -> DataFrame:
+    """Calls of forwarders as those of the client: the arguments in its order, what goes to its settings as an object."""
+    arg = lambda c: F.when(F.col(c).isNotNull(), F.get("args", F.col(c)))
+    none = F.array().cast("array<string>")
+    config, reads = arg("config_at"), F.col("method").isin("GET", "HEAD")
+    own = F.when((F.get(config, F.lit(0)) == "{") & (F.get(config, F.size(config) - 1) == "}"), F.slice(config, F.lit(2), F.size(config) - 2))
+    keyed = lambda key, term: F.coalesce(F.concat(F.array(F.lit(key), F.lit(":")), term), none)
+    settings = _joined(F.array(keyed("params", arg("query_at")), keyed("data", F.when(reads, arg("body_at"))), F.coalesce(own, none)))
+    args = F.when(reads, F.array(arg("url_at"), settings)).otherwise(F.array(arg("url_at"), F.coalesce(arg("body_at"), none), settings))
+    ahead = F.col("family") == "forward"
+    return rows.withColumns({"args": F.when(ahead, args).otherwise(F.col("args")), "member": F.when(ahead, F.lower("method")).otherwise(F.col("member")), "family": F.when(ahead, "verb").otherwise(F.col("family"))})
+
+
 def _calls(scripts: DataFrame, text: str) -> DataFrame:
-    """script_id, ord, object, member, family, names and the arguments of the calls of clients."""
-    rows = once(scripts.select("script_id", F.coalesce(F.col(text), F.lit("")).alias("_raw")), _t=without_comments(F.col("_raw"))).drop("_raw")
-    found = matches(F.col("_t"), CALL, offsets=False, bare=1, object=2, member=3, named=4, args=5)
-    xhr = F.when(F.contains("_t", F.lit("XMLHttpRequest")), F.regexp_extract_all("_t", F.lit(XHR), F.lit(1)))
-    rows = once(rows, _m=F.when(F.col("_t").rlike(r"fetch|axios|XMLHttpRequest|\$\.|jQuery"), found)).filter("_m is not null")
-    rows = once(with_constants(rows, "_t"), _client=client_names(F.col("_t")), _xhr=xhr).drop("_t")
-    rows = rows.select("script_id", "names", "_client", "_xhr", F.posexplode("_m").alias("ord", "m"))
-    member, thing = F.lower("m.member"), F.when(F.col("m.bare") != "", F.col("m.bare")).when(F.col("m.named") != "", F.col("m.named")).otherwise(F.col("m.object"))
-    jquery, client = F.col("m.object").isin("$", "jQuery"), F.array_contains("_client", F.col("object"))
-    own = F.coalesce(F.array_contains("_xhr", F.col("object")), F.lit(False))
-    family = (F.when(F.col("m.bare") == "fetch", "fetch").when(jquery & (member == "ajax"), "ajax").when(jquery & member.isin("get", "post"), "verb")
-              .when(client & member.isin(*VERBS), "verb").when(client & member.isin("", "request"), "config").when(own & (member == "open"), "open").when(own & (member == "setrequestheader"), "header"))
-    rows = once(once(rows, object=thing), family=family).filter("family is not null")
-    rows = rows.select("script_id", "ord", "names", "object", F.col("m.member").alias("member"), "family", F.col("m.args").alias("args"))
-    return once(rows, **{f"a{k + 1}": _argument(F.col("args"), k) for k in range(3)}).drop("args")
+    """script_id, ord, object, source, member, family, names, the arguments a1 to a3 as texts and the settings (a term) of the calls of clients."""
+    content = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?<=[A-Za-z0-9_$])<[^<>()\"'`;]*+>(?=\()", "")  # types of calls
+    asked = scripts.select("script_id", content.alias("_t")).filter(F.col("_t").rlike(r"fetch|axios|XMLHttpRequest|\$\s*\.|jQuery|\)\s*\(\s*\{"))
+    found = worked_out(callgraph.facts(asked, "_t"))
+    inside = callgraph.arguments(found)
+    own = found.filter("kind = 'call'").select("script_id", "pos", "name", "member", "start", "close")
+    own = worked_out(own.join(inside.withColumnRenamed("up", "pos"), ["script_id", "pos"], "left"))
+    defined = worked_out(callgraph.functions(found, inside))
+    known = callgraph.aliases(found, own)
+    ahead = callgraph.forwarders(defined, own, known)
+    xhr = found.filter((F.col("kind") == "made") & (F.get("term", F.lit(1)) == "XMLHttpRequest")).select("script_id", "name", F.lit(True).alias("_xhr")).distinct()
+    rows = own.join(known, ["script_id", "name"], "left").join(ahead, ["script_id", "name"], "left").join(xhr, ["script_id", "name"], "left")
+    name, member = F.col("name"), F.lower("member")
+    client, jquery = (name == "axios") | F.col("target").isNotNull(), name.isin("$", "jQuery")
+    family = (F.when(F.col("member").isNull(), "config").when(member == "", F.when(name == "fetch", "fetch").when(F.col("form") == "config", "config").when(F.col("form") == "method", "forward").when((name == "axios") | (F.col("target") == "axios"), "config"))
+              .when(jquery & (member == "ajax"), "ajax").when(jquery & member.isin("get", "post"), "verb").when(client & member.isin(*VERBS), "verb")
+              .when(client & (member == "request"), "config").when(F.col("_xhr") & (member == "open"), "open").when(F.col("_xhr") & (member == "setrequestheader"), "header"))
+    source = F.when(F.coalesce(F.col("member"), F.lit("")) == "", name).otherwise(F.concat_ws(".", name, "member"))
+    rows = _forwarded(rows.withColumns({"family": family, "source": source}).filter("family is not null and args is not null"))
+    rows = worked_out(rows.select("script_id", F.col("pos").alias("ord"), name.alias("object"), "source", F.coalesce("member", F.lit("")).alias("member"), "family", F.slice("args", F.lit(1), F.lit(3)).alias("args")))
+    # arguments and constants in which functions of the script may be called
+    calls_in = lambda t: F.exists(t, lambda x: x == "(")
+    constants = found.filter("kind = 'constant'").select("script_id", F.col("pos").alias("ord"), "name", "term")
+    terms = rows.select("script_id", "ord", F.posexplode("args").alias("n", "term")).unionByName(constants.select("script_id", "ord", F.lit(-1).alias("n"), "term"))
+    made = callgraph.inlined(terms.filter(calls_in("term")).select("script_id", (F.col("ord").cast("long") * 4 + F.col("n") + 1).alias("key"), "term"), defined)
+    made = worked_out(made.select("script_id", F.floor(F.col("key") / 4).cast("int").alias("ord"), (F.col("key") % 4 - 1).cast("int").alias("n"), "term"))
+    built = made.filter("n >= 0").groupBy("script_id", "ord").agg(F.collect_list(F.struct("n", "term")).alias("_made"))
+    fresh = lambda t, i: F.coalesce(F.get(F.filter("_made", lambda m: m["n"] == i), F.lit(0))["term"], t)
+    rows = rows.join(built, ["script_id", "ord"], "left").withColumn("args", F.transform("args", fresh)).drop("_made")
+    constants = constants.join(made.filter("n = -1").select("script_id", "ord", F.col("term").alias("_new")), ["script_id", "ord"], "left").withColumn("term", F.coalesce("_new", "term")).drop("_new")
+    objects = constants.groupBy("script_id", "name").agg(F.max_by("term", "ord").alias("_object")).filter((F.get("_object", F.lit(0)) == "{") & (F.get("_object", F.size("_object") - 1) == "}"))
+    last = F.regexp_replace(rendered(F.col("term")), r"\A" + _DEFAULT, "")
+    pairs = constants.filter((F.get("term", F.lit(0)) != "{") & (F.size("term") < MOST_PARTS)).groupBy("script_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("name").alias("k"), last.alias("v")))).alias("_x"))
+    names = _resolved(pairs.select("script_id", F.transform("_x", lambda x: record(k=x["k"], v=x["v"])).alias("_pairs")))
+    reads = F.upper("member").isin("GET", "HEAD")
+    at = F.when(F.col("family").isin("ajax", "config"), 0).when((F.col("family") == "fetch") | reads, 1).when(F.col("family") == "verb", 2)
+    rows = rows.withColumn("_at", at).withColumn("settings", F.get("args", F.col("_at")))
+    held = F.when(F.size("settings") == 1, F.get("settings", F.lit(0)))
+    rows = rows.withColumn("_held", held).join(objects.withColumnRenamed("name", "_held"), ["script_id", "_held"], "left").withColumn("settings", F.coalesce("_object", "settings")).drop("_held", "_object", "_at")
+    text_of = lambda n: F.coalesce(rendered(F.get("args", F.lit(n))), F.lit(""))
+    return rows.join(names, "script_id", "left").select("script_id", "ord", "names", "object", "source", "member", "family", "settings", *(text_of(n).alias(f"a{n + 1}") for n in range(3)))
 
 
 def client_calls(scripts: DataFrame, text: str = "content") -> DataFrame:
@@ -188,9 +217,7 @@ def client_calls(scripts: DataFrame, text: str = "content") -> DataFrame:
     rows = _calls(scripts, text)
     family = F.col("family")
     reads = F.upper("member").isin("GET", "HEAD")
-    settings = (F.when(family == "fetch", F.col("a2")).when(family.isin("ajax", "config"), F.col("a1"))
-                .when((family == "verb") & reads, F.col("a2")).when(family == "verb", F.col("a3")))
-    rows = once(once(rows, _s=_object(settings)), _e=entries(F.col("_s"))).drop("_s")
+    rows = once(rows, _e=callgraph.entries(F.col("settings"))).drop("settings")
     hit = lambda *keys: F.get(F.reverse(F.filter("_e", lambda e: F.lower(e["key"]).isin(*keys))), F.lit(0))["value"]
     exact = lambda key: F.get(F.reverse(F.filter("_e", lambda e: e["key"] == key)), F.lit(0))["value"]
     rows = once(
@@ -203,8 +230,7 @@ def client_calls(scripts: DataFrame, text: str = "content") -> DataFrame:
     rows = rows.filter((family == "header") | is_request_url(F.col("url"), templates=True)).filter("url <> ''")
     default = F.when(family.isin("fetch", "ajax"), "GET")
     method = F.upper(F.when(family == "verb", F.col("member")).otherwise(F.coalesce("_method", default)))
-    source = F.when(F.col("member") == "", F.col("object")).otherwise(F.concat_ws(".", "object", "member"))
-    rows = once(rows, source=source, method=method, _set=_keys(F.col("_named")), _data_keys=_keys(F.col("_data")))
+    rows = once(rows, method=method, _set=_keys(F.col("_named")), _data_keys=_keys(F.col("_data")))
     spelled = F.when(family.isin("fetch", "verb", "open"), F.regexp_extract_all("url", F.lit(r"\$\{([A-Za-z0-9_$.]+)\}"), F.lit(1)))
     where = F.when(F.col("method") == "GET", "query").otherwise("body")
     params = F.concat(
@@ -303,4 +329,4 @@ def chunk_assets(scripts: DataFrame, text: str = "content") -> DataFrame:
     return first_wins(rows.filter(shaped).withColumn("type", asset_type(F.col("url"))), ["script_id", "type", "url", "chunk_name"], "ord")
 
 
-__all__ = ["call_auth", "call_params", "chunk_assets", "client_calls", "client_names", "entries", "headers_of_opens", "value_name", "value_of", "with_base_url", "with_constants", "without_comments", "written_keys", "xhr_events"]
+__all__ = ["call_auth", "call_params", "chunk_assets", "client_calls", "entries", "headers_of_opens", "value_name", "value_of", "with_base_url", "with_constants", "written_keys", "xhr_events"]

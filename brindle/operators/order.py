@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +12,14 @@ def _list(x) -> list:
     return list(x) if isinstance(x, (list, tuple)) else [x]
 
 
+def worked_out(rows: DataFrame) -> DataFrame:
+    """``rows``, worked out once: checkpointed where the session names a folder for it, else persisted."""
+    context, folder = rows.sparkSession.sparkContext, rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder and not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return rows.checkpoint() if folder else rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def first_wins(rows: DataFrame, keys: list, order: Column | str) -> DataFrame:
     """Of rows with equal keys (nulls are equal) the first by ``order`` stays."""
     w = Window.partitionBy(*keys).orderBy(*_list(order))
@@ -54,4 +63,4 @@ def newest(rows: DataFrame, order: list, most: int = 1000) -> DataFrame:
     return rows.orderBy(*order).limit(most)
 
 
-__all__ = ["batches", "capped", "first_wins", "last_by", "newest", "rate_limited"]
+__all__ = ["batches", "capped", "first_wins", "last_by", "newest", "rate_limited", "worked_out"]

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from brindle.functions.urls import chunk_name
 from brindle.operators.order import first_wins, last_by
+from brindle.operators.rules import GUARDED
 
-# Categories that leaks and exposures may have, those that need a confirmed secret, and words that let a value be a leak.
+# Categories that leaks and exposures may have, and words that let a value be a leak.
 LEAK_CATEGORIES = ("API 信息", "敏感凭据", "权限信息", "云配置", "第三方配置", "调试信息", "内网信息", "JWT/OAuth", "路由信息")
 EXPOSURE_CATEGORIES = ("敏感凭据", "权限信息", "云配置", "第三方配置", "调试信息", "内网信息", "JWT/OAuth", "GraphQL", "路由信息")
-GUARDED_CATEGORIES = ("敏感凭据", "云配置", "JWT/OAuth")
 LEAK_VALUE = r"(?i)^https?://|gateway|baseUrl|apiHost|apiBase|dev|test|uat|stage|staging|pre|prod"
 SCRIPTS = "webpack模块"
 
@@ -65,7 +65,7 @@ def grouped(findings: DataFrame, secrets: DataFrame) -> DataFrame:
     rows = findings.withColumn("_v", F.coalesce("value", F.lit(""))).join(sure, ["script_id", "type", "_v"], "left")
     category, source = F.col("category"), F.col("source")
     endpoint, script = (source == "api") | (category == "API 信息"), (source == "asset") | (category == SCRIPTS)
-    shown = category.isin(*EXPOSURE_CATEGORIES) & ~endpoint & ~script & ~(category.isin(*GUARDED_CATEGORIES) & (source != "secret")) & ((source != "secret") | F.coalesce("_ok", F.lit(False)))
+    shown = category.isin(*EXPOSURE_CATEGORIES) & ~endpoint & ~script & ~(category.isin(*GUARDED) & (source != "secret")) & ((source != "secret") | F.coalesce("_ok", F.lit(False)))
     sections = F.filter(F.array(F.when(endpoint, "endpoints"), F.when(script, "scripts"), F.when(shown, "exposures")), lambda s: s.isNotNull())
     return rows.select(*findings.columns, F.explode(sections).alias("section"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brindle.functions.matches import WORD_START, matches, once, record
+from brindle.functions.matches import WORD_START, between, matches, once, record, stretches
 from brindle.functions.text import is_placeholder, redacted, squeezed, truncated
 from brindle.operators.order import capped, first_wins
 
@@ -49,6 +49,8 @@ RISK_RULES = (
 CALL_RULE = ("GraphQL", "graphql-client-call", "medium", 0.75, r"(?i)\b(?:graphql|gql|ApolloClient|useQuery|useMutation)\b")
 REQUEST_NAME = r"(?i)fetch|axios|request|open"
 DYNAMIC_TARGET = r"(?i)callback|redirect|returnurl|nexturl|target|webhook|location\.|document\.url|window\.name|searchParams|query"
+# Categories that need a confirmed secret.
+GUARDED = ("敏感凭据", "云配置", "JWT/OAuth")
 SOURCE_RANK = ("asset", "string", "identifier", "call", "risk", "api", "secret")
 MOST_VALUE, MOST_EVIDENCE = 1000, 2500
 
@@ -155,7 +157,13 @@ def with_api_evidence(apis: DataFrame, scripts: DataFrame, text: str = "content"
     """
     keyed = apis.groupBy("script_id").agg(F.collect_list(F.struct("ord", "url", "resolved_url")).alias("_apis"))
     rows = scripts.select("script_id", F.coalesce(F.col(text), F.lit("")).alias("_t")).join(keyed, "script_id")
-    seen = lambda a: F.coalesce(snippet(F.col("_t"), a["url"]), snippet(F.col("_t"), a["resolved_url"]))
+    rows = once(rows, _p=stretches(F.col("_t")), _n=F.char_length("_t"))
+
+    def one(value: Column) -> Column:
+        at = F.instr(F.col("_t"), value) - 1
+        return F.when((at >= 0) & (F.char_length(value) > 0), around_part(F.col("_p"), F.col("_n"), at, F.char_length(value)))
+
+    seen = lambda a: F.coalesce(one(a["url"]), one(a["resolved_url"]))
     rows = rows.select("script_id", F.inline(F.transform("_apis", lambda a: record(ord=a["ord"], url=a["url"], found=seen(a))))).distinct()
     return apis.join(rows, ["script_id", "ord", "url"], "left")
 
@@ -200,46 +208,79 @@ _NAMED = WORD_START + r"(?:(?:const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)(?=\s*[
 _CALLED = r"(?<![A-Za-z0-9_$.])(?!(?:if|for|while|switch|catch|function|return|typeof)(?![A-Za-z0-9_$]))([A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)*)\s*\((?=([^,()]{0,400}))"
 
 
-def text_findings(scripts: DataFrame, text: str = "content", most: int = 3000) -> DataFrame:
+def text_findings(scripts: DataFrame, text: str = "content", most: int = 3000, before: DataFrame | None = None) -> DataFrame:
     """Findings of rules over declared names, keys, literals and names of calls, by their place in the text.
 
-    After ``most`` findings of a script no further place is looked at.
+    After ``most`` findings of a script no further place is looked at; ``before`` (script_id, n) has how many it had already. Rules
+    and the stop come first; only what is left meets its text again, as one list of each script, for its evidence.
     """
     content = F.col("_t")
     rows = scripts.select("script_id", F.coalesce(F.col(text), F.lit("")).alias("_t"))
     none = F.array().cast("array<struct<at:int,kind:int,name:string,value:string>>")
-    whole = lambda m: F.coalesce(F.nullif(m["a"], F.lit("")), F.nullif(m["b"], F.lit("")), F.nullif(F.regexp_replace(m["c"], r"\$\{[^{}]*\}", r"\${value}"), F.lit("")))
+    hole = r"\$\{[^{}]*\}"
+    whole = lambda m: F.coalesce(F.nullif(m["a"], F.lit("")), F.nullif(m["b"], F.lit("")), F.nullif(F.regexp_replace(m["c"], hole, r"\${value}"), F.lit("")))
     named = F.transform(matches(content, _NAMED, x=1, y=2, a=3, b=4, c=5), lambda m: record(at=m["at"], kind=F.lit(0), name=F.concat(m["x"], m["y"]), value=whole(m)))
-    alone = F.transform(matches(content, _LITERAL, a=1, b=2, c=3), lambda m: record(at=m["at"], kind=F.lit(1), name=F.lit(None).cast("string"), value=F.concat(m["a"], m["b"], m["c"])))
-    called = F.transform(matches(content, _CALLED, name=1, value=2), lambda m: record(at=m["at"], kind=F.lit(2), name=m["name"], value=m["value"]))
-    rows = once(rows, _m=F.concat(*(F.coalesce(x, none) for x in (named, alone, called)))).filter(F.size("_m") > 0)
-    rows = rows.select("script_id", "_t", F.explode("_m").alias("m")).select("script_id", "_t", "m.*")
-    place = _placed(4, F.col("at"), F.col("kind") * 1000)
-    near = around_index(content, F.col("at"), F.char_length(F.coalesce("value", "name")))
-    plain = once(rows.filter("kind < 2 and coalesce(value, name, '') <> ''"), evidence=near).select("script_id", place.alias("ord"), "name", "value", "evidence", F.when(F.col("name").isNotNull(), "identifier").otherwise("string").alias("source"))
+    # each piece of a template is a text of its own
+    pieces = lambda m: F.when(F.contains(m["c"], F.lit("${")), F.split(m["c"], hole, -1)).otherwise(F.array(F.concat(m["a"], m["b"], m["c"])))
+    alone = F.flatten(F.transform(matches(content, _LITERAL, a=1, b=2, c=3), lambda m: F.transform(pieces(m), lambda p, i: record(at=m["at"], kind=F.lit(50) + F.least(i, F.lit(49)), name=F.lit(None).cast("string"), value=p))))
+    called = F.transform(matches(content, _CALLED, name=1, value=2), lambda m: record(at=m["at"], kind=F.lit(100), name=m["name"], value=m["value"]))
+    found = once(rows, _m=F.concat(*(F.coalesce(x, none) for x in (named, alone, called)))).select("script_id", F.inline("_m"))
+    found = found.withColumns({"_place": _placed(4, F.col("at"), F.col("kind") * 30), "_n": F.char_length(F.coalesce("value", "name"))})
+    columns = ["script_id", "ord", "category", "type", "value", "severity", "confidence", "source", "evidence", "at", "_n"]
+    plain = found.filter("kind < 100 and coalesce(value, name, '') <> ''").withColumn("source", F.when(F.col("name").isNotNull(), "identifier").otherwise("string"))
+    ruled = matched_rules(plain).withColumns({"ord": F.col("_place") + F.col("rule"), "confidence": F.col("confidence").cast("double"), "evidence": F.lit(None).cast("string")}).select(columns)
     category, kind, severity, confidence, by_name = CALL_RULE
-    rows = rows.filter("kind = 2")
-    clients = _finding(rows.filter(F.col("name").rlike(by_name)), place, category, kind, F.col("name"), severity, F.lit(confidence), "call", F.concat(F.lit("call:"), "name"))
+
+    def of_call(rows: DataFrame, ord: Column, category: str, kind: str, value: Column, confidence: float, evidence: Column) -> DataFrame:
+        return rows.select("script_id", ord.alias("ord"), F.lit(category).alias("category"), F.lit(kind).alias("type"), value.alias("value"), F.lit(severity).alias("severity"), F.lit(confidence).cast("double").alias("confidence"),
+                           F.lit("call").alias("source"), evidence.alias("evidence"), "at", F.char_length("name").alias("_n"))
+
+    spoken = found.filter("kind = 100")
+    clients = of_call(spoken.filter(F.col("name").rlike(by_name)), F.col("_place"), category, kind, F.col("name"), confidence, F.concat(F.lit("call:"), "name"))
     argument = F.regexp_replace(F.trim("value"), r"\"[^\"]*\"|'[^']*'", "StringLiteral")
     target = F.col("name").rlike(REQUEST_NAME) & ~argument.rlike(r"^(?:StringLiteral$|\{)") & argument.rlike(DYNAMIC_TARGET)
-    dynamic = _finding(rows.filter(target), place + 1, "路由信息", "dynamic-request-target", F.lit(None).cast("string"), "medium", F.lit(0.55), "call", around_index(content, F.col("at"), F.char_length("name")))
-    found = _ruled(plain).unionByName(clients).unionByName(dynamic)
-    w = Window.partitionBy("script_id").orderBy(F.floor(F.col("ord") / 1000)).rangeBetween(Window.unboundedPreceding, -1)
-    return found.withColumn("_before", F.count(F.lit(1)).over(w)).filter(F.col("_before") < most).drop("_before")
+    dynamic = of_call(spoken.filter(target), F.col("_place") + 1, "路由信息", "dynamic-request-target", F.lit(None).cast("string"), 0.55, F.lit(None).cast("string"))
+    hits = ruled.unionByName(clients).unionByName(dynamic)
+    w = Window.partitionBy("script_id").orderBy(F.floor(F.col("ord") / 30)).rangeBetween(Window.unboundedPreceding, -1)
+    hits = hits.withColumn("_before", F.count(F.lit(1)).over(w))
+    if before is not None:
+        hits = hits.join(before.select("script_id", F.col("n").alias("_had")), "script_id", "left").withColumn("_before", F.col("_before") + F.coalesce("_had", F.lit(0)))
+    hits = hits.filter(F.col("_before") < most).select(columns)
+    lists = hits.groupBy("script_id").agg(F.collect_list(F.struct(*columns[1:])).alias("_h"))
+    held = once(rows.join(lists, "script_id"), _p=stretches(content), _all=F.char_length(content)).drop("_t")
+    shown = lambda h: F.coalesce(h["evidence"], around_part(F.col("_p"), F.col("_all"), h["at"], h["_n"]))
+    return held.select("script_id", F.inline(F.transform("_h", lambda h: record(**{c: h[c] for c in columns[1:8]}, evidence=shown(h)))))
 
 
 def all_findings(scripts: DataFrame, apis: DataFrame, assets: DataFrame, secrets: DataFrame, found_risks: DataFrame, text: str = "content", **caps: int) -> DataFrame:
-    """Findings of apis, assets, secrets, risks and the text, in this order, cut to size, distinct, ranked and capped."""
-    parts = [api_findings(with_api_evidence(apis, scripts, text)), asset_findings(assets), secret_findings(secrets), risk_findings(found_risks), text_findings(scripts, text)]
-    return ranked_findings(normal_findings(reduce(DataFrame.unionByName, parts)), **caps)
+    """Findings of apis, assets, secrets, risks and the text, in this order, cut to size, distinct, ranked and capped.
+
+    The findings of the text stop at a number that counts those ahead of them.
+    """
+    shown = with_api_evidence(apis, scripts, text)
+    parts = [asset_findings(assets), secret_findings(secrets), risk_findings(found_risks)]
+    bare = [api_findings(apis.withColumn("found", F.lit(None).cast("string"))), *parts]
+    before = reduce(DataFrame.unionByName, [p.select("script_id") for p in bare]).groupBy("script_id").agg(F.count(F.lit(1)).alias("n"))
+    return ranked_findings(normal_findings(reduce(DataFrame.unionByName, [api_findings(shown), *parts, text_findings(scripts, text, before=before)])), **caps)
+
+
+def _around(part, n: Column, at: Column, length: Column, reach: int, most: int) -> Column:
+    start = F.greatest(at - reach, F.lit(0))
+    end = F.least(at + F.greatest(length, F.lit(1)) + reach, n)
+    ahead, behind = F.when(start > 0, "...").otherwise(""), F.when(end < n, "...").otherwise("")
+    cut = F.concat(ahead, part(start, F.least(end - start, F.lit(most))), behind)
+    full = F.char_length(ahead) + (end - start) + F.char_length(behind)
+    return F.when(full > most, F.concat(F.substring(cut, 1, most), F.lit("..."))).otherwise(cut)
 
 
 def around_index(text: Column, at: Column, length: Column, reach: int = 220, most: int = MOST_EVIDENCE) -> Column:
     """``reach`` characters on both sides of ``length`` ones from an offset, dots where the text goes on; cut to ``most``."""
-    n = F.char_length(text)
-    start, end = F.greatest(at - reach, F.lit(0)), F.least(at + F.greatest(length, F.lit(1)) + reach, n)
-    cut = F.concat(F.when(start > 0, "...").otherwise(""), F.substring(text, start + 1, end - start), F.when(end < n, "...").otherwise(""))
-    return F.when(F.char_length(cut) > most, F.concat(F.substring(cut, 1, most), F.lit("..."))).otherwise(cut)
+    return _around(lambda start, many: F.substring(text, start + 1, many), F.char_length(text), at, length, reach, most)
+
+
+def around_part(parts: Column, n: Column, at: Column, length: Column, reach: int = 220, most: int = MOST_EVIDENCE) -> Column:
+    """The same from a text of ``n`` characters in stretches, at the price of what is cut out."""
+    return _around(lambda start, many: between(parts, start, many), n, at, length, reach, most)
 
 
 def snippet(text: Column, value: Column, reach: int = 220, most: int = MOST_EVIDENCE) -> Column:
@@ -261,5 +302,5 @@ def evidence_of(name: Column, value: Column) -> Column:
 
 
 __all__ = [
-    "CALL_RULE", "FINDING_RULES", "RISK_RULES", "all_findings", "api_findings", "around_index", "asset_findings", "evidence_of", "lines_around", "matched_rules", "normal_findings", "ranked_findings",
+    "CALL_RULE", "FINDING_RULES", "GUARDED", "RISK_RULES", "all_findings", "api_findings", "around_index", "around_part", "asset_findings", "evidence_of", "lines_around", "matched_rules", "normal_findings", "ranked_findings",
     "risk_category", "risk_findings", "risks", "secret_category", "secret_findings", "severity_score", "snippet", "soft_stop", "source_rank", "text_findings", "with_api_evidence"]

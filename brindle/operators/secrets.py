@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brindle.functions.matches import matches, once, record
+from brindle.functions.matches import line_and_column, line_marks, matches, once, record, stretches
 from brindle.functions.text import clamped, truncated
 from brindle.operators.order import first_wins
-from brindle.operators.rules import around_index
+from brindle.operators.rules import GUARDED, around_part
 
 # Names of headers that a context may hold, and what defines a function on a line.
 HEADERS = ("Authorization", "X-Token", "JWT", "Bearer")
@@ -36,7 +36,11 @@ SECRET_RULES = (
 
 def secret_candidates(scripts: DataFrame, text: str = "content", rules=SECRET_RULES, reach: int = 1200, most: int = 4000) -> DataFrame:
     """script_id, type, severity, value, at, line, column (from 1), id and ``context``, the text around it: a row for each
-    match of each rule."""
+    match of each rule.
+
+    What is found becomes a list in the row of its script, and the text is cut once into stretches, so a match costs its own
+    context whatever the size of the text.
+    """
     content = F.col("_t")
     none = F.array().cast("array<struct<type:string,severity:string,value:string,at:int>>")
 
@@ -45,11 +49,15 @@ def secret_candidates(scripts: DataFrame, text: str = "content", rules=SECRET_RU
         return F.coalesce(found, none)
 
     rows = once(scripts.select("script_id", F.coalesce(F.col(text), F.lit("")).alias("_t")), _m=F.concat(*(hits(*rule) for rule in rules))).filter(F.size("_m") > 0)
-    rows = rows.select("script_id", "_t", F.explode("_m").alias("m")).select("script_id", "_t", "m.*")
-    rows = once(rows, _head=F.substring("_t", F.lit(1), F.col("at")), context=around_index(content, F.col("at"), F.char_length("value"), reach, most))
-    line = F.regexp_count("_head", F.lit("\n")) + 1
-    column = F.char_length(F.substring_index("_head", "\n", -1)) + 1
-    return rows.select("script_id", "type", "severity", "value", "at", line.alias("line"), column.alias("column"), F.sha2("value", 256).alias("id"), "context")
+    rows = once(rows, _p=stretches(content), _n=F.char_length(content)).drop("_t")
+    rows = once(rows, _l=line_marks(F.col("_p")))
+
+    def placed(m: Column) -> Column:
+        line, column = line_and_column(F.col("_p"), F.col("_l"), m["at"])
+        context = around_part(F.col("_p"), F.col("_n"), m["at"], F.char_length(m["value"]), reach, most)
+        return record(type=m["type"], severity=m["severity"], value=m["value"], at=m["at"], line=line, column=column, id=F.sha2(m["value"], 256), context=context)
+
+    return rows.select("script_id", F.inline(F.transform("_m", placed)))
 
 
 def nearby_apis(contexts: DataFrame, apis: DataFrame) -> DataFrame:
@@ -177,7 +185,7 @@ def single_review(requests: DataFrame, answers: DataFrame | None) -> DataFrame:
 
 def only_confirmed(findings: DataFrame, secrets: DataFrame) -> DataFrame:
     """Findings of credentials, clouds and tokens stay only if they are confirmed secrets (type and value)."""
-    guarded = F.col("category").isin("敏感凭据", "云配置", "JWT/OAuth")
+    guarded = F.col("category").isin(*GUARDED)
     sure = secrets.select("script_id", "type", F.coalesce("value", F.lit("")).alias("_v"), F.lit(True).alias("_ok")).distinct()
     rows = findings.withColumn("_v", F.coalesce("value", F.lit(""))).join(sure, ["script_id", "type", "_v"], "left")
     return rows.filter(~guarded | ((F.col("source") == "secret") & F.coalesce("_ok", F.lit(False)))).drop("_v", "_ok")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.matches import once
 from brindle.operators import calls, output, rules, scan, secrets
+from brindle.operators.order import worked_out
 from brindle.sources.scripts import with_script
 
 #: What texts that are no scripts are scanned for comes after what scripts call.
@@ -15,14 +15,6 @@ _AFTER = 100_000_000
 TABLES = ("endpoints", "leaks", "js_files", "summary", "errors")
 
 
-def _cut(rows: DataFrame) -> DataFrame:
-    """``rows``, worked out once: checkpointed where the session names a folder for it, else persisted."""
-    context, folder = rows.sparkSession.sparkContext, rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder and not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return rows.checkpoint() if folder else rows.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def analyze(scripts: DataFrame, mode: str = "full", secret_reviews: DataFrame | None = None, finding_reviews: DataFrame | None = None, **review) -> dict[str, DataFrame]:
     """The tables of an analysis of ``scripts`` (script_id, url, content), each with script_id.
 
@@ -38,18 +30,18 @@ def analyze(scripts: DataFrame, mode: str = "full", secret_reviews: DataFrame |
     found = calls.client_calls(rows, "script").select(columns)
     spelled = scan.text_endpoints(texts, "content").withColumn("auth", F.when(F.col("auth").isNotNull(), F.array("auth")).otherwise(F.array().cast("array<string>")))
     found = found.unionByName(spelled.withColumn("ord", F.col("ord") + _AFTER).select(columns))
-    apis = _cut(calls.with_base_url(found, scan.text_base_urls(rows, "script")))
+    apis = worked_out(calls.with_base_url(found, scan.text_base_urls(rows, "script")))
     chunks = calls.chunk_assets(rows, "script").select("script_id", "ord", "url", "type", "chunk_name", F.lit("webpack-runtime").alias("source"))
     named = scan.text_assets(texts, "content").select("script_id", (F.col("ord") + _AFTER).alias("ord"), "url", "type", F.lit(None).cast("string").alias("chunk_name"), "source")
-    assets = _cut(chunks.unionByName(named))
+    assets = worked_out(chunks.unionByName(named))
     risks = rules.risks(apis)
     candidates = secrets.secret_candidates(rows, "script").select("script_id", F.col("at").alias("ord"), "type", "severity", "value", "id", F.col("context").alias("evidence"))
-    candidates = _cut(candidates)
+    candidates = worked_out(candidates)
     raw = rules.all_findings(rows, apis, assets, secrets.fallback_secrets(candidates), risks, "script")
     sure, findings, counters = secrets.reviewed(candidates, raw, secret_reviews, finding_reviews, mode, **review)
     if mode == "full" and secret_reviews is not None and finding_reviews is not None:
         findings = secrets.only_confirmed(findings, sure)
-    findings = _cut(findings)
+    findings = worked_out(findings)
     out = {"apis": apis, "params": calls.call_params(apis), "auth": calls.call_auth(apis), "assets": assets, "secrets": sure, "risks": risks, "findings": findings, "counters": counters, "candidates": candidates}
     out["endpoints"] = output.endpoints(apis, findings)
     out["js_files"] = output.js_files(assets, findings)
