@@ -1,12 +1,13 @@
 r"""Collocations: phrases of two to four words that occur together more often than their parts apart.
 
 Each task counts its texts into tries of bounded depth, whose level d has a node for each phrase of d words, and writes them
-out as sorted lists of phrases whenever they have grown to a set size. The lists of all tasks are dealt by prefix ranges and
-merged in order, so a phrase's counts meet whatever its prefix, and a frequent prefix is many ranges.
+out as sorted lists of phrases whenever they have grown to a set size. The lists of all tasks are dealt by prefix ranges, in each of
+which the lists are merged and equal phrases summed, so a frequent prefix is many ranges.
 
-Only phrases with ``LEAST`` occurrences matter, and no phrase occurs more often than its parts. So the tries grow in three
-passes: words; pairs of frequent words; phrases of three and four words whose pairs are all frequent. What is frequent is
-told to the next pass as a set of bits of fixed size (``FILTER_BITS``) by hash: a bit too many costs time, never a result.
+Only phrases with ``LEAST`` occurrences matter, and no phrase occurs more often than its parts. So two passes go ahead of the
+tries: the words, then the pairs of frequent words, are counted by 64-bit hashes. What is frequent is told to the next pass
+as a set of bits of fixed size (``FILTER_BITS``): a bit too many, or a hash that two share, costs time, never a result, since the
+tries count phrases themselves.
 
 The counts of a phrase's left parts are those of its ancestors in the trie: one walk over the sorted phrases, which holds
 the path from the root only. Those of its right parts are its suffix links: the same walk over the phrases sorted from
@@ -14,25 +15,25 @@ their last words. A range begins below ancestors that the range before it holds;
 looked up afterwards.
 
 Defined results: a null text counts as empty, a null language as ``und``. Ids aren't looked at: rows that repeat one are texts
-like others, so their words count again. Ties in score and count are in the byte order of the phrases. Extra columns change nothing. An empty table gives
-an empty result. A text of any length is counted whole: what is cut off when a task's tries are full begins the next ones.
+like others, so their words count again. Ties in score and count are in the byte order of the phrases. Extra columns change
+nothing. An empty table gives an empty result. A text of any length is counted whole: what is cut off when a task's tries are
+full begins the next ones.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brindle.llm.common import Scratch, keep, parallelism
-from brindle.llm.shingles import in_chunks
+from brindle.llm.shingles import in_chunks, mix
 
 #: Occurrences of a candidate at least, its words at most, rows of a language at most.
 LEAST, LONGEST, TOP = 30, 4, 2000
@@ -49,16 +50,18 @@ _ENTRY = 150
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _PLAIN = bytes(10 if c in _BREAKS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BREAK, _NOTHING = -1, -2
-#: The hash of a pair is this times that of its first word, and that of its second.
-_PAIR = 31
-_ROWS = "lang string, depth int, phrase string, f long"
+_ROWS, _HASHED = "lang string, depth int, phrase string, f long", "lang string, h long, f long"
 
 
-def _have(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    slots = slots & ((len(bits) << 3) - 1)
+def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slots = (hashes & np.uint64((len(bits) << 3) - 1)).astype(np.int64)
     return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
 
 
+def _pair(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return mix(one * np.uint64(0x9E3779B97F4A7C15) + two)
+
+
 class _Ids(dict):
     """Numbers of the words of one language in order of appearance; what isn't frequent breaks phrases."""
 
@@ -67,7 +70,7 @@ class _Ids(dict):
         self[b"\n"], self[b""] = _BREAK, _NOTHING
 
     def __missing__(self, word: bytes) -> int:
-        hashed, bits = zlib.crc32(word, self.seed), self.frequent
+        hashed, bits = xxhash.xxh64_intdigest(word, self.seed), self.frequent
         if bits is not None and not bits[hashed % (len(bits) << 3) >> 3] >> (hashed & 7) & 1:
             if self.rare < _RARE:
                 self.rare += 1
@@ -98,9 +101,9 @@ def levels(words: np.ndarray, names: list[bytes], low: int, high: int, end: int,
             key, many = np.arange(len(names)), np.bincount(node[at[at < end]], minlength=len(names))
         else:
             at = np.flatnonzero((node[:-1] >= 0) & (node[1:] >= 0))
-            if depth == 2 and pairs is not None:
-                one = hashes[order] if len(names) else np.empty(0, np.int64)
-                at = at[_have(pairs, _PAIR * one[words[at]] + one[words[at + 1]])]
+            if depth == 2 and pairs is not None and len(at):
+                own = hashes[order]
+                at = at[_has(pairs, _pair(own[words[at]], own[words[at + 1]]))]
             keys = node[at] * len(names) + words[at + depth - 1]
             if depth == high:  # nothing is below
                 key, many = np.unique(keys[at < end], return_counts=True)
@@ -116,12 +119,24 @@ def levels(words: np.ndarray, names: list[bytes], low: int, high: int, end: int,
             yield depth, phrases if len(some) == len(phrases) else [phrases[i] for i in some.tolist()], many[some]
 
 
-class _Tries:
-    """The words of one language that a task hasn't counted yet."""
+def hashed(words: np.ndarray, hashes: np.ndarray, depth: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, or pairs of words, that begin ahead of ``end``, in order, and how often each does."""
+    if depth == 1:
+        many = np.bincount(words[:end][words[:end] >= 0], minlength=len(hashes))
+        some = np.flatnonzero(many)
+        order = some[np.argsort(hashes[some])]
+        return hashes[order], many[order]
+    at = np.flatnonzero((words[:-1] >= 0) & (words[1:] >= 0))
+    at = at[at < end]
+    return np.unique(_pair(hashes[words[at]], hashes[words[at + 1]]), return_counts=True)
+
+
+class _Shard:
+    """The words of one language that a task hasn't counted yet: to be hashed up to depth 1 or 2, or counted in tries."""
 
-    def __init__(self, lang: str, low: int, high: int, frequent: bytes | None, pairs: np.ndarray | None):
-        self.lang, self.low, self.high, self.frequent, self.pairs = lang, low, high, frequent, pairs
-        self.seed = zlib.crc32(lang.encode() + b"\0")
+    def __init__(self, lang: str, depth: int, frequent: bytes | None, pairs: np.ndarray | None):
+        self.lang, self.depth, self.frequent, self.pairs = lang, depth, frequent, pairs
+        self.seed = xxhash.xxh64_intdigest(lang.encode())
         self.start([])
 
     def start(self, carried: list[bytes]) -> None:
@@ -145,19 +160,26 @@ class _Tries:
         self.size += 1
 
     def flush(self, last: bool) -> Iterator[pa.RecordBatch]:
-        words, names = np.concatenate(self.parts), self.ids.names
-        end = len(words) if last else max(0, len(words) - self.high + 1)  # what begins in the rest is counted next time
-        for depth, phrases, many in levels(words, names, self.low, self.high, end, np.array(self.ids.hashes, np.int64), self.pairs):
-            columns = [pa.repeat(pa.scalar(self.lang), len(phrases)), pa.repeat(pa.scalar(depth, pa.int32()), len(phrases)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(many, pa.int64())]
-            whole = pa.RecordBatch.from_arrays(columns, names=["lang", "depth", "phrase", "f"])
-            yield from (whole.slice(i, 100_000) for i in range(0, len(phrases), 100_000))
+        words, names, hashes = np.concatenate(self.parts), self.ids.names, np.array(self.ids.hashes, np.uint64)
+        end = len(words) if last else max(0, len(words) - self.depth + 1)  # what begins in the rest is counted next time
+        if self.depth < LONGEST:
+            found, many = hashed(words, hashes, self.depth, end)
+            whole = pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(self.lang), len(found)), pa.array(found.view(np.int64)), pa.array(many, pa.int64())], names=["lang", "h", "f"])
+            yield from (whole.slice(i, 100_000) for i in range(0, len(found), 100_000))
+            if self.depth == 1:  # all words, without a hash
+                yield pa.RecordBatch.from_arrays([pa.array([self.lang]), pa.array([None], pa.int64()), pa.array([int((words[:end] >= 0).sum())], pa.int64())], names=["lang", "h", "f"])
+        else:
+            for depth, phrases, many in levels(words, names, 1, LONGEST, end, hashes, self.pairs):
+                columns = [pa.repeat(pa.scalar(self.lang), len(phrases)), pa.repeat(pa.scalar(depth, pa.int32()), len(phrases)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(many, pa.int64())]
+                whole = pa.RecordBatch.from_arrays(columns, names=["lang", "depth", "phrase", "f"])
+                yield from (whole.slice(i, 100_000) for i in range(0, len(phrases), 100_000))
         self.start([names[i] if i >= 0 else b"\n" for i in words[end:].tolist()])
 
 
-def _count(low: int, high: int, frequent: Broadcast | None, pairs: Broadcast | None):
+def _count(depth: int, frequent: Broadcast | None, pairs: Broadcast | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = None if frequent is None else frequent.value, None if pairs is None else np.frombuffer(pairs.value, np.uint8)
-        tries: dict[str, _Tries] = {}
+        shards: dict[str, _Shard] = {}
         for batch in batches:
             langs = batch.column(0).to_pylist()
             for first, texts in in_chunks(batch.column(1), CHUNK_BYTES):
@@ -165,50 +187,42 @@ def _count(low: int, high: int, frequent: Broadcast | None, pairs: Broadcast | N
                 for lang, text in zip(langs[first : first + len(texts)], texts, strict=True):
                     own.setdefault(lang, []).append(text)
                 for lang, some in own.items():
-                    if lang not in tries:
-                        tries[lang] = _Tries(lang, low, high, *sets)
-                    yield from tries[lang].add(b"\n".join(some))
-                while sum(t.size for t in tries.values()) > FLUSH_WORDS or sum(t.ids.held for t in tries.values()) > FLUSH_BYTES:
-                    yield from tries.pop(max(tries, key=lambda lang: tries[lang].ids.held + tries[lang].size)).flush(True)
-        for t in tries.values():
+                    if lang not in shards:
+                        shards[lang] = _Shard(lang, depth, *sets)
+                    yield from shards[lang].add(b"\n".join(some))
+                while sum(t.size for t in shards.values()) > FLUSH_WORDS or sum(t.ids.held for t in shards.values()) > FLUSH_BYTES:
+                    yield from shards.pop(max(shards, key=lambda lang: shards[lang].ids.held + shards[lang].size)).flush(True)
+        for t in shards.values():
             yield from t.flush(True)
 
     return run
 
 
-@contextmanager
-def _in_order(spark: SparkSession) -> Iterator[None]:
-    """What is grouped in the block is merged in order where it comes sorted, instead of being hashed. The session's setting is as before afterwards."""
-    name = "spark.sql.execution.replaceHashWithSortAgg"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
-def _frequent(s: Scratch, texts: DataFrame, low: int, high: int, frequent: Broadcast | None, pairs: Broadcast | None, name: str) -> tuple[DataFrame, DataFrame]:
-    """The phrases of ``low`` to ``high`` words with ``LEAST`` occurrences (lang, depth, phrase, f), and the lists of the tasks."""
-    lists = s.keep(texts.mapInArrow(_count(low, high, frequent, pairs), _ROWS), f"lists-{name}")
-    ranges = lists.repartitionByRange(parallelism(s.spark), "phrase", "lang").sortWithinPartitions("phrase", "lang")
-    merged = ranges.groupBy("phrase", "lang").agg(F.max("depth").alias("depth"), F.sum("f").alias("f")).filter(F.col("f") >= LEAST)
-    with _in_order(s.spark):
-        return s.keep(merged.select("lang", "depth", "phrase", "f"), name), lists
-
-
-def _bits(found: DataFrame, depth: int) -> Broadcast:
-    """The set of the hashes of words or pairs: ``2 ** FILTER_BITS`` bits, whatever their number."""
-    words = F.split("phrase", " ")
-    one = [F.crc32(F.concat("lang", F.lit("\0"), words[i]).cast("binary")) for i in range(depth)]
-    hashed = (one[0] if depth == 1 else one[0] * _PAIR + one[1]).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) + 1
-    parts = found.select(hashed.alias("_h")).groupBy(F.bitmap_bucket_number("_h").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("bits"))
+def _bits(found: DataFrame) -> Broadcast:
+    """The set of hashes ``h``: ``2 ** FILTER_BITS`` bits, whatever their number."""
+    slot = F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) + 1
+    parts = found.select(slot.alias("_h")).groupBy(F.bitmap_bucket_number("_h").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("bits"))
     out = bytearray(1 << (FILTER_BITS - 3))
     for r in parts.toLocalIterator():
         out[(r["at"] - 1) * 4096 : r["at"] * 4096] = r["bits"]
     return found.sparkSession.sparkContext.broadcast(bytes(out))
 
 
+def frequent_phrases(s: Scratch, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """lang, depth, phrase, f of the phrases (and words) of ``texts`` (lang, text) with ``LEAST`` occurrences; lang, n: its words."""
+    hashes = texts.mapInArrow(_count(1, None, None), _HASHED).groupBy("h", "lang").agg(F.sum("f").alias("f"))
+    words = s.keep(hashes.filter(F.col("h").isNull() | (F.col("f") >= LEAST)), "words")
+    frequent = _bits(words.filter("h is not null"))
+    hashes = texts.mapInArrow(_count(2, frequent, None), _HASHED).groupBy("h").agg(F.sum("f").alias("f"))
+    together = _bits(s.keep(hashes.filter(F.col("f") >= LEAST), "pairs"))
+    lists = s.keep(texts.mapInArrow(_count(LONGEST, frequent, together), _ROWS), "lists")
+    ranges = lists.repartitionByRange(parallelism(s.spark), "phrase", "lang")
+    merged = ranges.groupBy("phrase", "lang").agg(F.max("depth").alias("depth"), F.sum("f").alias("f")).filter(F.col("f") >= LEAST)
+    found = s.keep(merged.select("lang", "depth", "phrase", "f"), "phrases")
+    s.drop(lists)
+    return found, words.filter("h is null").select("lang", F.col("f").alias("n"))
+
+
 def _climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``parts`` of sorted phrases: the counts of their ancestors, from the root; null if the range began below one."""
     path, counts, before = [], [], None
@@ -255,16 +269,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     with Scratch(spark) as s:
-        words, lists = _frequent(s, texts, 1, 1, None, None, "words")
-        totals = s.keep(lists.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
-        s.drop(lists)
-        frequent = _bits(words, 1)
-        pairs, lists = _frequent(s, texts, 2, 2, frequent, None, "pairs")
-        s.drop(lists)
-        together = _bits(pairs, 2)
-        longer, lists = _frequent(s, texts, 3, LONGEST, frequent, together, "longer")
-        s.drop(lists)
-        found = words.unionByName(pairs).unionByName(longer)
+        found, totals = frequent_phrases(s, texts)
         found = with_parts(s, with_parts(s, found, "left", False), "right", True)
 
         def cut(k: Column) -> Column:
@@ -286,4 +291,4 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
         return keep(ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "phrases")
 
 
-__all__ = ["collocations", "levels", "with_parts"]
+__all__ = ["collocations", "frequent_phrases", "levels", "with_parts"]

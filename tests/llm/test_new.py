@@ -132,7 +132,7 @@ def test_tries_that_are_full_begin_anew():
 
     def counted():
         out = collections.Counter()
-        for b in phrases._count(1, 4, None, None)(iter([pa.RecordBatch.from_arrays(columns, names=["lang", "text"])])):
+        for b in phrases._count(4, None, None)(iter([pa.RecordBatch.from_arrays(columns, names=["lang", "text"])])):
             for r in b.to_pylist():
                 out[r["lang"], r["phrase"]] += r["f"]
         return out
