@@ -5,13 +5,13 @@ ASCII than letters as spaces) predicts each bit of it. Decoding sums, for every
 predicted bits weighted by how well each bit's classifier does on its sample; the nearest codeword wins, and a text
 whose two nearest codewords are about as near is flagged as ambiguous.
 
-The classifiers are fitted on at most ``2 * SAMPLE_ROWS`` whole texts (``SAMPLE_ROWS`` expected), chosen by a hash of
-doc_id with equal shares for the languages, of which the ``MOST_LANGUAGES`` most frequent are learned. Every whole text is
-predicted.
+The classifiers are fitted on ``SAMPLE_ROWS`` whole texts, or ``LEAST_PER_LANGUAGE`` of each language if those are more, chosen by
+a hash of doc_id with equal shares for the languages (expected; twice as many at most). Every language that has a text to
+learn from is learned: the code grows with the logarithm of their number. Every whole text is predicted.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0. Rows without doc_id are predicted like
-others, are not held out and are not learned from. Without any row to learn from, every text is ``und``. Repeated
-rows and extra columns change nothing; an empty table gives an empty result.
+others, are not held out and are not learned from. Without any row to learn from, or without a column ``lang``, every text is
+``und``. Repeated rows and extra columns change nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ SAMPLE_ROWS = 1600
 BUCKETS = 1 << 13
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
-#: Languages told apart at most: the most frequent ones; a code of 1024 has 100 bits.
-MOST_LANGUAGES = 1024
+#: Texts of a language, if it has as many.
+LEAST_PER_LANGUAGE = 8
 #: Softmax share below which the nearest codeword is ambiguous.
 SURE = 0.6
 
@@ -117,13 +117,15 @@ class LanguageCodes:
 
     @classmethod
     def fit(cls, docs: DataFrame, rows: int = SAMPLE_ROWS) -> LanguageCodes:
+        if "lang" not in docs.columns:
+            return cls([], np.ones((0, 0), np.float32), np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), np.zeros(0))
         known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
-        per = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-        counts = {r["lang"]: r["n"] for r in per.collect()}
+        counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
         names = sorted(counts)
         if not names:
             return cls([], np.ones((0, 0), np.float32), np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), np.zeros(0))
-        per = max(1, rows // len(names))
+        per = max(LEAST_PER_LANGUAGE, rows // len(names))
+        rows = per * len(names)
         share = F.create_map(*[F.lit(x) for n in names for x in (n, min(1.0, per / counts[n]))])
         drawn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
         part = known.select("lang", "text", drawn.alias("u")).filter(F.col("u") < share[F.col("lang")])  # other languages have no share
@@ -178,11 +180,15 @@ def predict_languages(docs: DataFrame, model: LanguageCodes | None = None) -> Da
 
 
 def with_known_language(docs: DataFrame, model: LanguageCodes | None = None) -> DataFrame:
-    """The rows of ``docs`` whose text has letters, with the columns of ``docs``; null ids and repeated rows change nothing.
+    """The rows of ``docs`` for which a language is told, with the columns of ``docs``; null ids and repeated rows change nothing.
 
-    They are worked out at once, in small batches: whole rows pass through Python. Only a text without letters is of unknown language; which one the codes choose and how surely decide nothing here.
+    The codes tell one for every text with letters, so texts without any go. Where nothing can be learned (no label, no column
+    ``lang``) no language is told for any text, which is no verdict on them: then the letters alone decide. Rows are worked
+    out at once, in small batches: whole rows pass through Python.
     """
     model = model or LanguageCodes.fit(docs)
+    if not model.names:
+        return keep(docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))), "language")
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

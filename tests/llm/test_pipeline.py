@@ -56,3 +56,14 @@ def test_stages_of_odd_rows(spark, tmp_path):
 def test_stages_of_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none(spark), "/nowhere").collect() == []
+
+
+def test_language_stage_keeps_what_nobody_labelled(spark):
+    texts = [(i, f"plain english words number {i}") for i in range(10)] + [(10, "12 !"), (11, None), (12, "日本"), (None, "no id here")]
+    docs = table(spark, texts)
+    want = sorted([*range(10), 12, -1])
+    stage = corpus_pipeline.STAGES[0][1]
+    for df in (docs.withColumn("lang", F.lit(None).cast("string")), docs.drop("lang"), docs):
+        out = stage(spark, df, "/nowhere")
+        assert out.columns == df.columns and sorted(-1 if r.doc_id is None else r.doc_id for r in out.collect()) == want
+    assert stage(spark, docs.drop("lang").limit(0), "/nowhere").collect() == []
