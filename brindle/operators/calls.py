@@ -80,10 +80,10 @@ def with_constants(scripts: DataFrame, text: str = "content") -> DataFrame:
     content = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<struct<k:string,v:string>>")
     found = F.coalesce(F.when(content.rlike(r"(?:const|let|var)\s"), matches(content, CONSTANT, offsets=False, k=1, v=2)), none)
-    return _resolved(once(scripts, _pairs=found))
+    return named_texts(once(scripts, _pairs=found))
 
 
-def _resolved(rows: DataFrame) -> DataFrame:
+def named_texts(rows: DataFrame) -> DataFrame:
     """``rows`` with ``names`` instead of ``_pairs`` (an array of names and texts of expressions, in order)."""
     plain = r"\A(?:\"[^\"\\]*\"|'[^'\\]*')\z"
     literal = lambda p: record(k=p["k"], v=F.substring(p["v"], F.lit(2), F.char_length(p["v"]) - 2))
@@ -95,7 +95,7 @@ def _resolved(rows: DataFrame) -> DataFrame:
 
     def again(acc: Column, _: Column) -> Column:
         resolved = F.transform(F.col("_open"), lambda p: record(k=p["k"], v=value_of(p["v"], acc)))
-        resolved = F.filter(resolved, lambda p: p["v"].isNotNull() & ~F.contains(p["v"], F.lit("${")))
+        resolved = F.filter(resolved, lambda p: p["v"].isNotNull() & ~p["v"].rlike(r"\A\$\{[^{}]*\}\z"))  # a name alone says nothing
         return F.map_from_entries(F.concat(F.col("_known"), resolved))
 
     turns = F.slice(F.sequence(F.lit(1), F.lit(ROUNDS)), F.lit(1), F.least(F.size("_open"), F.lit(ROUNDS)))
@@ -166,16 +166,29 @@ def _forwarded(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"args": F.when(ahead, args).otherwise(F.col("args")), "member": F.when(ahead, F.lower("method")).otherwise(F.col("member")), "family": F.when(ahead, "verb").otherwise(F.col("family"))})
 
 
-def _calls(scripts: DataFrame, text: str) -> DataFrame:
+def script_facts(scripts: DataFrame, text: str = "content") -> DataFrame:
+    """What the tokens of each script say (see ``callgraph.facts``), worked out once. Types of calls (``get<Row>(``) are left out."""
+    content = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?<=[A-Za-z0-9_$])<[^<>()\"'`;]*+>(?=\()", "")
+    return worked_out(callgraph.facts(scripts.select("script_id", content.alias("_t")), "_t"))
+
+
+def bracket_errors(facts: DataFrame) -> DataFrame:
+    """script_id, error_count: scripts some of whose brackets have no partner."""
+    return facts.filter("kind = 'errors' and k > 0").select("script_id", F.col("k").alias("error_count"))
+
+
+#: What a script has that calls a client at all.
+_ASKS = r"fetch|axios|XMLHttpRequest|\$\s*\.|jQuery|\)\s*\(\s*\{"
+
+
+def _calls(scripts: DataFrame, text: str, facts: DataFrame | None = None) -> DataFrame:
     """script_id, ord, object, source, member, family, names, the arguments a1 to a3 as texts and the settings (a term) of the calls of clients."""
-    content = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?<=[A-Za-z0-9_$])<[^<>()\"'`;]*+>(?=\()", "")  # types of calls
-    asked = scripts.select("script_id", content.alias("_t")).filter(F.col("_t").rlike(r"fetch|axios|XMLHttpRequest|\$\s*\.|jQuery|\)\s*\(\s*\{"))
-    found = worked_out(callgraph.facts(asked, "_t"))
+    found = script_facts(scripts.filter(F.col(text).rlike(_ASKS)), text) if facts is None else facts
     inside = callgraph.arguments(found)
     own = found.filter("kind = 'call'").select("script_id", "pos", "name", "member", "start", "close")
     own = worked_out(own.join(inside.withColumnRenamed("up", "pos"), ["script_id", "pos"], "left"))
     defined = worked_out(callgraph.functions(found, inside))
-    known = callgraph.aliases(found, own)
+    known = callgraph.aliases(found, own, defined)
     ahead = callgraph.forwarders(defined, own, known)
     xhr = found.filter((F.col("kind") == "made") & (F.get("term", F.lit(1)) == "XMLHttpRequest")).select("script_id", "name", F.lit(True).alias("_xhr")).distinct()
     rows = own.join(known, ["script_id", "name"], "left").join(ahead, ["script_id", "name"], "left").join(xhr, ["script_id", "name"], "left")
@@ -200,7 +213,7 @@ def _calls(scripts: DataFrame, text: str) -> DataFrame:
     objects = constants.groupBy("script_id", "name").agg(F.max_by("term", "ord").alias("_object")).filter((F.get("_object", F.lit(0)) == "{") & (F.get("_object", F.size("_object") - 1) == "}"))
     last = F.regexp_replace(rendered(F.col("term")), r"\A" + _DEFAULT, "")
     pairs = constants.filter((F.get("term", F.lit(0)) != "{") & (F.size("term") < MOST_PARTS)).groupBy("script_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("name").alias("k"), last.alias("v")))).alias("_x"))
-    names = _resolved(pairs.select("script_id", F.transform("_x", lambda x: record(k=x["k"], v=x["v"])).alias("_pairs")))
+    names = named_texts(pairs.select("script_id", F.transform("_x", lambda x: record(k=x["k"], v=x["v"])).alias("_pairs")))
     reads = F.upper("member").isin("GET", "HEAD")
     at = F.when(F.col("family").isin("ajax", "config"), 0).when((F.col("family") == "fetch") | reads, 1).when(F.col("family") == "verb", 2)
     rows = rows.withColumn("_at", at).withColumn("settings", F.get("args", F.col("_at")))
@@ -210,11 +223,11 @@ def _calls(scripts: DataFrame, text: str) -> DataFrame:
     return rows.join(names, "script_id", "left").select("script_id", "ord", "names", "object", "source", "member", "family", "settings", *(text_of(n).alias(f"a{n + 1}") for n in range(3)))
 
 
-def client_calls(scripts: DataFrame, text: str = "content") -> DataFrame:
+def client_calls(scripts: DataFrame, text: str = "content", facts: DataFrame | None = None) -> DataFrame:
     """script_id, ord, source, method, url, kind, confidence, params (name, location, source), headers and auth (signals):
     calls of fetch, jQuery, axios and its aliases, and opens of request objects; the first of each method, url and source
-    stays."""
-    rows = _calls(scripts, text)
+    stays. ``facts``: those of the scripts, if they are known."""
+    rows = _calls(scripts, text, facts)
     family = F.col("family")
     reads = F.upper("member").isin("GET", "HEAD")
     rows = once(rows, _e=callgraph.entries(F.col("settings"))).drop("settings")
@@ -329,4 +342,4 @@ def chunk_assets(scripts: DataFrame, text: str = "content") -> DataFrame:
     return first_wins(rows.filter(shaped).withColumn("type", asset_type(F.col("url"))), ["script_id", "type", "url", "chunk_name"], "ord")
 
 
-__all__ = ["call_auth", "call_params", "chunk_assets", "client_calls", "entries", "headers_of_opens", "value_name", "value_of", "with_base_url", "with_constants", "written_keys", "xhr_events"]
+__all__ = ["bracket_errors", "call_auth", "call_params", "chunk_assets", "client_calls", "entries", "headers_of_opens", "named_texts", "script_facts", "value_name", "value_of", "with_base_url", "with_constants", "written_keys", "xhr_events"]

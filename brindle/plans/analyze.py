@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.matches import once
-from brindle.operators import calls, output, rules, scan, secrets
+from brindle.operators import bases, calls, output, rules, scan, secrets
 from brindle.operators.order import worked_out
 from brindle.sources.scripts import with_script
 
@@ -19,18 +19,24 @@ def analyze(scripts: DataFrame, mode: str = "full", secret_reviews: DataFrame |
     """The tables of an analysis of ``scripts`` (script_id, url, content), each with script_id.
 
     ``endpoints``, ``leaks``, ``js_files``, ``summary`` and ``errors`` are the results; ``apis``, ``params``, ``auth``, ``assets``, ``secrets``,
-    ``risks``, ``findings`` and ``counters`` what they are made from. Pages count by their script blocks; a text that begins
-    with a bracket of markup and has none is scanned as text. ``review`` goes to ``secrets.reviewed``. Rows without content are
+    ``risks``, ``findings`` and ``counters`` what they are made from, ``diagnostics`` says how each script was read. Pages count by
+    their script blocks; a text that begins with a bracket of markup and has none, or whose brackets don't match, is scanned as
+    text too. ``review`` goes to ``secrets.reviewed``. Rows without content are
     errors. Apis, assets, candidates of secrets and findings are worked out at once, since several tables are made from them.
     """
     given = scripts.filter("content is not null")
     rows = once(with_script(given.select("script_id", "url", "content")).drop("script_blocks"), fallback=F.startswith(F.ltrim("script"), F.lit("<")))
-    texts = rows.filter("fallback")
+    facts = calls.script_facts(rows, "script")
+    broken = calls.bracket_errors(facts)
+    diagnostics = worked_out(rows.select("script_id", "fallback").join(broken, "script_id", "left").select(
+        "script_id", (F.col("fallback") | (F.coalesce("error_count", F.lit(0)) > 0)).alias("fallback_used"), F.coalesce("error_count", F.lit(0)).cast("int").alias("error_count")))
+    texts = rows.join(diagnostics.filter("fallback_used").select("script_id"), "script_id", "left_semi")
     columns = ["script_id", "ord", "source", "method", "url", "kind", "confidence", "params", "headers", "auth"]
-    found = calls.client_calls(rows, "script").select(columns)
+    found = calls.client_calls(rows, "script", facts).select(columns)
     spelled = scan.text_endpoints(texts, "content").withColumn("auth", F.when(F.col("auth").isNotNull(), F.array("auth")).otherwise(F.array().cast("array<string>")))
     found = found.unionByName(spelled.withColumn("ord", F.col("ord") + _AFTER).select(columns))
-    apis = worked_out(calls.with_base_url(found, scan.text_base_urls(rows, "script")))
+    spelled = scan.text_base_urls(texts, "script").select("script_id", (F.col("ord") + _AFTER).alias("ord"), "value", "source")
+    apis = worked_out(calls.with_base_url(found, bases.base_urls(facts, rows).unionByName(spelled)))
     chunks = calls.chunk_assets(rows, "script").select("script_id", "ord", "url", "type", "chunk_name", F.lit("webpack-runtime").alias("source"))
     named = scan.text_assets(texts, "content").select("script_id", (F.col("ord") + _AFTER).alias("ord"), "url", "type", F.lit(None).cast("string").alias("chunk_name"), "source")
     assets = worked_out(chunks.unionByName(named))
@@ -42,7 +48,7 @@ def analyze(scripts: DataFrame, mode: str = "full", secret_reviews: DataFrame |
     if mode == "full" and secret_reviews is not None and finding_reviews is not None:
         findings = secrets.only_confirmed(findings, sure)
     findings = worked_out(findings)
-    out = {"apis": apis, "params": calls.call_params(apis), "auth": calls.call_auth(apis), "assets": assets, "secrets": sure, "risks": risks, "findings": findings, "counters": counters, "candidates": candidates}
+    out = {"apis": apis, "params": calls.call_params(apis), "auth": calls.call_auth(apis), "assets": assets, "secrets": sure, "risks": risks, "findings": findings, "counters": counters, "candidates": candidates, "diagnostics": diagnostics}
     out["endpoints"] = output.endpoints(apis, findings)
     out["js_files"] = output.js_files(assets, findings)
     out["leaks"] = output.leaks(sure, findings, out["endpoints"])
@@ -59,7 +65,7 @@ def write_results(found: dict[str, DataFrame], path: str, tables: tuple[str, ...
 
 def release(found: dict[str, DataFrame]) -> None:
     """Lets go of what was persisted."""
-    for name in ("apis", "assets", "candidates", "findings"):
+    for name in ("apis", "assets", "candidates", "diagnostics", "findings"):
         found[name].unpersist()
 
 

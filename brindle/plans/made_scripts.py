@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,7 +33,7 @@ SHAPES = (
     ("axios({headers: {A: 1}, url: '/e/{k}', data: JSON.stringify({a: 1}), method: 'delete'});", "axios", "DELETE", "/e/{k}", "A,JSON.stringify()", "A", ""),
     ("// fetch('/no/{k}')\n/* axios.get('/no2') */ fetch(\"/f/{k}?p=1&q=2\");", "fetch", "GET", "/f/{k}?p=1&q=2", "p,q", "", ""),
     ("let r = new XMLHttpRequest();\nr.open('PATCH', '/g/{k}/:part');\nr.setRequestHeader('Authorization', a);", "r.open", "PATCH", "/g/{k}/:part", "part", "Authorization", "Authorization,authorization"),
-    ("$.ajax({type: \"post\", url: \"/h/{k}\", data:'{\"fusername\":\"'+$(\"#u\").val()+'\",\"fpwd\":\"'+z+'\"}'});", "$.ajax", "POST", "/h/{k}", "fpwd,fusername", "", ""),
+    ("$.ajax({url: \"/h/{k}\", data: '{\"seat\":\"' + $(\"#s\").val() + '\",\"row\":\"' + z + '\"}', type: \"post\"});", "$.ajax", "POST", "/h/{k}", "row,seat", "", ""),
     ("const h = axios;\nconst g = h;\ng.put('/i/{k}', payload);", "g.put", "PUT", "/i/{k}", "payload", "", ""),
     ("cache.get('/z/{k}'); fetch(cond ? '/y/{k}' : '/w'); h.open('GET', '/v');", None, None, None, None, None, None),
 )
@@ -45,6 +45,40 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("script_id"), F.replace(shape, F.lit("{k}"), F.col("o_orderkey").cast("string")).alias("content"))
 
 
+#: Functions of a chain at most.
+HOPS = 6
+
+
+def _chain(parts: list, key: Column) -> Column:
+    """The first ``key`` of ``parts``, joined."""
+    return F.array_join(F.slice(F.array(*parts), F.lit(1), key), "\n")
+
+
+def forwarders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain of functions that forward to a client, as long as the customer's nation says, one that forwards to nobody, and calls of both."""
+    hops = F.col("c_nationkey") % HOPS
+    links = [F.lit(f"const f{i} = (c) => {'axios' if i == 0 else f'f{i - 1}'}(c);") for i in range(HOPS)]
+    content = F.concat(
+        F.lit("function g(c) { return other(c); }\nf"), hops, F.lit("({ url: '/c/"), "c_custkey", F.lit("', method: 'post', data: { segment: '"), "c_mktsegment", F.lit("' } });\ng({ url: '/g/"), "c_custkey", F.lit("' });\n"),
+        _chain(links, hops + 1), F.lit("\nconst put = (u, b) => axios.put(u, b);\nput('/p/"), "c_custkey", F.lit("', { k: 1 });"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("script_id"), content.alias("content"))
+
+
+def helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions that build a url out of each other's results, as many as the line count of an order's key says, and a call with the last."""
+    hops = F.col("o_orderkey") % HOPS
+    links = [F.lit("function p0(x) { return '/o/' + x; }")] + [F.lit(f"function p{i}(y) {{ return p{i - 1}(y) + '/{i}'; }}") for i in range(1, HOPS)]
+    content = F.concat(_chain(links, (hops + 1).cast("int")), F.lit("\nfetch(p"), hops, F.lit("('"), "o_orderkey", F.lit("') + '?s=' + state, { method: 'PUT' });\nconst all = { url: p0('all'), method: 'get' };\naxios(all);"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("script_id"), content.alias("content"))
+
+
+def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A base url that depends on the script's own host, which half of the suppliers have."""
+    content = F.concat(F.lit("var how = location.protocol;\nuse({ baseUrl: how + ('h"), "s_suppkey", F.lit(".example' === window.location.host ? '//in"), "s_nationkey", F.lit(".example' : '//out.example/v1/') });\nfetch('/ping');"))
+    url = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("http://h"), "s_suppkey", F.lit(".example/a.js"))).when(F.col("s_suppkey") % 3 == 0, F.lit("https://else.example/a.js"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("script_id"), url.alias("url"), content.alias("content"))
+
+
 def requests_by_hand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request object with a header before and one after its opening, for each supplier."""
     content = F.concat(F.lit("var x = new XMLHttpRequest();\nx.setRequestHeader('X-Token', t);\nx.open('PUT', '/s/"), "s_suppkey", F.lit(
@@ -77,4 +111,4 @@ def found_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_discount") > 0.05, "string").otherwise("api").alias("source"), F.concat(F.lit("e  "), (F.col("l_linenumber") % 3).cast("string")).alias("evidence"))
 
 
-__all__ = ["clients", "fetches", "found_rows", "loaders", "requests_by_hand", "settings", "shapes", "table"]
+__all__ = ["HOPS", "clients", "fetches", "forwarders", "found_rows", "helpers", "hosts", "loaders", "requests_by_hand", "settings", "shapes", "table"]

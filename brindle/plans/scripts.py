@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import urls
 from brindle.functions.text import line_count
-from brindle.operators import calls, scan
+from brindle.operators import bases, calls, scan, tokens
 from brindle.plans import made_scripts as made
 from brindle.plans.analyze import analyze
 from brindle.sources import scripts as source
@@ -203,6 +203,61 @@ select script_id, cast(url is not null as bigint) as api_count, 0 as resolved_ap
 """
 
 
+def token_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The brackets of pages: level, partner and bracket around each."""
+    signs = F.filter(F.split("html", ""), lambda c: c.isin(*"()[]{}"))
+    rows = made.table(spark, sf_dir, "pages").select(F.col("page_id").alias("script_id"), F.posexplode(signs).alias("pos", "s"))
+    return tokens.nested(rows).select(F.col("script_id").alias("page_id"), "pos", "s", "level", "mate")
+
+
+TOKEN_NESTING = r"""
+with c as (select page_id, regexp_extract_all(html, '[\[\](){}]') as l from pages),
+t as (select page_id, unnest(range(len(l))) as pos, unnest(l) as s from c),
+d as (select *, cast(sum(case when s in ('(', '[', '{') then 1 else -1 end) over (partition by page_id order by pos) as int) as after from t),
+v as (select *, case when s in ('(', '[', '{') then after - 1 else after end as level from d),
+m as (select *, case when s in ('(', '[', '{') then lead(pos) over w else lag(pos) over w end as other, case when s in ('(', '[', '{') then s || lead(s) over w else lag(s) over w || s end as pair
+  from v window w as (partition by page_id, level order by pos))
+select page_id, cast(pos as int) as pos, s, level, cast(case when pair in ('()', '[]', '{}') then other end as int) as mate from m
+"""
+
+
+def forwarder_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calls.client_calls(made.forwarders(spark, sf_dir)).select("script_id", "source", "method", "url", "confidence")
+
+
+FORWARDER_CALLS = f"""
+with recursive f as (select c_custkey, c_nationkey % {made.HOPS} as hops, i, case when i = 0 then 'axios' else 'f' || (i - 1) end as via from customer, range({made.HOPS}) r(i) where i <= c_nationkey % {made.HOPS}),
+k as (select c_custkey, hops, i, 'f' || i as name from f where via = 'axios' union all select f.c_custkey, f.hops, f.i, 'f' || f.i from k join f on f.c_custkey = k.c_custkey and f.via = k.name)
+select cast(c_custkey as varchar) as script_id, name as source, 'POST' as method, '/c/' || c_custkey as url, 'high' as confidence from k where i = hops
+union all select cast(c_custkey as varchar), 'put', 'PUT', '/p/' || c_custkey, 'high' from customer
+"""
+
+
+def inlined_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calls.client_calls(made.helpers(spark, sf_dir)).select("script_id", "source", "method", "url")
+
+
+INLINED_CALLS = f"""
+with recursive p as (select o_orderkey, 0 as i, '/o/' || o_orderkey as made from orders union all select o_orderkey, i + 1, made || '/' || (i + 1) from p where i < o_orderkey % {made.HOPS})
+select cast(o_orderkey as varchar) as script_id, 'fetch' as source, 'PUT' as method, made || '?s=${{state}}' as url from p where i = o_orderkey % {made.HOPS}
+union all select cast(o_orderkey as varchar), 'axios', 'GET', '/o/all' from orders
+"""
+
+
+def base_url_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = made.hosts(spark, sf_dir)
+    facts = calls.script_facts(rows)
+    found = bases.base_urls(facts, rows)
+    return calls.with_base_url(calls.client_calls(rows, facts=facts), found).join(found.groupBy("script_id").agg(F.count(F.lit(1)).alias("n_bases")), "script_id").select("script_id", "resolved_url", "base_url", "n_bases")
+
+
+BASE_URL_SETS = """
+with s as (select s_suppkey, s_nationkey, s_suppkey % 2 = 0 as own, s_suppkey % 2 <> 0 and s_suppkey % 3 <> 0 as unknown from supplier),
+b as (select *, (case when own then 'http:' else 'https:' end) || (case when own or unknown then '//in' || s_nationkey || '.example' else '//out.example/v1' end) as base from s)
+select cast(s_suppkey as varchar) as script_id, base || '/ping' as resolved_url, base as base_url, case when unknown then 2 else 1 end as n_bases from b
+"""
+
+
 def fetch_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.client_calls(made.fetches(spark, sf_dir)).select("script_id", "source", "method", "url", "confidence")
 
@@ -275,6 +330,7 @@ QUERIES = {
     "request_check": (request_check, REQUEST_CHECK), "url_classify": (url_classify, URL_CLASSIFY), "path_query_params": (path_query_params, PATH_QUERY_PARAMS),
     "text_endpoints": (text_endpoints, TEXT_ENDPOINTS), "text_params": (text_params, TEXT_PARAMS), "text_assets": (text_assets, TEXT_ASSETS), "text_base_urls": (text_base_urls, TEXT_BASE_URLS),
     "client_calls": (client_calls, CLIENT_CALLS), "fetch_calls": (fetch_calls, FETCH_CALLS), "xhr_calls": (xhr_calls, XHR_CALLS), "xhr_headers_asof": (xhr_headers_asof, XHR_HEADERS_ASOF),
+    "token_nesting": (token_nesting, TOKEN_NESTING), "forwarder_calls": (forwarder_calls, FORWARDER_CALLS), "inlined_calls": (inlined_calls, INLINED_CALLS), "base_url_sets": (base_url_sets, BASE_URL_SETS),
     "call_shapes": (call_shapes, CALL_SHAPES), "call_signals": (call_signals, CALL_SIGNALS), "call_params": (call_params, CALL_PARAMS),
     "analyze_endpoints": (analyze_endpoints, ANALYZE_ENDPOINTS), "analyze_summary": (analyze_summary, ANALYZE_SUMMARY), "base_url_enrich": (base_url_enrich, BASE_URL_ENRICH), "chunk_assets": (chunk_assets, CHUNK_ASSETS), "auth_signals": (auth_signals, AUTH_SIGNALS),
 }

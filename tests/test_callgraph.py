@@ -1,0 +1,181 @@
+"""Nesting of tokens, calls through a script's own functions, texts of any size."""
+
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from brindle.functions.matches import between, line_and_column, line_marks, stretches
+from brindle.operators import bases, callgraph, calls, rules, secrets, tokens
+from tests.test_operators import analysed, found, found_of, frame
+
+
+def plain_nesting(words):
+    """Partner of each bracket by a stack; None without one of its kind at its level."""
+    levels, out = {}, {}
+    depth = 0
+    for i, w in enumerate(words):
+        if w in "([{":
+            levels.setdefault(depth, []).append((i, w))
+            depth += 1
+        elif w in ")]}":
+            depth -= 1
+            levels.setdefault(depth, []).append((i, w))
+    for same in levels.values():
+        for (a, x), (b, y) in zip(same, same[1:]):
+            if x + y in ("()", "[]", "{}"):
+                out[a], out[b] = b, a
+    return out
+
+
+def test_nesting_follows_from_running_depth(spark):
+    texts = ["f(a, [b, {c: d}], (e))", "a ( [ } b )", ")(", "", "((((((((((((((((((((x))))))))))))))))))))", "{a}(b)[c]{d(e){f}}", "x = '(' + /[)(]/.test(y) // )\n+ `(${z}`;"]
+    rows = tokens.nested(tokens.tokens(frame(spark, *texts))).collect()
+    for i, text in enumerate(texts):
+        own = sorted((r for r in rows if r.script_id == str(i)), key=lambda r: r.pos)
+        assert {r.pos: r.mate for r in own if r.mate is not None} == plain_nesting([r.s for r in own])
+    assert {r.level for r in rows if r.script_id == "4" and r.s == "x"} == {20}
+    counts = {r.script_id: r.error_count for r in tokens.error_counts(tokens.nested(tokens.tokens(frame(spark, *texts)))).collect()}
+    assert counts == {"0": 0, "1": 2, "2": 2, "4": 0, "5": 0, "6": 0}
+
+
+def test_items_and_entries_at_any_depth(spark):
+    deep = "{a: " * 60 + "1" + "}" * 60
+    rows = tokens.nested(tokens.tokens(frame(spark, f"f(x + 1, {deep}, g(h, i), 'a,b')")))
+    got = {(r.up, r.k): r.to - getattr(r, "from") + 1 for r in tokens.items(rows).filter("up = 1").collect()}
+    assert got == {(1, 0): 3, (1, 1): 60 * 4 + 1, (1, 2): 6, (1, 3): 1}
+    term = F.array(*map(F.lit, ["{", "url", ":", "'/x'", ",", "data:data", ",", "'k-1'", ":", "{", "b", ":", "[", "1", ",", "2", "]", "}", ",", "...", "rest", ",", "run", "(", ")", "{", "}", "}"]))
+    one = spark.range(1).select(callgraph.entries(term).alias("e"), callgraph.entries(F.array(F.lit("x"))).alias("none"), callgraph.entries(F.array(F.lit("{"), F.lit("}"))).alias("empty")).first()
+    assert [(e.key, e.value) for e in one.e] == [("url", "'/x'"), ("data", "data"), ("k-1", "{b:[1,2]}")] and one.none is None and one.empty == []
+
+
+GRAPH = """
+const client = axios.create({ baseURL: '/v9' });
+function send(settings) { return client(settings); }
+const pass = (settings) => send(settings);
+function put(where, what, more) { return client.put(where, what, more); }
+const list = async (where, params) => client.get(where, { params });
+send({ url: '/one/a', method: 'patch', data: { k1: v } });
+pass({ url: '/one/b', method: 'delete' });
+put('/one/c', { k2: v }, { headers: { 'X-One': t } });
+list('/one/d', { leaf: n });
+"""
+
+
+def test_calls_through_forwarders(spark):
+    rows = calls.client_calls(frame(spark, GRAPH))
+    assert found(rows, "source", "method", "url") == {("send", "PATCH", "/one/a"), ("pass", "DELETE", "/one/b"), ("put", "PUT", "/one/c"), ("list", "GET", "/one/d")}
+    assert found(calls.call_params(rows), "api", "name", "location") == {("/one/a", "k1", "body"), ("/one/c", "k2", "body"), ("/one/c", "X-One", "header"), ("/one/d", "leaf", "query")}
+
+
+def test_forwarders_of_forwarders_and_of_nobody(spark):
+    chain = "const f0 = (c) => axios(c);\n" + "".join(f"const f{i} = (c) => f{i - 1}(c);\n" for i in range(1, 7)) + "f6({url: '/deep', method: 'get'}); g0({url: '/no', method: 'get'}); function g0(c) { return g1(c) } function g1(c) { return g0(c) }"
+    late = "go({url: '/late'}); function go(a) { log(a); return http.request(a) } const http = axios.create();"
+    last = "function h(c) { return axios(c) } function h(c) { return nothing(c) } h({url: '/gone', method: 'put'});"
+    other = "function w(u, c) { return axios.post(u + '/x', c) } w('/not/followed', 1); function v({a}, u) { return axios.get(u) } v('/moved/up', 2);"
+    rows = calls.client_calls(frame(spark, chain, late, last, other))
+    assert found(rows, "script_id", "source", "method", "url") == {("0", "f6", "GET", "/deep"), ("1", "go", None, "/late"), ("3", "v", "GET", "/moved/up")}
+
+
+def test_what_functions_return_takes_the_place_of_calls(spark):
+    text = """
+    function where() { return '/made/here'; }
+    function build(load) { return { url: where(), method: 'post', load, data: load, headers: { 'X-Made': key } }; }
+    function go(load) { return ask(build(load)); }
+    const ask = (c) => axios(c);
+    go(stuff);
+    const of = (id) => '/item/' + id;
+    fetch(of(itemId) + '?v=' + of('7'));
+    const whole = of(other.id);
+    axios.get(whole);
+    function again(x) { return again(x) + 'a'; }
+    fetch('/r' + again(1));
+    """
+    rows = calls.client_calls(frame(spark, text))
+    assert {("ask", "POST", "/made/here"), ("fetch", "GET", "/item/${itemId}?v=/item/7"), ("axios.get", "GET", "/item/${other.id}")} <= found(rows, "source", "method", "url")
+    assert {("/made/here", "load"), ("/made/here", "X-Made")} <= found(calls.call_params(rows), "api", "name") and ("X-Made",) in found(rows.filter("source = 'ask'").select(F.explode("headers")), "col")
+
+
+def test_factories_and_settings_in_variables(spark):
+    text = """
+    function save(e) { return n()({ url: "/fab/one", method: "post", hidden: !0, data: e }) }
+    const maker = () => axios;
+    maker()({ url: "/fab/two", method: "get", params: { leaf: no } });
+    const how = { method: 'PUT', headers: { 'X-How': t }, body: { b1: 1 } };
+    fetch('/fab/three', how);
+    const whole = { url: '/fab/four', method: 'head' };
+    axios(whole);
+    fetch('/fab/five', unknown);
+    """
+    rows = calls.client_calls(frame(spark, text))
+    assert found(rows, "source", "method", "url") == {("n()", "POST", "/fab/one"), ("maker()", "GET", "/fab/two"), ("fetch", "PUT", "/fab/three"), ("axios", "HEAD", "/fab/four"), ("fetch", "GET", "/fab/five")}
+    assert {("/fab/one", "e"), ("/fab/two", "leaf"), ("/fab/three", "X-How"), ("/fab/three", "b1")} <= found(calls.call_params(rows), "api", "name")
+
+
+def test_names_stand_for_clients_and_texts(spark):
+    text = "var a = '/m', b = a + '/n', c = axios, d = c;\nd.get(b);\nconst e = d\nconst f = a + '/o'\ne.post<Row>(f, {p: 1})\nlet g = x || '/q';\nc({url: g, method: 'get'})"
+    assert found(calls.client_calls(frame(spark, text)), "source", "method", "url") == {("d.get", "GET", "/m/n"), ("e.post", "POST", "/m/o"), ("c", "GET", "/q")}
+
+
+def test_base_urls_are_sets_of_alternatives(spark):
+    text = """
+    var how = document.location.protocol; var zone; zone = '/zone';
+    use({ baseUrl: how + ("10.9.8.7" === window.location.host ? "//10.9.8.7" : "//yard.example/gate"), other: 1 });
+    const two = { 'baseURL': (flag ? 'https://a.example/' : "//b.example") + zone + (deep ? '/x' : '/y') + '/', domainName: '' };
+    q = { domainName: unknown, baseURL: one.two, baseUrl: f(1) + '/called', z: p ? baseUrl : 2 };
+    const three = { baseURL: cond ? 'plain' : zone };
+    """
+    rows = spark.createDataFrame([("0", "http://yard.example:80/app.js", text), ("1", "https://10.9.8.7/app.js", text), ("2", None, text)], "script_id string, url string, content string")
+    got = {}
+    for r in sorted(bases.base_urls(calls.script_facts(rows), rows).collect(), key=lambda r: (r.script_id, r.ord)):
+        got.setdefault(r.script_id, []).append((r.value, r.source))
+    rest = [("https://a.example//zone/x", "object.baseURL"), ("https://a.example//zone/y", "object.baseURL"), ("//b.example/zone/x", "object.baseURL"), ("//b.example/zone/y", "object.baseURL"),
+            ("/called", "object.baseUrl"), ("plain", "object.baseURL"), ("/zone", "object.baseURL")]
+    assert got == {"0": [("http://yard.example/gate", "object.baseUrl"), *rest], "1": [("https://10.9.8.7", "object.baseUrl"), *rest],
+                   "2": [("https://10.9.8.7", "object.baseUrl"), ("https://yard.example/gate", "object.baseUrl"), *rest]}
+
+
+def test_unbalanced_scripts_are_read_as_texts_too(spark):
+    got = analysed(spark, "var s = { url: \"/lost/one\", type: \"post\" ;\nfetch('/lost/two', {method: 'PUT'", "fetch('/kept', {method: 'PUT'})")
+    assert found_of(got["apis"], "script_id", "method", "url", "source") >= {("0", "POST", "/lost/one", "text:config-url"), ("1", "PUT", "/kept", "fetch")}
+    assert not found_of(got["apis"].filter("script_id = '1' and source like 'text:%'"), "url") and found_of(got["diagnostics"], "script_id", "fallback_used", "error_count") == {("0", True, 3), ("1", False, 0)}
+
+
+def test_parts_of_a_text_in_stretches(spark):
+    text = "".join(f"é😀{i}\n" if i % 7 else f"x{i}" for i in range(3000))
+    places = [0, 1, 2047, 2048, 2049, 5000, len(text) - 1]
+    rows = spark.createDataFrame([(text, a) for a in places], "t string, a int").withColumn("p", stretches(F.col("t"))).withColumn("l", line_marks(F.col("p")))
+    line, column = line_and_column(F.col("p"), F.col("l"), F.col("a"))
+    for r in rows.select("a", between(F.col("p"), F.col("a"), F.lit(3000)).alias("b"), line.alias("line"), column.alias("column")).collect():
+        assert r.b == text[r.a : r.a + 3000] and r.line == text[: r.a].count("\n") + 1 and r.column == r.a - text.rfind("\n", 0, r.a)
+
+
+def test_candidates_of_secrets_are_where_they_say(spark):
+    text = "\n".join(f"var a{i} = 1;" + (f" token: 'secret-{i:05d}'" if i % 50 == 0 else "") for i in range(3000))
+    got = secrets.secret_candidates(frame(spark, text)).collect()
+    assert len(got) == 60
+    for r in got:
+        head = text[: r.at]
+        assert text[r.at :].startswith("token") and r.line == head.count("\n") + 1 and r.column == r.at - head.rfind("\n") and r.value in r.context and len(r.context) <= 4003
+
+
+def test_pieces_of_templates_and_the_stop_that_counts_apis(spark):
+    got = rules.text_findings(frame(spark, "var u = `role ${a} and bucket`;"))
+    assert {("string", "role "), ("string", "identifier")} & found(got, "source", "value") == {("string", "role ")}
+    s = frame(spark, "; ".join(f"var token{i} = 'v{i}'" for i in range(40)))
+    before = spark.createDataFrame([("0", 35), ("1", 99)], "script_id string, n long")
+    assert rules.text_findings(s, most=40, before=before).count() == 5
+
+
+UNIT = "function load%d(a) { var token%d = 'abcdefgh%d'; return fetch(`/q/${a}/%d`, { method: 'POST', headers: { 'X-Token': t } }); }\n"
+
+
+@pytest.mark.parametrize("work", [lambda s: rules.text_findings(s), lambda s: secrets.secret_candidates(s)])
+def test_work_grows_with_the_size_of_a_script(spark, work):
+    took = []
+    for n in (500, 2000, 16_000):
+        s = frame(spark, "".join(UNIT % (i, i, i, i) for i in range(n))).repartition(1)
+        began = time.process_time(), time.time()
+        work(s).write.format("noop").mode("overwrite").save()
+        took.append(time.time() - began[1])
+    assert took[2] < 8 * 4 * max(took[1], 1)  # eight times the text; far below its square
