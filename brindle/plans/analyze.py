@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions.matches import once
 from brindle.operators import bases, calls, output, rules, scan, secrets
 from brindle.operators.order import worked_out
+from brindle.operators.review import Transport, reviewed_in_rounds
 from brindle.sources.scripts import with_script
 
 #: What texts that are no scripts are scanned for comes after what scripts call.
@@ -15,14 +16,14 @@ _AFTER = 100_000_000
 TABLES = ("endpoints", "leaks", "js_files", "summary", "errors")
 
 
-def analyze(scripts: DataFrame, mode: str = "full", secret_reviews: DataFrame | None = None, finding_reviews: DataFrame | None = None, **review) -> dict[str, DataFrame]:
+def analyze(scripts: DataFrame, mode: str = "full", secret_reviews: DataFrame | None = None, finding_reviews: DataFrame | None = None, transport: Transport | None = None, **review) -> dict[str, DataFrame]:
     """The tables of an analysis of ``scripts`` (script_id, url, content), each with script_id.
 
     ``endpoints``, ``leaks``, ``js_files``, ``summary`` and ``errors`` are the results; ``apis``, ``params``, ``auth``, ``assets``, ``secrets``,
     ``risks``, ``findings`` and ``counters`` what they are made from, ``diagnostics`` says how each script was read. Pages count by
     their script blocks; a text that begins with a bracket of markup and has none, or whose brackets don't match, is scanned as
-    text too. ``review`` goes to ``secrets.reviewed``. Rows without content are
-    errors. Apis, assets, candidates of secrets and findings are worked out at once, since several tables are made from them.
+    text too. ``review`` goes to ``secrets.reviewed``, or with a ``transport``
+    to ``review.reviewed_in_rounds``, whose ``batches`` are a table too. Rows without content are errors. Apis, assets, candidates of secrets and findings are worked out at once, since several tables are made from them.
     """
     given = scripts.filter("content is not null")
     rows = once(with_script(given.select("script_id", "url", "content")).drop("script_blocks"), fallback=F.startswith(F.ltrim("script"), F.lit("<")))
@@ -44,11 +45,17 @@ def analyze(scripts: DataFrame, mode: str = "full", secret_reviews: DataFrame |
     candidates = secrets.secret_candidates(rows, "script").select("script_id", F.col("at").alias("ord"), "type", "severity", "value", "id", F.col("context").alias("evidence"))
     candidates = worked_out(candidates)
     raw = rules.all_findings(rows, apis, assets, secrets.fallback_secrets(candidates), risks, "script")
-    sure, findings, counters = secrets.reviewed(candidates, raw, secret_reviews, finding_reviews, mode, **review)
-    if mode == "full" and secret_reviews is not None and finding_reviews is not None:
+    rounds = None
+    if mode == "full" and transport is not None:
+        sure, findings, counters, rounds = reviewed_in_rounds(candidates, worked_out(raw), transport, **review)
+    else:
+        sure, findings, counters = secrets.reviewed(candidates, raw, secret_reviews, finding_reviews, mode, **review)
+    if mode == "full" and (rounds is not None or (secret_reviews is not None and finding_reviews is not None)):
         findings = secrets.only_confirmed(findings, sure)
     findings = worked_out(findings)
     out = {"apis": apis, "params": calls.call_params(apis), "auth": calls.call_auth(apis), "assets": assets, "secrets": sure, "risks": risks, "findings": findings, "counters": counters, "candidates": candidates, "diagnostics": diagnostics}
+    if rounds is not None:
+        out["batches"] = rounds
     out["endpoints"] = output.endpoints(apis, findings)
     out["js_files"] = output.js_files(assets, findings)
     out["leaks"] = output.leaks(sure, findings, out["endpoints"])
