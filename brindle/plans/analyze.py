@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.matches import once
-from brindle.operators import bases, calls, output, rules, scan, secrets
+from brindle.operators import bases, calls, chunks, output, rules, scan, secrets
 from brindle.operators.order import worked_out
 from brindle.operators.review import Transport, reviewed_in_rounds
 from brindle.sources.scripts import with_script
@@ -38,9 +38,9 @@ def analyze(scripts: DataFrame, mode: str = "full", secret_reviews: DataFrame |
     found = found.unionByName(spelled.withColumn("ord", F.col("ord") + _AFTER).select(columns))
     spelled = scan.text_base_urls(texts, "script").select("script_id", (F.col("ord") + _AFTER).alias("ord"), "value", "source")
     apis = worked_out(calls.with_base_url(found, bases.base_urls(facts, rows).unionByName(spelled)))
-    chunks = calls.chunk_assets(rows, "script").select("script_id", "ord", "url", "type", "chunk_name", F.lit("webpack-runtime").alias("source"))
+    joined = chunks.chunk_files(facts).select("script_id", "ord", "url", "type", "chunk_name", "source")
     named = scan.text_assets(texts, "content").select("script_id", (F.col("ord") + _AFTER).alias("ord"), "url", "type", F.lit(None).cast("string").alias("chunk_name"), "source")
-    assets = worked_out(chunks.unionByName(named))
+    assets = worked_out(joined.unionByName(named))
     risks = rules.risks(apis)
     candidates = secrets.secret_candidates(rows, "script").select("script_id", F.col("at").alias("ord"), "type", "severity", "value", "id", F.col("context").alias("evidence"))
     candidates = worked_out(candidates)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import urls
 from brindle.functions.text import line_count
-from brindle.operators import bases, calls, scan, tokens
+from brindle.operators import bases, calls, chunks, scan, tokens
 from brindle.plans import made_scripts as made
 from brindle.plans.analyze import analyze
 from brindle.sources import scripts as source
@@ -316,6 +316,13 @@ union all select cast(p_partkey as varchar), 'assets/js/vendor.beef.js', 'script
 """
 
 
+def chunk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.chunk_files(calls.script_facts(made.loaders(spark, sf_dir))).select("script_id", "url", "type", "chunk_name", "source")
+
+
+CHUNK_FILES = f"select *, 'webpack-runtime-return' as source from ({CHUNK_ASSETS})"
+
+
 def auth_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey") % 3
     headers = F.when(k == 0, F.array(F.lit("Authorization"), F.lit("X-My-Token"))).otherwise(F.array().cast("array<string>"))
@@ -332,5 +339,5 @@ QUERIES = {
     "client_calls": (client_calls, CLIENT_CALLS), "fetch_calls": (fetch_calls, FETCH_CALLS), "xhr_calls": (xhr_calls, XHR_CALLS), "xhr_headers_asof": (xhr_headers_asof, XHR_HEADERS_ASOF),
     "token_nesting": (token_nesting, TOKEN_NESTING), "forwarder_calls": (forwarder_calls, FORWARDER_CALLS), "inlined_calls": (inlined_calls, INLINED_CALLS), "base_url_sets": (base_url_sets, BASE_URL_SETS),
     "call_shapes": (call_shapes, CALL_SHAPES), "call_signals": (call_signals, CALL_SIGNALS), "call_params": (call_params, CALL_PARAMS),
-    "analyze_endpoints": (analyze_endpoints, ANALYZE_ENDPOINTS), "analyze_summary": (analyze_summary, ANALYZE_SUMMARY), "base_url_enrich": (base_url_enrich, BASE_URL_ENRICH), "chunk_assets": (chunk_assets, CHUNK_ASSETS), "auth_signals": (auth_signals, AUTH_SIGNALS),
+    "analyze_endpoints": (analyze_endpoints, ANALYZE_ENDPOINTS), "analyze_summary": (analyze_summary, ANALYZE_SUMMARY), "base_url_enrich": (base_url_enrich, BASE_URL_ENRICH), "chunk_assets": (chunk_assets, CHUNK_ASSETS), "chunk_files": (chunk_files, CHUNK_FILES), "auth_signals": (auth_signals, AUTH_SIGNALS),
 }

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions.matches import between, line_and_column, line_marks, stretches
-from brindle.operators import bases, callgraph, calls, rules, secrets, tokens
+from brindle.operators import bases, callgraph, calls, chunks, rules, secrets, tokens
 from tests.test_operators import analysed, found, found_of, frame
 
 
@@ -135,6 +135,20 @@ def test_base_urls_are_sets_of_alternatives(spark):
                    "2": [("https://10.9.8.7", "object.baseUrl"), ("https://yard.example/gate", "object.baseUrl"), *rest]}
 
 
+def test_files_of_chunk_tables(spark):
+    text = """
+    function a(e) { return r.p + "static/js/" + ({}[e] || e) + "." + { 1: "aa", two: 'bb', no: 3 }[e] + ".mjs"; }
+    l.src = q + "css/" + e + "-" + {x: "cc"}[e] + ".css";
+    var f = "chunks/" + {y: "dd"}[n] + ".json", g = "plain/" + {z: "ee"}[n] + ".txt", h = {w: "ff"}[n] + ".js";
+    k = base + "assets/" + n + {v: "gg"}[n] + "." + {u: "hh"}[n] + ".js";
+    const arrow = e => "static/" + {t: "ii"}[e] + ".js";
+    """
+    got = chunks.chunk_files(calls.script_facts(frame(spark, text)))
+    assert found(got, "url", "type", "chunk_name", "source") == {
+        ("static/js/1.aa.mjs", "script", "1", "webpack-runtime-return"), ("static/js/two.bb.mjs", "script", "two", "webpack-runtime-return"), ("css/x-cc.css", "style", "x", "webpack-runtime-assignment"),
+        ("chunks/ydd.json", "asset", "y", "webpack-runtime-variable"), ("assets/vgg..js", "script", "v", "webpack-runtime-assignment"), ("assets/u.hh.js", "script", "u", "webpack-runtime-assignment")}
+
+
 def test_unbalanced_scripts_are_read_as_texts_too(spark):
     got = analysed(spark, "var s = { url: \"/lost/one\", type: \"post\" ;\nfetch('/lost/two', {method: 'PUT'", "fetch('/kept', {method: 'PUT'})")
     assert found_of(got["apis"], "script_id", "method", "url", "source") >= {("0", "POST", "/lost/one", "text:config-url"), ("1", "PUT", "/kept", "fetch")}
