@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brindle.llm.common import Scratch, keep, parallelism
+from brindle.llm.common import Scratch, arrow_rows, keep, parallelism
 from brindle.llm.shingles import in_chunks, mix
 
 #: Occurrences of a candidate at least, its words at most, rows of a language at most.
@@ -40,11 +40,11 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 #: Bits of the set of frequent words, and of that of frequent pairs (binary logarithm).
 FILTER_BITS = 25
 #: Words, and bytes of distinct words, that a task counts into one set of tries.
-FLUSH_WORDS, FLUSH_BYTES = 1 << 21, 48 << 20
+FLUSH_WORDS, FLUSH_BYTES = 3 << 19, 40 << 20
 #: Bytes of text that are cut into words together.
 CHUNK_BYTES = 1 << 21
 #: Words that aren't frequent, as far as a task remembers them.
-_RARE = 200_000
+_RARE = 150_000
 _ENTRY = 150
 
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -210,12 +210,13 @@ def _bits(found: DataFrame) -> Broadcast:
 
 def frequent_phrases(s: Scratch, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """lang, depth, phrase, f of the phrases (and words) of ``texts`` (lang, text) with ``LEAST`` occurrences; lang, n: its words."""
-    hashes = texts.mapInArrow(_count(1, None, None), _HASHED).groupBy("h", "lang").agg(F.sum("f").alias("f"))
-    words = s.keep(hashes.filter(F.col("h").isNull() | (F.col("f") >= LEAST)), "words")
-    frequent = _bits(words.filter("h is not null"))
-    hashes = texts.mapInArrow(_count(2, frequent, None), _HASHED).groupBy("h").agg(F.sum("f").alias("f"))
-    together = _bits(s.keep(hashes.filter(F.col("f") >= LEAST), "pairs"))
-    lists = s.keep(texts.mapInArrow(_count(LONGEST, frequent, together), _ROWS), "lists")
+    with arrow_rows(s.spark, 500):  # whole texts go to Python
+        hashes = texts.mapInArrow(_count(1, None, None), _HASHED).groupBy("h", "lang").agg(F.sum("f").alias("f"))
+        words = s.keep(hashes.filter(F.col("h").isNull() | (F.col("f") >= LEAST)), "words")
+        frequent = _bits(words.filter("h is not null"))
+        hashes = texts.mapInArrow(_count(2, frequent, None), _HASHED).groupBy("h").agg(F.sum("f").alias("f"))
+        together = _bits(s.keep(hashes.filter(F.col("f") >= LEAST), "pairs"))
+        lists = s.keep(texts.mapInArrow(_count(LONGEST, frequent, together), _ROWS), "lists")
     ranges = lists.repartitionByRange(parallelism(s.spark), "phrase", "lang")
     merged = ranges.groupBy("phrase", "lang").agg(F.max("depth").alias("depth"), F.sum("f").alias("f")).filter(F.col("f") >= LEAST)
     found = s.keep(merged.select("lang", "depth", "phrase", "f"), "phrases")
