@@ -68,6 +68,16 @@ def test_calls_through_forwarders(spark):
     assert found(calls.call_params(rows), "api", "name", "location") == {("/one/a", "k1", "body"), ("/one/c", "k2", "body"), ("/one/c", "X-One", "header"), ("/one/d", "leaf", "query")}
 
 
+def test_short_scripts_are_worked_out_in_their_rows_long_ones_by_joins(spark, monkeypatch):
+    helpers = "function p0(x) { return '/o/' + x; } const p1 = (y) => p0(y) + '/1'; const all = { url: p0('all'), method: 'put' }; axios(all); fetch(p1(1) + '?s=' + s, {headers: {A: 1}}); n()({url: p1('z')}); var r = new XMLHttpRequest(); r.open('GET', p0(r));"
+    scripts = frame(spark, GRAPH, helpers, "const a = axios, b = a; b.get(`/t/${c}`); (", "", "fetch('/plain');")
+    short = calls._calls(scripts, "content")
+    assert "Exchange" not in short._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(repr, calls.client_calls(scripts).collect()))
+    monkeypatch.setattr(calls, "SHORT", -1)
+    assert got == sorted(map(repr, calls.client_calls(scripts).collect())) and len(got) == 10
+
+
 def test_forwarders_of_forwarders_and_of_nobody(spark):
     chain = "const f0 = (c) => axios(c);\n" + "".join(f"const f{i} = (c) => f{i - 1}(c);\n" for i in range(1, 7)) + "f6({url: '/deep', method: 'get'}); g0({url: '/no', method: 'get'}); function g0(c) { return g1(c) } function g1(c) { return g0(c) }"
     late = "go({url: '/late'}); function go(a) { log(a); return http.request(a) } const http = axios.create();"
