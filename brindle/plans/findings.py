@@ -288,7 +288,7 @@ from a, (values ('API 信息', 'api-endpoint', '', 'medium', 0.9), ('API 信息'
 def text_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A name, a call of a client and a request to a target that a name gives, for each customer."""
     content = F.concat(F.lit("const apiToken = 's3cr3tvalue';\nuseQuery(q);\nfetch(redirectUrl + '/x'); // "), "c_custkey")
-    rows = made.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("script_id"), content.alias("content"))
+    rows = order.dealt(made.table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(F.col("c_custkey").cast("string").alias("script_id"), content.alias("content"))
     return rules.text_findings(rows).select("script_id", "category", "type", "value", "severity", "source", "evidence")
 
 
