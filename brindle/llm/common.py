@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +60,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return kept
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Shuffle files behind a kept table go now: executors delete them when the driver has collected what named them, which
+    with little garbage in the driver is long after their last use."""
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Tables that are needed while a result is made. They go when the ``with`` block ends: the result is kept ahead of it."""
 
@@ -97,6 +106,23 @@ def arrow_rows(spark: SparkSession, most: int = 1000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def gives_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches; what they needed goes back to the system when the task ends. Workers live on for other tasks,
+    and an executor's memory has to hold what all of them keep."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+            if trim:
+                trim(0)
+
+    return task
+
+
 def split_join(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, spread: list[str], how: str = "inner") -> DataFrame:
     """``rows`` joined with ``facts``, which has one row for each key and in ``weight`` how many rows have that key.
 

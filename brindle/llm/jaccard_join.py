@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brindle.llm.common import Scratch, arrow_rows, keep, parallelism, row_key, rows_with, split_join
+from brindle.llm.common import Scratch, arrow_rows, drop_shuffles, gives_back, keep, parallelism, row_key, rows_with, split_join
 from brindle.llm.components import components
 from brindle.llm.shingles import in_chunks, mix, shingle_sets
 
@@ -50,6 +50,13 @@ SIMILARITY = 75
 N2, K2 = 2, 1
 #: Class ids up to this many (16 MB) are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Bits by which sets and signatures are named while they meet by signature. Sets that happen to have one name look at each
+#: other's signatures besides their own; signatures that do are one signature to every set.
+NAME_BITS = 48
+#: Numbers of 64 bits in which a set's parities are kept.
+PARITIES = 8
+#: Classes and signatures up to this many are broadcast to sets and lists; more are joined by a shuffle.
+FEW_KEYS = 100_000
 #: Classes of a block whose pairs one task compares.
 BLOCK = 256
 #: A signature is frequent if more than one in this many times the number of partitions of all signatures are it.
@@ -87,7 +94,7 @@ def most_different(n: int) -> int:
 def signatures(features: np.ndarray, level: int) -> tuple[np.ndarray, int]:
     """Signatures of a sorted set at a level and how many of them, the first ones, are of subsets with features.
 
-    Those of subsets without features are added only where the others may not do.
+    Those of subsets without features are added only where the others may not do. They have ``NAME_BITS`` bits.
     """
     count = _ones(level)
     part = ((features >> _U(32)) * _U(count)) >> _U(32)
@@ -98,7 +105,33 @@ def signatures(features: np.ndarray, level: int) -> tuple[np.ndarray, int]:
     if len(filled) <= most_different(len(features)):
         missing = np.setdiff1d(np.arange(count, dtype=_U), filled)
         where, what = np.concatenate([where, missing]), np.concatenate([what, np.zeros(len(missing), _U)])
-    return mix(what ^ mix(where + _U((level + 1) << 40))), len(filled)
+    return mix(what ^ mix(where + _U((level + 1) << 40))) >> _U(64 - NAME_BITS), len(filled)
+
+
+def _numbers(sig: np.ndarray, filled: int) -> tuple[int, int]:
+    """How many signatures a set has, all and filled ones. Two that happen to have one name count once."""
+    n = len(np.unique(sig))
+    return n, filled - (len(sig) - n)
+
+
+def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
+    """By the high bits: names in order have buckets in order."""
+    return (((names >> _U(NAME_BITS - 32)) * _U(buckets)) >> _U(32)).astype(np.int64)
+
+
+def _packed(names: np.ndarray) -> bytes:
+    return names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : NAME_BITS // 8].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) * 8 // NAME_BITS, 8), np.uint8)
+    wide[:, : NAME_BITS // 8] = np.frombuffer(raw, np.uint8).reshape(-1, NAME_BITS // 8)
+    return wide.reshape(-1).view("<u8")
+
+
+def _name(digest: int) -> int:
+    """Under which name a set sends its signatures."""
+    return digest & ((1 << NAME_BITS) - 1)
 
 
 def _digest(features: np.ndarray) -> tuple[int, int]:
@@ -160,7 +193,7 @@ def _facts(partitions: int):
                         made = [(level, *signatures(s, level)) for level in levels_of(len(s))]
                         for _, sig, _ in made:
                             counted.add(sig)
-                        per = [*((level, len(sig), filled) for level, sig, filled in made), (-1, 0, 0)]
+                        per = [*((level, *_numbers(sig, filled)) for level, sig, filled in made), (-1, 0, 0)]
                         rows.append((len(s), *_digest(s), *per[0], *per[1], None, None))
             yield batch_of(batch.column(0), batch.column(1), rows)
         counted.settle()
@@ -179,6 +212,7 @@ _EMPTY = 128
 def _emit(buckets: int, frequent: np.ndarray):
     """Signatures of a run of documents, dealt to buckets by their high bits: a row for each run and bucket.
 
+    Each signature has the name of its set beside it, so it costs as many bytes among many buckets as among few.
     ``frequent`` ones (sorted) go to negative buckets by their sets instead. Levels have ``_EMPTY`` added where the
     signature is of a subset without features. A run whose texts repeat sends each of its distinct sets once.
     """
@@ -187,35 +221,35 @@ def _emit(buckets: int, frequent: np.ndarray):
         for batch in batches:
             with np.errstate(over="ignore"):
                 for _, texts in in_chunks(batch.column(0), 1 << 22):
-                    seen, sigs, owner = {}, [], []
+                    seen, sigs, sizes, levels = set(), [], [], []
+                    names = []
                     for s in (x for _, part in in_chunks(pa.array(texts, pa.binary())) for x in shingle_sets(part)):
-                        if not len(s) or (sid := _digest(s)[0]) in seen:
+                        if not len(s) or (digest := _digest(s)[0]) in seen:
                             continue
-                        seen[sid] = len(seen)
+                        seen.add(digest)
                         for level in levels_of(len(s)):
                             sig, filled = signatures(s, level)
                             sigs.append(sig)
-                            owner.append(np.full(len(sig), seen[sid] << 8 | level, np.uint32))
-                            owner[-1][filled:] |= np.uint32(_EMPTY)
+                            sizes.append(len(sig))
+                            names.append(_name(digest))
+                            levels.append(np.full(len(sig), level, np.uint8))
+                            levels[-1][filled:] |= np.uint8(_EMPTY)
                     if not sigs:
                         continue
-                    sig, who, ids = np.concatenate(sigs), np.concatenate(owner), np.fromiter(seen, np.int64, len(seen))
-                    bucket = (((sig >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int64)
+                    sig, level, who = np.concatenate(sigs), np.concatenate(levels), np.repeat(np.array(names, _U), sizes)
+                    bucket = _bucket(sig, buckets)
                     if len(frequent):
                         hot = np.flatnonzero(frequent[np.minimum(np.searchsorted(frequent, sig), len(frequent) - 1)] == sig)
-                        bucket[hot] = -1 - (((ids[who[hot] >> np.uint32(8)].astype(_U) >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int64)
-                    order = np.argsort(bucket, kind="stable")
-                    sig, who, bucket = sig[order], who[order], bucket[order]
+                        bucket[hot] = -1 - _bucket(who[hot], buckets)
+                    order = np.lexsort((sig, bucket)) if len(frequent) else np.argsort(sig)
+                    sig, level, who, bucket = sig[order], level[order], who[order], bucket[order]
                     heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
                     ends = np.concatenate([heads[1:], [len(bucket)]])
-                    out = []
-                    for a, b in zip(heads.tolist(), ends.tolist(), strict=True):
-                        used, place = np.unique(who[a:b] >> np.uint32(8), return_inverse=True)
-                        level = (who[a:b] & np.uint32(255)).astype(np.uint8)
-                        out.append((int(bucket[a]), sig[a:b].tobytes(), place.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes(), level.tobytes(), ids[used].tobytes()))
-                    kinds = [pa.int32(), *[pa.binary()] * 4]
+                    out = [(int(bucket[a]), _packed(sig[a:b]), _packed(who[a:b]), level[a:b].tobytes())
+                           for a, b in zip(heads.tolist(), ends.tolist(), strict=True)]
+                    kinds = [pa.int32(), *[pa.binary()] * 3]
                     arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "sig", "place", "level", "ids"])
+                    yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "sig", "sid", "level"])
 
     return emit
 
@@ -228,10 +262,7 @@ def _shared(group: pd.DataFrame) -> pd.DataFrame:
 
     A bucket of frequent signatures has only some of their sets: all are returned, with 0 for the number.
     """
-    sig = np.concatenate([np.frombuffer(x, np.uint64) for x in group["sig"]])
-    sid = np.concatenate([
-        np.frombuffer(i, np.int64)[np.frombuffer(p, np.uint16 if len(i) < 8 * 65536 else np.uint32)]
-        for p, i in zip(group["place"], group["ids"], strict=True)])
+    sig, sid = (np.concatenate([_unpacked(x) for x in group[c]]) for c in ("sig", "sid"))
     level = np.concatenate([np.frombuffer(x, np.uint8) for x in group["level"]])
     frequent = group["bucket"].iloc[0] < 0
     order = np.argsort(sig, kind="stable")
@@ -239,7 +270,7 @@ def _shared(group: pd.DataFrame) -> pd.DataFrame:
     same = sig[1:] == sig[:-1]
     some = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | frequent
     found = pd.DataFrame({
-        "sid": sid[some], "level": (level[some] % _EMPTY).astype(np.int32), "sig": sig[some].astype(np.int64), "filled": level[some] < _EMPTY})
+        "sid": sid[some].astype(np.int64), "level": (level[some] % _EMPTY).astype(np.int32), "sig": sig[some].astype(np.int64), "filled": level[some] < _EMPTY})
     found = found.drop_duplicates()
     if frequent:
         return found.assign(c=0)
@@ -247,9 +278,16 @@ def _shared(group: pd.DataFrame) -> pd.DataFrame:
     return found[found["c"] > 1]
 
 
+def _parities(features: np.ndarray) -> np.ndarray:
+    """Whether a set has an odd number of features in each of 64 * ``PARITIES`` cells: sets that differ in ``d`` features differ
+    in at most ``d`` cells."""
+    odd = np.bincount((features & _U(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        d1, d2, sets = [], [], []
+        d1, d2, sets, bits = [], [], [], []
         with np.errstate(over="ignore"):
             for _, texts in in_chunks(batch.column(0)):
                 for s in shingle_sets(texts):
@@ -258,8 +296,10 @@ def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         d1.append(a)
                         d2.append(b)
                         sets.append(s.tobytes())
+                        bits.append(_parities(s))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sets, pa.binary())], names=["d1", "d2", "feats"])
+            [pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sets, pa.binary()), pa.array(bits, pa.list_(pa.int64()))],
+            names=["d1", "d2", "feats", "bits"])
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,15 +313,27 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit, pa.bool_())], names=["a", "b", "linked"])
 
 
+def _few(rows: DataFrame, most: int) -> DataFrame:
+    """``rows``, to be broadcast if there are at most ``most``."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def _verify(s: Scratch, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """a, b, linked of (kept) pairs of classes; sizes that cannot link are settled without their sets. Many may have one b."""
+    """a, b, linked of (kept) pairs of classes; sizes and parities that cannot link are settled without their sets. Many may
+    have one b."""
     times = s.keep(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("w")), f"{name}-times")
-    left = sets.select(F.col("cls").alias("a"), F.col("feats").alias("fa"), F.col("n").alias("na"))
-    right = times.join(sets.select(F.col("cls").alias("b"), F.col("feats").alias("fb"), F.col("n").alias("nb")), "b")
-    able = split_join(pairs.join(left.select("a", "na"), "a"), right.select("b", "nb", "w"), ["b"], "w", ["a"])
-    able = s.keep(able.filter(100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")).select("a", "b"), f"{name}-able")
+    left = sets.select(F.col("cls").alias("a"), F.col("feats").alias("fa"), F.col("n").alias("na"), F.col("bits").alias("pa"))
+    right = times.join(sets.select(F.col("cls").alias("b"), F.col("feats").alias("fb"), F.col("n").alias("nb"), F.col("bits").alias("pb")), "b")
+    able = split_join(pairs.join(left.select("a", "na", "pa"), "a"), right.select("b", "nb", "pb", "w"), ["b"], "w", ["a"])
+    differ = sum(F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(PARITIES))  # no more than the sets do
+    able = able.filter(100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb"))
+    able = able.filter((100 - SIMILARITY) * (F.col("na") + F.col("nb")) >= (100 + SIMILARITY) * differ)
+    able = s.keep(able.select("a", "b"), f"{name}-able")
+    some = _few(able.select(F.col("a").alias("cls")).union(able.select("b")).distinct(), FEW_KEYS)
+    left = left.join(some.withColumnRenamed("cls", "a"), "a", "left_semi").select("a", "fa")
+    right = right.join(some.withColumnRenamed("cls", "b"), "b", "left_semi")
     ready = split_join(able.join(left, "a"), right.select("b", "fb", "w"), ["b"], "w", ["a"]).select("a", "b", "fa", "fb")
-    return s.keep(ready.mapInArrow(_common, "a binary, b binary, linked boolean"), name)
+    return s.keep(ready.mapInArrow(gives_back(_common), "a binary, b binary, linked boolean"), name)
 
 
 def document_sets(s: Scratch, docs: DataFrame, sha: Column | None = None) -> tuple[DataFrame, np.ndarray]:
@@ -292,7 +344,7 @@ def document_sets(s: Scratch, docs: DataFrame, sha: Column | None = None) -> tup
     partitions = parallelism(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lit(None).cast("binary") if sha is None else sha).alias("sha"), "text")
     cls = F.unhex(F.concat(F.lpad(F.hex("d1"), 16, "0"), F.lpad(F.hex("d2"), 16, "0")))
-    facts = rows.mapInArrow(_facts(partitions), _FACTS).withColumn("cls", F.when(F.col("n") > 0, cls))
+    facts = rows.mapInArrow(gives_back(_facts(partitions)), _FACTS).withColumn("cls", F.when(F.col("n") > 0, cls))
     facts = s.keep(facts, "facts")
     total = facts.agg(F.sum(F.col("own_n") + F.col("low_n"))).collect()[0][0] or 0
     seen = facts.filter("n = -1").select(F.explode(F.arrays_zip("frequent", "times")).alias("x")).groupBy(F.col("x.frequent").alias("sig")).agg(
@@ -304,13 +356,15 @@ def document_sets(s: Scratch, docs: DataFrame, sha: Column | None = None) -> tup
 def _candidates(s: Scratch, docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFrame:
     """cls, sig, m: of each class the signatures by which it can meet a partner, and how many classes have each."""
     buckets = 4 * parallelism(s.spark)
-    sent = docs.select("text").mapInArrow(_emit(buckets, frequent), "bucket int, sig binary, place binary, level binary, ids binary")
+    sent = docs.select("text").mapInArrow(gives_back(_emit(buckets, frequent)), "bucket int, sig binary, sid binary, level binary")
     posted = s.keep(sent.groupBy("bucket").applyInPandas(_shared, _POSTED), "posted")
+    drop_shuffles(s.spark)
     if len(frequent):
         often = posted.filter("c = 0").drop("c")
         times = s.keep(often.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "times")  # no more rows than ``frequent`` has
         posted = posted.filter("c > 0").unionByName(often.join(F.broadcast(times), "sig"))
-    per = classes.select("cls", F.col("d1").alias("sid"), "n", F.explode(F.array(
+    sid = F.col("d1").bitwiseAND(F.lit((1 << NAME_BITS) - 1))
+    per = classes.select("cls", sid.alias("sid"), "n", F.explode(F.array(
         F.struct(F.col("own").alias("level"), F.col("own_n").alias("m"), F.col("own_f").alias("f")),
         F.struct(F.col("low").alias("level"), F.col("low_n").alias("m"), F.col("low_f").alias("f")))).alias("l")).select("cls", "sid", "n", "l.*")
     shared = posted.groupBy("sid", "level").agg(F.count(F.lit(1)).alias("s"))
@@ -327,19 +381,17 @@ def _sets_of(s: Scratch, docs: DataFrame, facts: DataFrame, alive: DataFrame) ->
     """cls, n, feats of the classes that have candidates, made anew from one text of each."""
     texts = facts.filter("doc_id is not null").join(alive, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     texts = s.keep(texts, "texts")
-    ids = texts.select("doc_id").distinct()
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
+    ids = _few(texts.select("doc_id").distinct(), BROADCAST_ROWS)
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").select("text")
-    made = made.mapInArrow(_payload, "d1 long, d2 long, feats binary")
+    made = made.mapInArrow(gives_back(_payload), "d1 long, d2 long, feats binary, bits array<long>")
     cls = F.unhex(F.concat(F.lpad(F.hex("d1"), 16, "0"), F.lpad(F.hex("d2"), 16, "0")))
-    made = made.select(cls.alias("cls"), F.expr("octet_length(feats) div 8").alias("n"), "feats")
+    made = made.select(cls.alias("cls"), F.expr("octet_length(feats) div 8").alias("n"), "feats", "bits")
     return s.keep(made.join(texts.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
 
 def _with_roots(rows: DataFrame, links: DataFrame, key: str = "cls") -> DataFrame:
     roots = components(links, "a", "b")
-    return rows.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
+    return rows.join(_few(roots.withColumnRenamed("node", key), FEW_KEYS), key, "left").withColumn("root", F.coalesce("root", key))
 
 
 def _blocks(s: Scratch, rows: DataFrame) -> DataFrame:
@@ -419,7 +471,8 @@ def linked_classes(s: Scratch, docs: DataFrame, facts: DataFrame, frequent: np.n
     rows = s.keep(_with_roots(met.select("cls", "sig"), stars), "rooted")
     lists = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"))
     split = s.keep(lists.filter("lo <> hi").select("sig", "m"), "split")
-    rows = s.keep(split_join(rows, split, ["sig"], "m", ["cls"]), "open")
+    rows = rows.join(F.broadcast(split), "sig") if split.count() <= FEW_KEYS else split_join(rows, split, ["sig"], "m", ["cls"])
+    rows = s.keep(rows, "open")
 
     few = rows.filter(F.col("m") <= SHORT_LIST).select("sig", "cls", "root")
     other = few.select("sig", F.col("cls").alias("b"), F.col("root").alias("rb"))

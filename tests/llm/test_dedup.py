@@ -4,6 +4,8 @@ import os
 import re
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,6 +196,45 @@ def test_jaccard_join_with_frequent_signatures(spark, monkeypatch):
     assert collections.Counter(map(tuple, got)) == brute(texts)
 
 
+def emitted(texts, buckets):
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    return pa.Table.from_batches(jaccard_join._emit(buckets, np.empty(0, np.uint64))([batch])).to_pandas()
+
+
+def test_bytes_of_a_signature_do_not_grow_with_the_buckets():
+    texts = [" ".join(f"w{i}-{j}" for j in range(400)) for i in range(50)] * 2
+    few, many = ([sum(map(len, rows[c])) for c in rows.columns if c != "bucket"] for rows in (emitted(texts, 4), emitted(texts, 5000)))
+    assert sum(many) <= sum(few) and sum(few) <= 13 * few[-1]  # the last column has a byte for each signature
+
+
+def test_signatures_meet_with_the_names_of_their_sets():
+    rng = np.random.default_rng(0)
+    names = rng.integers(0, 1 << 48, 1000, dtype=np.uint64)
+    assert (jaccard_join._unpacked(jaccard_join._packed(names)) == names).all()
+    words = [f"w{j}" for j in range(80)]
+    rows = emitted([" ".join(words), " ".join([*words[:-1], "new"]), " ".join(words), "quite other words", None], 3)
+    found = pd.concat(jaccard_join._shared(g) for _, g in rows.groupby("bucket"))
+    want = {jaccard_join._name(jaccard_join._digest(shingles(" ".join(x)))[0]) for x in (words, [*words[:-1], "new"])}
+    assert set(found["sid"]) == want and set(found["c"]) == {2}
+    assert jaccard_join._numbers(np.array([5, 7, 5, 9], np.uint64), 3) == (3, 2)
+
+
+def test_parities_rule_out_no_linked_sets():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 60, 700):
+        for d in range(0, n + 1, max(1, n // 20)):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[d:], rng.integers(0, 1 << 63, d // 2, dtype=np.uint64)]))
+            x, y = jaccard_join._parities(a), jaccard_join._parities(b)
+            assert x.shape == (jaccard_join.PARITIES,) and sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(np.setxor1d(a, b))
+
+
+def test_jaccard_join_with_keys_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FEW_KEYS", 0)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    check(spark, queries()["op8_jaccard_join"], oracle_sql()["op8_jaccard_join"], SF)
+
+
 def test_frequent_numbers_are_never_missed():
     r = np.random.default_rng(3)
     stream = np.concatenate([np.full(4000, 7), np.full(900, 9), r.integers(100, 10**9, 20_000)]).astype(np.uint64)
