@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import arrow_rows, fold, keep
+from brindle.llm.common import arrow_rows, fold, gives_back, keep
 from brindle.llm.shingles import in_chunks
 
 #: Texts from which the classifiers are fitted (expected; twice as many at most).
@@ -34,6 +34,8 @@ FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 #: Texts of a language, if it has as many.
 LEAST_PER_LANGUAGE = 8
+#: Bytes of texts whose n-grams are looked up at once (a longer text is whole): each of their bytes has three rows of weights.
+CHUNK_BYTES = 1 << 16
 #: Softmax share below which the nearest codeword is ambiguous.
 SURE = 0.6
 
@@ -163,7 +165,7 @@ class LanguageCodes:
 def _predict(model: LanguageCodes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x for _, texts in in_chunks(batch.column(1), 1 << 18) for x in model.predict(texts)]
+            found = [x for _, texts in in_chunks(batch.column(1), CHUNK_BYTES) for x in model.predict(texts)]
             lang, score, doubt = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(doubt, pa.bool_())],
@@ -176,7 +178,7 @@ def predict_languages(docs: DataFrame, model: LanguageCodes | None = None) -> Da
     """doc_id, lang_pred, score, ambiguous: one row per input row; fits on ``docs`` unless given a model."""
     model = model or LanguageCodes.fit(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_predict(model), "doc_id long, lang_pred string, score double, ambiguous boolean")
+    return rows.mapInArrow(gives_back(_predict(model)), "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
 def with_known_language(docs: DataFrame, model: LanguageCodes | None = None) -> DataFrame:
@@ -194,11 +196,11 @@ def with_known_language(docs: DataFrame, model: LanguageCodes | None = None) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("text"))
-            ok = [x[0] != UNKNOWN for _, texts in in_chunks(column, 1 << 18) for x in model.predict(texts)]
+            ok = [x[0] != UNKNOWN for _, texts in in_chunks(column, CHUNK_BYTES) for x in model.predict(texts)]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
     with arrow_rows(docs.sparkSession):
-        return keep(docs.mapInArrow(run, schema), "language")
+        return keep(docs.mapInArrow(gives_back(run), schema), "language")
 
 
 __all__ = ["LanguageCodes", "codewords", "predict_languages", "with_known_language"]

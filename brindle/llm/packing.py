@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brindle.llm.bpe import CHUNK_BYTES, ForcedBoundaryBPE
-from brindle.llm.common import Scratch, arrow_rows, keep, parallelism
+from brindle.llm.common import Scratch, arrow_rows, gives_back, keep, parallelism
 from brindle.llm.shingles import in_chunks
 
 CAPACITY = 2048
@@ -65,7 +65,7 @@ def _cut(path: str, capacity: int):
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: documents longer than ``capacity`` are cut, no others."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_cut(path, capacity), _PIECES)
+    return rows.mapInArrow(gives_back(_cut(path, capacity)), _PIECES)
 
 
 def sweep(waiting: list[tuple[int, int, int]], gaps: list[tuple[int, int, int]], capacity: int, opened: int) -> tuple[list[tuple[int, ...]], list[tuple[int, int, int]]]:

@@ -7,12 +7,13 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from brindle.llm import html_extract, html_nodes, language_id, language_model, packing, pii, quality
-from brindle.llm.common import Scratch
+from brindle.llm.common import Scratch, gives_back
 from brindle.llm.bpe import ForcedBoundaryBPE, decode_ids, encode_digest, encode_ids
 from brindle.llm.registry import vocabulary
 from tests.conftest import SF
@@ -433,3 +434,33 @@ def test_decoding_is_the_best_consistent_choice():
         best = max((sum(z for z, k in zip(logit, keep, strict=True) if k) for m in range(1 << 9) for keep in [[m >> i & 1 for i in range(9)]]
                     if all(not keep[i] or parent[i] < 0 or keep[parent[i]] for i in range(9))))
         assert abs(logit[html_extract.decode(logit, parent)].sum() - best) < 1e-9
+
+
+def test_language_looks_up_few_bytes_at_once():
+    class Spy:
+        asked: list[int] = []
+
+        def predict(self, texts):
+            self.asked.append(sum(map(len, texts)))
+            return [("en", 1.0, False)] * len(texts)
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(["word " * 1000] * 100)], names=["doc_id", "text"])
+    found = list(language_id._predict(Spy())(iter([batch])))
+    assert found[0].num_rows == 100 and sum(Spy.asked) == 500_000 and max(Spy.asked) <= 1 << 16
+
+
+def test_what_a_task_needed_goes_back_to_the_system():
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"Anonymous:\s+(\d+)", f.read())[1]) / 1024
+
+    def run(batches):
+        for x in batches:
+            held_in_task = [bytes(10_000) for _ in range(10_000)]  # 100 MB in small pieces, ...
+            yield x, held()
+            kept.append(held_in_task[-1])  # ... one behind the others, so the library keeps them all
+            del held_in_task
+
+    kept, before = [], held()
+    out = list(gives_back(run)(iter([1])))
+    assert [x for x, _ in out] == [1] and out[0][1] > before + 80 and held() < before + 30
