@@ -36,6 +36,8 @@ HOT = 400_000
 FOLDS, HELD_OUT = 7, 2
 SEED_ROWS = 200
 STEPS, STREAMS = 16, 256
+#: Tokens whose logits are held at once.
+AT_ONCE = 8192
 
 _SLOTS = -(-(VOCABULARY + 1) // CLASSES)
 _RARE = 4
@@ -115,20 +117,33 @@ class GatedModel:
     def _class_of(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids <= VOCABULARY, ids % CLASSES, CLASSES + ids - VOCABULARY - 1)
 
+    def _words(self, h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray, np.ndarray]:
+        """Tokens of the vocabulary by class, where each class has them, their states and logits (a column for each token)."""
+        order = np.argsort(own.astype(np.uint8), kind="stable")
+        ends = np.searchsorted(own[order], np.arange(CLASSES + 1)).tolist()
+        order, spans = order[: ends[-1]], list(zip(ends[:-1], ends[1:], strict=True))
+        states, y = np.ascontiguousarray(h[order].T), np.empty((_SLOTS, len(order)), np.float32)
+        for c, (a, b) in enumerate(spans):
+            if a < b:
+                np.matmul(self.w["o"][c].T, states[:, a:b], out=y[:, a:b])
+                y[:, a:b] += self.w["ob"][c][:, None]
+        return order, spans, states, y
+
     def log_probability(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log of the class's probability times that of the word of the vocabulary within it."""
+        out = np.empty(len(ids))
+        for a in range(0, len(ids), AT_ONCE):
+            out[a : a + AT_ONCE] = self._log_probability(h[a : a + AT_ONCE], ids[a : a + AT_ONCE])
+        return out
+
+    def _log_probability(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         own = self._class_of(ids)
-        logits = h @ self.w["c"] + self.w["cb"]
-        logits -= logits.max(axis=1, keepdims=True)
-        out = logits[np.arange(len(ids)), own] - np.log(np.exp(logits).sum(axis=1))
-        order = np.argsort(own.astype(np.uint8), kind="stable")
-        ends = np.searchsorted(own[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[ends[c] : ends[c + 1]]
-            if len(rows):
-                y = h[rows] @ self.w["o"][c] + self.w["ob"][c]
-                y -= y.max(axis=1, keepdims=True)
-                out[rows] += y[np.arange(len(rows)), ids[rows] // CLASSES] - np.log(np.exp(y).sum(axis=1))
+        logits = self.w["c"].T @ h.T + self.w["cb"][:, None]
+        logits -= logits.max(axis=0)
+        out = logits[own, np.arange(len(ids))] - np.log(np.exp(logits).sum(axis=0))
+        rows, _, _, y = self._words(h, own)
+        y -= y.max(axis=0)
+        out[rows] += y[ids[rows] // CLASSES, np.arange(len(rows))] - np.log(np.exp(y).sum(axis=0))
         return out
 
     def score(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -194,27 +209,26 @@ class GatedModel:
             h = n + z * (h - n)
         states, flat = np.concatenate(before), ids.T.reshape(-1)
         g = {k: np.zeros_like(v) for k, v in w.items()}
-        own, scale = self._class_of(flat), real.T.reshape(-1, 1).astype(np.float32)
+        own, scale = self._class_of(flat), real.T.reshape(-1).astype(np.float32)
         scale /= max(1, scale.sum())
-        p = states @ w["c"] + w["cb"]
-        p = np.exp(p - p.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(flat)), own] -= 1
+        p = w["c"].T @ states.T + w["cb"][:, None]
+        p = np.exp(p - p.max(axis=0))
+        p /= p.sum(axis=0)
+        p[own, np.arange(len(flat))] -= 1
         p *= scale
-        g["c"], g["cb"] = states.T @ p, p.sum(axis=0)
-        ds = p @ w["c"].T
-        order = np.argsort(own, kind="stable")
-        ends = np.searchsorted(own[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[ends[c] : ends[c + 1]]
-            if len(rows):
-                y = states[rows] @ w["o"][c] + w["ob"][c]
-                y = np.exp(y - y.max(axis=1, keepdims=True))
-                y /= y.sum(axis=1, keepdims=True)
-                y[np.arange(len(rows)), flat[rows] // CLASSES] -= 1
-                y *= scale[rows]
-                g["o"][c], g["ob"][c] = states[rows].T @ y, y.sum(axis=0)
-                ds[rows] += y @ w["o"][c].T
+        g["c"], g["cb"] = states.T @ p.T, p.sum(axis=1)
+        ds = p.T @ w["c"].T
+        rows, spans, sorted_states, y = self._words(states, own)
+        y = np.exp(y - y.max(axis=0))
+        y /= y.sum(axis=0)
+        y[flat[rows] // CLASSES, np.arange(len(rows))] -= 1
+        y *= scale[rows]
+        back = np.empty((s, len(rows)), np.float32)
+        for c, (a, b) in enumerate(spans):
+            if a < b:
+                g["o"][c], g["ob"][c] = sorted_states[:, a:b] @ y[:, a:b].T, y[:, a:b].sum(axis=1)
+                np.matmul(w["o"][c], y[:, a:b], out=back[:, a:b])
+        ds[rows] += back.T
         ds = ds.reshape(steps, -1, s)
         dh, dx = np.zeros_like(h), np.empty((steps, len(h), 3 * s), np.float32)
         for t in reversed(range(steps)):
@@ -227,7 +241,7 @@ class GatedModel:
             g["u"] += before[t].T @ dhh
             dh = (z * dh + dhh @ w["u"].T + ds[t]) * ~new[:, t : t + 1]
         dx = dx.reshape(-1, 3 * s)
-        order = np.argsort(flat, kind="stable")
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
         heads = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
         g["in"][flat[order][heads]] = np.add.reduceat(dx[order], heads, axis=0)
         g["b"] = dx.sum(axis=0)

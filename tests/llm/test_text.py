@@ -464,3 +464,22 @@ def test_what_a_task_needed_goes_back_to_the_system():
     kept, before = [], held()
     out = list(gives_back(run)(iter([1])))
     assert [x for x, _ in out] == [1] and out[0][1] > before + 80 and held() < before + 30
+
+
+def test_logits_in_blocks(monkeypatch):
+    r = np.random.default_rng(3)
+    m = language_model.GatedModel(np.arange(1024) * 4, np.sort(r.integers(1, 9999, 1024))[::-1].astype(float), r.integers(1, 99, (4, 2)), np.zeros(0, np.int64), np.zeros(0))
+    for v in m.w.values():
+        v += r.standard_normal(v.shape).astype(np.float32) * 0.1
+    h, ids = r.standard_normal((300, language_model.STATE)).astype(np.float32), r.integers(0, 1028, 300)
+    want = []
+    for x, i in zip(h, ids.tolist(), strict=True):
+        own = i % language_model.CLASSES if i < 1024 else language_model.CLASSES + i - 1024
+        z = (x @ m.w["c"] + m.w["cb"]).astype(float)
+        want.append(z[own] - np.log(np.exp(z).sum()))
+        if i < 1024:
+            z = (x @ m.w["o"][own] + m.w["ob"][own]).astype(float)
+            want[-1] += z[i // language_model.CLASSES] - np.log(np.exp(z).sum())
+    for block in (7, 300, 8192):
+        monkeypatch.setattr(language_model, "AT_ONCE", block)
+        assert np.allclose(m.log_probability(h, ids), want, atol=1e-4)
