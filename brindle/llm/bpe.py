@@ -12,6 +12,7 @@ empty result. Special tokens of the vocabulary are recognised in the text, as th
 from __future__ import annotations
 
 import hashlib
+import functools
 import heapq
 import json
 import unicodedata
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.shingles import in_chunks
 
-#: Runs, and words, whose encoding a task remembers at most; beyond it starts anew.
+#: Runs, and words, whose encoding a worker remembers at most, from task to task; beyond it only those at hand stay.
 REMEMBERED = 250_000
 #: Bytes of text whose new words are encoded together.
 CHUNK_BYTES = 1 << 22
@@ -63,7 +64,6 @@ class ForcedBoundaryBPE:
         self.vocab, self.end = model["vocab"], model["end_of_word_suffix"]
         self.specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special = regex.compile("|".join(regex.escape(x) for x in sorted(self.specials, key=len, reverse=True)) or r"(?!)")
-        self.token = {i: t for t, i in [*self.vocab.items(), *self.specials.items()]}
         chars = byte_characters()
         self.byte = {c: b for b, c in enumerate(chars)}
         self.inner = np.array([self.vocab[c] for c in chars], np.uint32)
@@ -74,7 +74,6 @@ class ForcedBoundaryBPE:
         made = np.array([self.vocab[a + b] for a, b in pairs], np.uint32)
         order = np.argsort(key)
         self.key, self.rank, self.made = key[order], order.astype(np.uint32), made[order]
-        self.merges = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in enumerate(pairs)}
         self.joined = np.zeros((256, 256), bool)
         for t in self.vocab:
             raw = [self.byte[c] for c in t.removesuffix(self.end)] if t not in self.byte else []
@@ -82,6 +81,24 @@ class ForcedBoundaryBPE:
                 self.joined[x, y] = True
         self.known: dict[str, bytes] = {}
         self.word: dict[bytes, bytes] = {}
+        self.remembered: int | None = None  # REMEMBERED if None
+
+    @functools.cached_property
+    def token(self) -> dict[int, str]:
+        return {i: t for t, i in [*self.vocab.items(), *self.specials.items()]}
+
+    @functools.cached_property
+    def merges(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """Rank and result of each pair, for long fragments."""
+        pairs = (divmod(k, self.width) for k in self.key.tolist())
+        return dict(zip(pairs, zip(self.rank.tolist(), self.made.tolist(), strict=True), strict=True))
+
+    def forget(self) -> None:
+        """Encoded runs and words go; they are encoded anew when needed."""
+        self.known, self.word = {}, {}
+
+    def _most(self) -> int:
+        return REMEMBERED if self.remembered is None else self.remembered
 
     def _find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         want = left.astype(np.int64) * self.width + right
@@ -174,9 +191,10 @@ class ForcedBoundaryBPE:
         """Encode and remember runs without white space."""
         names = list(chunks)
         words, counts = self.words_of(names)
-        if len(self.word) > REMEMBERED:
-            self.word.clear()
-        fresh = list(set(words) - self.word.keys())
+        here = set(words)
+        if len(self.word) > self._most():
+            self.word = {w: self.word[w] for w in here & self.word.keys()}
+        fresh = list(here - self.word.keys())
         if fresh:
             tokens, per = self.encode_words(fresh)
             raw, ends = tokens.astype("<u4").tobytes(), (4 * np.cumsum(per)).tolist()
@@ -201,20 +219,22 @@ class ForcedBoundaryBPE:
 
     def cut_up(self, texts: list[str]) -> list[list[str]]:
         """The pieces of each text; afterwards ``known`` has all of them."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        cut = [self.pieces(t) for t in texts]
+        here = set().union(*cut)
+        if len(self.known) > self._most():
+            self.known = {c: self.known[c] for c in here & self.known.keys()}
         for s, i in self.specials.items():
             self.known[s] = np.uint32(i).astype("<u4").tobytes()
-        cut = [self.pieces(t) for t in texts]
-        wanted = set().union(*cut) - self.known.keys()
+        wanted = here - self.known.keys()
         if wanted:
             self.learn(wanted)
         return cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        cut = self.cut_up(texts)
         known = self.known
-        return [b"".join(map(known.__getitem__, c)) for c in self.cut_up(texts)]
+        return [b"".join(map(known.__getitem__, c)) for c in cut]
 
 
 class _Written:

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.llm.shingles import forget
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A key is frequent if more than one row in this many times the number of partitions has it ...
 FREQUENT = 8
@@ -106,6 +108,15 @@ def arrow_rows(spark: SparkSession, most: int = 1000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def release() -> None:
+    """What a worker holds and doesn't need goes back to the system."""
+    forget()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim:
+        trim(0)
+
+
 def gives_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` over a task's batches; what they needed goes back to the system when the task ends. Workers live on for other tasks,
     and an executor's memory has to hold what all of them keep."""
@@ -115,10 +126,7 @@ def gives_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iter
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
-            if trim:
-                trim(0)
+            release()
 
     return task
 

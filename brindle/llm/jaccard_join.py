@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brindle.llm.common import Scratch, arrow_rows, drop_shuffles, gives_back, keep, parallelism, row_key, rows_with, split_join
+from brindle.llm.common import Scratch, arrow_rows, drop_shuffles, gives_back, keep, parallelism, release, row_key, rows_with, split_join
 from brindle.llm.components import components
 from brindle.llm.shingles import in_chunks, mix, shingle_sets
 
@@ -278,6 +278,12 @@ def _shared(group: pd.DataFrame) -> pd.DataFrame:
     return found[found["c"] > 1]
 
 
+def _shared_only(group: pd.DataFrame) -> pd.DataFrame:
+    found = _shared(group)
+    release()
+    return found
+
+
 def _parities(features: np.ndarray) -> np.ndarray:
     """Whether a set has an odd number of features in each of 64 * ``PARITIES`` cells: sets that differ in ``d`` features differ
     in at most ``d`` cells."""
@@ -357,7 +363,7 @@ def _candidates(s: Scratch, docs: DataFrame, classes: DataFrame, frequent: np.nd
     """cls, sig, m: of each class the signatures by which it can meet a partner, and how many classes have each."""
     buckets = 4 * parallelism(s.spark)
     sent = docs.select("text").mapInArrow(gives_back(_emit(buckets, frequent)), "bucket int, sig binary, sid binary, level binary")
-    posted = s.keep(sent.groupBy("bucket").applyInPandas(_shared, _POSTED), "posted")
+    posted = s.keep(sent.groupBy("bucket").applyInPandas(_shared_only, _POSTED), "posted")
     drop_shuffles(s.spark)
     if len(frequent):
         often = posted.filter("c = 0").drop("c")

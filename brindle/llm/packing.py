@@ -35,6 +35,8 @@ from brindle.llm.shingles import in_chunks
 CAPACITY = 2048
 #: Lanes of a round at most, and documents for which a further one is worth it.
 LANES, LANE_DOCUMENTS = 32, 50_000
+#: Bytes of text, and encoded words, that a worker holds where memory is short: after other stages an executor has little left.
+SPARING_BYTES, SPARING_REMEMBERED = 1 << 18, 40_000
 #: The token that ends a document.
 END = b"\0\0\0\0"
 
@@ -43,29 +45,39 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _RUNS = "gap boolean, length long, low long, high long, first long, each long, used long"
 
 
-def _cut(path: str, capacity: int):
+def _cut(path: str, capacity: int, sparing: bool = False):
+    chunk, remembered = (SPARING_BYTES, SPARING_REMEMBERED) if sparing else (CHUNK_BYTES, None)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = ForcedBoundaryBPE.at(path)
-        for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
-            for at, texts in in_chunks(batch.column(1), CHUNK_BYTES):
-                for doc, raw in zip(ids[at : at + len(texts)], coder.encode([t.decode() for t in texts]), strict=True):
-                    raw += END
-                    for piece, a in enumerate(range(0, len(raw), 4 * capacity)):
-                        part = raw[a : a + 4 * capacity]
-                        rows.append((doc, piece, a // 4, len(part) // 4, zlib.crc32(part)))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _PIECES.split(", ")])
+        coder.remembered = remembered
+        try:
+            for batch in batches:
+                ids, rows = batch.column(0).to_pylist(), []
+                for at, texts in in_chunks(batch.column(1), chunk):
+                    for doc, raw in zip(ids[at : at + len(texts)], coder.encode([t.decode() for t in texts]), strict=True):
+                        raw += END
+                        for piece, a in enumerate(range(0, len(raw), 4 * capacity)):
+                            part = raw[a : a + 4 * capacity]
+                            rows.append((doc, piece, a // 4, len(part) // 4, zlib.crc32(part)))
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                columns = list(zip(*rows, strict=True)) or [()] * 5
+                arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _PIECES.split(", ")])
+        finally:
+            if sparing:  # workers are many and live on
+                coder.forget()
 
     return run
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: documents longer than ``capacity`` are cut, no others."""
+def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, sparing: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32: documents longer than ``capacity`` are cut, no others.
+
+    ``sparing``: workers hold less text and fewer encoded words at once, for some more time; the rows are the same.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(gives_back(_cut(path, capacity)), _PIECES)
+    return rows.mapInArrow(gives_back(_cut(path, capacity, sparing)), _PIECES)
 
 
 def sweep(waiting: list[tuple[int, int, int]], gaps: list[tuple[int, int, int]], capacity: int, opened: int) -> tuple[list[tuple[int, ...]], list[tuple[int, int, int]]]:
@@ -190,9 +202,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         return keep(packed.unionByName(alone), "packed")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row per piece."""
-    return pack(token_pieces(docs, path, capacity), capacity)
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, sparing: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row per piece. ``sparing``: see ``token_pieces``."""
+    return pack(token_pieces(docs, path, capacity, sparing), capacity)
 
 
 __all__ = ["CAPACITY", "pack", "pack_documents", "rounds", "sweep", "token_pieces"]

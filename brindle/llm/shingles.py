@@ -15,7 +15,7 @@ import pyarrow as pa
 
 WIDTH = 5
 #: Bytes of text hashed at once; a longer text is hashed in pieces.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
@@ -51,6 +51,11 @@ def _power(n: int) -> list[np.ndarray]:
     return out
 
 
+def forget() -> None:
+    """Powers go; they are made anew when needed."""
+    _powers.clear()
+
+
 def _parts(raw: bytes) -> Iterator[tuple[int, bytes]]:
     """Pieces of about ``CHUNK_BYTES`` that begin and end with white space, and where they begin; a longer word is whole."""
     at = 0
@@ -121,4 +126,4 @@ def in_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         yield at, held
 
 
-__all__ = ["CHUNK_BYTES", "WIDTH", "in_chunks", "mix", "shingle_sets", "words"]
+__all__ = ["CHUNK_BYTES", "WIDTH", "forget", "in_chunks", "mix", "shingle_sets", "words"]

@@ -466,6 +466,31 @@ def test_what_a_task_needed_goes_back_to_the_system():
     assert [x for x, _ in out] == [1] and out[0][1] > before + 80 and held() < before + 30
 
 
+def test_sparing_pieces():
+    path = vocabulary()
+    texts = [" ".join(f"w{i}x{j} <|endoftext|> Ünder, it's {i * j}" for j in range(40)) for i in range(60)] + [None, "", "a" * 9000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    coder, most = ForcedBoundaryBPE.at(path), []
+
+    class Watched(ForcedBoundaryBPE):
+        def encode(self, part):
+            out = super().encode(part)
+            most.append(len(self.known))
+            return out
+
+    with pytest.MonkeyPatch.context() as m:
+        plain = list(packing._cut(path, 64, False)(iter([batch])))
+        assert coder.known
+        m.setattr(packing, "SPARING_BYTES", 3000)
+        m.setattr(packing, "SPARING_REMEMBERED", 100)
+        coder.forget()
+        m.setattr(coder, "__class__", Watched)
+        sparing = list(packing._cut(path, 64, True)(iter([batch, batch])))
+    assert sparing == plain * 2
+    assert max(most) < 600 and len(most) > 20
+    assert not coder.known and not coder.word  # nothing is left in the worker
+
+
 def test_logits_in_blocks(monkeypatch):
     r = np.random.default_rng(3)
     m = language_model.GatedModel(np.arange(1024) * 4, np.sort(r.integers(1, 9999, 1024))[::-1].astype(float), r.integers(1, 99, (4, 2)), np.zeros(0, np.int64), np.zeros(0))
