@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.matches import between, line_and_column, line_marks, stretches
 from brindle.operators import bases, callgraph, calls, chunks, rules, secrets, tokens
+from brindle.plans.analyze import analyze
 from tests.test_operators import analysed, found, found_of, frame
 
 
@@ -240,3 +241,12 @@ def test_rules_with_numbered_groups_aren_t_joined(spark):
     both = spark.createDataFrame([(n, v) for n in ("token", "size", None) for v in values], "n string, v string").coalesce(1)
     alone = [sum(hits, []) for hits in zip(*(names((rule,), both) for rule in rules.FINDING_RULES))]
     assert names(rules.FINDING_RULES, both) == alone and any(alone)
+
+
+def test_findings_are_worked_out_once_for_counts_of_reviews_too(spark):
+    scripts = frame(spark, "const token = 'secret-1';\nfetch('/admin/x');").withColumn("url", F.lit(None).cast("string"))
+    made = analyze(scripts)
+    plan = made["summary"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "sourceMappingURL" not in plan  # no rule is looked at again
+    row = made["summary"].first()
+    assert row.llm_finding_candidate_count == row.finding_count == made["findings"].count() > 0
